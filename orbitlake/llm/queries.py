@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import chat, html
+from orbitlake.llm import chat, html, quality
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -56,3 +56,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
