@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, html, quality
+from orbitlake.llm import chat, html, quality, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -61,3 +62,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("n_passages", F.size("passages")).drop("passages")
