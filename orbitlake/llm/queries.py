@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, html, quality, toxicity
+from orbitlake.llm import chat, html, neardup, quality, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -68,3 +68,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumn("n_passages", F.size("passages")).drop("passages")
+
+
+@query()
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
