@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, html, neardup, quality, toxicity
+from orbitlake.llm import chat, html, neardup, quality, topk, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -73,3 +73,25 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, pos, floor(256 * x::DOUBLE)::BIGINT AS x
+  FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos, embedding FROM embeddings)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.pos = c.pos AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@query(OP4_SQL)
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the rows whose vec_id is divisible by 50."""
+    v = table(spark, sf_dir, "embeddings")
+    return topk.top_k(v, v.where("vec_id % 50 = 0"), 5)
