@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, html, neardup, quality, topk, toxicity
+from orbitlake.llm import chat, decontaminate, html, neardup, quality, topk, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -95,3 +95,30 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: the rows whose vec_id is divisible by 50."""
     v = table(spark, sf_dir, "embeddings")
     return topk.top_k(v, v.where("vec_id % 50 = 0"), 5)
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), l AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL
+), w AS (
+  SELECT kind, id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS pos FROM l
+), g AS (
+  SELECT kind, id, n, pos, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS shingle
+  FROM w WINDOW o AS (PARTITION BY kind, id ORDER BY pos)
+), s AS (
+  SELECT DISTINCT kind, id, shingle FROM g WHERE pos <= greatest(0, n - 5)
+), i AS (
+  SELECT id, shingle, count(*) OVER (PARTITION BY id) AS n FROM s WHERE kind = 'i'
+)
+SELECT d.id AS doc_id, i.id AS item_id, i.n AS n_shingles, count(*) AS n_shared
+FROM s d JOIN i ON d.shingle = i.shingle WHERE d.kind = 'd'
+GROUP BY 1, 2, 3 HAVING count(*) * 100 >= i.n * 75
+"""
+
+
+@query(OP3_SQL)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
