@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, decontaminate, html, neardup, quality, topk, toxicity
+from orbitlake.llm import chat, decontaminate, html, neardup, quality, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -122,3 +122,30 @@ GROUP BY 1, 2, 3 HAVING count(*) * 100 >= i.n * 75
 @query(OP3_SQL)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+         || chr(13) || chr(10) || 'WARC-Record-ID: <urn:x-page:' || page_id::VARCHAR || '>' || chr(13) || chr(10)
+         || 'WARC-Date: 2000-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || html
+         || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM p
+), d AS (
+  SELECT page_id // 512 AS file, page_id, strlen(rec)::BIGINT AS length, sha256(rec) AS digest FROM r
+)
+SELECT file, page_id, (sum(length) OVER (PARTITION BY file ORDER BY page_id, digest) - length)::BIGINT AS "offset", length, digest,
+       CASE WHEN page_id % 101 = 7 THEN 'corrupt' WHEN page_id % 211 = 5 THEN 'missing' ELSE 'intact' END AS state
+FROM d
+"""
+
+
+@query(OP5_SQL)
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, against a replica in which one byte of some is changed and some are missing."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.when(F.pmod("page_id", F.lit(101)) == 7, F.concat(F.substring("html", 1, 20), F.lit("\x01"), F.expr("substring(html, 22)"))).otherwise(F.col("html"))
+    copies = pages.where(~((F.pmod("page_id", F.lit(211)) == 5) & (F.pmod("page_id", F.lit(101)) != 7)))
+    return warc.fixity(pages, copies.withColumn("html", damaged))
