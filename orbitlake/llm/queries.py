@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, decontaminate, html, neardup, quality, topk, toxicity, warc
+from orbitlake.llm import chat, decontaminate, html, lm, neardup, quality, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -149,3 +149,8 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = F.when(F.pmod("page_id", F.lit(101)) == 7, F.concat(F.substring("html", 1, 20), F.lit("\x01"), F.expr("substring(html, 22)"))).otherwise(F.col("html"))
     copies = pages.where(~((F.pmod("page_id", F.lit(211)) == 5) & (F.pmod("page_id", F.lit(101)) != 7)))
     return warc.fixity(pages, copies.withColumn("html", damaged))
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
