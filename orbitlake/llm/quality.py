@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitlake.llm.common import WordHashes, arrow_rows, fold, mixed, small_batches, typed
 
@@ -131,22 +132,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
     return Neighbours([(t, y) for _, t, y in kept])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id, quality.
+def model_of(docs: DataFrame, labels: DataFrame):
+    """The fitted model, broadcast."""
+    small_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    Null and empty texts are scored as a text without terms; rows are neither joined nor dropped; without labels every
-    score is 1; with labels of one kind every score is that label; other columns are ignored. No shuffle of texts.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels))
+
+def with_scores(docs: DataFrame, model) -> DataFrame:
+    """All columns of docs, and score."""
+    small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != "score"]
+    out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hashes = model.value, WordHashes()
         for b in batches:
             texts = [t for (t,) in arrow_rows([b], "text")]
             s = np.concatenate([m.scores(np.array([terms(t or "", hashes) for t in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+
+    return docs.select(*rest).mapInArrow(score, out)
 
-    scored = typed(docs, doc_id="long", text="string").mapInArrow(score, "doc_id long, score double")
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id, quality.
+
+    Null and empty texts are scored as a text without terms; rows are neither joined nor dropped; without labels every
+    score is 1; with labels of one kind every score is that label; other columns are ignored. No shuffle of texts.
+    """
+    scored = with_scores(typed(docs, doc_id="long", text="string"), model_of(docs, labels))
     return scored.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitlake.llm.common import arrow_rows, fold, small_batches, typed
 from orbitlake.llm.quality import labelled
@@ -214,26 +215,37 @@ def calibrate(model: Model, best: np.ndarray, n: np.ndarray, y: np.ndarray, weig
     model.curve = tuple(map(float, w))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, passages (array of first token, tokens, e_value) for every row of docs.
+def model_of(docs: DataFrame, labels: DataFrame):
+    """The fitted model, broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    Input: docs (doc_id, text), labels (doc_id, toxic). Null and empty texts have no passage and get the score of none;
-    rows are neither joined nor dropped; without labels of one kind every score is 0 or 1; other columns are ignored.
-    No shuffle of texts beyond the labelled sample.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([("first", pa.int64()), ("tokens", pa.int64()), ("e_value", pa.float64())])))])
+
+def with_scores(docs: DataFrame, model) -> DataFrame:
+    """All columns of docs, score, and passages: first token, tokens and E-value of each significant segment."""
+    small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in ("score", "passages")]
+    kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("e_value", T.DoubleType())]))
+    out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType()), T.StructField("passages", kind)])
+    arrow = pa.list_(pa.struct([("first", pa.int64()), ("tokens", pa.int64()), ("e_value", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            out = []
-            for i, text in arrow_rows([b], "doc_id", "text"):
+            s, p = [], []
+            for (text,) in arrow_rows([b], "text"):
                 best, total, _, found = m.summary(text)
-                out.append({"doc_id": i, "score": m.score(best, total), "passages": [{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found]})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(p, arrow)], names=[*b.schema.names, "score", "passages"])
 
-    scored = typed(docs, doc_id="long", text="string").mapInArrow(score, "doc_id long, score double, passages array<struct<first: long, tokens: long, e_value: double>>")
+    return docs.select(*rest).mapInArrow(score, out)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, passages (array of first token, tokens, e_value) for every row of docs.
+
+    Input: docs (doc_id, text), labels (doc_id, toxic). Null and empty texts have no passage and get the score of none;
+    rows are neither joined nor dropped; without labels of one kind every score is 0 or 1; other columns are ignored.
+    No shuffle of texts beyond the labelled sample.
+    """
+    scored = with_scores(typed(docs, doc_id="long", text="string"), model_of(docs, labels))
     return scored.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "passages")
