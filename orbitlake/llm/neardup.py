@@ -7,8 +7,10 @@
    meet within the prefix that ends MATCHES - 1 before the end, so only prefixes are joined.
 4. In each posting list members are counted against one pivot and each member's most frequent pivot is confirmed on the
    full sets. Lists whose members are in one group already are skipped from then on.
-5. Lists that still join several groups are compared exhaustively in blocks, by signatures of one byte a coordinate: first
-   each member's best partner outside its group is confirmed, then every pair of different groups that is left.
+5. Members of lists that still join several groups are posted anew under the rarest shingles of their full sets, as many
+   as a pair at the threshold can't all miss: passages that many texts share are common and so stay out. After a turn of
+   pivots, what is left is compared exhaustively on full sets, in blocks: by list, or by everything that lists connect
+   where that is fewer comparisons. A task joins what it has linked, and returns only links that join something new.
 6. Groups are the components of the confirmed links.
 """
 
@@ -118,42 +120,107 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return sized.where(100 * F.col("both") >= PERCENT * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one side with each of the other."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    items = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*items)
+    row, col = [], []
+    for x, side in zip(items, sides, strict=True):
+        at = np.minimum(np.searchsorted(common, x), max(0, len(common) - 1))
+        there = common[at] == x if len(common) else np.zeros(len(x), bool)
+        row.append(side[there]), col.append(at[there])
+    n = [np.bincount(c, minlength=len(common)) for c in col]
+    often = n[0] * n[1] > 4096
+    # frequent items by dense products of bounded width
+    place = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 2048):
+        dense = []
+        for k, x in enumerate((left, right)):
+            pick = often[col[k]] & (place[col[k]] >= lo) & (place[col[k]] < lo + 2048)
+            m = np.zeros((len(x), min(2048, int(often.sum()) - lo)), np.float32)
+            m[row[k][pick], place[col[k][pick]] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    # the others by their pairs
+    order = [np.argsort(np.where(often[c], len(common), c), kind="stable") for c in col]
+    row = [r[o] for r, o in zip(row, order, strict=True)]
+    first = [np.concatenate([[0], np.cumsum(np.where(often, 0, k))]) for k in n]
+    width = np.where(often, 0, n[0] * n[1])
+    ends = np.cumsum(width)
+    for lo in range(0, len(common), 1 << 15):
+        hi = min(len(common), lo + (1 << 15))
+        total = int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
+        if total:
+            item = np.repeat(np.arange(lo, hi), width[lo:hi])
+            at = np.arange(total) - np.repeat(ends[lo:hi] - width[lo:hi] - (ends[lo - 1] if lo else 0), width[lo:hi])
+            x, y = row[0][first[0][item] + at // n[1][item]], row[1][first[1][item] + at % n[1][item]]
+            out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def _compared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups, of two blocks of a list or within one, that agree in enough coordinates."""
+    """Links between two blocks of a group, or within one, that join what nothing else of the task has joined."""
     i, j = key[1].as_py(), key[2].as_py()
     t = pa.Table.from_batches(list(batches))
     block, rep, comp = (t.column(c).to_numpy() for c in ("block", "rep", "comp"))
-    sig = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(len(rep), COORDINATES)
-    order = np.argsort(rep, kind="stable")
-    block, rep, comp, sig = block[order], rep[order], comp[order], sig[order]
+    lists = t.column("items").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    for x in left:
-        y = right[(comp[right] != comp[x]) & (rep[right] > rep[x])] if i == j else right[comp[right] != comp[x]]
-        if not len(y):
-            continue
-        hits = (sig[y] == sig[x]).sum(1)
-        y, hits = y[hits >= MATCHES], hits[hits >= MATCHES]
-        if len(y):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(hits.astype(np.int64))], names=["a", "b", "hits"]
-            )
-
-
-def _exhaustive(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, hits: every pair of members of a list that aren't in one group and agree enough, in blocks of about BLOCK."""
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = left.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    if not len(left) or not len(right):
+        return
+    n = np.array([len(s) for s in sets])
+    both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
+    linked = (100 * both >= PERCENT * (n[left][:, None] + n[right][None] - both)) & (comp[left][:, None] != comp[right][None])
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        c, d = top(int(comp[left[x]])), top(int(comp[right[y]]))
+        if c != d:
+            up[max(c, d)] = min(c, d)
+            out.append((int(rep[left[x]]), int(rep[right[y]])))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _exhaustive(left: DataFrame, full: DataFrame) -> DataFrame:
+    """a, b: links between members of a list that aren't in one group, in blocks of about BLOCK members.
+
+    A list of n members takes n * n comparisons. Where all members of connected lists together take fewer than the lists
+    one by one, they are one group.
+    """
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
+    tied = components(left.join(sizes, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    of = sizes.join(tied, sizes["hub"] == tied["node"]).select("key", "n", F.col("comp").alias("cluster"))
+    members = tied.groupBy(F.col("comp").alias("cluster")).agg(F.count("*").alias("members"))
+    cost = of.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("cost")).join(members, "cluster")
+    whole = cost.where(F.col("members") * F.col("members") <= F.col("cost")).select("cluster", "members")
+    one = of.join(whole, "cluster", "left").select("key", F.when(F.col("members").isNotNull(), F.col("cluster")).otherwise(F.col("key")).alias("g"), F.coalesce("members", "n").alias("n"))
+    cut = left.join(one, "key").select("g", "n", "rep", "comp").distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # block b meets each block, itself included, in the task of the ordered pair
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
-    return cut.join(nodes.select("rep", "bytes"), "rep").groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long, hits long").distinct()
+    cut = cut.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    return cut.join(full, "rep").groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
 
 
-def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = b.num_rows
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(n, COORDINATES, 8)[:, :, 1]
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["rep", "bytes"])
+def _rarest(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, rep: the rarest shingles of the full sets of reps, as many as two sets that link can't be without a common one."""
+    x = full.join(reps, "rep").select("rep", F.size("items").alias("n"), F.explode("items").alias("key"))
+    often = x.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("rep")
+    x = x.join(often, "key").withColumn("at", F.row_number().over(own.orderBy("often", "key"))).withColumn("live", F.count("*").over(own))
+    # shingles that no other has come first
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return x.where(F.col("at") <= prefix - (F.col("n") - F.col("live"))).select("key", "rep")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -181,10 +248,11 @@ def _links(d: DataFrame, nodes: DataFrame) -> DataFrame | None:
     # one text of each representative; ids may be repeated, so its set is checked by the key
     texts = d.select("at", "text").join(nodes.join(involved, "rep").select("rep", "at"), "at").select("rep", "text")
     full = saved(texts.mapInArrow(_keep_right_text, "rep long, text string").dropDuplicates(["rep"]).mapInArrow(_full, "rep long, items array<bigint>"), "sets")
-    near = saved(nodes.join(involved, "rep").select("rep", "sig").mapInArrow(_first_bytes, "rep long, bytes binary"), "bytes")
     labels = involved.select("rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("size"))
     links = None
     for turn in range(4):
+        if turn == 2:
+            posts = saved(_rarest(full, posts.select("rep").distinct()), "rarest")
         mine = posts.join(labels, "rep")
         lists = (
             mine.groupBy("key")
@@ -194,15 +262,13 @@ def _links(d: DataFrame, nodes: DataFrame) -> DataFrame | None:
         left = saved(mine.join(lists, "key"), "lists")
         if left.isEmpty():
             break
-        if turn < 2:
+        if turn < 3:
             pairs = left.where("comp <> own").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("hits"))
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a"))
+            found = confirmed(pairs.select("a", "b"), full)
         else:
-            pairs = _exhaustive(left.select("key", "rep", "comp"), near)
-            if turn == 2:
-                both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hits"))
-                pairs = both.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a"))
-        found = saved(confirmed(pairs.select("a", "b"), full), "links")
+            found = _exhaustive(left.select("key", "rep", "comp"), full)
+        found = saved(found, "links")
         links = found if links is None else links.unionByName(found)
         now = components(links)
         sizes = now.groupBy("comp").agg(F.count("*").alias("size"))
