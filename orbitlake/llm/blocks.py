@@ -23,17 +23,15 @@ from orbitlake.llm.common import arrow_rows
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose requests one key range holds, about, and the least number of ranges.
 RANGE_BYTES, RANGES_MIN = 64 << 20, 256
-LEVEL = 6
-SCHEMA = "kind int, k long, block long, fold int, data binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("block", pa.int64()), ("fold", pa.int32()), ("data", pa.binary())])
-BUNDLE, REQUEST = 0, 1
+_BUNDLES = pa.schema([("block", pa.int64()), ("fold", pa.int32()), ("data", pa.binary())])
+_REQUESTS = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("block", pa.int64()), ("fold", pa.int32()), ("data", pa.binary())])
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays and bytes, compressed together."""
     raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
     head = struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw))
-    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(raw))
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -50,7 +48,8 @@ def unpack(data: bytes) -> list[bytes]:
 def pack_docs(ids: list[int | None], texts: list[str | None]) -> bytes:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     return pack(
-        np.array([i if i is not None else 0 for i in ids], np.int64), np.array([i is None for i in ids], np.bool_), np.array([len(r) for r in raw], np.int64), b"".join(raw)
+        np.array([i if i is not None else 0 for i in ids], np.int64), np.array([i is None for i in ids], np.bool_), np.array([len(r) for r in raw], np.int64), b"".join(raw),
+        level=3,
     )
 
 
@@ -68,11 +67,10 @@ def ranges(docs: DataFrame) -> int:
     return max(RANGES_MIN, -(-total // RANGE_BYTES))
 
 
-def bundled(docs: DataFrame, requests: Callable[[int, list[str]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
-    """kind, k, block, fold, data: a bundle for each block, and what requests(fold, texts) yields: kind, key range, data.
+def bundled(docs: DataFrame) -> DataFrame:
+    """block, fold, data: documents (doc_id, text, fold) in compressed blocks of one fold each.
 
-    docs: doc_id, text, fold; the documents of a block are of one fold. No shuffle. A block's number is its partition and its
-    place in it, so a task that runs again writes the same blocks.
+    No shuffle. A block's number is its partition and its place in it, so a task that runs again writes the same blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,20 +78,30 @@ def bundled(docs: DataFrame, requests: Callable[[int, list[str]], Iterator[tuple
         n = 0
         held: dict[int, list] = {}
 
-        def close(f: int) -> Iterator[pa.RecordBatch]:
+        def close(f: int) -> pa.RecordBatch:
             nonlocal n
             ids, texts, _ = held.pop(f)
-            rows = [(BUNDLE, base + n, pack_docs(ids, texts)), *requests(f, texts)]
-            yield pa.RecordBatch.from_pylist([{"kind": a, "k": k, "block": base + n, "fold": f, "data": d} for a, k, d in rows], schema=_ARROW)
             n += 1
+            return pa.RecordBatch.from_pylist([{"block": base + n, "fold": f, "data": pack_docs(ids, texts)}], schema=_BUNDLES)
 
         for i, text, f in arrow_rows(batches, "doc_id", "text", "fold"):
             own = held.setdefault(f, [[], [], 0])
             own[0].append(i), own[1].append(text)
             own[2] += len(text or "")
             if own[2] >= BLOCK_BYTES:
-                yield from close(f)
+                yield close(f)
         for f in sorted(held):
-            yield from close(f)
+            yield close(f)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, "block long, fold int, data binary")
+
+
+def requested(bundles: DataFrame, requests: Callable[[list[str]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+    """kind, k, block, fold, data: what requests(texts) yields for each bundle: kind, key range, data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, f, data in arrow_rows(batches, "block", "fold", "data"):
+            rows = [{"kind": a, "k": k, "block": block, "fold": f, "data": d} for a, k, d in requests([t for _, t in unpack_docs(data)])]
+            yield pa.RecordBatch.from_pylist(rows, schema=_REQUESTS)
+
+    return bundles.mapInArrow(run, "kind int, k long, block long, fold int, data binary")

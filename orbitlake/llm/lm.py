@@ -24,6 +24,8 @@ KEPT, DELETED, UNSEEN = 0, 1, 2
 STEPS, ROUNDS = 4, 60
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a bigram's key: the upper 48.
+PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 UNIGRAM = 1
 
 
@@ -40,21 +42,33 @@ def token_keys(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.nda
         before[at] = BEGIN
         before[at + 1 : at + n + 1] = h
         at += n + 1
-    return tokens, mixed(before * _MULT + tokens), ends
+    # 48 bits tell bigrams apart well enough, and pack in half the bytes
+    return tokens, mixed(before * _MULT + tokens) & PAIR_BITS, ends
 
 
-def _contexts(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.concatenate([[0], ends[:-1]]).astype(int)] = BEGIN
-    return out
+def _asked(tokens: np.ndarray, pairs: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct keys of a block, their counts, and where each occurrence is: tokens, then a beginning for each text; bigrams."""
+    uni = np.unique(np.concatenate([tokens, np.full(len(ends), BEGIN)]), return_inverse=True, return_counts=True)
+    two = np.unique(pairs, return_inverse=True, return_counts=True)
+    return [(k, n, at) for k, at, n in (uni, two)]
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys by their gaps, in halves: the upper ones are mostly equal."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    short = not (keys & ~PAIR_BITS).any()
+    return blocks.pack(*_halves(gaps >> np.uint64(16) if short else gaps), counts.astype(np.uint32), b"x" if short else b"")
 
 
-def _asked(tokens: np.ndarray, pairs: np.ndarray, n_texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys and their counts in a block: of tokens, with the beginning as one for each text, and of bigrams."""
-    uni, n_uni = np.unique(np.concatenate([tokens, np.full(n_texts, BEGIN)]), return_counts=True)
-    two, n_two = np.unique(pairs, return_counts=True)
-    return [(uni, n_uni), (two, n_two)]
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    *planes, short = blocks.unpack(data)
+    low, high, counts = (np.frombuffer(x, np.uint32) for x in planes)
+    keys = np.cumsum((high.astype(np.uint64) << np.uint64(32)) | low, dtype=np.uint64)
+    return (keys << np.uint64(16) if short else keys), counts
 
 
 def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -66,24 +80,33 @@ def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
 def _requester(ranges: int):
     hashes = WordHashes()
 
-    def requests(f: int, texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
-        tokens, pairs, _ = token_keys(texts, hashes)
-        for order, (keys, counts) in enumerate(_asked(tokens, pairs, len(texts)), UNIGRAM):
+    def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
+        for order, (keys, counts, _) in enumerate(_asked(*token_keys(texts, hashes)), UNIGRAM):
             cut = _cuts(keys, ranges)
             for r in range(ranges):
                 a, b = cut[r], cut[r + 1]
                 if a < b:
-                    yield order, r, blocks.pack(keys[a:b], counts[a:b].astype(np.uint32))
+                    yield order, r, _packed(keys[a:b], counts[a:b])
 
     return requests
 
 
+def _small(c: np.ndarray) -> np.ndarray:
+    """Counts in two planes of 32 bits, the upper one all but empty."""
+    return np.concatenate([c & 0xFFFFFFFF, c >> 32]).astype(np.uint32)
+
+
+def _large(data: bytes) -> np.ndarray:
+    c = np.frombuffer(data, np.uint32).astype(np.int64)
+    return c[: len(c) // 2] | (c[len(c) // 2 :] << 32)
+
+
 def _answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a key range: for each block, the counts of its keys in training and in the kept part; and the range's totals."""
     order, r = key[0].as_py(), key[1].as_py()
     rows = [(b, f, d) for batch in batches for b, f, d in zip(batch.column("block").to_pylist(), batch.column("fold").to_pylist(), batch.column("data").to_pylist(), strict=True)]
     rows.sort(key=lambda x: x[0])
-    got = [tuple(map(np.frombuffer, blocks.unpack(d), (np.uint64, np.uint32))) for _, _, d in rows]
+    got = [_unpacked(d) for _, _, d in rows]
     keys = np.unique(np.concatenate([k for k, _ in got]))
     all_, kept = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     places = [np.searchsorted(keys, k) for k, _ in got]
@@ -93,7 +116,7 @@ def _answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if f == KEPT:
             kept[at] += c
     for (block, f, _), at in zip(rows, places, strict=True):
-        data = blocks.pack(all_[at], kept[at]) if f == DELETED else blocks.pack(all_[at])
+        data = blocks.pack(*(_small(x[at]) for x in ((all_, kept) if f == DELETED else (all_,))))
         yield pa.RecordBatch.from_pylist([{"order": order, "r": r, "block": block, "fold": f, "data": data, "n": 0, "v": 0, "kept": 0}], schema=_ANSWER)
     real = keys != BEGIN
     totals = {"n": int(all_[real].sum()), "v": int((all_[real] > 0).sum()), "kept": int(kept[real].sum())}
@@ -108,13 +131,15 @@ def _block(left: pa.Table, right: pa.Table, part: int, hashes: WordHashes):
     """ids, ends of texts, and of each token: c(u, w), c(u), c(w), from the answers of one part (0 training, 1 kept)."""
     rows = list(blocks.unpack_docs(left.column("data")[0].as_py()))
     tokens, pairs, ends = token_keys([t for _, t in rows], hashes)
-    counts = {}
     got = sorted(zip(right.column("order").to_pylist(), right.column("r").to_pylist(), right.column("data").to_pylist(), strict=True), key=lambda x: x[:2])
-    for order in (UNIGRAM, UNIGRAM + 1):
-        counts[order] = np.concatenate([np.frombuffer(blocks.unpack(d)[part], np.int64) for o, _, d in got if o == order])
-    (uni, _), (two, _) = _asked(tokens, pairs, len(rows))
-    at = lambda keys, c, x: c[np.searchsorted(keys, x)].astype(float)
-    return [i for i, _ in rows], ends, at(two, counts[UNIGRAM + 1], pairs), at(uni, counts[UNIGRAM], _contexts(tokens, ends)), at(uni, counts[UNIGRAM], tokens)
+    uni, two = (np.concatenate([_large(blocks.unpack(d)[part]) for o, _, d in got if o == order]).astype(float) for order in (UNIGRAM, UNIGRAM + 1))
+    (_, _, at1), (_, _, at2) = _asked(tokens, pairs, ends)
+    one = uni[at1]
+    one, begin = one[: len(tokens)], one[len(tokens) :]
+    context = np.empty_like(one)
+    context[1:] = one[:-1]
+    context[np.concatenate([[0], ends[:-1]]).astype(int)] = begin
+    return [i for i, _ in rows], ends, two[at2], context, one
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -186,11 +211,11 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, deleted: int = 3) -
     small_batches(spark)
     d = typed(docs, doc_id="long", text="string")
     part = F.when(fold("doc_id", modulus, held), UNSEEN).when(fold("doc_id", modulus, deleted), DELETED).otherwise(KEPT)
-    made = saved(blocks.bundled(d.withColumn("fold", part), _requester(blocks.ranges(d))), "blocks")
-    asked = made.where(F.col("kind") != blocks.BUNDLE)
+    bundles = saved(blocks.bundled(d.withColumn("fold", part)), "blocks")
+    asked = blocks.requested(bundles, _requester(blocks.ranges(d)))
     answers = saved(asked.select(F.col("kind").alias("order"), "k", "block", "fold", "data").groupBy("order", "k").applyInArrow(_answer, _ANSWER_SQL), "answers")
     t = answers.where("block is null and order = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "kept"))).first().asDict()
-    bundles, replies = made.where(F.col("kind") == blocks.BUNDLE).select("block", "fold", "data"), answers.where("block is not null").select("block", "fold", "order", "r", "data")
+    replies = answers.where("block is not null").select("block", "fold", "order", "r", "data")
 
     def joined(where: str, run, schema: str) -> DataFrame:
         return bundles.where(where).groupBy("block").cogroup(replies.where(where).groupBy("block")).applyInArrow(run, schema)
@@ -198,5 +223,5 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, deleted: int = 3) -
     seen = joined(f"fold = {DELETED}", _histogram(t), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
     weights = mixture([tuple(r) for r in seen.collect()])  # bounded: buckets and steps of ratios
     out = saved(joined("true", _scorer(t, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores")
-    dropped(made), dropped(answers)
+    dropped(bundles), dropped(answers)
     return out.select("doc_id", fold("doc_id", modulus, held).alias("held_out"), "n_tokens", "n_known", F.lit(t["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -41,7 +41,7 @@ def pieces(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], dict[int, i
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     scores = [sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
-    ranked = scores == [float(-i) for i in range(len(scores))]
+    ranked = all(x <= 0 and x == int(x) for x in scores)
     table, of_byte, spell = {}, {}, []
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
@@ -141,7 +141,7 @@ def decode(ids: list[int], path: str = MODEL) -> str:
 
 
 def _requester(ranges: int):
-    def requests(_: int, texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
+    def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         found = set()
         for t in texts:
             found.update(split_words(t or ""))
@@ -151,7 +151,7 @@ def _requester(ranges: int):
             parts.setdefault(xxhash.xxh3_64_intdigest(raw) % ranges, []).append(raw)
         for r in sorted(parts):
             ws = sorted(parts[r])
-            yield blocks.REQUEST, r, blocks.pack(np.array(list(map(len, ws)), np.uint32), b"".join(ws))
+            yield 1, r, blocks.pack(np.array(list(map(len, ws)), np.uint32), b"".join(ws), level=6)
 
     return requests
 
@@ -228,10 +228,9 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     d = typed(docs, doc_id="long", text="string")
-    made = saved(blocks.bundled(d.withColumn("fold", F.lit(0)), _requester(blocks.ranges(d))), "blocks")
-    asked = made.where(F.col("kind") == blocks.REQUEST).select("k", "block", "data")
+    bundles = saved(blocks.bundled(d.withColumn("fold", F.lit(0))), "blocks")
+    asked = saved(blocks.requested(bundles, _requester(blocks.ranges(d))).select("k", "block", "data"), "requests")
     words = asked.groupBy("k").applyInArrow(_distinct, "k long, word string").where(F.char_length("word") <= LONG_WORD)
     known = saved(lattice(words.repartition("k"), spark, path, ("k",)), "pieces")
     replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_replies(path), "k long, block long, asked binary, data binary")
-    bundles = made.where(F.col("kind") == blocks.BUNDLE).select("block", "data")
-    return bundles.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(path), "doc_id long, ids array<int>, round_trip boolean")
+    return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(path), "doc_id long, ids array<int>, round_trip boolean")
