@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbitlake.operators import propagate, switching
+from orbitlake.operators import events, propagate, switching
 from orbitlake.plans.catalog_queries import _events, elements, query
 
 _SETS = ("norad", "epoch", "mm", "ecc", "inc", "raan", "aop", "ma", "bstar", "valid_from", "valid_to")
@@ -45,3 +45,41 @@ def beta(spark, sf_dir):
 @query()
 def local_solar_time(spark, sf_dir):
     return _group(spark, sf_dir, "lst").select("event_id", "lst")
+
+
+def spans(spark, sf_dir):
+    """Each object's latest element set over the six hours from its epoch."""
+    from orbitlake.operators import catalog
+
+    e = catalog.latest_per_object(elements(spark, sf_dir).drop("line1", "line2"))
+    return e.select(F.col("id").alias("span"), "norad", F.col("epoch").alias("start"), F.timestamp_add("HOUR", F.lit(6), F.col("epoch")).alias("stop"), *_SETS[1:9])
+
+
+@query()
+def nodes(spark, sf_dir):
+    return events.node_crossings(spans(spark, sf_dir))
+
+
+@query()
+def sunlit(spark, sf_dir):
+    return events.find_periods(spans(spark, sf_dir), "sunlit").select("span", "start", "stop")
+
+
+@query()
+def eclipse(spark, sf_dir):
+    return events.find_periods(spans(spark, sf_dir), "sunlit", invert=True).select("span", "start", "stop")
+
+
+@query()
+def ascending(spark, sf_dir):
+    return events.find_periods(spans(spark, sf_dir), "ascending").select("span", "start", "stop")
+
+
+@query()
+def descending(spark, sf_dir):
+    return events.find_periods(spans(spark, sf_dir), "ascending", invert=True).select("span", "start", "stop")
+
+
+@query()
+def passes(spark, sf_dir):
+    return events.find_periods(spans(spark, sf_dir), "pass", site=(28.5, -80.65, 0.0, 5.0)).withColumn("peak_elevation", F.col("peak") + 5.0).drop("peak", "longitude")
