@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbitlake.operators import events, propagate, switching
-from orbitlake.plans.catalog_queries import _events, elements, query
+from orbitlake.operators import events, geometry, propagate, switching
+from orbitlake.plans.catalog_queries import _events, elements, query, table
 
 _SETS = ("norad", "epoch", "mm", "ecc", "inc", "raan", "aop", "ma", "bstar", "valid_from", "valid_to")
 
@@ -83,3 +83,34 @@ def descending(spark, sf_dir):
 @query()
 def passes(spark, sf_dir):
     return events.find_periods(spans(spark, sf_dir), "pass", site=(28.5, -80.65, 0.0, 5.0)).withColumn("peak_elevation", F.col("peak") + 5.0).drop("peak", "longitude")
+
+
+@query()
+def switch_tca(spark, sf_dir):
+    held = geometry.tca_windows(elements(spark, sf_dir).drop("line1", "line2")).select("id", *_SETS)
+    asked = _events(spark, sf_dir, "view").select(F.col("event_id").alias("view_id"), F.col("user_id").cast("int").alias("norad"), F.col("ts").alias("t"))
+    return switching.assign(asked, held).select("view_id", "id")
+
+
+@query()
+def visibility_ring(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("name"), ((F.col("s_suppkey") * 37 % 160) - 80).alias("lat"), ((F.col("s_suppkey") * 53 % 360) - 180).alias("lon"), F.lit(0).alias("alt"), F.lit(500_000).alias("sat_alt"), F.lit(5).alias("min_el")
+    )
+    return geometry.visibility_rings(s, 36)
+
+
+@query()
+def doppler_geolocate(spark, sf_dir):
+    """Each object's first pass over a site, from a Doppler curve that the site would measure."""
+    from orbitlake.functions import frames as fr
+
+    p = passes(spark, sf_dir).join(spans(spark, sf_dir).drop("start", "stop"), "span")
+    p = p.withColumn("t", F.explode(F.sequence("start", "stop", F.expr("interval 20 seconds"))))
+    g = propagate.generate(p, ("eci",), spark.createDataFrame([("site", 28.5, -80.65, 0.0)], "name string, lat double, lon double, alt double"))
+    jd, frac = fr.jday(F.col("epoch"))
+    curve = g.select(F.col("span"), "t", "start", (F.col("range_rate") * 1000.0).alias("doppler"))
+    curve = curve.join(spans(spark, sf_dir).drop("start", "stop"), "span").where("doppler is not null")
+    curve = curve.select(F.xxhash64("span", "start").alias("pass_id"), (F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col("t")) / 60e6).alias("minutes"), (jd + frac).alias("jd"), "doppler", *_SETS[2:9])
+    enough = curve.groupBy("pass_id").agg(F.count("*").alias("n")).where("n >= 3")
+    return geometry.geolocate(curve.join(enough, "pass_id")).drop("residuals")
