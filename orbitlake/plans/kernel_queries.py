@@ -114,3 +114,11 @@ def doppler_geolocate(spark, sf_dir):
     curve = curve.select(F.xxhash64("span", "start").alias("pass_id"), (F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col("t")) / 60e6).alias("minutes"), (jd + frac).alias("jd"), "doppler", *_SETS[2:9])
     enough = curve.groupBy("pass_id").agg(F.count("*").alias("n")).where("n >= 3")
     return geometry.geolocate(curve.join(enough, "pass_id")).drop("residuals")
+
+
+@query()
+def mag_enu(spark, sf_dir):
+    """The field of a test dipole; a published model is a table of coefficients that the caller brings."""
+    from orbitlake.operators.magnetic import TEST_DIPOLE, with_field
+
+    return with_field(_group(spark, sf_dir, "ecef").where("err = 0"), TEST_DIPOLE).select("event_id", "b_east", "b_north", "b_up", "b_total")
