@@ -13,6 +13,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -218,6 +219,18 @@ def _assembler(path: str):
     return run
 
 
+@contextmanager
+def _hashed_groups(spark: SparkSession) -> Iterator[None]:
+    """Group edges in memory: a task's words are bounded by its key range, and sorting all edges would spill them."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, round_trip for each row of docs (doc_id, text).
 
@@ -229,8 +242,10 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     small_batches(spark)
     d = typed(docs, doc_id="long", text="string")
     bundles = saved(blocks.bundled(d.withColumn("fold", F.lit(0))), "blocks")
-    asked = saved(blocks.requested(bundles, _requester(blocks.ranges(d))).select("k", "block", "data"), "requests")
+    n = blocks.ranges(d)
+    asked = saved(blocks.requested(bundles, _requester(n)).select("k", "block", "data"), "requests")
     words = asked.groupBy("k").applyInArrow(_distinct, "k long, word string").where(F.char_length("word") <= LONG_WORD)
-    known = saved(lattice(words.repartition("k"), spark, path, ("k",)), "pieces")
+    with _hashed_groups(spark):
+        known = saved(lattice(words.repartition(n, "k"), spark, path, ("k",)), "pieces")
     replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_replies(path), "k long, block long, asked binary, data binary")
     return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(path), "doc_id long, ids array<int>, round_trip boolean")
