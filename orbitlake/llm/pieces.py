@@ -1,6 +1,8 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-Documents ask for their distinct words block by block (see blocks.py). The distinct words of the corpus are exploded into
+A text is cut where no piece can reach over: before a space, and between two characters that stand side by side in no
+piece. The best way through the text is then the best ways through those words, one after another. Documents ask for
+their distinct words block by block (see blocks.py). The distinct words of the corpus are exploded into
 substrings of bounded length, joined with the piece table by equality, and the edges of each word are folded by Viterbi
 with Spark's aggregate function: the best-scoring way of pieces through the word. Characters without a piece become bytes.
 A vocabulary made by merging is used as a unigram one: its ids are those of the best path, not of its merge order.
@@ -11,10 +13,10 @@ from __future__ import annotations
 
 import math
 import os
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.llm import blocks
-from orbitlake.llm.common import dropped, saved, small_batches, typed
+from orbitlake.llm.common import mixed, saved, small_batches, typed
 
 #: The vocabulary file; the environment or a parameter names another.
 MODEL = os.environ.get("ORBITLAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Characters up to which a word is folded as one by Spark; longer ones are folded by the same rule in a Python loop.
 LONG_WORD = 256
+#: Characters of a text that are looked at together, about.
+PART = 1 << 20
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Neighbouring characters are looked up by a hash of these bits; a collision only leaves a cut out.
+_PAIR_BITS = 20
+_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 #: How much worse than the worst piece a character is that only bytes can spell.
 _UNKNOWN = 10.0
 
@@ -59,9 +65,75 @@ def pieces(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], dict[int, i
     return table, of_byte, spell, min(s for _, s in table.values()) - _UNKNOWN
 
 
-def split_words(text: str) -> list[str]:
-    """Words with the mark of a space before them; no piece reaches over where one begins."""
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def _pairs(points: np.ndarray) -> np.ndarray:
+    return (points[:-1] * _LEFT + points[1:] * _RIGHT) >> np.uint32(32 - _PAIR_BITS)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@lru_cache(maxsize=2)
+def joined_pairs(path: str = MODEL) -> np.ndarray:
+    """Whether some piece holds the two neighbouring characters, by their hash."""
+    out = np.zeros(1 << _PAIR_BITS, np.bool_)
+    for p in pieces(path)[0]:
+        out[_pairs(_points(p))] = True
+    return out
+
+
+def _cuts(points: np.ndarray, path: str) -> np.ndarray:
+    """Where words begin, but for the first: before each run of spaces and between characters that are neighbours in no piece."""
+    space = points == ord(SPACE)
+    return np.flatnonzero(~joined_pairs(path).take(_pairs(points)) | (space[1:] & ~space[:-1])) + 1
+
+
+def split_words(text: str, path: str = MODEL) -> list[str]:
+    """The text, with marks for spaces and one in front, cut where no piece reaches over."""
+    if not text:
+        return []
+    marked = SPACE + text.replace(" ", SPACE)
+    cuts = _cuts(_points(marked), path).tolist()
+    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text with marks for spaces in parts of about PART characters, each but the first from where a run of spaces begins."""
+    marked, at = SPACE + text.replace(" ", SPACE), 0
+    while len(marked) - at > PART:
+        end = at + PART
+        while 0 < end < len(marked) and not (marked[end] == SPACE != marked[end - 1]):
+            end = marked.find(SPACE, end + 1)
+        if end <= 0 or end >= len(marked):
+            break
+        yield marked[at:end]
+        at = end
+    yield marked[at:]
+
+
+def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each of their words in turn, and how many words each text has.
+
+    Words are told apart by 64 bits of a hash of their characters; a text whose words were confused would not decode to
+    itself, and round_trip would say so.
+    """
+    parts, hashes, begins, ends, owner, counts = [], [], [], [], [], np.zeros(len(texts), np.int64)
+    for t, text in enumerate(texts):
+        for part in _parts(text) if text else ():
+            points = _points(part)
+            at = np.concatenate([[0], _cuts(points, path)])
+            size = np.diff(at, append=len(points))
+            place = mixed(np.arange(1, int(size.max()) + 1, dtype=np.uint64)) | np.uint64(1)
+            within = np.arange(len(points)) - np.repeat(at, size)
+            hashes.append(np.add.reduceat(mixed(points.astype(np.uint64) + np.uint64(1)) * place.take(within), at))
+            begins.append(at.astype(np.int32)), ends.append((at + size).astype(np.int32)), owner.append(np.full(len(at), len(parts), np.int32))
+            parts.append(part)
+            counts[t] += len(at)
+    if not parts:
+        return [], np.zeros(0, np.int64), counts
+    _, first, index = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    spans = zip(*(np.concatenate(x)[first].tolist() for x in (owner, begins, ends)), strict=True)
+    return [parts[p][a:b] for p, a, b in spans], index, counts
 
 
 def best_path(word: str, table: dict, unknown: float, longest: int) -> list[int]:
@@ -98,26 +170,21 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[
         *by, "word",
         F.struct(F.col("end").cast("int").alias("end"), (-F.col("n")).cast("int").alias("n"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score")).alias("e"),
     )
-    grouped = edges.groupBy(*by, "word").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    step = "struct<best: array<double>, id: array<int>, n: array<int>>"
+    grouped = edges.groupBy(*by, "word").agg(F.sort_array(F.collect_list("e")).alias("es"))
 
     def fold(s: Column, e: Column) -> Column:
         # edges come by end, longest first; the state has an entry for each end reached so far
-        cand = F.element_at(s["best"], e["end"] + e["n"] + 1) + e["score"]
-        fresh = F.size(s["best"]) <= e["end"]
-        better = cand > F.element_at(s["best"], -1)
-        last = F.greatest(F.lit(0), e["end"])
-        put = lambda a, x: F.concat(F.slice(a, F.lit(1), last), F.array(x))
-        new = F.struct(put(s["best"], cand).alias("best"), put(s["id"], e["id"]).alias("id"), put(s["n"], -e["n"]).alias("n"))
-        return F.when(fresh | better, new).otherwise(s)
-
-    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("id"), F.array(F.lit(0)).alias("n")).cast(step)
+        cand = F.element_at(s, e["end"] + e["n"] + 1)["best"] + e["score"]
+        new = F.concat(F.slice(s, F.lit(1), e["end"]), F.array(F.struct(cand.alias("best"), e["id"].alias("id"), (-e["n"]).alias("n"))))
+        return F.when((F.size(s) <= e["end"]) | (cand > F.element_at(s, -1)["best"]), new).otherwise(s)
+
+    zero = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("id"), F.lit(0).alias("n")))
     done = grouped.select(*by, "word", F.aggregate("es", zero, fold).alias("v"))
     walk = F.aggregate(
-        F.sequence(F.lit(1), F.size("v.id") - 1),
-        F.struct((F.size("v.id") - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
+        F.sequence(F.lit(1), F.size("v") - 1),
+        F.struct((F.size("v") - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
         lambda s, _: F.when(s["at"] <= 0, s).otherwise(
-            F.struct((s["at"] - F.element_at("v.n", s["at"] + 1)).alias("at"), F.concat(F.array(F.element_at("v.id", s["at"] + 1)), s["ids"]).alias("ids"))
+            F.struct((s["at"] - F.element_at("v", s["at"] + 1)["n"]).alias("at"), F.concat(F.array(F.element_at("v", s["at"] + 1)["id"]), s["ids"]).alias("ids"))
         ),
         lambda s: s["ids"],
     )
@@ -141,25 +208,30 @@ def decode(ids: list[int], path: str = MODEL) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _requester(ranges: int):
+def _asked(words: list[str], ranges: int) -> dict[int, list[tuple[bytes, int]]]:
+    """Words and their numbers by key range, in order within it."""
+    parts: dict[int, list[tuple[bytes, int]]] = {}
+    for i, w in enumerate(words):
+        raw = w.encode("utf-8", "surrogatepass")
+        parts.setdefault(xxhash.xxh3_64_intdigest(raw) % ranges, []).append((raw, i))
+    return {r: sorted(parts[r]) for r in sorted(parts)}
+
+
+def _requester(ranges: int, path: str):
     def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
-        found = set()
-        for t in texts:
-            found.update(split_words(t or ""))
-        parts: dict[int, list[bytes]] = {}
-        for w in found:
-            raw = w.encode("utf-8", "surrogatepass")
-            parts.setdefault(xxhash.xxh3_64_intdigest(raw) % ranges, []).append(raw)
-        for r in sorted(parts):
-            ws = sorted(parts[r])
-            yield 1, r, blocks.pack(np.array(list(map(len, ws)), np.uint32), b"".join(ws), level=6)
+        for r, part in _asked(indexed_words(texts, path)[0], ranges).items():
+            ws = [w for w, _ in part]
+            yield 1, r, blocks.pack(np.array(list(map(len, ws)), np.uint8 if max(map(len, ws)) < 256 else np.uint32), b"".join(ws), level=9)
 
     return requests
 
 
 def _words_of(data: bytes) -> list[bytes]:
+    """Sizes come as bytes where all are small."""
     sizes, raw = blocks.unpack(data)
-    ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+    small = np.frombuffer(sizes, np.uint8)
+    ends = np.cumsum(small, dtype=np.int64) if small.sum(dtype=np.int64) == len(raw) else np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)
+    ends = ends.tolist()
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
@@ -176,20 +248,21 @@ def _distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _replies(path: str):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        """The ids of each request's words, in its order."""
+        """The ids of each request's words, in its order, with a digest of the request."""
         table, of_byte, _, unknown = pieces(path)
         longest = max(map(len, table))
         ids = {w.encode("utf-8", "surrogatepass"): _spread(i, of_byte) for w, i in zip(known.column("word").to_pylist(), known.column("ids").to_pylist(), strict=True)}
         out = []
         for d in asked.column("data").to_pylist():
-            got = []
-            for w in _words_of(d):
+            got, ws = [], _words_of(d)
+            for w in ws:
                 i = ids.get(w)
                 if i is None:  # longer than LONG_WORD
                     i = ids[w] = _spread(best_path(w.decode("utf-8", "surrogatepass"), table, unknown, longest), of_byte)
                 got.append(i)
-            out.append(blocks.pack(np.array(list(map(len, got)), np.uint32), np.array([x for i in got for x in i], np.uint16 if len(table) < 60_000 else np.uint32)))
-        return pa.table({"k": asked.column("k"), "block": asked.column("block"), "asked": asked.column("data"), "data": pa.array(out, pa.binary())})
+            sizes, flat = np.array(list(map(len, got)), np.uint32), np.array([x for i in got for x in i], np.uint16 if len(table) < 60_000 else np.uint32)
+            out.append(blocks.pack(sizes, flat, xxhash.xxh3_64_digest(b"".join(ws)), level=9))
+        return pa.table({"k": asked.column("k"), "block": asked.column("block"), "data": pa.array(out, pa.binary())})
 
     return run
 
@@ -197,24 +270,37 @@ def _replies(path: str):
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
-def _assembler(path: str):
+def _assembler(ranges: int, path: str):
     def run(bundle: pa.Table, replies: pa.Table) -> pa.Table:
-        table, _, spell, _ = pieces(path)
-        kind = np.uint16 if len(table) < 60_000 else np.uint32
-        known: dict[str, list[int]] = {}
-        for asked, data in zip(replies.column("asked").to_pylist(), replies.column("data").to_pylist(), strict=True):
-            sizes, flat = blocks.unpack(data)
-            flat = np.frombuffer(flat, kind).tolist()
-            at = 0
-            for w, n in zip(_words_of(asked), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
-                known[w.decode("utf-8", "surrogatepass")] = flat[at : at + n]
-                at += n
-        out_id, out_ids, same = [], [], []
-        for i, text in blocks.unpack_docs(bundle.column("data")[0].as_py()):
-            ids = [x for w in split_words(text) for x in known[w]]
-            back = b"".join([spell[x] for x in ids])
-            out_id.append(i), out_ids.append(ids), same.append(back == (b" " + text.encode("utf-8", "surrogatepass") if text else b""))
-        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], schema=_ENCODED)
+        """Texts of one block, put together from the answers to its request. An answer to another request is not used:
+        if docs gave other blocks when they were read again, their words are folded here by the same rule."""
+        table, of_byte, spell, unknown = pieces(path)
+        longest, kind = max(map(len, table)), np.uint16 if len(table) < 60_000 else np.uint32
+        docs = [x for d in bundle.column("data").to_pylist() for x in blocks.unpack_docs(d)]
+        words, index, counts = indexed_words([text for _, text in docs], path)
+        answers = dict(zip(replies.column("k").to_pylist(), replies.column("data").to_pylist(), strict=True))
+        flats, start, size, at = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for k, part in _asked(words, ranges).items():
+            sizes, flat, digest = blocks.unpack(answers[k]) if k in answers else (b"", b"", b"")
+            if digest == xxhash.xxh3_64_digest(b"".join(w for w, _ in part)):
+                sizes, flat = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(flat, kind).astype(np.int32)
+            else:
+                ids = [_spread(best_path(words[i], table, unknown, longest), of_byte) for _, i in part]
+                sizes, flat = np.array(list(map(len, ids)), np.int64), np.array(list(chain.from_iterable(ids)), np.int32)
+            own = np.array([i for _, i in part])
+            start[own], size[own] = at + np.cumsum(sizes) - sizes, sizes
+            flats.append(flat)
+            at += len(flat)
+        flat = np.concatenate([np.zeros(0, np.int32), *flats])
+        spelt = [b"".join(map(spell.__getitem__, flat[a : a + n].tolist())) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        out_ids, same, at = [], [], 0
+        for (_, text), n in zip(docs, counts.tolist(), strict=True):
+            mine = index[at : at + n]
+            at += n
+            sizes = size[mine]
+            out_ids.append(flat[np.repeat(start[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])
+            same.append(b"".join(map(spelt.__getitem__, mine.tolist())) == (b" " + text.encode("utf-8", "surrogatepass") if text else b""))
+        return pa.table([pa.array([i for i, _ in docs], pa.int64()), pa.array(out_ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], schema=_ENCODED)
 
     return run
 
@@ -241,11 +327,11 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     d = typed(docs, doc_id="long", text="string")
-    bundles = saved(blocks.bundled(d.withColumn("fold", F.lit(0))), "blocks")
     n = blocks.ranges(d)
-    asked = saved(blocks.requested(bundles, _requester(n)).select("k", "block", "data"), "requests")
+    bundles = blocks.bundled(d.withColumn("fold", F.lit(0)))  # made twice, which costs less than keeping a copy
+    asked = saved(blocks.requested(bundles, _requester(n, path)).select("k", "block", "data"), "requests")
     words = asked.groupBy("k").applyInArrow(_distinct, "k long, word string").where(F.char_length("word") <= LONG_WORD)
     with _hashed_groups(spark):
         known = saved(lattice(words.repartition(n, "k"), spark, path, ("k",)), "pieces")
-    replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_replies(path), "k long, block long, asked binary, data binary")
-    return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(path), "doc_id long, ids array<int>, round_trip boolean")
+    replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_replies(path), "k long, block long, data binary")
+    return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(n, path), "doc_id long, ids array<int>, round_trip boolean")
