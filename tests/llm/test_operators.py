@@ -195,3 +195,23 @@ def test_near_duplicates_against_sets(spark):
         want[i, len(sets[x]), c, i == c] += 1
     assert Counter((g["doc_id"], g["n_shingles"], g["component_id"], g["kept"]) for g in got) == want
     assert neardup.near_duplicates(docs(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 2, 37, 1 << 20])
+def test_indexed_words_are_the_words_of_a_loop(monkeypatch, part):
+    monkeypatch.setattr(pieces, "PART", part)
+    texts = ["", None, "  ", " a  b ", "it is 12,345.67%%% (no)", "日本語 😀▁▁ ▁", "a  " + "b" * 50 + "  c", "it is", "x" * 400]
+    distinct, index, counts = pieces.indexed_words(texts)
+    assert [distinct[i] for i in index.tolist()] == [w for t in texts for w in pieces.split_words(t)]
+    assert counts.tolist() == [len(pieces.split_words(t)) for t in texts]
+    assert len(set(distinct)) == len(distinct)
+
+
+def test_cuts_take_nothing_from_the_best_score():
+    table, _, _, unknown = pieces.pieces()
+    longest, scores = max(map(len, table)), {i: s for i, s in table.values()}
+    for text in ("it is 12,345.67%%% (no)", "chocolat-noir, l'été!", "日本語 😀 x"):
+        whole = pieces.SPACE + text.replace(" ", pieces.SPACE)
+        score = lambda ids: sum(scores.get(i, unknown) for i in ids)
+        cut = [i for w in pieces.split_words(text) for i in pieces.best_path(w, table, unknown, longest)]
+        assert abs(score(cut) - score(pieces.best_path(whole, table, unknown, longest))) < 1e-9
