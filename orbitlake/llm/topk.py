@@ -5,11 +5,15 @@ range's buckets in order with the k-th best score so far. That score over the tw
 the bucket must reach: above 1, the bucket is pruned by length; if it is high, a few of the query's largest coordinates
 bound the rest (Cauchy and Schwarz) and prune by coordinate; else the bucket is multiplied in whole. Whatever survives is
 verified by its integer product. Queries go in blocks of bounded size.
+
+Doubles hold those products exactly while two lengths multiply to less than 2**37. Vectors too long for that (WIDE) go
+another way: doubles with an error bound choose the candidates, and Python integers of any size decide among them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -22,33 +26,39 @@ from orbitlake.llm.common import dropped, saved, typed
 QUERY_BLOCK, BUCKET, RANGE = 8192, 1024, 16384
 #: Local cosine threshold from which coordinates prune, and how many coordinates.
 COSINE, FOCUS = 0.6, 16
-#: Components are whole numbers below this, so products of 1,000,000 of them are exact in doubles.
-LARGEST = 1 << 16
+#: Products are multiples of 2**-16, so they and their sums are exact in doubles below 2**37. Vectors of this length or more
+#: are multiplied as integers.
+WIDE = float(1 << 18)
+#: From this size on, a double is a multiple of 1/256.
+WHOLE = float(1 << 45)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, q (array<double> of floor(256 x)), length; without vectors that are null or hold null or non-finite components.
+    """vec_id, q (array<double> of floor(256 x) / 256), length; without vectors that are null or hold null or non-finite components.
 
-    Components beyond LARGEST / 256 would overflow exact products; a vector that holds one takes no part either.
+    A length may be infinite: the squares of large components overflow.
     """
     v = typed(vectors, vec_id="long", embedding="array<double>")
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST / 256))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where("vec_id is not null and embedding is not null").where(~F.coalesce(bad, F.lit(True)))
-    v = v.select("vec_id", F.transform("embedding", lambda x: F.floor(x * 256).cast("double")).alias("q"))
+    v = v.select("vec_id", F.transform("embedding", lambda x: F.when(F.abs(x) < WHOLE, F.floor(x * 256) / 256.0).otherwise(x)).alias("q"))
     return v.select("vec_id", "q", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)).alias("length"))
 
 
 class Queries:
-    """A block of queries, by dimension."""
-
-    def __init__(self, rows: list[tuple[int, list[float]]]):
-        self.groups = {}
-        for d in {len(q) for _, q in rows}:
-            own = [(i, q) for i, q in rows if len(q) == d]
-            q = np.array([q for _, q in own], float).reshape(len(own), d)
+    """A block of queries, by dimension: all of them for integer products, first those that aren't wide, and these alone."""
+
+    def __init__(self, rows: list[tuple[int, list[float], float]]):
+        self.groups, self.all = {}, {}
+        for d in {len(q) for _, q, _ in rows}:
+            own = sorted(((i, q, n) for i, q, n in rows if len(q) == d), key=lambda x: x[2] >= WIDE)
+            narrow = sum(n < WIDE for _, _, n in own)
+            q = np.array([q for _, q, _ in own], float).reshape(len(own), d)
+            self.all[d] = (np.array([i for i, _, _ in own]), q, np.array([n for _, _, n in own], float), narrow)
+            own, q = own[:narrow], q[:narrow]
             order = np.argsort(-np.abs(q), axis=1)[:, : min(FOCUS, d)]
             rest = np.sqrt(np.maximum(0, (q * q).sum(1) - (np.take_along_axis(q, order, 1) ** 2).sum(1)))
-            self.groups[d] = (np.array([i for i, _ in own]), q, np.sqrt((q * q).sum(1)), order, rest)
+            self.groups[d] = (np.array([i for i, _, _ in own], np.int64), q, np.sqrt((q * q).sum(1)), order, rest)
 
 
 class Best:
@@ -86,7 +96,7 @@ def scan(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, queries: tup
     for x in by_coordinate:
         partial = vectors[:, focus[x]] @ q[x, focus[x]]
         left = np.sqrt(np.maximum(0, lengths**2 - (vectors[:, focus[x]] ** 2).sum(1)))
-        c = np.flatnonzero((partial + left * rest[x] >= floor[x] - 1e-6) & (ids != qid[x]))
+        c = np.flatnonzero((partial + left * rest[x] >= floor[x] - 1e-6 * (1 + qlen[x] * bound)) & (ids != qid[x]))
         if len(c):
             best.add(np.array([x]), (vectors[c] @ q[x])[None], ids[c][None])
     for at in range(0, len(whole), 512):
@@ -96,10 +106,81 @@ def scan(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, queries: tup
         best.add(rows, scores, np.broadcast_to(ids, scores.shape))
 
 
+def whole(vector: np.ndarray) -> list[int]:
+    """256 times each component, as Python integers."""
+    return [int(x * 256) if abs(x) < WHOLE else int(x) * 256 for x in vector.tolist()]
+
+
+class Exact:
+    """The k best of each query among pairs whose products doubles can't hold, as integers of any size."""
+
+    def __init__(self, queries: tuple, k: int):
+        self.ids, self.q, self.lengths, _ = queries
+        self.k = k
+        self.best: dict[int, list[tuple[int, int]]] = {}  # row of the query: -score, id, best first
+        self.floor = np.full(len(self.ids), -np.inf)  # no more than the k-th best
+        self.whole: dict[int, list[int]] = {}
+
+    def _pushed(self, x: int, found: list[tuple[int, int]]) -> None:
+        own = self.best[x] = sorted(self.best.get(x, []) + found)[: self.k]
+        if len(own) == self.k:
+            try:
+                self.floor[x] = np.nextafter(-own[-1][0] / 65536, -np.inf)
+            except OverflowError:
+                self.floor[x] = np.finfo(float).max if own[-1][0] < 0 else -np.inf
+
+    def scan(self, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, first: int, last: int) -> None:
+        """One bucket against the queries from first to last."""
+        if first >= last or not len(ids):
+            return
+        # of equal vectors the k with the smallest ids, and one for the query itself
+        order = np.lexsort((ids, np.unique(vectors, axis=0, return_inverse=True)[1].ravel())) if vectors.shape[1] else np.argsort(ids)
+        same = np.concatenate([[False], (vectors[order][1:] == vectors[order][:-1]).all(1)])
+        at = np.arange(len(order))
+        order = order[at - np.maximum.accumulate(np.where(same, 0, at)) <= self.k]
+        ids, vectors, lengths = ids[order], vectors[order], lengths[order]
+        seen: dict[int, list[int]] = {}
+        for lo in range(first, last, 512):
+            rows = np.arange(lo, min(last, lo + 512))
+            with np.errstate(over="ignore", invalid="ignore"):
+                about = self.q[rows] @ vectors.T
+                # twice the bound of a sum's rounding; infinite or unknown where something overflows
+                error = (vectors.shape[1] + 8) * 2.0**-52 * (self.lengths[rows][:, None] * lengths[None] + 1)
+                low, high = about - error, about + error
+            sure = np.isfinite(low) & np.isfinite(high)
+            own = self.ids[rows][:, None] == ids[None]
+            low, high = np.where(sure & ~own, low, -np.inf), np.where(own, -np.inf, np.where(sure, high, np.inf))
+            cut = self.floor[rows]
+            if len(ids) >= self.k:
+                cut = np.maximum(cut, np.partition(low, len(ids) - self.k, axis=1)[:, -self.k])
+            for r, x in enumerate(rows.tolist()):
+                c = np.flatnonzero((high[r] >= cut[r]) & ~own[r]).tolist()
+                if not c:
+                    continue
+                if x not in self.whole:
+                    self.whole[x] = whole(self.q[x])
+                for j in c:
+                    if j not in seen:
+                        seen[j] = whole(vectors[j])
+                self._pushed(x, [(-sum(map(mul, self.whole[x], seen[j])), int(ids[j])) for j in c])
+
+
+def _sortable(score: int) -> tuple[int | None, int, bytes]:
+    """score if it has 64 bits, else None; two columns that sort scores of more bits around them, descending."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, b""
+    bits = abs(score).bit_length()
+    return None, bits if score > 0 else -bits, (score % (1 << bits + 1)).to_bytes(bits // 8 + 1, "big")
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("size", pa.int32()), ("key", pa.binary())])
+
+
 def _searcher(shared, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Queries = shared.value
         best = {d: Best(len(g[0]), k) for d, g in block.groups.items()}
+        exact = {d: Exact(g, k) for d, g in block.all.items()}
         for b in batches:
             lists = b.column("q")
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -113,12 +194,22 @@ def _searcher(shared, k: int):
                 order = np.argsort(-length[rows], kind="stable")
                 for at in range(0, len(order), BUCKET):
                     o = order[at : at + BUCKET]
-                    scan(ids[rows][o], v[o], length[rows][o], block.groups[d], best[d])
+                    i, n, narrow = ids[rows][o], length[rows][o], block.all[d][3]
+                    w = int((n >= WIDE).sum())
+                    exact[d].scan(i[:w], v[o[:w]], n[:w], 0, len(exact[d].ids))
+                    exact[d].scan(i[w:], v[o[w:]], n[w:], narrow, len(exact[d].ids))
+                    if narrow and w < len(o):
+                        scan(i[w:], v[o[w:]], n[w:], block.groups[d], best[d])
         for d, found in best.items():
             r, c = np.nonzero(np.isfinite(found.score))
+            zeros = pa.array(np.zeros(len(r), np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.groups[d][0][r]), pa.array(found.id[r, c]), pa.array(found.score[r, c].astype(np.int64))], names=["query_id", "vec_id", "score"]
+                [pa.array(block.groups[d][0][r]), pa.array(found.id[r, c]), pa.array((found.score[r, c] * 65536).astype(np.int64)), zeros, pa.array([b""] * len(r), pa.binary())], schema=_FOUND
             )
+        for e in exact.values():
+            out = [(int(e.ids[x]), i, *_sortable(-s)) for x, own in e.best.items() for s, i in own]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     return search
 
@@ -133,7 +224,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each query by integer inner product, ties to smaller ids.
 
     Input: vec_id, embedding in both. Vectors that are null or hold null or non-finite components take no part; a query with
-    no other vector of its dimension has no rows. Rows that share a vec_id are one vector, the least of them; other columns
+    no other vector of its dimension has no rows. Any finite component counts; a product beyond 64 bits keeps its exact rank
+    and has a null score. Rows that share a vec_id are one vector, the least of them; other columns
     are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -142,21 +234,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # longest first; ids part vectors of one length, so a frequent vector is no hot range
     ranges = max(1, -(-n // RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET)))
     base = saved(base.repartitionByRange(ranges, F.col("length").desc(), "vec_id").sortWithinPartitions(F.col("length").desc(), "vec_id"), "vectors")
-    asked = _least(quantised(queries)).select("vec_id", "q")
+    asked = _least(quantised(queries))
     found, block = None, []
 
     def add() -> None:
         nonlocal found, block
         shared = spark.sparkContext.broadcast(Queries(block))
-        part = saved(base.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long"), "found")
+        part = saved(base.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long, size int, key binary"), "found")
         found, block = part if found is None else found.unionByName(part), []
 
     for r in asked.toLocalIterator():
-        block.append((r["vec_id"], r["q"]))
+        block.append((r["vec_id"], r["q"], r["length"]))
         if len(block) == QUERY_BLOCK:
             add()
     if block or found is None:
         add()
     dropped(base)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("size").desc(), F.col("score").desc(), F.col("key").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

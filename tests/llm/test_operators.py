@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -87,6 +88,22 @@ def test_top_k_against_all_products(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_long_vectors(spark):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 10.0 ** (i % 9 * (1 if i % 4 else 4))) for _ in range(6)]) for i in range(300)]
+    rows += [(400 + i, rows[8][1]) for i in range(9)] + [(500, [1e306] * 6), (501, [-1e306] * 6), (502, [300.0] + [0.0] * 5), (503, [2.0**60, 0.5] + [0.0] * 4), (550, [2.0**60, 0.75] + [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk.top_k(df, df.where("vec_id % 50 < 4"), 5).collect()]
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 50 < 4):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k, i, -s if -(2**63) <= -s < 2**63 else None) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(w[3] is None for w in want)
+    small = df.where("vec_id in (1, 2, 502)")
+    assert Counter(x["query_id"] for x in topk.top_k(small, small, 5).collect()) == {1: 2, 2: 2, 502: 2}
+
+
 def test_warc_parse_and_audit(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, None), (2, None, None), (None, "http://b", "x"), (600, "http://c", "y"), (601, "http://d", "z")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, file long")
