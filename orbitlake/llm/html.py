@@ -27,6 +27,23 @@ INLINE = frozenset(
     "time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that end an open paragraph, those that a paragraph outside stays open in, and for elements whose end
+# tag may be left out, which open ones they end and where that stops.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup li main menu nav ol p pre search section summary table ul".split()
+)
+P_STAYS_IN = tuple("button caption object table td template th".split())
+_APART = ("article", "aside", "blockquote", "button", "footer", "form", "header", "main", "nav", "object", "section", "template")
+_ROWS = (("table", "template"), ("tbody", "thead", "tfoot"))
+ENDS = (
+    {"li": (("li",), ("ol", "ul", "menu", "dir", "table", "td", "th", *_APART))}
+    | dict.fromkeys(("dd", "dt"), (("dd", "dt"), ("dl", "table", "td", "th", *_APART)))
+    | dict.fromkeys(("td", "th"), (("td", "th"), ("tr", *_ROWS[0])))
+    | {"tr": (("tr",), _ROWS[0] + _ROWS[1])}
+    | dict.fromkeys(_ROWS[1], (_ROWS[1], _ROWS[0]))
+    | {"option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("optgroup",), ("select",))}
+)
 # Words of class, id and role attributes that name what isn't the article.
 NOT_ARTICLE = frozenset(
     "ad ads adv advert advertisement advertising adbox adsense banner sponsor sponsored promo promoted promotion sidebar aside "
@@ -54,7 +71,7 @@ LINKS_MAX, SHORT, LONG = 0.5, 70, 200
 STOPS_HIGH, STOPS_LOW = 0.3, 0.15
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_QUOTE = re.compile(r"""[>"']""")
+_END = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
 _ATTR = re.compile(r"""(?:class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 
@@ -64,17 +81,10 @@ def _tag_end(html: str, at: int) -> int:
     first = html.find(">", at)
     if first < 0:
         return -1
-    k = at
-    while True:
-        m = _QUOTE.search(html, k)
-        if m is None:
-            return first
+    for m in _END.finditer(html, at):
         if m[0] == ">":
             return m.start()
-        close = html.find(m[0], m.end())
-        if close < 0 or close - m.end() > 10_000:  # a stray quote
-            return first
-        k = close + 1
+    return first  # a stray quote
 
 
 def _boilerplate(attributes: str) -> bool:
@@ -98,6 +108,35 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
     open_tags: list[tuple[str, bool]] = []  # name, whether it is left out
     left_out = article = heading = 0
 
+    where: dict[str, list[int]] = {}  # places of open elements by name
+
+    def last(*names: str) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    def opened(name: str, skip: bool) -> None:
+        nonlocal left_out, article, heading, links
+        where.setdefault(name, []).append(len(open_tags))
+        open_tags.append((name, skip))
+        left_out += skip
+        article += name in ("article", "main")
+        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        links += name == "a"
+
+    def close(k: int) -> tuple[str, bool] | None:
+        """Close the open elements from place k on; the last link among them."""
+        nonlocal left_out, article, heading, links
+        link = None
+        while len(open_tags) > k:
+            gone, out_ = tag = open_tags.pop()
+            where[gone].pop()
+            left_out -= out_
+            article -= gone in ("article", "main")
+            heading -= gone in ("h1", "h2", "h3", "h4", "h5", "h6")
+            if gone == "a":
+                links -= 1
+                link = link or tag
+        return link
+
     def flush():
         nonlocal parts, link_chars
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
@@ -141,35 +180,28 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
         if name not in INLINE and (out := flush()):
             yield out
         if closing:
-            for k in range(len(open_tags) - 1, max(-1, len(open_tags) - 200), -1):
-                if open_tags[k][0] == name:
-                    for gone, out_ in open_tags[k:]:
-                        left_out -= out_
-                        article -= gone in ("article", "main")
-                        heading -= gone in ("h1", "h2", "h3", "h4", "h5", "h6")
-                        links -= gone == "a"
-                    del open_tags[k:]
-                    break
+            if where.get(name):
+                close(where[name][-1])
             continue
         if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
-            close = re.compile(f"</{name}", re.I).search(html, at)
-            if close is None:
+            ended = re.compile(f"</{name}", re.I).search(html, at)
+            if ended is None:
                 at = n
             else:
-                stop = html.find(">", close.end())
+                stop = html.find(">", ended.end())
                 at = n if stop < 0 else stop + 1
             continue
-        if name == "p" and open_tags and open_tags[-1][0] == "p":  # a paragraph ends an open one
-            _, out_ = open_tags.pop()
-            left_out -= out_
+        link = None
+        if where.get("p") and name in ENDS_P and (k := last("p")) > last(*P_STAYS_IN):
+            link = close(k)
+        if name in ENDS and (k := last(*ENDS[name][0])) > last(*ENDS[name][1]):
+            link = close(k) or link
         skip = name in SKIPPED or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and _boilerplate(attributes))
-        open_tags.append((name, skip))
-        left_out += skip
-        article += name in ("article", "main")
-        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        links += name == "a"
+        opened(name, skip)
+        if link:  # a link goes on in what follows, as in a browser
+            opened(*link)
     if out := flush():
         yield out
 

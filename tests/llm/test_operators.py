@@ -171,6 +171,20 @@ def test_html_main_text(spark):
     assert plain == long.strip()
 
 
+SAID = "This is the text of the article, and it has the words that all of the texts have, so that it is found by them."
+
+
+def test_html_closes_what_is_left_open():
+    for item, around in (("<li><a href=x>Menu</a>", "ul"), ("<dt>a<dd>b", "dl"), ("<tr><td>a<td>b", "table"), ("<p><b>x<br>", "div"), ("<x-y>x", "div")):
+        page = f"<nav><{around}>{item * 400}</{around}></nav><article>{f'<p><b>{SAID}<br>' * 300}</article><p>{SAID} Not this.</p>"
+        assert html.main_text(page) == " ".join([SAID] * 300), item
+    assert html.main_text(f"<article><p title=\"{'a > b ' * 5000}\">{SAID}</p></article>") == SAID
+    assert html.main_text(f"<article><p title=it's>{SAID}</p><p>It's so, and that is all that there is to be said of it.</p></article>").startswith(SAID)
+    # a list inside an item stays inside, and so does a table inside a cell
+    assert html.main_text(f"<article><ul><li>a<ul class=nav><li>no<li>no</ul><li>{SAID}</ul></article>") == "a " + SAID
+    assert html.main_text(f"<nav><table><tr><td><table><tr><td>no</table><td>no</table></nav><p>{SAID}</p>") == SAID
+
+
 def test_near_duplicates_against_sets(spark):
     r, rows = random.Random(3), []
     for g in range(12):
