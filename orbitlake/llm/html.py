@@ -65,6 +65,8 @@ STOP_WORDS = frozenset(
     "que se si sin sobre su sus también te tiene un una uno y ya".split()
 )
 
+#: Why an element is left out: by its element or as hidden, or by words that name it.
+HIDDEN, NAMED = 1, 2
 #: Link density above which a block is no text; length in characters under which a block is short, from which long.
 LINKS_MAX, SHORT, LONG = 0.5, 70, 200
 #: Stop-word density from which a block is text, and from which it may be.
@@ -72,8 +74,8 @@ STOPS_HIGH, STOPS_LOW = 0.3, 0.15
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _END = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
-_ATTR = re.compile(r"""(?:class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-zA-Z]+")
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_MARKS = re.compile("class|id|role|hidden", re.I)
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -87,17 +89,17 @@ def _tag_end(html: str, at: int) -> int:
     return first  # a stray quote
 
 
-def _boilerplate(attributes: str) -> bool:
-    """Whether class, id or role name something that isn't the article."""
-    for m in _ATTR.finditer(attributes):
-        name = m[0][:4].lower()
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if name in ("hidd", "aria"):
-            if name == "hidd" or value == "true":
-                return True
-        elif any(w in NOT_ARTICLE for w in _WORD.findall(value)):
-            return True
-    return False
+def _marked(attributes: str) -> int:
+    """HIDDEN, NAMED if a whole word of class, id or role names something that isn't the article, or 0."""
+    found = 0
+    if _MARKS.search(attributes):
+        for m in _ATTR.finditer(attributes):
+            name = m[1].lower()
+            if name == "hidden" or (name == "aria-hidden" and (m[2] or m[3] or m[4] or "").strip().lower() == "true"):
+                return HIDDEN
+            if name in ("class", "id", "role") and not NOT_ARTICLE.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()):
+                found = NAMED
+    return found
 
 
 def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
@@ -105,31 +107,36 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
     at, n = 0, len(html)
     parts: list[str] = []
     link_chars = links = 0
-    open_tags: list[tuple[str, bool]] = []  # name, whether it is left out
+    open_tags: list[tuple[str, int]] = []  # name, why it is left out
     left_out = article = heading = 0
+    named: list[int] = []  # places of open elements that are left out by their words
 
     where: dict[str, list[int]] = {}  # places of open elements by name
 
     def last(*names: str) -> int:
         return max((where[n][-1] for n in names if where.get(n)), default=-1)
 
-    def opened(name: str, skip: bool) -> None:
+    def opened(name: str, skip: int) -> None:
         nonlocal left_out, article, heading, links
         where.setdefault(name, []).append(len(open_tags))
+        if skip == NAMED:
+            named.append(len(open_tags))
         open_tags.append((name, skip))
-        left_out += skip
+        left_out += skip > 0
         article += name in ("article", "main")
         heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
         links += name == "a"
 
-    def close(k: int) -> tuple[str, bool] | None:
+    def close(k: int) -> tuple[str, int] | None:
         """Close the open elements from place k on; the last link among them."""
         nonlocal left_out, article, heading, links
         link = None
         while len(open_tags) > k:
             gone, out_ = tag = open_tags.pop()
             where[gone].pop()
-            left_out -= out_
+            left_out -= out_ > 0
+            if out_ == NAMED:
+                named.pop()
             article -= gone in ("article", "main")
             heading -= gone in ("h1", "h2", "h3", "h4", "h5", "h6")
             if gone == "a":
@@ -198,7 +205,17 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
             link = close(k)
         if name in ENDS and (k := last(*ENDS[name][0])) > last(*ENDS[name][1]):
             link = close(k) or link
-        skip = name in SKIPPED or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and _boilerplate(attributes))
+        mark = _marked(attributes)
+        if name in ("article", "main") and not article and (name == "main" or mark != NAMED):
+            # words don't leave out what holds an article; comments and the like are articles in an article, or named so
+            for k in named:
+                open_tags[k] = (open_tags[k][0], 0)
+            left_out -= len(named)
+            named.clear()
+        if name in SKIPPED or (name == "header" and not article):
+            skip = HIDDEN
+        else:
+            skip = 0 if name in ("html", "body", "article", "main") else mark
         opened(name, skip)
         if link:  # a link goes on in what follows, as in a browser
             opened(*link)

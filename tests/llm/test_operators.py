@@ -185,6 +185,20 @@ def test_html_closes_what_is_left_open():
     assert html.main_text(f"<nav><table><tr><td><table><tr><td>no</table><td>no</table></nav><p>{SAID}</p>") == SAID
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'href="/hidden-gems"', 'href="?id=ad"', 'data-id="share"', 'class="has-sidebar"', 'id="legal-news"', "title='class=ad'", 'class="post-header"', "data-hidden"])
+def test_html_marks_are_whole_words_of_their_attributes(attributes):
+    assert html.main_text(f"<body><div {attributes}><p>{SAID}</p></div></body>") == SAID
+    assert html.main_text(f"<article><p>{SAID} <a {attributes}>Link</a> end.</p></article>") == SAID + " Link end."
+
+
+def test_html_words_leave_no_article_out():
+    no = f"<div class='x Ad'><p>{SAID} No.</p></div><p HIDDEN>{SAID} No.</p><p aria-hidden=true>{SAID} No.</p>"
+    comments = f"<section id=comments><article><p>{SAID} No.</p></article></section>"
+    for name in ("article", "main"):
+        assert html.main_text(f"<body><div class=sidebar><div id='widget'>{no}<{name}>{no}<p>{SAID}</p>{comments}</{name}></div></div></body>") == SAID
+    assert html.main_text(f"<body>{no}<p>{SAID}</p></body>") == SAID
+
+
 def test_near_duplicates_against_sets(spark):
     r, rows = random.Random(3), []
     for g in range(12):
