@@ -1,7 +1,7 @@
 """Intervals and crossings of a propagated object: a scan at one-minute steps, then bisection to a millisecond.
 
-Each span (an object's elements, start and stop) is one row, and each row is scanned by itself, so spans of one object spread
-over tasks. Events shorter than the step can be missed.
+Each row of spans (elements, start and stop) is scanned by itself, so those of one object spread over tasks; what meets at a
+switch is joined after. Events shorter than the step can be missed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitlake.functions import frames as fr
@@ -19,6 +19,7 @@ from orbitlake.kernels import sgp4
 STEP_MINUTES, ROUNDS = 1.0, 17
 _ELEMENTS = ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")
 _US = 60e6
+_ZERO = "timestamp_ntz'2000-01-01 00:00:00'"
 
 
 def _gmst(jd: np.ndarray) -> np.ndarray:
@@ -69,74 +70,122 @@ def _elevation(r, v, jd, site):
 
 KINDS = {"north": _north, "ascending": _ascending, "sunlit": _sunlit, "pass": _elevation}
 _OUT = "span long, start_us long, stop_us long, peak_us long, peak double, longitude double"
-
-
-def _scan(kind: str, invert: bool, site: tuple):
-    value = KINDS[kind]
-    sign = -1.0 if invert else 1.0
-
-    def state(e, t):
-        r, v, err = sgp4.propagate(*(np.full(len(t), x) for x in e[:7]), t)
-        jd = e[7] + t / 1440.0
-        return np.where(err == 0, sign * value(r, v, jd, site), np.nan), r, jd
-
-    def spans(row):
-        span, lo, hi, *e = row
-        if any(x is None for x in row) or not hi > lo:
-            return
-        t = np.append(np.arange(lo, hi, STEP_MINUTES), hi)
-        f, _, _ = state(e, t)
-        a = np.flatnonzero((f[:-1] > 0) != (f[1:] > 0))
-        a = a[np.isfinite(f[a]) & np.isfinite(f[a + 1])]
-        x, y = t[a].copy(), t[a + 1].copy()
-        up = f[a + 1] > 0
-        for _ in range(ROUNDS if len(a) else 0):
+#: Samples of a piece of a span, and about as many of all that is scanned at once, so that memory is bounded.
+PIECE, AT_ONCE = 1440, 1 << 17
+
+
+class _Pieces:
+    """Pieces of spans that are scanned at once: columns of elements, epoch, start and stop in minutes from it."""
+
+    def __init__(self, kind: str, invert: bool, site: tuple, span, epoch, lo, hi, jd, elements):
+        self.kind, self.sign, self.site = kind, -1.0 if invert else 1.0, site
+        self.span, self.epoch, self.lo, self.hi, self.jd, self.elements = span, epoch, lo, hi, jd, elements
+
+    def state(self, i: np.ndarray, t: np.ndarray):
+        """Value, position and Julian date of pieces i at t; a decayed orbit (error 6) has a state, other errors have none."""
+        r, v, err = sgp4.propagate(*(e[i] for e in self.elements), t)
+        jd = self.jd[i] + t / 1440.0
+        return np.where((err == 0) | (err == 6), self.sign * KINDS[self.kind](r, v, jd, self.site), np.nan), r, jd
+
+    def longitude(self, i: np.ndarray, t: np.ndarray) -> np.ndarray:
+        _, r, jd = self.state(i, t)
+        xyz = _fixed(r, jd)
+        return np.degrees(np.arctan2(xyz[:, 1], xyz[:, 0]))
+
+    def scan(self):
+        """Piece, time, direction and whether both sides have states of each crossing in order; states at the ends of pieces."""
+        n = np.ceil((self.hi - self.lo) / STEP_MINUTES).astype(int) + 1
+        i = np.repeat(np.arange(len(n)), n)
+        first = np.cumsum(n) - n
+        t = np.minimum(self.lo[i] + (np.arange(len(i)) - first[i]) * STEP_MINUTES, self.hi[i])
+        f, _, _ = self.state(i, t)
+        above, same = f > 0, i[:-1] == i[1:]
+        a = np.flatnonzero((above[:-1] != above[1:]) & same)
+        at, x, y, up = i[a], t[a], t[a + 1], above[a + 1]
+        known = np.isfinite(f[a]) & np.isfinite(f[a + 1])
+        for _ in range(ROUNDS if len(at) else 0):
             m = (x + y) / 2
-            above = state(e, m)[0] > 0
-            x, y = np.where(above == up, x, m), np.where(above == up, m, y)
-        starts, stops = list(y[up]), list(y[~up])
-        if f[0] > 0:
-            starts.insert(0, lo)
-        if f[-1] > 0:
-            stops.append(hi)
-        for s, p in zip(starts, stops, strict=False):
-            fine = np.linspace(s, p, 64)
-            g, r, jd = state(e, fine)
-            top = int(np.nanargmax(g)) if np.isfinite(g).any() else 0
-            xyz = _fixed(r[:1], jd[:1])[0]
-            yield span, s, p, fine[top], float(g[top]), float(np.degrees(np.arctan2(xyz[1], xyz[0])))
-
+            right = (self.state(at, m)[0] > 0) == up
+            x, y = np.where(right, x, m), np.where(right, m, y)
+        order = np.lexsort((y, at))
+        return at[order], y[order], up[order], known[order], above[first], above[first + n - 1]
+
+    def micros(self, i: np.ndarray, t: np.ndarray) -> pa.Array:
+        return pa.array(self.epoch[i] + np.round(t * _US).astype(np.int64))
+
+    def periods(self) -> pa.RecordBatch:
+        at, t, up, _, begins, ends = self.scan()
+        one, two = np.flatnonzero(begins), np.flatnonzero(ends)
+        i, s = np.concatenate([one, at[up]]), np.concatenate([self.lo[one], t[up]])
+        j, p = np.concatenate([at[~up], two]), np.concatenate([t[~up], self.hi[two]])
+        order = np.lexsort((s, i))
+        i, s = i[order], s[order]
+        p = p[np.lexsort((p, j))]
+        fine = s[:, None] + (p - s)[:, None] * np.linspace(0, 1, 64)
+        g = self.state(np.repeat(i, 64), fine.ravel())[0].reshape(fine.shape)
+        g = np.where(np.isfinite(g), g, -np.inf)
+        top = np.arange(len(s)), g.argmax(1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), self.micros(i, fine[top]), pa.array(g[top]), pa.array(self.longitude(i, s))],
+            names=["span", "start_us", "stop_us", "peak_us", "peak", "longitude"],
+        )
+
+    def crossings(self) -> pa.RecordBatch:
+        at, t, up, known, _, _ = self.scan()
+        at, t, up = at[known], t[known], up[known]
+        return pa.RecordBatch.from_arrays([pa.array(self.span[at]), self.micros(at, t), pa.array(self.longitude(at, t)), pa.array(up)], names=["span", "time_us", "longitude", "ascending"])
+
+
+def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in spans(row)]
-            us = lambda k: pa.array([round(x[k] * _US) for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), us(1), us(2), us(3), pa.array([x[4] for x in out], pa.float64()), pa.array([x[5] for x in out], pa.float64())],
-                names=["span", "start_us", "stop_us", "peak_us", "peak", "longitude"],
-            )
+            rows = pa.Table.from_batches([b]).drop_null()
+            span, epoch, lo, hi, jd, *e = (rows.column(c).to_numpy() for c in rows.column_names)
+            n = np.maximum(0, np.ceil((hi - lo) / PIECE)).astype(int)  # none where stop isn't after start
+            i = np.repeat(np.arange(len(n)), n)
+            a = lo[i] + PIECE * (np.arange(len(i)) - (np.cumsum(n) - n)[i])
+            z = np.minimum(a + PIECE, hi[i])
+            for k in range(0, len(i), max(1, AT_ONCE // PIECE)):
+                c = slice(k, k + max(1, AT_ONCE // PIECE))
+                o = i[c]
+                piece = _Pieces(kind, invert, site, span[o], epoch[o], a[c], z[c], jd[o], [x[o] for x in e])
+                yield piece.crossings() if crossings else piece.periods()
 
     return run
 
 
+def _rows(spans: DataFrame) -> DataFrame:
+    minutes = lambda c: F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(c)) / _US
+    jd, frac = fr.jday(F.col("epoch"))
+    epoch = F.timestamp_diff("MICROSECOND", F.expr(_ZERO), F.col("epoch"))
+    return spans.select(F.col("span").cast("long").alias("span"), epoch.alias("epoch"), minutes("start").alias("lo"), minutes("stop").alias("hi"), (jd + frac).alias("jd"), *(F.col(c).cast("double") for c in _ELEMENTS))
+
+
+def _at(c: str):
+    return F.timestamp_add("MICROSECOND", F.col(c), F.expr(_ZERO))
+
+
 def find_periods(spans: DataFrame, kind: str, invert: bool = False, site: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)) -> DataFrame:
     """span, start, stop, peak_time, peak, longitude of the start: when the state holds in each span.
 
-    spans: span (an id), start, stop, epoch and the element columns. kind: north, ascending, sunlit or pass (elevation over
-    site = latitude, longitude, altitude in km, least elevation); invert gives the complement. A state that holds at a span's
-    end is cut there.
+    spans: span (an id), start, stop, epoch and the element columns; a span may have several rows, one for each window of an
+    element set, and periods that meet where one row stops and the next starts are one. kind: north, ascending, sunlit or
+    pass (elevation over site = latitude, longitude, altitude in km, least elevation); invert gives the complement. A state
+    that holds at a span's end is cut there.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; one of {sorted(KINDS)}")
-    minutes = lambda c: F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(c)) / _US
-    jd, frac = fr.jday(F.col("epoch"))
-    rows = spans.select("span", minutes("start").alias("lo"), minutes("stop").alias("hi"), *(F.col(c).cast("double") for c in _ELEMENTS), (jd + frac).alias("jd"))
-    found = rows.mapInArrow(_scan(kind, invert, site), _OUT).join(spans.select("span", "epoch"), "span")
-    at = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.col("epoch"))
-    return found.select("span", at("start_us").alias("start"), at("stop_us").alias("stop"), at("peak_us").alias("peak_time"), "peak", "longitude")
+    found = _rows(spans).mapInArrow(_scan(kind, invert, site), _OUT)
+    w = Window.partitionBy("span").orderBy("start_us", "stop_us")
+    found = found.withColumn("_f", F.coalesce(F.col("start_us") != F.lag("stop_us").over(w), F.lit(True)).cast("int"))
+    found = found.withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.max(F.struct("peak", -F.col("peak_us"))).alias("_top")
+    found = found.groupBy("span", "_g").agg(F.min("start_us").alias("start_us"), F.max("stop_us").alias("stop_us"), top, F.min_by("longitude", "start_us").alias("longitude"))
+    found = found.withColumn("peak_us", -F.col("_top.col2"))
+    return found.select("span", _at("start_us").alias("start"), _at("stop_us").alias("stop"), _at("peak_us").alias("peak_time"), F.col("_top.peak").alias("peak"), "longitude")
 
 
 def node_crossings(spans: DataFrame) -> DataFrame:
-    """span, time, longitude, ascending of each crossing of the equator inside a span."""
-    up, down = find_periods(spans, "north"), find_periods(spans, "north", invert=True)
-    inner = lambda d, flag: d.join(spans.select("span", F.col("start").alias("_s")), "span").where(F.col("start") > F.col("_s")).select("span", F.col("start").alias("time"), "longitude", F.lit(flag).alias("ascending"))
-    return inner(up, True).unionByName(inner(down, False))
+    """span, time, longitude, ascending of each crossing of the equator inside a row of spans, as find_periods takes them."""
+    found = _rows(spans).mapInArrow(_scan("north", False, (0.0, 0.0, 0.0, 0.0), True), "span long, time_us long, longitude double, ascending boolean")
+    return found.select("span", _at("time_us").alias("time"), "longitude", "ascending")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orbitlake.operators import events, geometry, propagate, switching
 from orbitlake.plans.catalog_queries import _events, elements, query, table
 
+_SITE = (28.5, -80.65, 0.0, 5.0)
 _SETS = ("norad", "epoch", "mm", "ecc", "inc", "raan", "aop", "ma", "bstar", "valid_from", "valid_to")
 
 
@@ -48,41 +49,50 @@ def local_solar_time(spark, sf_dir):
 
 
 def spans(spark, sf_dir):
-    """Each object's latest element set over the six hours from its epoch."""
-    from orbitlake.operators import catalog
+    """Each object over the whole span of the events."""
+    lim = table(spark, sf_dir, "events").agg(F.min("ts").cast("timestamp_ntz").alias("start"), F.max("ts").cast("timestamp_ntz").alias("stop"))
+    return elements(spark, sf_dir).select("norad").where("norad is not null").distinct().crossJoin(F.broadcast(lim)).select(F.col("norad").cast("long").alias("span"), "norad", "start", "stop")
 
-    e = catalog.latest_per_object(elements(spark, sf_dir).drop("line1", "line2"))
-    return e.select(F.col("id").alias("span"), "norad", F.col("epoch").alias("start"), F.timestamp_add("HOUR", F.lit(6), F.col("epoch")).alias("stop"), *_SETS[1:9])
+
+def windows(spark, sf_dir):
+    """Each span cut where another element set of its object becomes the nearest; id is the set's."""
+    held = switching.midpoint_windows(elements(spark, sf_dir).drop("line1", "line2"), tie=("id",)).select("id", *_SETS)
+    return switching.split(spans(spark, sf_dir), held).select("span", "id", "norad", F.col("sub_start").alias("start"), F.col("sub_stop").alias("stop"), *_SETS[1:9])
+
+
+def _by_set(spark, sf_dir):
+    return windows(spark, sf_dir).withColumn("span", F.col("id"))
 
 
 @query()
 def nodes(spark, sf_dir):
-    return events.node_crossings(spans(spark, sf_dir))
+    """By element set: where another set takes over, the object may change sides without a crossing."""
+    return events.node_crossings(_by_set(spark, sf_dir))
 
 
 @query()
 def sunlit(spark, sf_dir):
-    return events.find_periods(spans(spark, sf_dir), "sunlit").select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "sunlit").select("span", "start", "stop")
 
 
 @query()
 def eclipse(spark, sf_dir):
-    return events.find_periods(spans(spark, sf_dir), "sunlit", invert=True).select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "sunlit", invert=True).select("span", "start", "stop")
 
 
 @query()
 def ascending(spark, sf_dir):
-    return events.find_periods(spans(spark, sf_dir), "ascending").select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "ascending").select("span", "start", "stop")
 
 
 @query()
 def descending(spark, sf_dir):
-    return events.find_periods(spans(spark, sf_dir), "ascending", invert=True).select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "ascending", invert=True).select("span", "start", "stop")
 
 
 @query()
 def passes(spark, sf_dir):
-    return events.find_periods(spans(spark, sf_dir), "pass", site=(28.5, -80.65, 0.0, 5.0)).withColumn("peak_elevation", F.col("peak") + 5.0).drop("peak", "longitude")
+    return events.find_periods(windows(spark, sf_dir), "pass", site=_SITE).withColumn("peak_elevation", F.col("peak") + 5.0).drop("peak", "longitude")
 
 
 @query()
@@ -102,15 +112,16 @@ def visibility_ring(spark, sf_dir):
 
 @query()
 def doppler_geolocate(spark, sf_dir):
-    """Each object's first pass over a site, from a Doppler curve that the site would measure."""
+    """Each pass over a site, from a Doppler curve that the site would measure; a curve is of one element set."""
     from orbitlake.functions import frames as fr
 
-    p = passes(spark, sf_dir).join(spans(spark, sf_dir).drop("start", "stop"), "span")
+    sets = _by_set(spark, sf_dir)
+    p = events.find_periods(sets, "pass", site=_SITE).select("span", "start", "stop").join(sets.drop("start", "stop"), "span")
     p = p.withColumn("t", F.explode(F.sequence("start", "stop", F.expr("interval 20 seconds"))))
     g = propagate.generate(p, ("eci",), spark.createDataFrame([("site", 28.5, -80.65, 0.0)], "name string, lat double, lon double, alt double"))
     jd, frac = fr.jday(F.col("epoch"))
     curve = g.select(F.col("span"), "t", "start", (F.col("range_rate") * 1000.0).alias("doppler"))
-    curve = curve.join(spans(spark, sf_dir).drop("start", "stop"), "span").where("doppler is not null")
+    curve = curve.join(sets.drop("start", "stop"), "span").where("doppler is not null")
     curve = curve.select(F.xxhash64("span", "start").alias("pass_id"), (F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col("t")) / 60e6).alias("minutes"), (jd + frac).alias("jd"), "doppler", *_SETS[2:9])
     enough = curve.groupBy("pass_id").agg(F.count("*").alias("n")).where("n >= 3")
     return geometry.geolocate(curve.join(enough, "pass_id")).drop("residuals")

@@ -54,3 +54,16 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
         s = s.withColumn("epoch", tle.epoch(F.col("line1"))).withColumn("line_hash", tle.line_hash(F.col("line1"), F.col("line2")))
         ingest(s, str(tmp_path / "table"), str(tmp_path / f"check{n}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "table")).count() == 50
+
+
+def test_every_set_is_scanned(spark):
+    from orbitlake.plans.catalog_queries import elements
+
+    sets = elements(spark, SF).where("norad is not null")
+    lo, hi = sets.agg(F.min("ts"), F.max("ts")).first()
+    objects = sets.select("norad").distinct().count()
+    seconds = lambda d: sum((r["stop"] - r["start"]).total_seconds() for r in d.collect())
+    assert abs(seconds(k.sunlit(spark, SF)) + seconds(k.eclipse(spark, SF)) - objects * (hi - lo).total_seconds()) < objects
+    # a set that holds for more than two revolutions crosses the equator
+    long = {r["id"] for r in k.windows(spark, SF).where("inc > 0").where(F.timestamp_diff("HOUR", F.col("start"), F.col("stop")) >= 5).collect()}
+    assert len(long) > 10 * objects and long <= {r["span"] for r in k.nodes(spark, SF).select("span").distinct().collect()}
