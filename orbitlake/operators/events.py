@@ -1,7 +1,8 @@
 """Intervals and crossings of a propagated object: a scan at one-minute steps, then bisection to a millisecond.
 
 Each row of spans (elements, start and stop) is scanned by itself, so those of one object spread over tasks; what meets at a
-switch is joined after. Events shorter than the step can be missed.
+switch is joined after. Passes are also looked for at each elevation maximum between samples; other states that last less
+than the step can be missed.
 """
 
 from __future__ import annotations
@@ -72,6 +73,8 @@ KINDS = {"north": _north, "ascending": _ascending, "sunlit": _sunlit, "pass": _e
 _OUT = "span long, start_us long, stop_us long, peak_us long, peak double, longitude double"
 #: Samples of a piece of a span, and about as many of all that is scanned at once, so that memory is bounded.
 PIECE, AT_ONCE = 1440, 1 << 17
+#: A satellite so many degrees under the horizon is over 4,000 km away, too far to rise within a step.
+FAR_BELOW = -20.0
 
 
 class _Pieces:
@@ -103,6 +106,10 @@ class _Pieces:
         a = np.flatnonzero((above[:-1] != above[1:]) & same)
         at, x, y, up = i[a], t[a], t[a + 1], above[a + 1]
         known = np.isfinite(f[a]) & np.isfinite(f[a + 1])
+        if self.kind == "pass":
+            more = self.between(i, t, f, same)
+            at, x, y, up = (np.concatenate([p, q]) for p, q in zip((at, x, y, up), more, strict=True))
+            known = np.concatenate([known, np.full(len(more[0]), True)])
         for _ in range(ROUNDS if len(at) else 0):
             m = (x + y) / 2
             right = (self.state(at, m)[0] > 0) == up
@@ -110,6 +117,26 @@ class _Pieces:
         order = np.lexsort((y, at))
         return at[order], y[order], up[order], known[order], above[first], above[first + n - 1]
 
+    def between(self, i, t, f, same):
+        """Crossings of passes that rise and set between two samples: piece, before, after, direction."""
+        before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
+        with np.errstate(invalid="ignore"):
+            top = (f <= 0) & (f + self.site[3] > FAR_BELOW)
+            top[1:] &= ~before[1:] | (f[1:] >= f[:-1])
+            top[:-1] &= ~after[:-1] | (f[:-1] >= f[1:])
+        c = np.flatnonzero(top)
+        at, left, right = i[c], t[c - before[c]], t[c + after[c]]
+        lo, hi, g = left.copy(), right.copy(), (5**0.5 - 1) / 2
+        one, two = hi - g * (hi - lo), lo + g * (hi - lo)
+        for _ in range(32 if len(c) else 0):  # golden sections, to less than a millisecond
+            u, v = self.state(at, one)[0], self.state(at, two)[0]
+            lo, hi = np.where(u < v, one, lo), np.where(u < v, hi, two)
+            one, two = hi - g * (hi - lo), lo + g * (hi - lo)
+        peak = (lo + hi) / 2
+        ok = (self.state(at, peak)[0] > 0) if len(c) else np.zeros(0, bool)
+        at, left, peak, right = at[ok], left[ok], peak[ok], right[ok]
+        return np.tile(at, 2), np.concatenate([left, peak]), np.concatenate([peak, right]), np.repeat([True, False], len(at))
+
     def micros(self, i: np.ndarray, t: np.ndarray) -> pa.Array:
         return pa.array(self.epoch[i] + np.round(t * _US).astype(np.int64))
 

@@ -67,3 +67,18 @@ def test_every_set_is_scanned(spark):
     # a set that holds for more than two revolutions crosses the equator
     long = {r["id"] for r in k.windows(spark, SF).where("inc > 0").where(F.timestamp_diff("HOUR", F.col("start"), F.col("stop")) >= 5).collect()}
     assert len(long) > 10 * objects and long <= {r["span"] for r in k.nodes(spark, SF).select("span").distinct().collect()}
+
+
+def test_passes_between_two_samples(spark):
+    from orbitlake.operators.events import find_periods
+
+    one = k.windows(spark, SF).where("mm < 14 and ecc < 0.05 and inc > 5").orderBy("id").limit(1)
+    day = lambda shift: one.withColumn("span", F.lit(shift).cast("long")).withColumn("start", F.timestamp_add("SECOND", F.lit(shift), F.col("epoch"))).withColumn("stop", F.timestamp_add("HOUR", F.lit(30), F.col("start")))
+    high = max(find_periods(day(0), "pass", site=(5.0, -80.65, 0.0, 5.0)).collect(), key=lambda r: r["peak"])
+    spans = day(0)
+    for s in range(5, 60, 5):
+        spans = spans.unionByName(day(s))
+    # seen above 0.05 degrees under its highest, which lasts for some seconds, wherever the samples are
+    got = find_periods(spans, "pass", site=(5.0, -80.65, 0.0, 5.0 + high["peak"] - 0.05)).collect()
+    assert sorted(r["span"] for r in got) == list(range(0, 60, 5))
+    assert all(0 < (r["stop"] - r["start"]).total_seconds() < 60 and abs((r["peak_time"] - high["peak_time"]).total_seconds()) < 60 for r in got)
