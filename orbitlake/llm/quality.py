@@ -100,13 +100,9 @@ class Neighbours:
         return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0.0, 1.0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
-    """Text and label of training documents: at most `per_label` of each label, those with the smallest hash of their id.
-
-    Training documents are those whose crc32(doc_id as text) mod 5 isn't 0. A document with several labels has their
-    majority, 1 on a tie; null labels and ids don't count. Of documents that share an id, each gets the label.
-    """
-    one = (
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """id and y of each training document, once."""
+    return (
         labels.select(labels["doc_id"].cast("long").alias("id"), labels[label].cast("int").alias("y"))
         .where("id is not null and y in (0, 1)")
         .groupBy("id")
@@ -114,6 +110,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int) ->
         .select("id", F.when(F.col("y") >= 0.5, 1).otherwise(0).alias("y"))
         .where(~fold("id", 5, 0))
     )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """Text and label of training documents: at most `per_label` of each label, those with the smallest hash of their id.
+
+    Training documents are those whose crc32(doc_id as text) mod 5 isn't 0. A document with several labels has their
+    majority, 1 on a tie; null labels and ids don't count. Of documents that share an id, each gets the label.
+    """
+    one = training_labels(labels, label)
     picked = [one.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label) for y in (0, 1)]
     d = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     return d.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("id", "text", "y")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbitlake.llm.common import arrow_rows, fold, small_batches, typed
-from orbitlake.llm.quality import labelled
+from orbitlake.llm.quality import labelled, training_labels
 
 #: Labelled documents of each label that are learnt from, at most, and features that the model keeps, at most; both bounds
 #: make the model small enough to broadcast.
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     sample = labelled(docs, labels, "toxic", SAMPLE_PER_LABEL).dropDuplicates(["text"]).select("text", "y")
-    shares = {r["y"]: r["n"] for r in labels.groupBy(labels["toxic"].cast("int").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
+    shares = {r["y"]: r["n"] for r in training_labels(labels, "toxic").groupBy("y").agg(F.count("*").alias("n")).collect()}
     counts = sample.mapInArrow(_counted, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # texts with and without a feature; the feature "" is in every text
     kept = counts.where("t + c >= 3").orderBy(F.abs(F.log((F.col("t") + 0.1) / (F.col("c") + 0.1))).desc(), (F.col("t") + F.col("c")).desc(), "f").limit(2 * FEATURES_MAX)
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         if not r["y"]:
             token_scores.update(dict(zip(r["scores"], r["counts"], strict=True)))
     y = np.array(y)
-    # each label weighs as much as it has in the labels, however many of it were sampled
+    # each label weighs as much as it has in the training labels, however many of it were sampled
     weight = np.where(y == 1, shares.get(1, 0) / max(1, (y == 1).sum()), shares.get(0, 0) / max(1, (y == 0).sum()))
     calibrate(model, np.array(best), np.array(n, float), y, weight * len(y) / max(1.0, weight.sum()), token_scores)
     return model

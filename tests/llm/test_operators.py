@@ -171,6 +171,13 @@ def test_html_main_text(spark):
     assert plain == long.strip()
 
 
+def test_toxicity_learns_nothing_from_held_out_or_repeated_labels(spark):
+    d, labels = _labelled(spark, lambda i: prose(i, 60), lambda i: prose(i, 30) + (" scumbag idiotic moronic " if i % 3 else " ") + prose(i + 1, 30), "toxic")
+    held = [i for i in range(420) if zlib.crc32(str(i).encode()) % 5 == 0]
+    more = spark.createDataFrame([(i, 1, "x") for i in held * 20] + [(i, 1, "x") for i in range(300, 420) for _ in range(9)], labels.schema)
+    assert toxicity.fit(d, labels).curve == pytest.approx(toxicity.fit(d, labels.unionByName(more)).curve, abs=1e-6)
+
+
 SAID = "This is the text of the article, and it has the words that all of the texts have, so that it is found by them."
 
 
