@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from orbitlake.llm.common import arrow_rows
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose requests one key range holds, about, and the least number of ranges.
 RANGE_BYTES, RANGES_MIN = 64 << 20, 256
 _BUNDLES = pa.schema([("block", pa.int64()), ("fold", pa.int32()), ("data", pa.binary())])

@@ -2,7 +2,7 @@
 
 A text is cut where no piece can reach over: before a space, and between two characters that stand side by side in no
 piece. The best way through the text is then the best ways through those words, one after another. Documents ask for
-their distinct words block by block (see blocks.py). The distinct words of the corpus are exploded into
+their distinct words block by block (see blocks.py). The distinct words of the corpus, of any length, are exploded into
 substrings of bounded length, joined with the piece table by equality, and the edges of each word are folded by Viterbi
 with Spark's aggregate function: the best-scoring way of pieces through the word. Characters without a piece become bytes.
 A vocabulary made by merging is used as a unigram one: its ids are those of the best path, not of its merge order.
@@ -16,11 +16,12 @@ import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from orbitlake.llm.common import mixed, saved, small_batches, typed
 
 #: The vocabulary file; the environment or a parameter names another.
 MODEL = os.environ.get("ORBITLAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-#: Characters up to which a word is folded as one by Spark; longer ones are folded by the same rule in a Python loop.
-LONG_WORD = 256
+#: Characters of a word that are exploded together, and entries of an array that the fold appends to: long words take
+#: time in proportion to their length, not to its square.
+SEGMENT, CHUNK = 256, 1024
 #: Characters of a text that are looked at together, about.
 PART = 1 << 20
 SPACE = "▁"
@@ -111,8 +113,8 @@ def _parts(text: str) -> Iterator[str]:
     yield marked[at:]
 
 
-def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of texts, the number of each of their words in turn, and how many words each text has.
+def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts and their hashes, the number of each word in turn, and how many words each text has.
 
     Words are told apart by 64 bits of a hash of their characters; a text whose words were confused would not decode to
     itself, and round_trip would say so.
@@ -130,65 +132,71 @@ def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.nd
             parts.append(part)
             counts[t] += len(at)
     if not parts:
-        return [], np.zeros(0, np.int64), counts
-    _, first, index = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
+    index, distinct = pd.factorize(np.concatenate(hashes))
+    first = np.empty(len(distinct), np.int64)
+    first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
     spans = zip(*(np.concatenate(x)[first].tolist() for x in (owner, begins, ends)), strict=True)
-    return [parts[p][a:b] for p, a, b in spans], index, counts
-
-
-def best_path(word: str, table: dict, unknown: float, longest: int) -> list[int]:
-    """Viterbi in a loop: ids, and -1 - code point for an unknown character. Of equal ways, the one whose last piece is longest."""
-    best, back = [0.0], [(0, 0)]
-    for end in range(1, len(word) + 1):
-        top = None
-        for n in range(min(longest, end), 0, -1):
-            hit = table.get(word[end - n : end])
-            if hit is None and n == 1:
-                hit = (-1 - ord(word[end - 1]), unknown)
-            if hit is not None and (top is None or best[end - n] + hit[1] > top[0]):
-                top = (best[end - n] + hit[1], n, hit[0])
-        best.append(top[0]), back.append(top[1:])
-    out, end = [], len(word)
-    while end:
-        n, i = back[end]
-        out.append(i)
-        end -= n
-    return out[::-1]
-
-
-def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[str, ...] = ()) -> DataFrame:
-    """words (word and the columns of `by`) with ids: the best way through each word's lattice."""
+    return [parts[p][a:b] for p, a, b in spans], mixed(distinct.astype(np.uint64)), index, counts
+
+
+def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[str, ...] = ("word",)) -> DataFrame:
+    """by and ids: the best way through the lattice of each word; `by` are the columns that tell words apart.
+
+    Of equal ways the one whose last piece is longest counts, and so on backwards; empty and null words give no row.
+    """
     table, _, _, unknown = pieces(path)
     longest = max(map(len, table))
     rows = [(p, i, s) for p, (i, s) in table.items()]
     known = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # as many as the vocabulary has
-    n = F.char_length("word")
-    starts = words.select(*by, "word", F.explode(F.sequence(F.lit(1), n)).alias("end"))
-    sub = starts.select(*by, "word", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end")))).alias("n"))
-    sub = sub.withColumn("piece", F.expr("substring(word, end - n + 1, n)"))
+    # a segment has the edges that begin in it
+    segments = F.transform(
+        F.sequence(F.lit(0), F.floor((F.char_length("word") - 1) / SEGMENT).cast("int")),
+        lambda i: F.struct((i * SEGMENT).alias("at"), F.substring(F.col("word"), i * SEGMENT + 1, F.lit(SEGMENT + longest - 1)).alias("text")),
+    )
+    cut = words.where("word <> ''").select(*by, F.explode(segments).alias("s")).select(*by, "s.at", "s.text")
+    starts = cut.select(*by, "at", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(SEGMENT), F.char_length("text")))).alias("p"))
+    sub = starts.select(*by, "at", "text", "p", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("text") - F.col("p") + 1))).alias("n"))
+    sub = sub.select(*by, (F.col("at") + F.col("p") + F.col("n") - 1).alias("end"), "n", F.expr("substring(text, p, n)").alias("piece"))
     edges = sub.join(known, "piece", "left").where("id is not null or n = 1").select(
-        *by, "word",
+        *by,
         F.struct(F.col("end").cast("int").alias("end"), (-F.col("n")).cast("int").alias("n"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score")).alias("e"),
     )
-    grouped = edges.groupBy(*by, "word").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    grouped = edges.groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("es"))
 
     def fold(s: Column, e: Column) -> Column:
-        # edges come by end, longest first; the state has an entry for each end reached so far
-        cand = F.element_at(s, e["end"] + e["n"] + 1)["best"] + e["score"]
-        new = F.concat(F.slice(s, F.lit(1), e["end"]), F.array(F.struct(cand.alias("best"), e["id"].alias("id"), (-e["n"]).alias("n"))))
-        return F.when((F.size(s) <= e["end"]) | (cand > F.element_at(s, -1)["best"]), new).otherwise(s)
-
-    zero = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("id"), F.lit(0).alias("n")))
-    done = grouped.select(*by, "word", F.aggregate("es", zero, fold).alias("v"))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.size("v") - 1),
-        F.struct((F.size("v") - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
-        lambda s, _: F.when(s["at"] <= 0, s).otherwise(
-            F.struct((s["at"] - F.element_at("v", s["at"] + 1)["n"]).alias("at"), F.concat(F.array(F.element_at("v", s["at"] + 1)["id"]), s["ids"]).alias("ids"))
-        ),
-        lambda s: s["ids"],
-    )
-    return done.select(*by, "word", walk.alias("ids"))
+        # edges come by end, longest first; `now` has an entry for each end from `at` to the last one reached
+        now, at = s["now"], s["at"]
+        cand = F.element_at(now, e["end"] + e["n"] + 1 - at)["best"] + e["score"]
+        entry = F.array(F.struct(cand.alias("best"), e["id"].alias("id"), (-e["n"]).alias("n")))
+        new = F.concat(F.slice(now, F.lit(1), e["end"] - at), entry)
+        gone = F.size(now) - longest  # entries that no later edge begins at
+        full = F.struct(F.concat(F.slice(now, gone + 1, F.lit(longest)), entry).alias("now"), F.concat(s["old"], F.array(F.slice(now, F.lit(1), gone))).alias("old"), (at + gone).alias("at"))
+        begins = F.size(now) + at <= e["end"]
+        return (
+            F.when(begins & (F.size(now) > CHUNK), full)
+            .when(begins | (cand > F.element_at(now, -1)["best"]), F.struct(new.alias("now"), s["old"].alias("old"), at.alias("at")))
+            .otherwise(s)
+        )
+
+    entry = "struct<best: double, id: int, n: int>"
+    zero = F.struct(F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("id"), F.lit(0).alias("n"))).alias("now"), F.array().cast(f"array<array<{entry}>>").alias("old"), F.lit(0).alias("at"))
+    done = grouped.select(*by, F.aggregate("es", zero, fold, lambda s: F.when(F.size(s["old"]) == 0, s["now"]).otherwise(F.concat(F.flatten(s["old"]), s["now"]))).alias("v"))
+
+    def step(s: Column, _: Column) -> Column:
+        top = F.element_at("v", s["at"] + 1)
+        full = F.size(s["ids"]) >= CHUNK
+        return F.when(s["at"] <= 0, s).otherwise(
+            F.struct(
+                (s["at"] - top["n"]).alias("at"),
+                F.concat(F.when(full, F.array().cast("array<int>")).otherwise(s["ids"]), F.array(top["id"])).alias("ids"),
+                F.when(full, F.concat(s["old"], F.array(s["ids"]))).otherwise(s["old"]).alias("old"),
+            )
+        )
+
+    begin = F.struct((F.size("v") - 1).alias("at"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("old"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.size("v") - 1), begin, step, lambda s: F.reverse(F.concat(F.flatten(s["old"]), s["ids"])))
+    return done.select(*by, walk.alias("ids"))
 
 
 def _spread(ids: list[int], of_byte: dict[int, int]) -> list[int]:
@@ -208,20 +216,34 @@ def decode(ids: list[int], path: str = MODEL) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _asked(words: list[str], ranges: int) -> dict[int, list[tuple[bytes, int]]]:
-    """Words and their numbers by key range, in order within it."""
-    parts: dict[int, list[tuple[bytes, int]]] = {}
-    for i, w in enumerate(words):
-        raw = w.encode("utf-8", "surrogatepass")
-        parts.setdefault(xxhash.xxh3_64_intdigest(raw) % ranges, []).append((raw, i))
-    return {r: sorted(parts[r]) for r in sorted(parts)}
+def decoded(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+    """encoded (ids and others) with text: what the ids spell; null ids have a null text. Ids outside the vocabulary are an error."""
+
+    @F.arrow_udf("string")
+    def spelt(ids: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else decode(x, path) for x in ids.to_pylist()], pa.string())
+
+    return encoded.withColumn("text", spelt(encoded["ids"]))
+
+
+def _by_range(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of words by key range, and (range, begin, end) of each range that any is in: a block sends no more rows
+    than it has words, however many ranges there are."""
+    k = (hashes % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((hashes, k))
+    some, first = np.unique(k[order], return_index=True)
+    return order, list(zip(some.tolist(), first.tolist(), [*first.tolist(), len(k)][1:], strict=True))
 
 
 def _requester(ranges: int, path: str):
     def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
-        for r, part in _asked(indexed_words(texts, path)[0], ranges).items():
-            ws = [w for w, _ in part]
-            yield 1, r, blocks.pack(np.array(list(map(len, ws)), np.uint8 if max(map(len, ws)) < 256 else np.uint32), b"".join(ws), level=9)
+        words, hashes, _, _ = indexed_words(texts, path)
+        order, spans = _by_range(hashes, ranges)
+        raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+        sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
+        for k, a, b in spans:
+            own = sizes[a:b]
+            yield 1, k, blocks.pack(own.astype(np.uint8) if own.max() < 256 else own, b"".join(raw[a:b]), level=9)
 
     return requests
 
@@ -236,6 +258,7 @@ def _words_of(data: bytes) -> list[bytes]:
 
 
 def _distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a key range, numbered in order."""
     found: set[bytes] = set()
     for b in batches:
         for d in b.column("data").to_pylist():
@@ -243,55 +266,53 @@ def _distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     ws = sorted(found)
     for i in range(0, len(ws), 20_000):
         part = pa.array([w.decode("utf-8", "surrogatepass") for w in ws[i : i + 20_000]], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(part), pa.int64()), part], names=["k", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int64()), part], names=["k", "w", "word"])
 
 
 def _replies(path: str):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         """The ids of each request's words, in its order, with a digest of the request."""
-        table, of_byte, _, unknown = pieces(path)
-        longest = max(map(len, table))
-        ids = {w.encode("utf-8", "surrogatepass"): _spread(i, of_byte) for w, i in zip(known.column("word").to_pylist(), known.column("ids").to_pylist(), strict=True)}
-        out = []
-        for d in asked.column("data").to_pylist():
-            got, ws = [], _words_of(d)
-            for w in ws:
-                i = ids.get(w)
-                if i is None:  # longer than LONG_WORD
-                    i = ids[w] = _spread(best_path(w.decode("utf-8", "surrogatepass"), table, unknown, longest), of_byte)
-                got.append(i)
-            sizes, flat = np.array(list(map(len, got)), np.uint32), np.array([x for i in got for x in i], np.uint16 if len(table) < 60_000 else np.uint32)
+        _, of_byte, _, _ = pieces(path)
+        requests = [_words_of(d) for d in asked.column("data").to_pylist()]
+        number = {w: i for i, w in enumerate(sorted(set().union(*requests)))}
+        ids: list = [None] * len(number)
+        for w, i in zip(known.column("w").to_pylist(), known.column("ids").to_pylist(), strict=True):
+            ids[w] = _spread(i, of_byte)
+        kind, out = _id_type(path), []
+        for ws in requests:
+            got = [ids[number[w]] for w in ws]
+            sizes, flat = np.array(list(map(len, got)), np.uint32), np.array([x for i in got for x in i], kind)
             out.append(blocks.pack(sizes, flat, xxhash.xxh3_64_digest(b"".join(ws)), level=9))
         return pa.table({"k": asked.column("k"), "block": asked.column("block"), "data": pa.array(out, pa.binary())})
 
     return run
 
 
+def _id_type(path: str):
+    return np.uint16 if len(pieces(path)[2]) < 65_536 else np.uint32
+
+
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
 def _assembler(ranges: int, path: str):
     def run(bundle: pa.Table, replies: pa.Table) -> pa.Table:
-        """Texts of one block, put together from the answers to its request. An answer to another request is not used:
-        if docs gave other blocks when they were read again, their words are folded here by the same rule."""
-        table, of_byte, spell, unknown = pieces(path)
-        longest, kind = max(map(len, table)), np.uint16 if len(table) < 60_000 else np.uint32
+        """Texts of one block, put together from the answers to its request."""
+        spell, kind = pieces(path)[2], _id_type(path)
         docs = [x for d in bundle.column("data").to_pylist() for x in blocks.unpack_docs(d)]
-        words, index, counts = indexed_words([text for _, text in docs], path)
+        words, hashes, index, counts = indexed_words([text for _, text in docs], path)
+        order, spans = _by_range(hashes, ranges)
         answers = dict(zip(replies.column("k").to_pylist(), replies.column("data").to_pylist(), strict=True))
-        flats, start, size, at = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
-        for k, part in _asked(words, ranges).items():
-            sizes, flat, digest = blocks.unpack(answers[k]) if k in answers else (b"", b"", b"")
-            if digest == xxhash.xxh3_64_digest(b"".join(w for w, _ in part)):
-                sizes, flat = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(flat, kind).astype(np.int32)
-            else:
-                ids = [_spread(best_path(words[i], table, unknown, longest), of_byte) for _, i in part]
-                sizes, flat = np.array(list(map(len, ids)), np.int64), np.array(list(chain.from_iterable(ids)), np.int32)
-            own = np.array([i for _, i in part])
-            start[own], size[own] = at + np.cumsum(sizes) - sizes, sizes
-            flats.append(flat)
-            at += len(flat)
-        flat = np.concatenate([np.zeros(0, np.int32), *flats])
+        flats, size = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+        for k, a, b in spans:
+            sizes, flat, digest = blocks.unpack(answers[k])
+            if digest != xxhash.xxh3_64_digest("".join([words[i] for i in order[a:b].tolist()]).encode("utf-8", "surrogatepass")):
+                raise RuntimeError("the documents changed between two readings")
+            size[order[a:b]] = np.frombuffer(sizes, np.uint32)
+            flats.append(np.frombuffer(flat, kind).astype(np.int32))
+        flat = np.concatenate(flats)
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
         spelt = [b"".join(map(spell.__getitem__, flat[a : a + n].tolist())) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
         out_ids, same, at = [], [], 0
         for (_, text), n in zip(docs, counts.tolist(), strict=True):
@@ -320,18 +341,23 @@ def _hashed_groups(spark: SparkSession) -> Iterator[None]:
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, round_trip for each row of docs (doc_id, text).
 
-    ids are the best-scoring pieces of the whole text; round_trip says that they spell it again exactly, which all texts do
-    but those with U+2581. Null and empty texts have no ids; rows are neither joined nor dropped, so repeated rows stay
-    repeated; null ids stay null; an empty table gives no rows; other columns are ignored.
+    ids are the best-scoring pieces of the whole text, of whatever length; of equal ways through a word the one whose last
+    piece is longest counts. round_trip says that the ids spell the text again exactly, which all texts do but those with
+    U+2581. Null and empty texts have no ids; rows are neither joined nor dropped, so repeated rows stay repeated; null ids
+    stay null; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     d = typed(docs, doc_id="long", text="string")
+    try:
+        docs.select("_metadata.file_path")
+    except AnalysisException:  # blocks are made twice, so they are made of what is stored, which every reading gives alike
+        d = saved(d, "rows")
     n = blocks.ranges(d)
     bundles = blocks.bundled(d.withColumn("fold", F.lit(0)))  # made twice, which costs less than keeping a copy
     asked = saved(blocks.requested(bundles, _requester(n, path)).select("k", "block", "data"), "requests")
-    words = asked.groupBy("k").applyInArrow(_distinct, "k long, word string").where(F.char_length("word") <= LONG_WORD)
+    words = asked.groupBy("k").applyInArrow(_distinct, "k long, w long, word string")
     with _hashed_groups(spark):
-        known = saved(lattice(words.repartition(n, "k"), spark, path, ("k",)), "pieces")
+        known = saved(lattice(words.repartition(n, "k"), spark, path, ("k", "w")), "pieces")
     replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_replies(path), "k long, block long, data binary")
     return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(n, path), "doc_id long, ids array<int>, round_trip boolean")

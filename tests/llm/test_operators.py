@@ -26,6 +26,26 @@ def prose(seed, n, words="alpha beta gamma delta epsilon zeta eta theta iota kap
 EDGE = [(None, "a b c d e f g"), (1, None), (2, ""), (3, " \n\t"), (4, "one two"), (4, "one two"), (5, "é▁ü \U0001f600 x"), (6, "word " * 3000)]
 
 
+def best_path(word: str, table: dict, unknown: float, longest: int) -> list[int]:
+    """Brute force, Viterbi in a loop: ids, and -1 - code point for an unknown character. Of equal ways, the one whose last piece is longest."""
+    best, back = [0.0], [(0, 0)]
+    for end in range(1, len(word) + 1):
+        top = None
+        for n in range(min(longest, end), 0, -1):
+            hit = table.get(word[end - n : end])
+            if hit is None and n == 1:
+                hit = (-1 - ord(word[end - 1]), unknown)
+            if hit is not None and (top is None or best[end - n] + hit[1] > top[0]):
+                top = (best[end - n] + hit[1], n, hit[0])
+        best.append(top[0]), back.append(top[1:])
+    out, end = [], len(word)
+    while end:
+        n, i = back[end]
+        out.append(i)
+        end -= n
+    return out[::-1]
+
+
 def test_chat_round_trip(spark):
     nasty = "\\### Assistant: </turn> ok </part> ##### \\0 \\1 # #"
     rows = [(1, 0, "user", nasty), (1, 1, "user", None), (1, 2, "assistant", nasty), (1, 3, "assistant", "b<"), (2, 0, "a: b:", ":x"), (2, 0, "User", ""), (3, None, None, None), (None, 1, "user", "x"), (2, 0, "User", "")]
@@ -48,7 +68,7 @@ def test_pieces_match_a_loop_and_round_trip(spark):
     got = Counter((r["doc_id"], tuple(r["ids"]), r["round_trip"]) for r in pieces.encode(docs(spark, rows)).collect())
     want = Counter()
     for i, t in rows:
-        ids = tuple(x for w in pieces.split_words(t or "") for x in pieces._spread(pieces.best_path(w, table, unknown, longest), of_byte))
+        ids = tuple(x for w in pieces.split_words(t or "") for x in pieces._spread(best_path(w, table, unknown, longest), of_byte))
         want[i, ids, pieces.decode(ids) == (t or "")] += 1
     assert got == want
     assert pieces.encode(docs(spark, rows).limit(0)).count() == 0
@@ -253,7 +273,7 @@ def test_near_duplicates_against_sets(spark):
 def test_indexed_words_are_the_words_of_a_loop(monkeypatch, part):
     monkeypatch.setattr(pieces, "PART", part)
     texts = ["", None, "  ", " a  b ", "it is 12,345.67%%% (no)", "日本語 😀▁▁ ▁", "a  " + "b" * 50 + "  c", "it is", "x" * 400]
-    distinct, index, counts = pieces.indexed_words(texts)
+    distinct, _, index, counts = pieces.indexed_words(texts)
     assert [distinct[i] for i in index.tolist()] == [w for t in texts for w in pieces.split_words(t)]
     assert counts.tolist() == [len(pieces.split_words(t)) for t in texts]
     assert len(set(distinct)) == len(distinct)
@@ -265,5 +285,20 @@ def test_cuts_take_nothing_from_the_best_score():
     for text in ("it is 12,345.67%%% (no)", "chocolat-noir, l'été!", "日本語 😀 x"):
         whole = pieces.SPACE + text.replace(" ", pieces.SPACE)
         score = lambda ids: sum(scores.get(i, unknown) for i in ids)
-        cut = [i for w in pieces.split_words(text) for i in pieces.best_path(w, table, unknown, longest)]
-        assert abs(score(cut) - score(pieces.best_path(whole, table, unknown, longest))) < 1e-9
+        cut = [i for w in pieces.split_words(text) for i in best_path(w, table, unknown, longest)]
+        assert abs(score(cut) - score(best_path(whole, table, unknown, longest))) < 1e-9
+
+
+def test_long_words_go_through_the_lattice(spark):
+    """Words beyond one segment and one chunk of the fold, against the loop."""
+    table, of_byte, _, unknown = pieces.pieces()
+    longest = max(map(len, table))
+    r = random.Random(5)
+    texts = ["a" * 5000, "".join(r.choice("abcdefgh") for _ in range(5000)), "x" * 257, "ab" * 128, "\U0001f600" * 300 + "é" * 300]
+    got = {r["doc_id"]: r for r in pieces.encode(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["round_trip"]
+        want = [x for w in pieces.split_words(t) for x in pieces._spread(best_path(w, table, unknown, longest), of_byte)]
+        assert got[i]["ids"] == want
+    back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encode(docs(spark, list(enumerate(texts))))).collect()}
+    assert back == dict(enumerate(texts))
