@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting among labelled documents in a latent-semantic space.
 
-Terms of a document are trigrams of character classes and marks of repetition, so that they mean the same in any
-language. A labelled sample gives the term weights, the latent axes (a truncated singular value decomposition) and the
-labelled vectors; every document is compared with all of those by exact cosine products, in blocks.
+Terms of a document are hashed runs of four bytes, trigrams of character classes and marks of repetition, all weighted by
+how rare they are. A labelled sample gives the weights, the latent axes (the leading singular vectors) and the labelled
+vectors; every document is compared with all of those by exact cosine products, in blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orbitlake.llm.common import WordHashes, arrow_rows, fold, mixed, small_batches, typed
 
@@ -35,7 +34,24 @@ _CLASS[[ord(c) for c in "!?"]] = 6
 _CLASS[[ord(c) for c in "#$%&*|@^~+=<>{}[]\\/_`"]] = 7
 _N_TRI = 9**3
 _MARKS = 5
-N_TERMS = _N_TRI + 2 * _MARKS
+#: Buckets of runs of four bytes.
+_GRAMS = 1024
+N_TERMS = _N_TRI + 2 * _MARKS + _GRAMS
+_GRAM_MULT, _GRAM_SHIFT = np.uint32(0x9E3779B1), np.uint32(22)
+#: Bytes of a text that are looked at together.
+_PART = 1 << 20
+
+
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """Relative frequencies of hashed runs of four bytes, lower-case A-Z."""
+    out = np.zeros(_GRAMS)
+    low = raw + ((raw >= 65) & (raw <= 90)).view(np.uint8) * np.uint8(32)
+    for i in range(0, len(low) - 3, _PART):
+        x = low[i : i + _PART + 3].astype(np.uint32)
+        k = (x[:-3] << np.uint32(24)) | (x[1:-2] << np.uint32(16)) | (x[2:-1] << np.uint32(8)) | x[3:]
+        k ^= k >> np.uint32(15)
+        out += np.bincount((k * _GRAM_MULT) >> _GRAM_SHIFT, minlength=_GRAMS)
+    return out / max(1, len(low) - 3)
 
 
 def terms(text: str, hashes: WordHashes) -> np.ndarray:
@@ -43,6 +59,7 @@ def terms(text: str, hashes: WordHashes) -> np.ndarray:
     raw = text.encode("utf-8", "surrogatepass")
     c = _CLASS[np.frombuffer(raw, np.uint8)]
     out = np.zeros(N_TERMS)
+    out[_N_TRI + 2 * _MARKS :] = _grams(np.frombuffer(raw, np.uint8))
     if len(c) > 2:
         out[:_N_TRI] = np.bincount(c[:-2] * 81 + c[1:-1] * 9 + c[2:], minlength=_N_TRI) / (len(c) - 2)
     ws = raw.lower().split()
@@ -64,23 +81,29 @@ def terms(text: str, hashes: WordHashes) -> np.ndarray:
     return np.sqrt(out)
 
 
+def leading_axes(a: np.ndarray, d: int) -> np.ndarray:
+    """The d leading right singular vectors of a, as columns, by subspace iteration."""
+    d = min(d, *a.shape)
+    q = np.random.default_rng(1).standard_normal((a.shape[1], min(a.shape[1], d + 16))).astype(a.dtype)
+    for _ in range(12):
+        q = np.linalg.qr(a.T @ (a @ q))[0]
+    return q @ np.linalg.svd(a @ q, full_matrices=False)[2][:d].T
+
+
 class Neighbours:
     """The fitted model: term weights, latent axes, labelled vectors and their labels."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
-        hashes = WordHashes()
-        x = np.array([terms(t or "", hashes) for t, _ in rows]).reshape(len(rows), N_TERMS)
-        self.labels = np.array([y for _, y in rows], float)
-        seen = (x > 0).sum(0)
-        self.weights = np.log((1 + len(rows)) / (1 + seen)) + 1.0
-        self.weights[_N_TRI:] = 3.0
-        a = x * self.weights
-        d = min(DIMENSIONS, N_TERMS, max(1, len(rows)))
-        self.axes = np.linalg.svd(a, full_matrices=False)[2][:d].T if len(rows) else np.zeros((N_TERMS, 1))
-        self.vectors = self._unit(a @ self.axes)
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        """x: rows of terms, which are overwritten; y: their labels."""
+        self.labels = np.asarray(y, float)
+        n = len(self.labels)
+        self.weights = (np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))) + 1.0).astype(x.dtype)
+        x *= self.weights
+        self.axes = leading_axes(x, DIMENSIONS) if n else np.zeros((N_TERMS, 1))
+        self.vectors = self._unit(x @ self.axes)
         ones = self.labels.sum()
         # equal classes: a vote counts by the inverse of how often its label is in the sample
-        self.votes = np.where(self.labels > 0, 0.5 / max(1.0, ones), 0.5 / max(1.0, len(rows) - ones))
+        self.votes = np.where(self.labels > 0, 0.5 / max(1.0, ones), 0.5 / max(1.0, n - ones))
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -124,17 +147,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int) ->
     return d.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("id", "text", "y")
 
 
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for b in batches:
+        rows = [(i, y, terms(t or "", hashes).astype(np.float32).tobytes()) for i, t, y in arrow_rows([b], "id", "text", "y")]
+        yield pa.RecordBatch.from_pylist([dict(zip(("id", "y", "x"), r, strict=True)) for r in rows], schema=_TERMS)
+
+
+_TERMS = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("x", pa.binary())])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
-    """The model of at most SAMPLE_PER_LABEL documents of each label; a bounded read on the driver."""
-    rows = labelled(docs, labels, "quality", SAMPLE_PER_LABEL).select(F.col("id"), "text", "y").toLocalIterator()
-    # ids may be repeated in documents; the bound holds whatever they are
-    kept = []
-    for r in rows:
-        kept.append((r["id"], r["text"] or "", r["y"]))
-        if len(kept) >= 2 * SAMPLE_PER_LABEL:
-            break
-    kept.sort()
-    return Neighbours([(t, y) for _, t, y in kept])
+    """The model of at most SAMPLE_PER_LABEL documents of each label, one for each id.
+
+    Terms are counted in tasks; the driver gets N_TERMS numbers a document, whatever the texts' lengths.
+    """
+    rows = labelled(docs, labels, "quality", SAMPLE_PER_LABEL).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
+    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(_term_rows, "id long, y int, x binary").toLocalIterator())
+    x = np.frombuffer(b"".join(v for _, _, v in got), np.float32).reshape(len(got), N_TERMS).copy()
+    return Neighbours(x, np.array([y for _, y, _ in got]))
 
 
 def model_of(docs: DataFrame, labels: DataFrame):
@@ -144,26 +175,27 @@ def model_of(docs: DataFrame, labels: DataFrame):
 
 
 def with_scores(docs: DataFrame, model) -> DataFrame:
-    """All columns of docs, and score."""
+    """All columns of docs, and score. Only the texts go to the Python workers, and only numbers come back."""
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "score"]
-    out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = model.value, WordHashes()
-        for b in batches:
-            texts = [t for (t,) in arrow_rows([b], "text")]
-            s = np.concatenate([m.scores(np.array([terms(t or "", hashes) for t in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        m, hashes, out = model.value, WordHashes(), [np.zeros(0)]
+        for i in range(0, len(texts), BLOCK):
+            out.append(m.scores(np.array([terms(t or "", hashes) for t in texts.slice(i, BLOCK).to_pylist()])))
+        return pa.array(np.concatenate(out), pa.float64())
 
-    return docs.select(*rest).mapInArrow(score, out)
+    # said to be nondeterministic, lest a filter on the score evaluates it once more
+    return docs.withColumn("score", score.asNondeterministic()(docs["text"].cast("string")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id, quality.
 
-    Null and empty texts are scored as a text without terms; rows are neither joined nor dropped; without labels every
-    score is 1; with labels of one kind every score is that label; other columns are ignored. No shuffle of texts.
+    Null and empty texts are scored as a text without terms; rows are neither joined nor dropped, repeated rows get equal
+    scores; of several labels of a document the majority counts, 1 on a tie; equal distances share the vote by the order
+    of ids in the sample; without labels every score is 1; with labels of one kind every score is that label; an empty
+    table gives no rows; other columns are ignored. No shuffle of texts but the labelled sample's.
     """
     scored = with_scores(typed(docs, doc_id="long", text="string"), model_of(docs, labels))
     return scored.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -1,9 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-A token's features are its word and its beginnings, so that inflected forms share evidence. Their log-odds between toxic
-and clean documents get a Dirichlet prior from all counts. One linear scan finds every maximal segment of a text
-(Ruzzo and Tompa); the chance of such a segment in clean text follows an extreme-value law (Karlin and Altschul), and a
-logistic curve over the best and the summed significance gives the score.
+A token's features are its word and its beginnings, so that inflected forms share evidence. Their log-odds between the
+tokens of toxic and of clean documents get a Dirichlet prior in proportion to all tokens. One linear scan finds every
+maximal segment of a text (Ruzzo and Tompa); the chance of such a segment in clean text follows an extreme-value law
+(Karlin and Altschul), and a logistic curve over the best and the summed significance gives the score.
 """
 
 from __future__ import annotations
@@ -16,22 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from orbitlake.llm.common import arrow_rows, fold, small_batches, typed
+from orbitlake.llm.common import arrow_rows, dropped, fold, saved, small_batches, typed
 from orbitlake.llm.quality import labelled, training_labels
 
-#: Labelled documents of each label that are learnt from, at most, and features that the model keeps, at most; both bounds
-#: make the model small enough to broadcast.
-SAMPLE_PER_LABEL, FEATURES_MAX = 10_000, 100_000
+#: Labelled documents of each label that are learnt from, at most; what is learnt is bounded by them.
+SAMPLE_PER_LABEL = 10_000
 #: Lengths of the beginnings that are features.
 PREFIXES = (4, 5, 6)
 #: Weight of the prior in tokens, the cost of a token without evidence, and the z score from which evidence counts.
-PRIOR, DRIFT, Z_MIN = 50.0, 0.1, 4.0
+PRIOR, DRIFT, Z_MIN = 1000.0, 0.1, 3.0
 #: Log-odds under which a feature is no sign of toxicity: toxic documents may just be longer.
 ODDS_MIN = 1.5
 #: E-value under which a segment is significant.
 E_MAX = 0.05
+#: Counts are kept as whole thousandths, so that their sums don't depend on the order.
+UNIT = 1000
 
 # Bytes of UTF-8 that are no part of a word.
 _BREAKS = bytes(32 if (b < 128 and not chr(b).isalpha()) else b for b in range(256))
@@ -46,6 +46,28 @@ def features(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
+    """Score, first place and place after the last of every maximal-scoring segment, in order and in linear time."""
+    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
+    lower: list[int] = []  # of each: the last one before it whose sum before is lower, or -1
+    total = 0.0
+    for i, s in enumerate(scores):
+        if s > 0:
+            left, right, first = total, total + s, i
+            # what is passed over begins no lower than this one, so no later search has to look at it again
+            j = len(found) - 1
+            while j >= 0 and found[j][0] >= left:
+                j = lower[j]
+            # join with an earlier segment that begins lower, as long as this one ends higher than that
+            while j >= 0 and found[j][1] < right:
+                left, first, back = found[j][0], found[j][2], lower[j]
+                del found[j:], lower[j:]
+                j = back
+            found.append((left, right, first, i + 1)), lower.append(j)
+        total += s
+    return [(r - l, i, e) for l, r, i, e in found]
+
+
 class Model:
     """Log-odds of features, the extreme-value law of clean text and the calibration."""
 
@@ -71,24 +93,7 @@ class Model:
 
     def segments(self, ws: list[str]) -> list[tuple[float, int, int]]:
         """All maximal segments: score, first token, token after the last."""
-        found: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
-        total = 0.0
-        for i, w in enumerate(ws):
-            s = self.token(w)
-            if s > 0:
-                left, right, first, end = total, total + s, i, i + 1
-                # join with an earlier segment that begins lower, if this one ends higher than that
-                while True:
-                    j = len(found) - 1
-                    while j >= 0 and found[j][0] >= left:
-                        j -= 1
-                    if j < 0 or found[j][1] >= right:
-                        found.append((left, right, first, end))
-                        break
-                    left, first = found[j][0], found[j][2]
-                    del found[j:]
-            total += s
-        return [(r - l, i, e) for l, r, i, e in found]
+        return maximal_segments([self.token(w) for w in ws])
 
     def summary(self, text: str | None) -> tuple[float, float, int, list[tuple[float, int, int]]]:
         """Significance of the best segment, of all, tokens, and the significant segments by E-value."""
@@ -109,46 +114,54 @@ class Model:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
 
 
-def log_odds(counts: list[tuple[str, int, int]], n_toxic: float, n_clean: float) -> dict[str, tuple[float, float]]:
-    """Feature -> log-odds and z score, with a Dirichlet prior in proportion to all counts."""
-    if not counts or not n_toxic or not n_clean:
-        return {}
-    t = np.array([c[1] for c in counts], float)
-    c = np.array([c[2] for c in counts], float)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each batch's features by label; the feature "" counts all tokens.
+
+    A word's occurrences in one text are no independent evidence: n of them count 1 + ln n.
+    """
+    for b in batches:
+        toxic, clean = Counter(), Counter()
+        for text, y in arrow_rows([b], "text", "y"):
+            own, into = Counter(tokens(text or "")), toxic if y else clean
+            into[""] += UNIT * sum(own.values())
+            for w, n in own.items():
+                c = round(UNIT * (1 + math.log(n)))
+                for f in features(w):
+                    into[f] += c
+        keys = sorted(toxic.keys() | clean.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["f", "t", "c"])
+
+
+def log_odds(counts: DataFrame, n_toxic: float, n_clean: float) -> DataFrame:
+    """f, d, z: log-odds and z scores of features (f, t, c) with a Dirichlet prior in proportion to all counts; those that are evidence."""
+    t, c = F.col("t") / UNIT, F.col("c") / UNIT
     a = PRIOR * (t + c) / (n_toxic + n_clean) + 0.01
-    d = np.log((t + a) / (n_toxic + PRIOR - t - a)) - np.log((c + a) / (n_clean + PRIOR - c - a))
-    z = d / np.sqrt(1 / (t + a) + 1 / (c + a))
-    # a rough variance hides features that the other side never has: those count by how often they were seen
-    z = np.where((c == 0) & (t >= 3), np.maximum(z, np.sqrt(t) * 1.65), z)
-    order = np.argsort(-np.abs(z), kind="stable")[:FEATURES_MAX]
-    return {counts[i][0]: (float(d[i]), float(z[i])) for i in order if abs(z[i]) >= Z_MIN and not 0 < d[i] < ODDS_MIN}
+    d = F.log((t + a) / (n_toxic + PRIOR - t - a)) - F.log((c + a) / (n_clean + PRIOR - c - a))
+    out = counts.where("f <> ''").select("f", d.alias("d"), (d / F.sqrt(1 / (t + a) + 1 / (c + a))).alias("z"))
+    return out.where((F.abs("z") >= Z_MIN) & ~((F.col("d") > 0) & (F.col("d") < ODDS_MIN)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of a partition each feature is, by label; each text once."""
-    toxic, clean = Counter(), Counter()
-    for text, y in arrow_rows(batches, "text", "y"):
-        (toxic if y else clean).update({f for w in set(tokens(text or "")) for f in features(w)} | {""})
-    keys = sorted(toxic.keys() | clean.keys())
-    for i in range(0, len(keys), 20_000):
-        part = keys[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["f", "t", "c"])
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, y: the labelled sample, each text once, with the majority of its labels, 1 on a tie."""
+    rows = labelled(docs, labels, "toxic", SAMPLE_PER_LABEL).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    return rows.groupBy("text").agg(F.when(F.avg("y") >= 0.5, 1).otherwise(0).alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of at most SAMPLE_PER_LABEL documents of each label; what comes to the driver is bounded."""
+    """The model of at most SAMPLE_PER_LABEL documents of each label. To the driver come the features that are evidence
+    and a row of numbers for each document of the sample; the texts don't."""
     spark = docs.sparkSession
     small_batches(spark)
-    sample = labelled(docs, labels, "toxic", SAMPLE_PER_LABEL).dropDuplicates(["text"]).select("text", "y")
+    sample = saved(training_texts(docs, labels), "sample")
     shares = {r["y"]: r["n"] for r in training_labels(labels, "toxic").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    counts = sample.mapInArrow(_counted, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # texts with and without a feature; the feature "" is in every text
-    kept = counts.where("t + c >= 3").orderBy(F.abs(F.log((F.col("t") + 0.1) / (F.col("c") + 0.1))).desc(), (F.col("t") + F.col("c")).desc(), "f").limit(2 * FEATURES_MAX)
-    rows = [(r["f"], r["t"], r["c"]) for r in kept.unionByName(counts.where("f = ''")).collect()]
-    whole = next(((t, c) for f, t, c in rows if f == ""), (0, 0))
-    model = Model(log_odds(sorted({x for x in rows if x[0]}), *whole))
-    if not whole[0] or not whole[1]:
-        model.curve = (35.0 if whole[0] else -35.0, 0.0, 0.0)
+    counts = saved(sample.mapInArrow(_counted, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "counts")
+    whole = counts.where("f = ''").select(F.col("t") / UNIT, F.col("c") / UNIT).first() or (0, 0)
+    kinds = {r["y"] for r in sample.select("y").distinct().collect()}
+    odds = log_odds(counts, *whole).collect() if whole[0] and whole[1] else []
+    model = Model({f: (d, z) for f, d, z in odds})
+    if len(kinds) < 2:
+        dropped(sample, counts)
+        model.curve = (35.0 if 1 in kinds else -35.0, 0.0, 0.0)
         return model
     shared = spark.sparkContext.broadcast(model)
 
@@ -157,20 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             out = []
             for text, y in arrow_rows([b], "text", "y"):
-                ws = tokens(text or "")
-                out.append((max((s for s, _, _ in m.segments(ws)), default=0.0), len(ws), y, Counter(round(m.token(w), 1) for w in ws)))
-            yield pa.RecordBatch.from_pylist([{"best": s, "n": n, "y": y, "scores": list(map(float, h)), "counts": list(h.values())} for s, n, y, h in out], schema=_SEEN)
+                scores = [m.token(w) for w in tokens(text or "")]
+                h = Counter(round(s, 1) for s in scores)
+                out.append({"best": max((s for s, _, _ in maximal_segments(scores)), default=0.0), "n": len(scores), "y": y, "scores": list(map(float, h)), "counts": list(h.values())})
+            yield pa.RecordBatch.from_pylist(out, schema=_SEEN)
 
     seen = sample.mapInArrow(best_scores, "best double, n long, y int, scores array<double>, counts array<long>").toLocalIterator()
-    best, n, y, token_scores = [], [], [], Counter()
+    rows, token_scores = [], Counter()
     for r in seen:  # at most two samples of numbers
-        best.append(r["best"]), n.append(max(1, r["n"])), y.append(r["y"])
+        rows.append((r["best"], max(1, r["n"]), r["y"]))
         if not r["y"]:
             token_scores.update(dict(zip(r["scores"], r["counts"], strict=True)))
-    y = np.array(y)
+    shared.unpersist()
+    dropped(sample, counts)
+    best, n, y = (np.array(x) for x in zip(*sorted(rows), strict=True))
     # each label weighs as much as it has in the training labels, however many of it were sampled
     weight = np.where(y == 1, shares.get(1, 0) / max(1, (y == 1).sum()), shares.get(0, 0) / max(1, (y == 0).sum()))
-    calibrate(model, np.array(best), np.array(n, float), y, weight * len(y) / max(1.0, weight.sum()), token_scores)
+    calibrate(model, best, n.astype(float), y, weight * len(y) / max(1.0, weight.sum()), token_scores)
     return model
 
 
@@ -220,32 +236,36 @@ def model_of(docs: DataFrame, labels: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
 
+_PASSAGES = pa.list_(pa.struct([("first", pa.int64()), ("tokens", pa.int64()), ("e_value", pa.float64())]))
+
+
 def with_scores(docs: DataFrame, model) -> DataFrame:
-    """All columns of docs, score, and passages: first token, tokens and E-value of each significant segment."""
+    """All columns of docs, score, and passages: first token, tokens and E-value of each significant segment.
+
+    Only the texts go to the Python workers, and only numbers come back.
+    """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("score", "passages")]
-    kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("e_value", T.DoubleType())]))
-    out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType()), T.StructField("passages", kind)])
-    arrow = pa.list_(pa.struct([("first", pa.int64()), ("tokens", pa.int64()), ("e_value", pa.float64())]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in batches:
-            s, p = [], []
-            for (text,) in arrow_rows([b], "text"):
-                best, total, _, found = m.summary(text)
-                s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(p, arrow)], names=[*b.schema.names, "score", "passages"])
+    @F.arrow_udf("struct<score: double, passages: array<struct<first: bigint, tokens: bigint, e_value: double>>>")
+    def judged(texts: pa.Array) -> pa.Array:
+        m, s, p = model.value, [], []
+        for text in texts.to_pylist():
+            best, total, _, found = m.summary(text)
+            s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
+        return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(p, _PASSAGES)], names=["score", "passages"])
 
-    return docs.select(*rest).mapInArrow(score, out)
+    rest = [c for c in docs.columns if c not in ("score", "passages")]
+    # said to be nondeterministic, lest a filter on the score evaluates it once more
+    return docs.select(*rest, judged.asNondeterministic()(docs["text"].cast("string")).alias("_judged")).select(*rest, "_judged.score", "_judged.passages")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, passages (array of first token, tokens, e_value) for every row of docs.
 
     Input: docs (doc_id, text), labels (doc_id, toxic). Null and empty texts have no passage and get the score of none;
-    rows are neither joined nor dropped; without labels of one kind every score is 0 or 1; other columns are ignored.
-    No shuffle of texts beyond the labelled sample.
+    rows are neither joined nor dropped, repeated rows get equal scores; texts of any length are scanned whole, in linear
+    time; of clashing labels of one document or one text the majority counts, 1 on a tie; without labels of one kind every
+    score is 0 or 1; an empty table gives no rows; other columns are ignored. No shuffle of texts beyond the labelled sample.
     """
     scored = with_scores(typed(docs, doc_id="long", text="string"), model_of(docs, labels))
     return scored.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "passages")
