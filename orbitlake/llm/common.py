@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,41 +14,85 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+#: Rows up to which a counted frame of ids or numbers is broadcast.
+BROADCAST_ROWS = 500_000
 _OWN: dict[str, str] = {}
+_MADE: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder. Without one, a temporary folder in local mode and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="orbitlake-shared-"))
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = own.get() if own.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="orbitlake-shared-")
+        at = _OWN["dir"]
     return at.rstrip("/")
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage is cut and lost executors cost nothing."""
+    """Write a frame to the shared folder and read it back: its lineage is cut and lost executors cost nothing.
+
+    The files stay until dropped(), the end of a scoped() block or the end of the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._orbitlake_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files of a frame made by saved() that is needed no more."""
-    path = getattr(df, "_orbitlake_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def _removed(path: str) -> None:
+    spark = _MADE.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Remove the files of frames made by saved() that are needed no more."""
+    for df in frames:
+        _removed(getattr(df, "_orbitlake_path", ""))
+
+
+@contextmanager
+def scoped() -> Iterator[None]:
+    """On leaving, remove what saved() has made inside: for blocks that write their results themselves."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in set(_MADE) - before:
+            _removed(path)
+
+
+@atexit.register
+def _all_removed() -> None:
+    for path in list(_MADE):
+        try:
+            _removed(path)
+        except Exception:  # the session may be gone: the folder's owner cleans up
+            return
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame of few columns of ids or numbers, to be broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of few rows: texts have no length limit, so 10,000 of them have no memory limit."""
+    """Arrow batches of few rows and bytes: texts have no length limit, so 10,000 of them have no memory limit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fold(key: F.Column | str, n: int, keep: int) -> F.Column:
@@ -63,7 +109,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen lately."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -4,14 +4,15 @@
 2. A representative is posted under each coordinate-value pair of its signature. Pairs that nobody shares go, then
    representatives with fewer shared pairs than the match threshold, until nothing goes.
 3. What is left of a signature is ordered by how rare its pairs are. Two signatures that agree in MATCHES coordinates
-   meet within the prefix that ends MATCHES - 1 before the end, so only prefixes are joined.
-4. In each posting list members are counted against one pivot and each member's most frequent pivot is confirmed on the
-   full sets. Lists whose members are in one group already are skipped from then on.
-5. Members of lists that still join several groups are posted anew under the rarest shingles of their full sets, as many
-   as a pair at the threshold can't all miss: passages that many texts share are common and so stay out. After a turn of
-   pivots, what is left is compared exhaustively on full sets, in blocks: by list, or by everything that lists connect
-   where that is fewer comparisons. A task joins what it has linked, and returns only links that join something new.
-6. Groups are the components of the confirmed links.
+   meet within the prefix that ends MATCHES - 1 before the end, so only prefixes are merged.
+4. The posting lists are merged by counting: in each list members meet one pivot, and a member goes on with the pivot that
+   it meets most often. The pair's collisions are then counted over all coordinates; pairs with MATCHES or more are
+   retained, and linked if their full sets confirm it. Lists whose members are in one group already are skipped from then on.
+5. What turns of pivots leave over is merged list by list in blocks: collisions of all members of a block pair are counted
+   in one task, pairs with MATCHES or more are retained and confirmed there on the full sets. Where lists overlap so much
+   that all they connect takes fewer comparisons, they are merged as one. A task joins what it has linked, and returns
+   only links that join something new.
+6. Groups are the components of the confirmed links; each turn contracts what is found before the next.
 """
 
 from __future__ import annotations
@@ -21,18 +22,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import WordHashes, arrow_rows, dropped, mixed, saved, shingles, small_batches, typed, words
+from orbitlake.llm.common import WordHashes, arrow_rows, dropped, mixed, saved, shingles, sized, small_batches, words
 
 #: Coordinates of a signature, and how many must agree: of a pair whose similarity is just 0.75, fewer than 23 of 48 agree
 #: with a chance of about 3 in 100,000; of a pair at 0.8, 2 in 10 million.
 COORDINATES, MATCHES = 48, 23
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of a block in the exhaustive comparison.
-BLOCK = 1024
+#: Members of a block in step 5, and shingles of its sets, at most (a longer set is a block of its own).
+BLOCK, BLOCK_ITEMS = 1024, 1 << 20
+#: Turns of pivots, and rows of one key that go to one task; a hotter key's are dealt to several.
+PIVOTS, HOT = 3, 512
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -48,20 +52,56 @@ def _long(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """file, row, doc_id, text: each row with where it is stored. What isn't read from files as it is, is stored first."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        docs = saved(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), "rows")
+    return docs.select(*_place(), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def _place() -> list:
+    return [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document: the size of its shingle set, a 64-bit key of the set and the set's signature."""
     hashes = WordHashes()
     for b in batches:
-        rows = []
-        for i, at, text in arrow_rows([b], "doc_id", "at", "text"):
+        n, rep, sig = [], [], []
+        for (text,) in arrow_rows([b], "text"):
             s = shingles(hashes.of(words(text)))
-            rows.append((i, at, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None, signature(s).tobytes() if len(s) else None))
+            n.append(len(s))
+            rep.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+            sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array([r[4] for r in rows], pa.binary())],
-            names=["doc_id", "at", "n", "rep", "sig"],
+            [b.column("file"), b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rep, pa.int64()), pa.array(sig, pa.binary())],
+            names=["file", "row", "doc_id", "n", "rep", "sig"],
         )
 
 
+_KEYED = "file long, row long, doc_id long, n long, rep long, sig binary"
+
+
+def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, sa, sb) whose signatures agree in MATCHES coordinates or more."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, COORDINATES) for c in ("sa", "sb"))
+        yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= MATCHES))
+
+
+def _spread(many: DataFrame, few: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+    """many joined with few on key. sizes (key, n) holds how often each key is in many: rows of one that is there more
+    than HOT times are dealt to several parts by a hash of `by`, and its row of few is copied to each part."""
+    hot = saved(sizes.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+    parts = sized(hot)
+    one = F.coalesce("parts", F.lit(1))
+    left = many.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(by), one).cast("int")).drop("parts")
+    right = few.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return left.join(right, [key, "part"]).drop("part")
+
+
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rep and the key of each coordinate-value pair of its signature."""
     salt = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(77))
@@ -111,13 +151,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())
 
 
-def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
+def confirmed(pairs: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those with MATCHES collisions of their signatures or more, and whose full sets link."""
+    sizes = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "sizes")
+    sig = lambda x: nodes.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"))
+    retained = _spread(pairs.join(sig("b"), "b"), sig("a").join(sizes, "a", "left_semi"), "a", "b", sizes)
+    retained = saved(retained.select("a", "b", "sa", "sb").mapInArrow(_collisions, "a long, b long"), "retained")
     one = full.select(F.col("rep").alias("a"), F.col("items").alias("xa"))
     two = full.select(F.col("rep").alias("b"), F.col("items").alias("xb"))
-    joined = pairs.join(two, "b").join(one, "a")
-    sized = joined.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("both"), (F.size("xa") + F.size("xb")).alias("sizes"))
-    return sized.where(100 * F.col("both") >= PERCENT * (F.col("sizes") - F.col("both"))).select("a", "b")
+    joined = _spread(retained.join(two, "b"), one.join(sizes, "a", "left_semi"), "a", "b", sizes)
+    both = joined.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("both"), (F.size("xa") + F.size("xb")).alias("sizes"))
+    out = saved(both.where(100 * F.col("both") >= PERCENT * (F.col("sizes") - F.col("both"))).select("a", "b"), "links")
+    dropped(sizes, retained)
+    return out
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -160,20 +206,34 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each signature of one side agrees with each of the other in MATCHES coordinates or more."""
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(COORDINATES):
+        out += left[:, k, None] == right[None, :, k]
+    return out >= MATCHES
+
+
 def _compared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between two blocks of a group, or within one, that join what nothing else of the task has joined."""
     i, j = key[1].as_py(), key[2].as_py()
     t = pa.Table.from_batches(list(batches))
     block, rep, comp = (t.column(c).to_numpy() for c in ("block", "rep", "comp"))
-    lists = t.column("items").combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     if not len(left) or not len(right):
         return
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(rep), COORDINATES)
+    retained = _agreeing(sig[left], sig[right]) & (comp[left][:, None] != comp[right][None])
+    left, right = left[retained.any(1)], right[retained.any(0)]
+    retained = retained[np.ix_(retained.any(1), retained.any(0))]
+    if not len(left):
+        return
+    lists = t.column("items").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     n = np.array([len(s) for s in sets])
     both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
-    linked = (100 * both >= PERCENT * (n[left][:, None] + n[right][None] - both)) & (comp[left][:, None] != comp[right][None])
+    linked = retained & (100 * both >= PERCENT * (n[left][:, None] + n[right][None] - both))
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -191,103 +251,114 @@ def _compared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _exhaustive(left: DataFrame, full: DataFrame) -> DataFrame:
-    """a, b: links between members of a list that aren't in one group, in blocks of about BLOCK members.
+def _merged(left: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: links between members of a list (key, rep, comp) that aren't in one group, in blocks.
 
     A list of n members takes n * n comparisons. Where all members of connected lists together take fewer than the lists
     one by one, they are one group.
     """
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
-    tied = components(left.join(sizes, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    sizes = saved(left.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")), "sizes")
+    tied = components(_spread(left.select("key", "rep"), sizes.select("key", "hub"), "key", "rep", sizes).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     of = sizes.join(tied, sizes["hub"] == tied["node"]).select("key", "n", F.col("comp").alias("cluster"))
     members = tied.groupBy(F.col("comp").alias("cluster")).agg(F.count("*").alias("members"))
     cost = of.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("cost")).join(members, "cluster")
-    whole = cost.where(F.col("members") * F.col("members") <= F.col("cost")).select("cluster", "members")
-    one = of.join(whole, "cluster", "left").select("key", F.when(F.col("members").isNotNull(), F.col("cluster")).otherwise(F.col("key")).alias("g"), F.coalesce("members", "n").alias("n"))
-    cut = left.join(one, "key").select("g", "n", "rep", "comp").distinct()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    whole = cost.where(F.col("members") * F.col("members") <= F.col("cost")).select("cluster", F.lit(True).alias("whole"))
+    one = of.join(whole, "cluster", "left").select("key", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("g"))
+    cut = saved(_spread(left, one, "key", "rep", sizes).select("g", "rep", "comp").distinct(), "cut")
+    some = cut.select("rep").distinct()
+    sets = saved(full.join(some, "rep").join(nodes.select("rep", "sig"), "rep"), "members")
+    sized_ = cut.join(sets.select("rep", F.size("items").alias("items")), "rep").groupBy("g").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+    groups = saved(sized_.select("g", "n", blocks.alias("blocks")), "groups")
+    cut2 = _spread(cut, groups.select("g", "blocks"), "g", "rep", groups)
+    cut2 = cut2.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # block b meets each block, itself included, in the task of the ordered pair
-    cut = cut.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
-    return cut.join(full, "rep").groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
-
-
-def _rarest(full: DataFrame, reps: DataFrame) -> DataFrame:
-    """key, rep: the rarest shingles of the full sets of reps, as many as two sets that link can't be without a common one."""
-    x = full.join(reps, "rep").select("rep", F.size("items").alias("n"), F.explode("items").alias("key"))
-    often = x.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    own = Window.partitionBy("rep")
-    x = x.join(often, "key").withColumn("at", F.row_number().over(own.orderBy("often", "key"))).withColumn("live", F.count("*").over(own))
-    # shingles that no other has come first
-    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    return x.where(F.col("at") <= prefix - (F.col("n") - F.col("live"))).select("key", "rep")
+    cut2 = cut2.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    out = saved(cut2.join(sets, "rep").groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct(), "links")
+    dropped(sizes, cut, sets, groups)
+    return out
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
-    """key, rep: the posts that are joined, see steps 2 and 3 above."""
+    """key, rep, n: the posts that are merged, see steps 2 and 3 above, and how many representatives have the pair."""
     posts = nodes.select("rep", "sig").mapInArrow(_posted, "key long, rep long")
     for _ in range(2):
-        lists = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = saved(posts.select("key", "rep").join(lists, "key"), "shared")
+        lists = saved(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+        shared = saved(_spread(posts.select("key", "rep"), lists, "key", "rep", lists), "shared")
         enough = shared.groupBy("rep").agg(F.count("*").alias("live")).where(F.col("live") >= MATCHES)
         kept = saved(shared.join(enough, "rep"), "posts")
-        dropped(shared), dropped(posts)
+        dropped(shared, posts, lists)
         posts = kept
     rarest = F.row_number().over(Window.partitionBy("rep").orderBy("n", "key"))
-    out = saved(posts.withColumn("at", rarest).where(F.col("at") <= F.col("live") - MATCHES + 1).select("key", "rep"), "prefixes")
+    out = saved(posts.withColumn("at", rarest).where(F.col("at") <= F.col("live") - MATCHES + 1).select("key", "rep", "n"), "prefixes")
     dropped(posts)
     return out
 
 
-def _links(d: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """Confirmed links (a, b) between representatives, enough to connect every group; None if there are none."""
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (rep, comp, size) with the groups that links (a, b) join; what is in one group already is one node."""
+    a = labels.select(F.col("rep").alias("a"), F.col("comp").alias("x"))
+    b = labels.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
+    new = saved(components(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "contracted")
+    now = labels.join(new, labels["comp"] == new["node"], "left").select("rep", F.coalesce(new["comp"], labels["comp"]).alias("comp"))
+    now = saved(now, "labels")
+    out = saved(now.join(now.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("rep", "comp", "size"), "labels")
+    dropped(now, new)
+    return out
+
+
+def _groups(d: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """rep, comp: the group of each representative that is linked with any, and of some that aren't; None if none is."""
     posts = _prefixes(nodes)
     involved = saved(posts.select("rep").distinct(), "involved")
     if involved.isEmpty():
+        dropped(posts, involved)
         return None
-    # one text of each representative; ids may be repeated, so its set is checked by the key
-    texts = d.select("at", "text").join(nodes.join(involved, "rep").select("rep", "at"), "at").select("rep", "text")
-    full = saved(texts.mapInArrow(_keep_right_text, "rep long, text string").dropDuplicates(["rep"]).mapInArrow(_full, "rep long, items array<bigint>"), "sets")
-    labels = involved.select("rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("size"))
-    links = None
-    for turn in range(4):
-        if turn == 2:
-            posts = saved(_rarest(full, posts.select("rep").distinct()), "rarest")
+    # one text of each representative
+    places = sets.where("rep is not null").join(sized(involved), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("file", "row")).alias("p"))
+    places = saved(places.select("rep", "p.file", "p.row"), "places")
+    texts = d.select("file", "row", "text").join(sized(places), ["file", "row"]).select("rep", "text")
+    full = saved(texts.mapInArrow(_full, "rep long, items array<bigint>"), "sets")
+    some = saved(nodes.join(involved, "rep").select("rep", "sig"), "signatures")
+    labels = saved(involved.select("rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("size")), "labels")
+    for turn in range(PIVOTS + 1):
         mine = posts.join(labels, "rep")
-        lists = (
-            mine.groupBy("key")
-            .agg(F.min(F.struct(-F.col("size"), "comp", "rep")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo <> hi").select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("own"))
-        )
-        left = saved(mine.join(lists, "key"), "lists")
+        # a hot list is reduced in parts first
+        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / HOT)).alias("part")
+        mins = mine.groupBy("key", "n", part).agg(F.min(F.struct(-F.col("size"), "comp", "rep")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        lists = mins.groupBy("key").agg(F.min("p").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n")).where("lo <> hi")
+        lists = saved(lists.select("key", "n", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("own")), "lists")
+        left = saved(_spread(mine, lists.drop("n"), "key", "rep", lists), "left")
+        dropped(posts, lists)
         if left.isEmpty():
+            dropped(left)
             break
-        if turn < 3:
+        if turn < PIVOTS:
             pairs = left.where("comp <> own").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("hits"))
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a"))
-            found = confirmed(pairs.select("a", "b"), full)
+            found = confirmed(pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b"), full, some)
         else:
-            found = _exhaustive(left.select("key", "rep", "comp"), full)
-        found = saved(found, "links")
-        links = found if links is None else links.unionByName(found)
-        now = components(links)
-        sizes = now.groupBy("comp").agg(F.count("*").alias("size"))
-        labels = involved.join(now.join(sizes, "comp").withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("size", F.lit(1).cast("long")).alias("size")
-        )
-        labels = saved(labels, "labels")
-        posts = left.select("key", "rep")
-    return links
-
-
-def _keep_right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for b in batches:
-        ok = []
-        for r, t in arrow_rows([b], "rep", "text"):
-            s = shingles(hashes.of(words(t)))
-            ok.append(len(s) > 0 and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == r)
-        yield b.filter(pa.array(ok, pa.bool_()))
+            found = _merged(left.select("key", "rep", "comp"), full, some)
+        before, labels = labels, _relabelled(labels, found)
+        dropped(before, found)
+        posts = saved(left.select("key", "rep", "n"), "posts")
+        dropped(left)
+    dropped(posts, places, full, some, involved)
+    return labels.select("rep", "comp")
+
+
+def _judged(d: DataFrame) -> DataFrame:
+    """file, row, doc_id, n, comp: each row's set size and group, null without a set."""
+    small_batches(d.sparkSession)
+    sets = saved(d.mapInArrow(_keyed, _KEYED), "keys")
+    # texts with one set are one node; copies meet in partial aggregates, so their number is no matter
+    nodes = saved(sets.where("n > 0").groupBy("rep").agg(F.first("sig").alias("sig")), "nodes")
+    groups = _groups(d, sets, nodes)
+    if groups is not None:
+        out = saved(sets.drop("sig").join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "groups")
+    else:
+        out = saved(sets.drop("sig").withColumn("comp", F.col("rep")), "groups")
+    dropped(sets, nodes)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -297,22 +368,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     make one shingle; null and empty texts and texts of white space have an empty set and are linked with nothing. Equal
     rows are equal documents. Rows that share a doc_id but not a text are documents of their own, each in its text's
     group. A null doc_id is never the smallest of a group that has another; a group of null ids alone, like an empty text
-    with a null id, has a null component and is kept. An empty table gives no rows; other columns are ignored.
+    with a null id, has a null component and is kept. Of pivots that a member meets equally often, the larger key counts.
+    An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    # null ids are found again by their text
-    d = typed(docs, doc_id="long", text="string").withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
-    sets = saved(d.mapInArrow(_keyed, "doc_id long, at long, n long, rep long, sig binary"), "keys")
-    # texts with one set are one node; copies meet in partial aggregates, so their number is no matter
-    nodes = saved(sets.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("sig").alias("sig")), "nodes")
-    links = _links(d, nodes)
-    if links is None:
-        groups = nodes.select("rep", F.col("first").alias("component_id"))
-    else:
-        linked = nodes.select("rep", "first").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
-        groups = saved(linked.join(least, "comp").select("rep", "component_id"), "groups")
-    out = sets.select("doc_id", "n", "rep").join(groups, "rep", "left")
+    rows = _judged(located(docs))
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "comp", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) without all rows but one of each near-duplicate group.
+
+    The row with the smallest doc_id stays, nulls last; of those, one. Rows are told apart by where they are stored, so
+    rows that share a doc_id, have none or are equal in every column are documents of their own. Null and empty texts are
+    in no group and stay. Texts aren't shuffled unless the rows to take out are too many to broadcast.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        docs = saved(docs, "rows")
+    rows = _judged(located(docs))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    stays = rows.where("comp is not null").groupBy("comp").agg(F.min(first).alias("s"), F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(stays.select("comp", F.col("s.file").alias("f"), F.col("s.row").alias("r")), "comp").where("file <> f or row <> r")
+    gone = sized(saved(gone.select(F.col("file").alias("_file"), F.col("row").alias("_row")), "gone"))
+    dropped(rows)
+    file, row = _place()
+    out = docs.select("*", file.alias("_at_file"), row.alias("_at_row"))
+    return out.join(gone, (out["_at_file"] == gone["_file"]) & (out["_at_row"] == gone["_row"]), "left_anti").select(*docs.columns)
