@@ -35,10 +35,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; of rows that are equal in every column, one."""
-    groups = neardup.near_duplicates(docs)
-    gone = groups.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"]).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group: the one with the smallest doc_id, nulls last; of rows with one doc_id, one."""
+    return neardup.one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
