@@ -1,10 +1,12 @@
 """Test items inside documents, by MinHash containment over items partitioned by size.
 
-The signature of a whole long document says nothing about a short item in it (their similarity is below 1/400), so the
-sketch is taken from the short side: an item of n shingles is represented by the m least hashes of its set, m = n minus
-the shingles that must be shared, plus 1. A document that contains enough of an item shares at least one of those, so
-nothing is lost, and m grows with the item's size partition alone. Documents that meet a sketch are verified by exact
-containment of the whole set. DataFrame functions only.
+A shingle's MinHash value is a hash of it. Items are partitioned by the size of their sets, in powers of two. A partition
+has its own signature length: an item is sketched by that many of its least values. It also has its own limit, the largest
+value in any of its signatures, and a document is sketched for a partition by its shingles up to that limit, so both sides
+keep the low end of one order, and a long document keeps enough of it for a short item. The signature is one longer than
+the most shingles that an item of the partition may lack; so a document that contains enough of an item has all of the
+signature but as many as may lack, and this count is the item's threshold: nothing is lost. Pairs that reach it are verified
+by exact containment of the whole set. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import saved, typed
+from orbitlake.llm.common import dropped, saved, sized, typed
 
 #: Words of a shingle, and the least share of an item's shingles that a document must contain, in percent.
 WORDS, PERCENT = 5, 75
+#: How much longer a signature is than the least length; more collisions are asked for in return, so fewer pairs are verified.
+LONGER = 2
 #: Items' shingles up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -48,21 +52,26 @@ def size_partition(n: str | Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
 
-def sketches(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, n, shingle) of all items, and of their sketches alone, with the size partition."""
+def signature_length(part: Column) -> Column:
+    """Of a partition: LONGER times the most shingles that one of its items may lack, plus one."""
+    most = F.pow(F.lit(2), part + 1).cast("long") - 1
+    return F.floor(most * (100 - PERCENT) / 100).cast("long") * LONGER + 1
+
+
+def _value(shingle: Column) -> Column:
+    return F.xxhash64(shingle, F.lit(11))
+
+
+def sketches(items: DataFrame) -> DataFrame:
+    """item_id, n, shingle, value, part, sketch (whether the shingle is in the signature) and threshold, of all items."""
     one = typed(items, item_id="long", text="string").where("text is not null")
     sets = _sets(one, "item_id").select("item_id", F.explode("s").alias("shingle")).distinct()
     n = F.count("*").over(Window.partitionBy("item_id"))
-    order = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle"))
-    full = sets.withColumn("n", n).withColumn("h", F.xxhash64("shingle", F.lit(11))).withColumn("at", order)
-    need = F.ceil(F.col("n") * PERCENT / 100)
-    full = saved(full.withColumn("sketch", F.col("at") <= F.col("n") - need + 1).withColumn("part", size_partition("n")), "items")
-    return full.select("item_id", "n", "shingle"), full.where("sketch").select("item_id", "part", "shingle")
-
-
-def _held(small: DataFrame) -> DataFrame:
-    """Broadcast what is small by count; the rest is left to the planner."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy("value", "shingle"))
+    full = sets.withColumn("n", n).withColumn("value", _value(F.col("shingle"))).withColumn("at", order).withColumn("part", size_partition("n"))
+    length = F.least(signature_length(F.col("part")), F.col("n"))
+    may_lack = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("long")
+    return full.select("item_id", "n", "shingle", "value", "part", (F.col("at") <= length).alias("sketch"), (length - may_lack).alias("threshold"))
 
 
 def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -70,21 +79,33 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Input: docs (doc_id, text), items (item_id, text). Texts with fewer than five words make one shingle; null and empty
     texts have none and neither contain nor are contained; null ids are ids; rows that share an id are one document or
-    item, with the shingles of all; empty tables give no rows; other columns are ignored.
+    item, with the shingles of all; repeated rows and ties of values change nothing; empty tables give no rows; texts have
+    no greatest length; other columns are ignored.
     """
-    full, sketch = sketches(items)
+    full = saved(sketches(items), "items")
+    signatures = full.where("sketch")
+    # a row for each power of two, which is what a partition is
+    limits = signatures.groupBy("part").agg(F.max("value").alias("limit")).orderBy("part").collect()
+    parts = F.array(*(F.struct(F.lit(r["part"]).alias("part"), F.lit(r["limit"]).alias("limit")) for r in limits)).cast("array<struct<part: int, limit: bigint>>")
+    most = max((r["limit"] for r in limits), default=-(1 << 63))
     d = typed(docs, doc_id="long", text="string").where("text is not null")
-    # each shingle that is in any sketch, once, so that shingles which items share multiply nothing here
-    known = _held(sketch.select("shingle").distinct())
-    seen = _sets(d, "doc_id").select("doc_id", F.explode("s").alias("shingle")).join(known, "shingle")
-    candidates = seen.distinct().join(_held(sketch), "shingle").select("doc_id", "item_id").distinct()
-    candidates = saved(candidates, "candidates")
+    low = F.filter("s", lambda x: _value(x) <= F.lit(most))
+    sketched = _sets(d, "doc_id").select("doc_id", F.explode(low).alias("shingle"))
+    sketched = sketched.select("doc_id", "shingle", F.explode(F.transform(F.filter(parts, lambda p: p["limit"] >= _value(F.col("shingle"))), lambda p: p["part"])).alias("part"))
+    # each shingle of a partition once, so that shingles which items share multiply nothing here
+    known = sized(signatures.select("part", "shingle").distinct(), BROADCAST_ROWS)
+    seen = sketched.join(known, ["part", "shingle"]).distinct()
+    met = seen.join(sized(signatures.select("part", "shingle", "item_id", "threshold"), BROADCAST_ROWS), ["part", "shingle"])
+    candidates = met.groupBy("doc_id", "item_id", "threshold").agg(F.count("*").alias("hits")).where("hits >= threshold")
+    candidates = saved(candidates.select("doc_id", "item_id"), "candidates")
     # verification: the candidates' whole texts against their items' whole sets
-    some = candidates.select("doc_id").distinct()
+    some = sized(candidates.select("doc_id").distinct())
     again = d.join(some, d["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
-    found = _sets(again, "doc_id").select("doc_id", F.explode("s").alias("shingle")).join(_held(full.select("shingle").distinct()), "shingle").distinct()
-    shared = found.join(_held(full), "shingle").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    found = _sets(again, "doc_id").select("doc_id", F.explode("s").alias("shingle")).join(sized(full.select("shingle").distinct(), BROADCAST_ROWS), "shingle").distinct()
+    shared = found.join(sized(full.select("item_id", "n", "shingle"), BROADCAST_ROWS), "shingle").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
     sure = shared.where(F.col("n_shared") * 100 >= F.col("n") * PERCENT)
     c = candidates.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
     sure = sure.join(c, sure["doc_id"].eqNullSafe(c["d"]) & sure["item_id"].eqNullSafe(c["i"]), "left_semi")
-    return sure.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared")
+    out = saved(sure.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared"), "contaminations")
+    dropped(full, candidates)
+    return out
