@@ -146,7 +146,8 @@ FROM d
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, against a replica in which one byte of some is changed and some are missing."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    damaged = F.when(F.pmod("page_id", F.lit(101)) == 7, F.concat(F.substring("html", 1, 20), F.lit("\x01"), F.expr("substring(html, 22)"))).otherwise(F.col("html"))
+    body = F.coalesce("html", F.lit(""))
+    damaged = F.when(F.pmod("page_id", F.lit(101)) == 7, F.concat(F.substring(body, 1, 20), F.lit("\x01"), F.substring(body, 22, F.length(body)))).otherwise(body)
     copies = pages.where(~((F.pmod("page_id", F.lit(211)) == 5) & (F.pmod("page_id", F.lit(101)) != 7)))
     return warc.fixity(pages, copies.withColumn("html", damaged))
 

@@ -17,8 +17,8 @@ from orbitlake.llm.common import dropped, saved, typed
 
 #: Children of a node, levels above the leaves, and bytes of a slot: the offset ranges that are leaves' parents.
 FANOUT, LEVELS, SLOT_BYTES = 16, 4, 1 << 16
-#: Page ids of one archive file.
-PAGES_PER_FILE = 512
+#: Page ids of one archive file, and files for records without an id.
+PAGES_PER_FILE, NO_ID_FILES = 512, 1 << 16
 
 
 def record(url: Column, ident: Column, body: Column) -> Column:
@@ -33,23 +33,27 @@ def record(url: Column, ident: Column, body: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame) -> DataFrame:
-    """file, page_id, offset, length, digest of each page's record: the index of an archive in page order.
+def records(pages: DataFrame) -> DataFrame:
+    """file, page_id, length, digest, copies: the records of pages (page_id, url, html), equal ones counted.
 
-    Pages (page_id, url, html) go to files by ranges of page_id, null ids to file -1; inside a file they are ordered by id,
-    then by digest, and equal rows keep their number. Bodies don't leave their tasks: offsets are sums of lengths.
+    Pages go to files by ranges of page_id. A page without an id is known by its digest alone, and goes to one of
+    NO_ID_FILES files by that. Bodies don't leave their tasks, and copies are counted before they are shuffled.
     """
     p = typed(pages, page_id="long", url="string", html="string").withColumn("r", record(F.col("url"), F.col("page_id"), F.col("html")))
-    p = p.select("page_id", F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE), F.lit(-1)).cast("long").alias("file"), F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("digest"))
-    return offsets(p)
+    p = p.select("page_id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("digest"))
+    none = -1 - F.pmod(F.xxhash64("digest"), F.lit(NO_ID_FILES))
+    file = F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE).cast("long"), none.cast("long"))
+    return p.select(file.alias("file"), "page_id", "length", "digest").groupBy("file", "page_id", "length", "digest").agg(F.count("*").alias("copies"))
+
 
+def archive(pages: DataFrame) -> DataFrame:
+    """file, page_id, length, digest, copies, offset: the index of an archive in page order.
 
-def offsets(records: DataFrame) -> DataFrame:
-    """With the byte offset of each record in its file."""
-    w = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    return records.withColumn("copy", F.row_number().over(Window.partitionBy("file", "page_id").orderBy("digest"))).withColumn(
-        "offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    )
+    Inside a file records are ordered by id, then by digest; the copies of a record follow one another from `offset` on.
+    """
+    w = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.col("length") * F.col("copies")
+    return records(pages).withColumn("offset", F.sum(size).over(w) - size)
 
 
 def parse_warc(content: bytes) -> Iterator[dict]:
@@ -97,66 +101,104 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 def tree(index: DataFrame) -> DataFrame:
     """file, level, node, hash: level 0 hashes the records of each offset slot in order, the last level is the root."""
-    rows = index.select("file", F.floor(F.col("offset") / SLOT_BYTES).alias("node"), F.struct("offset", "length", "digest").alias("r"))
+    rows = index.select("file", F.floor(F.col("offset") / SLOT_BYTES).alias("node"), F.struct("offset", "length", "digest", "copies").alias("r"))
     level = rows.groupBy("file", "node").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    level = level.select("file", F.lit(0).alias("level"), "node", F.sha2(F.array_join(F.transform("rs", lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"])), "\n"), 256).alias("hash"))
-    level = saved(level, "tree")
-    out = level
+    line = lambda r: F.concat_ws(":", r["offset"], r["length"], r["digest"], r["copies"])
+    level = level.select("file", F.lit(0).alias("level"), "node", F.sha2(F.array_join(F.transform("rs", line), "\n"), 256).alias("hash"))
+    leaves = saved(level, "tree")
+    out = level = leaves
     for n in range(1, LEVELS + 1):
         # the root takes all that is left, so it is one whatever the file's size
         up = F.floor(F.col("node") / FANOUT) if n < LEVELS else F.lit(0).cast("long")
         above = level.groupBy("file", up.alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("cs"))
         level = above.select("file", F.lit(n).alias("level"), "node", F.sha2(F.array_join(F.transform("cs", lambda c: F.concat_ws(":", c["node"], c["hash"])), "\n"), 256).alias("hash"))
         out = out.unionByName(level)
+    out = saved(out, "tree")
+    dropped(leaves)
     return out
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """file, page_id, copy, offset, length, digest, found, state for each record that the replica hasn't as the primary has it.
-
-    Both are indexes as archive() makes them, the replica's offsets those of the primary's index where it has the record.
-    state: corrupt, missing or extra. Only children of differing nodes are compared on each level.
-    """
-    mine, theirs = saved(tree(primary), "tree"), saved(tree(replica), "tree")
-    a = lambda n: mine.where(F.col("level") == n).select("file", "node", F.col("hash").alias("a"))
-    b = lambda n: theirs.where(F.col("level") == n).select("file", "node", F.col("hash").alias("b"))
+def differing(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """file, node of the offset slots in which two trees differ: roots first, then only children of nodes that differ."""
+    at = lambda t, n, name: t.where(F.col("level") == n).select("file", "node", F.col("hash").alias(name))
     suspect = None
     for n in range(LEVELS, -1, -1):
-        x, y = a(n), b(n)
+        x, y = at(mine, n, "a"), at(theirs, n, "b")
+        before = suspect
         if suspect is not None:
             up = F.floor(F.col("node") / FANOUT) if n + 1 < LEVELS else F.lit(0).cast("long")
             parents = suspect.select("file", F.col("node").alias("up"))
             x = x.withColumn("up", up).join(parents, ["file", "up"], "left_semi").drop("up")
             y = y.withColumn("up", up).join(parents, ["file", "up"], "left_semi").drop("up")
         suspect = saved(x.join(y, ["file", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node"), "suspects")
-    dropped(mine), dropped(theirs)
+        dropped(before)
+    return suspect
+
+
+def placed(primary: DataFrame, copies: DataFrame) -> DataFrame:
+    """The records of copies with offsets in the primary's index: of the equal record, else of the page's first record,
+    else the end of the file."""
+    c = records(copies)
+    same = primary.select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("offset").alias("at"))
+    page = primary.groupBy(F.col("file").alias("f2"), F.col("page_id").alias("p2")).agg(F.min("offset").alias("first"))
+    end = primary.groupBy(F.col("file").alias("f3")).agg(F.max(F.col("offset") + F.col("length") * F.col("copies")).alias("end"))
+    out = c.join(same, (c["file"] == same["f"]) & c["page_id"].eqNullSafe(same["p"]) & (c["digest"] == same["d"]), "left")
+    out = out.join(page, (out["file"] == page["f2"]) & out["page_id"].eqNullSafe(page["p2"]), "left").join(end, out["file"] == end["f3"], "left")
+    return out.select("file", "page_id", "length", "digest", "copies", F.coalesce("at", "first", "end", F.lit(0)).alias("offset"))
+
+
+def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """file, page_id, offset, length, digest, found, state for each record that the replica hasn't as the primary has it.
+
+    Both are indexes: archive() of one, placed() of the other. Only children of differing nodes are compared on each level.
+    Inside differing slots equal digests are matched first, copy by copy. What is left of a page on both sides is paired in
+    the order of digests and corrupt; what the primary alone has is missing, what the replica alone has is extra.
+    """
+    mine, theirs = tree(primary), tree(replica)
+    suspect = differing(mine, theirs)
+    dropped(mine, theirs)
     slot = F.floor(F.col("offset") / SLOT_BYTES).alias("node")
-    left = primary.select("file", slot, "page_id", "copy", "offset", "length", "digest").join(suspect, ["file", "node"], "left_semi").drop("node")
-    right = replica.select("file", slot, "page_id", "copy", F.col("offset").alias("o"), F.col("length").alias("l"), F.col("digest").alias("found")).join(suspect, ["file", "node"], "left_semi").drop("node")
-    r = right.select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("copy").alias("c"), "o", "l", "found")
-    both = left.join(r, (left["file"] == r["f"]) & left["page_id"].eqNullSafe(r["p"]) & (left["copy"] == r["c"]), "full")
+    keys = ["file", "page_id", "digest", "length", "copies", "offset"]
+    left = primary.select(*keys, slot).join(suspect, ["file", "node"], "left_semi")
+    right = replica.select(*keys, slot).join(suspect, ["file", "node"], "left_semi")
+    r = right.select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("length").alias("l"), F.col("offset").alias("o"), F.col("copies").alias("c"))
+    both = left.join(r, (left["file"] == r["f"]) & left["page_id"].eqNullSafe(r["p"]) & (left["digest"] == r["d"]), "full")
+    more = F.coalesce("copies", F.lit(0)) - F.coalesce("c", F.lit(0))
+    both = saved(both.withColumn("more", more).where("more <> 0"), "unequal")
+    number = F.row_number().over(Window.partitionBy("file", "page_id").orderBy("digest", "k"))
+    each = lambda x, n: x.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    a = each(both.where("more > 0"), F.col("more"))
+    # the copies that are left are the last ones
+    a = a.select("file", "page_id", (F.col("offset") + F.col("length") * (F.col("copies") - F.col("more") + F.col("k") - 1)).alias("offset"), "length", "digest", "k").withColumn("at", number)
+    b = each(both.where("more < 0"), -F.col("more")).select(F.col("f").alias("file"), F.col("p").alias("page_id"), F.col("o").alias("offset"), F.col("l").alias("length"), F.col("d").alias("digest"), "k")
+    b = b.withColumn("at", number).select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("at").alias("n"), F.col("offset").alias("o"), F.col("length").alias("l"), F.col("digest").alias("found"))
+    out = a.join(b, (a["file"] == b["f"]) & a["page_id"].eqNullSafe(b["p"]) & (a["at"] == b["n"]), "full")
     state = F.when(F.col("digest").isNull(), "extra").when(F.col("found").isNull(), "missing").otherwise("corrupt")
-    return both.where(~F.col("digest").eqNullSafe(F.col("found"))).select(
-        F.coalesce("file", "f").alias("file"), F.coalesce("page_id", "p").alias("page_id"), F.coalesce("copy", "c").alias("copy"),
-        F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "l").alias("length"), "digest", "found", state.alias("state"),
+    out = out.select(
+        F.coalesce("file", "f").alias("file"), F.coalesce("page_id", "p").alias("page_id"), F.coalesce("offset", "o").alias("offset"),
+        F.coalesce("length", "l").alias("length"), "digest", "found", state.alias("state"),
     )
+    out = saved(out, "damage")
+    dropped(suspect, both)
+    return out
 
 
 def fixity(pages: DataFrame, copies: DataFrame) -> DataFrame:
     """One row for each page's record: file, page_id, offset, length, digest, state (intact, corrupt or missing) in the replica.
 
-    copies holds the replica's pages (page_id, url, html). Null ids and bodies, repeated rows and empty tables are as in
-    archive(); records that the replica alone has come with state extra.
+    copies holds the replica's pages (page_id, url, html). Null bodies and urls are empty; a record without an id is intact
+    or missing, by its digest; equal rows are records of their own, one after another; of a page's equal digests none is
+    corrupt while another is left; empty tables give no rows; bodies have no greatest length; other columns are ignored.
+    Records that the replica alone has come with state extra.
     """
     primary = saved(archive(pages), "primary")
-    c = typed(copies, page_id="long", url="string", html="string").withColumn("r", record(F.col("url"), F.col("page_id"), F.col("html")))
-    c = c.select("page_id", F.coalesce(F.floor(F.col("page_id") / PAGES_PER_FILE), F.lit(-1)).cast("long").alias("file"), F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("digest"))
-    c = c.withColumn("copy", F.row_number().over(Window.partitionBy("file", "page_id").orderBy("digest")))
-    places = primary.select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("copy").alias("c"), "offset")
-    replica = c.join(places, (c["file"] == places["f"]) & c["page_id"].eqNullSafe(places["p"]) & (c["copy"] == places["c"]), "left")
-    replica = saved(replica.select("file", "page_id", "copy", "length", "digest", F.coalesce("offset", F.lit(0)).alias("offset")), "replica")
-    bad = saved(audit(primary, replica), "damage")
-    k = bad.where("state <> 'extra'").select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("copy").alias("c"), "state")
-    whole = primary.join(k, (primary["file"] == k["f"]) & primary["page_id"].eqNullSafe(k["p"]) & (primary["copy"] == k["c"]), "left")
+    replica = saved(placed(primary, copies), "replica")
+    bad = audit(primary, replica)
+    k = bad.where("state <> 'extra'").select(F.col("file").alias("f"), F.col("page_id").alias("p"), F.col("offset").alias("o"), "state")
+    each = primary.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    each = each.select("file", "page_id", (F.col("offset") + F.col("length") * F.col("k")).alias("offset"), "length", "digest")
+    whole = each.join(k, (each["file"] == k["f"]) & each["page_id"].eqNullSafe(k["p"]) & (each["offset"] == k["o"]), "left")
     out = whole.select("file", "page_id", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"))
-    return out.unionByName(bad.where("state = 'extra'").select("file", "page_id", "offset", "length", F.col("found").alias("digest"), "state"))
+    out = saved(out.unionByName(bad.where("state = 'extra'").select("file", "page_id", "offset", "length", F.col("found").alias("digest"), "state")), "fixity")
+    dropped(primary, replica, bad)
+    return out
