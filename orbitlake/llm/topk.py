@@ -4,7 +4,8 @@ Vectors are dealt out by range of length, longest first, and each range is cut i
 range's buckets in order with the k-th best score so far. That score over the two lengths is the cosine that a vector of
 the bucket must reach: above 1, the bucket is pruned by length; if it is high, a few of the query's largest coordinates
 bound the rest (Cauchy and Schwarz) and prune by coordinate; else the bucket is multiplied in whole. Whatever survives is
-verified by its integer product. Queries go in blocks of bounded size.
+verified by its integer product. Queries go in blocks of bounded size. A query's own row takes part in the search, for one
+more place than asked for, and its place is taken out at the end.
 
 Doubles hold those products exactly while two lengths multiply to less than 2**37. Vectors too long for that (WIDE) go
 another way: doubles with an error bound choose the candidates, and Python integers of any size decide among them.
@@ -48,10 +49,12 @@ def quantised(vectors: DataFrame) -> DataFrame:
 class Queries:
     """A block of queries, by dimension: all of them for integer products, first those that aren't wide, and these alone."""
 
-    def __init__(self, rows: list[tuple[int, list[float], float]]):
-        self.groups, self.all = {}, {}
-        for d in {len(q) for _, q, _ in rows}:
-            own = sorted(((i, q, n) for i, q, n in rows if len(q) == d), key=lambda x: x[2] >= WIDE)
+    def __init__(self, rows: list[tuple[int, list[float], float, int]]):
+        self.groups, self.all, self.rows, self.times, self.first = {}, {}, {}, {}, 0
+        for d in {len(q) for _, q, _, _ in rows}:
+            numbered = sorted(((i, q, n, m, at) for at, (i, q, n, m) in enumerate(rows) if len(q) == d), key=lambda x: x[2] >= WIDE)
+            own = [x[:3] for x in numbered]
+            self.times[d], self.rows[d] = [x[3] for x in numbered], [x[4] for x in numbered]
             narrow = sum(n < WIDE for _, _, n in own)
             q = np.array([q for _, q, _ in own], float).reshape(len(own), d)
             self.all[d] = (np.array([i for i, _, _ in own]), q, np.array([n for _, _, n in own], float), narrow)
@@ -85,7 +88,7 @@ class Best:
 
 def scan(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, queries: tuple, best: Best) -> None:
     """One bucket, longest vector first, against all queries of its dimension."""
-    qid, q, qlen, focus, rest = queries
+    _, q, qlen, focus, rest = queries
     bound = lengths[0] if len(lengths) else 0.0
     floor = best.score[:, -1]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -96,13 +99,12 @@ def scan(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, queries: tup
     for x in by_coordinate:
         partial = vectors[:, focus[x]] @ q[x, focus[x]]
         left = np.sqrt(np.maximum(0, lengths**2 - (vectors[:, focus[x]] ** 2).sum(1)))
-        c = np.flatnonzero((partial + left * rest[x] >= floor[x] - 1e-6 * (1 + qlen[x] * bound)) & (ids != qid[x]))
+        c = np.flatnonzero(partial + left * rest[x] >= floor[x] - 1e-6 * (1 + qlen[x] * bound))
         if len(c):
             best.add(np.array([x]), (vectors[c] @ q[x])[None], ids[c][None])
     for at in range(0, len(whole), 512):
         rows = whole[at : at + 512]
         scores = q[rows] @ vectors.T
-        scores[qid[rows][:, None] == ids[None]] = -np.inf
         best.add(rows, scores, np.broadcast_to(ids, scores.shape))
 
 
@@ -133,11 +135,11 @@ class Exact:
         """One bucket against the queries from first to last."""
         if first >= last or not len(ids):
             return
-        # of equal vectors the k with the smallest ids, and one for the query itself
+        # of equal vectors the k with the smallest ids
         order = np.lexsort((ids, np.unique(vectors, axis=0, return_inverse=True)[1].ravel())) if vectors.shape[1] else np.argsort(ids)
         same = np.concatenate([[False], (vectors[order][1:] == vectors[order][:-1]).all(1)])
         at = np.arange(len(order))
-        order = order[at - np.maximum.accumulate(np.where(same, 0, at)) <= self.k]
+        order = order[at - np.maximum.accumulate(np.where(same, 0, at)) < self.k]
         ids, vectors, lengths = ids[order], vectors[order], lengths[order]
         seen: dict[int, list[int]] = {}
         for lo in range(first, last, 512):
@@ -148,13 +150,12 @@ class Exact:
                 error = (vectors.shape[1] + 8) * 2.0**-52 * (self.lengths[rows][:, None] * lengths[None] + 1)
                 low, high = about - error, about + error
             sure = np.isfinite(low) & np.isfinite(high)
-            own = self.ids[rows][:, None] == ids[None]
-            low, high = np.where(sure & ~own, low, -np.inf), np.where(own, -np.inf, np.where(sure, high, np.inf))
+            low, high = np.where(sure, low, -np.inf), np.where(sure, high, np.inf)
             cut = self.floor[rows]
             if len(ids) >= self.k:
                 cut = np.maximum(cut, np.partition(low, len(ids) - self.k, axis=1)[:, -self.k])
             for r, x in enumerate(rows.tolist()):
-                c = np.flatnonzero((high[r] >= cut[r]) & ~own[r]).tolist()
+                c = np.flatnonzero(high[r] >= cut[r]).tolist()
                 if not c:
                     continue
                 if x not in self.whole:
@@ -173,7 +174,7 @@ def _sortable(score: int) -> tuple[int | None, int, bytes]:
     return None, bits if score > 0 else -bits, (score % (1 << bits + 1)).to_bytes(bits // 8 + 1, "big")
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("size", pa.int32()), ("key", pa.binary())])
+_FOUND = pa.schema([("query", pa.int64()), ("times", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("size", pa.int32()), ("key", pa.binary()), ("own", pa.bool_())])
 
 
 def _searcher(shared, k: int):
@@ -202,53 +203,69 @@ def _searcher(shared, k: int):
                         scan(i[w:], v[o[w:]], n[w:], block.groups[d], best[d])
         for d, found in best.items():
             r, c = np.nonzero(np.isfinite(found.score))
-            zeros = pa.array(np.zeros(len(r), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.groups[d][0][r]), pa.array(found.id[r, c]), pa.array((found.score[r, c] * 65536).astype(np.int64)), zeros, pa.array([b""] * len(r), pa.binary())], schema=_FOUND
-            )
-        for e in exact.values():
-            out = [(int(e.ids[x]), i, *_sortable(-s)) for x, own in e.best.items() for s, i in own]
+            score, own = found.score[r, c], (block.groups[d][1] ** 2).sum(1)
+            out = [
+                block.first + np.array(block.rows[d], np.int64)[r], np.array(block.times[d], np.int64)[r], block.groups[d][0][r], found.id[r, c], (score * 65536).astype(np.int64),
+                np.zeros(len(r), np.int32), [b""] * len(r), (found.id[r, c] == block.groups[d][0][r]) & (score == own[r]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, _FOUND, strict=True)], schema=_FOUND)
+        for d, e in exact.items():
+            out = []
+            for x, found in e.best.items():
+                own = sum(v * v for v in whole(e.q[x]))
+                out += [(block.first + block.rows[d][x], block.times[d][x], int(e.ids[x]), i, *_sortable(-s), i == e.ids[x] and -s == own) for s, i in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     return search
 
 
-def _least(vectors: DataFrame) -> DataFrame:
-    """One vector for each id, the least if there are several; equal ones meet in partial aggregates."""
-    one = vectors.groupBy("vec_id").agg(F.min(F.struct("q", "length")).alias("v"))
-    return one.select("vec_id", "v.q", "v.length")
+def _counted(vectors: DataFrame) -> DataFrame:
+    """vec_id, q, length, n: equal rows counted, in partial aggregates first."""
+    return vectors.groupBy("vec_id", "q", "length").agg(F.count("*").alias("n"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other vectors of each query by integer inner product, ties to smaller ids.
+    """query_id, rank, vec_id, score: the k best other rows of each query by integer inner product, ties to smaller ids.
 
     Input: vec_id, embedding in both. Vectors that are null or hold null or non-finite components take no part; a query with
     no other vector of its dimension has no rows. Any finite component counts; a product beyond 64 bits keeps its exact rank
-    and has a null score. Rows that share a vec_id are one vector, the least of them; other columns
-    are ignored; an empty table gives no rows.
+    and has a null score. Every row but the query's own (one with its id and its vector) is a candidate, so rows that share a
+    vec_id, and repeated rows, are candidates and queries of their own; other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    base = _least(quantised(vectors))
-    n = base.count()
+    # of equal rows no more than k and the query itself can be among the best
+    counted = saved(_counted(quantised(vectors)).select("vec_id", "q", "length", F.least("n", F.lit(k + 1)).alias("n")), "counted")
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    base = counted.select("vec_id", "q", "length", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     # longest first; ids part vectors of one length, so a frequent vector is no hot range
     ranges = max(1, -(-n // RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET)))
     base = saved(base.repartitionByRange(ranges, F.col("length").desc(), "vec_id").sortWithinPartitions(F.col("length").desc(), "vec_id"), "vectors")
-    asked = _least(quantised(queries))
-    found, block = None, []
+    asked = _counted(quantised(queries))
+    found, block, first = None, [], 0
 
     def add() -> None:
-        nonlocal found, block
-        shared = spark.sparkContext.broadcast(Queries(block))
-        part = saved(base.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long, size int, key binary"), "found")
+        nonlocal found, block, first
+        own = Queries(block)
+        own.first = first
+        shared = spark.sparkContext.broadcast(own)
+        part = saved(base.mapInArrow(_searcher(shared, k + 1), "query long, times long, query_id long, vec_id long, score long, size int, key binary, own boolean"), "found")
+        shared.unpersist()
+        first += len(block)
         found, block = part if found is None else found.unionByName(part), []
 
     for r in asked.toLocalIterator():
-        block.append((r["vec_id"], r["q"], r["length"]))
+        block.append((r["vec_id"], r["q"], r["length"], r["n"]))
         if len(block) == QUERY_BLOCK:
             add()
     if block or found is None:
         add()
-    dropped(base)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("size").desc(), F.col("score").desc(), F.col("key").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dropped(base, counted)
+    order = (F.col("size").desc(), F.col("score").desc(), F.col("key").desc(), "vec_id", F.col("own").desc())
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    best = found.withColumn("place", place).where(F.col("place") <= k + 1)
+    self = F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))
+    rank = F.when(F.col("place") > F.coalesce("self", F.lit(k + 2)), F.col("place") - 1).otherwise(F.col("place"))
+    best = best.withColumn("self", self).where(~F.col("place").eqNullSafe(F.col("self"))).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    best = best.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -302,3 +302,71 @@ def test_long_words_go_through_the_lattice(spark):
         assert got[i]["ids"] == want
     back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encode(docs(spark, list(enumerate(texts))))).collect()}
     assert back == dict(enumerate(texts))
+
+
+def test_top_k_of_shared_ids(spark):
+    """Rows that share an id are candidates and queries of their own; a repeated query has its twin among its best."""
+    r = random.Random(3)
+    rows = [(i % 40 + 30, [r.uniform(-1, 1) for _ in range(4)]) for i in range(90)] + [(50, [0.5, 0.25, 0.0, 1.0])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(tuple(x) for x in topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for a, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for b, (i, w) in enumerate(whole) if b != a)[:5]
+            want.update((q, k, i, -s) for k, (s, i) in enumerate(best, 1))
+    assert got == want
+
+
+def test_damaged_copy_is_told_from_the_intact_one(spark):
+    """Of two records of one page one is damaged, whatever the order of digests; equal copies go missing one by one."""
+    rows = [(5, "u", f"body {i}") for i in range(2)] + [(9, "u", "same")] * 3 + [(None, "u", "x"), (None, "u", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in range(6):
+        bad = [(5, "u", "body 0"), (5, "u", f"body 1 broken {n}"), (9, "u", "same"), (9, "u", "same"), (None, "u", "x")]
+        out = warc.fixity(df, spark.createDataFrame(bad, "page_id long, url string, html string")).collect()
+        assert Counter((r["page_id"], r["state"]) for r in out) == Counter({(5, "intact"): 1, (5, "corrupt"): 1, (9, "intact"): 2, (9, "missing"): 1, (None, "intact"): 1, (None, "missing"): 1})
+
+
+def test_decontamination_of_odd_tables(spark):
+    schema = "item_id long, text string, n long, shingle string"
+    empty = spark.createDataFrame([], schema)
+    assert decontaminate.contaminations(docs(spark, EDGE), empty).count() == 0
+    items = [(i, prose(700 + i, 8 * 2**i)) for i in range(6)]
+    item = spark.createDataFrame([(*r, 1, "clash") for r in items], schema)
+    long_text = prose(1, 30_000) + " " + " ".join(t for _, t in items) + " " + prose(2, 30_000)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(docs(spark, [(1, long_text), (2, prose(3, 400)), (None, items[3][1])]), item).collect()}
+    assert got == {(1, i) for i in range(6)} | {(None, 3)}
+
+
+def test_maximal_segments():
+    """The linear scan against the definition, and in linear time."""
+    import time
+
+    def brute(xs, lo, hi):
+        # the best segment of the widest sum, then the same left and right of it
+        best, at = 0.0, None
+        for a in range(lo, hi):
+            total = 0.0
+            for b in range(a, hi):
+                total += xs[b]
+                if total > best + 1e-9:
+                    best, at = total, (a, b + 1)
+        if at is None:
+            return []
+        return brute(xs, lo, at[0]) + [at] + brute(xs, at[1], hi)
+
+    r = random.Random(4)
+    for _ in range(200):
+        xs = [r.choice([-3, -2, -1, -1, 1, 2]) + r.random() / 7 for _ in range(r.randrange(25))]
+        got = toxicity.maximal_segments(xs)
+        assert [(a, b) for _, a, b in got] == brute(xs, 0, len(xs))
+        assert all(abs(s - sum(xs[a:b])) < 1e-9 for s, a, b in got)
+    seconds = []
+    for n in (200_000, 800_000):
+        xs = [1.0 if i % 3 == 0 else -0.6 for i in range(n)]
+        began = time.perf_counter()
+        toxicity.maximal_segments(xs)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 12 * max(seconds[0], 0.01)
