@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from orbitlake.llm.common import arrow_rows
 
-#: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text of a block, unless its user says otherwise.
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose requests one key range holds, about, and the least number of ranges.
 RANGE_BYTES, RANGES_MIN = 64 << 20, 256
 _BUNDLES = pa.schema([("block", pa.int64()), ("fold", pa.int32()), ("data", pa.binary())])
@@ -67,7 +67,7 @@ def ranges(docs: DataFrame) -> int:
     return max(RANGES_MIN, -(-total // RANGE_BYTES))
 
 
-def bundled(docs: DataFrame) -> DataFrame:
+def bundled(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     """block, fold, data: documents (doc_id, text, fold) in compressed blocks of one fold each.
 
     No shuffle. A block's number is its partition and its place in it, so a task that runs again writes the same blocks.
@@ -88,7 +88,7 @@ def bundled(docs: DataFrame) -> DataFrame:
             own = held.setdefault(f, [[], [], 0])
             own[0].append(i), own[1].append(text)
             own[2] += len(text or "")
-            if own[2] >= BLOCK_BYTES:
+            if own[2] >= size:
                 yield close(f)
         for f in sorted(held):
             yield close(f)

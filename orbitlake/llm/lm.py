@@ -20,8 +20,8 @@ from orbitlake.llm.common import WordHashes, dropped, fold, mixed, saved, small_
 
 #: Folds of documents: those whose counts stay, those that the weights are learnt on, and those that nothing is learnt from.
 KEPT, DELETED, UNSEEN = 0, 1, 2
-#: Steps of the histogram of ratios, an octave; EM rounds.
-STEPS, ROUNDS = 4, 60
+#: EM rounds at most, the gain in log-likelihood a token at which they end, and the weight that all estimates share.
+ROUNDS, GAIN, FLOOR = 40, 1e-6, 0.001
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a bigram's key: the upper 48.
@@ -83,10 +83,9 @@ def _requester(ranges: int):
     def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         for order, (keys, counts, _) in enumerate(_asked(*token_keys(texts, hashes)), UNIGRAM):
             cut = _cuts(keys, ranges)
-            for r in range(ranges):
+            for r in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[r], cut[r + 1]
-                if a < b:
-                    yield order, r, _packed(keys[a:b], counts[a:b])
+                yield order, r, _packed(keys[a:b], counts[a:b])
 
     return requests
 
@@ -151,35 +150,52 @@ def _estimates(both, context, one, n: float, v: float) -> tuple[np.ndarray, np.n
     return np.where(context > 0, both / np.maximum(context, 1), 0.0), one / max(n, 1.0), 1.0 / (v + 1)
 
 
-def _histogram(totals: dict):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, _, both, context, one = _block(left, right, 1, WordHashes())
-        p2, p1, p0 = _estimates(both, context, one, totals["kept"], totals["v"])
-        step = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300) / p0) * STEPS), -9999).astype(np.int64)
-        key, n = np.unique(np.stack([_bucket(context), step(p2), step(p1)]), axis=1, return_counts=True)
-        return pa.table({"bucket": key[0], "r2": key[1], "r1": key[2], "n": n})
-
-    return run
-
-
-def mixture(rows: list[tuple[int, int, int, int]]) -> dict[int, tuple[float, float, float]]:
-    """Weights of the bigram, unigram and uniform estimates in each bucket, by EM over (bucket, r2, r1, n)."""
-    h = np.array(rows, np.int64).reshape(-1, 4)
-    out = {}
-    for b in np.unique(h[:, 0]):
-        own = h[h[:, 0] == b]
-        p = np.stack([np.where(own[:, k] > -9999, 2.0 ** (own[:, k] / STEPS), 0.0) for k in (1, 2)] + [np.ones(len(own))])
-        w = np.array([1.0, 1.0, 1.0]) / 3
-        for _ in range(ROUNDS):
-            mix = w[:, None] * p
-            w = (mix / mix.sum(0) * own[:, 3]).sum(1) / own[:, 3].sum()
-        w = 0.999 * w + 0.001 / 3  # nothing is impossible
-        out[int(b)] = tuple(map(float, w))
-    return out
+def _held_counts(left: pa.Table, right: pa.Table) -> pa.Table:
+    """How often each triple of kept counts c(u, w), c(u), c(w) meets a token of a block that they haven't seen."""
+    _, _, both, context, one = _block(left, right, 1, WordHashes())
+    key, n = np.unique(np.stack([both, context, one]).astype(np.int64), axis=1, return_counts=True)
+    return pa.table({"bucket": _bucket(key[1]), "both": key[0], "context": key[1], "one": key[2], "n": n})
+
+
+def mixture(held: DataFrame, n: float, v: float) -> dict[int, tuple[float, float, float]]:
+    """Weights of the bigram, unigram and uniform estimates in each bucket, by expectation maximisation over the held-out
+    counts (bucket, both, context, one, n): a round is one aggregation, and only sums by bucket come to the driver."""
+    held = held.select(
+        "bucket", "n", F.when(F.col("context") > 0, F.col("both") / F.col("context")).otherwise(0.0).alias("p2"),
+        (F.col("one") / max(n, 1.0)).alias("p1"), F.lit(1.0 / (v + 1)).alias("p0"),
+    )
+    sizes = {r["bucket"]: r["n"] for r in held.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most 65 rows
+    # a context never seen has no bigram estimate
+    weights = {b: (0.0, 0.5, 0.5) if b == 0 else (1 / 3, 1 / 3, 1 / 3) for b in sizes}
+    before = -np.inf
+    for _ in range(ROUNDS if sizes else 0):
+        table = F.create_map(*(F.lit(x) for b in sorted(weights) for x in (b, list(weights[b]))))
+        own = held.withColumn("w", table[F.col("bucket")])
+        parts = [F.col("w")[k] * F.col(p) for k, p in enumerate(("p2", "p1", "p0"))]
+        own = own.withColumn("mix", parts[0] + parts[1] + parts[2])
+        sums = own.groupBy("bucket").agg(*(F.sum(x / F.col("mix") * F.col("n")).alias(f"s{k}") for k, x in enumerate(parts)), F.sum(F.log("mix") * F.col("n")).alias("fit"))
+        rows = sums.collect()
+        weights = {r["bucket"]: tuple(r[f"s{k}"] / sizes[r["bucket"]] for k in range(3)) for r in rows}
+        fit = sum(r["fit"] for r in rows) / sum(sizes.values())
+        if fit - before < GAIN:
+            break
+        before = fit
+    # nothing is impossible
+    return {b: tuple(float((1 - FLOOR) * x + FLOOR * y) for x, y in zip(w, (0, 0.5, 0.5) if b == 0 else (1 / 3,) * 3, strict=True)) for b, w in weights.items()}
+
+
+def weight_of(weights: dict, bucket: int) -> tuple[float, float, float]:
+    """The weights of a bucket, or of the next lower one that any held-out token was in; context 0 has no bigram estimate."""
+    if bucket in weights:
+        return weights[bucket]
+    if bucket == 0:
+        return (0.0, 0.9, 0.1)
+    lower = [b for b in weights if 0 < b < bucket]
+    return weights[max(lower)] if lower else (0.4, 0.5, 0.1)
 
 
 def _scorer(totals: dict, weights: dict):
-    table = np.array([weights.get(b, weights.get(max((x for x in weights if x <= b), default=-1), (0.4, 0.5, 0.1))) for b in range(66)])
+    table = np.array([weight_of(weights, b) for b in range(66)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, ends, both, context, one = _block(left, right, 0, WordHashes())
@@ -220,8 +236,9 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, deleted: int = 3) -
     def joined(where: str, run, schema: str) -> DataFrame:
         return bundles.where(where).groupBy("block").cogroup(replies.where(where).groupBy("block")).applyInArrow(run, schema)
 
-    seen = joined(f"fold = {DELETED}", _histogram(t), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
-    weights = mixture([tuple(r) for r in seen.collect()])  # bounded: buckets and steps of ratios
+    seen = joined(f"fold = {DELETED}", _held_counts, "bucket long, both long, context long, one long, n long")
+    seen = saved(seen.groupBy("bucket", "both", "context", "one").agg(F.sum("n").alias("n")), "held")
+    weights = mixture(seen, t["kept"], t["v"])
     out = saved(joined("true", _scorer(t, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores")
-    dropped(bundles), dropped(answers)
+    dropped(bundles, answers, seen)
     return out.select("doc_id", fold("doc_id", modulus, held).alias("held_out"), "n_tokens", "n_known", F.lit(t["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -33,6 +33,8 @@ MODEL = os.environ.get("ORBITLAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a word that are exploded together, and entries of an array that the fold appends to: long words take
 #: time in proportion to their length, not to its square.
 SEGMENT, CHUNK = 256, 1024
+#: Bytes of text of a block: larger ones ask less often for the same words.
+BLOCK_BYTES = 8 << 20
 #: Characters of a text that are looked at together, about.
 PART = 1 << 20
 SPACE = "▁"
@@ -354,7 +356,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     except AnalysisException:  # blocks are made twice, so they are made of what is stored, which every reading gives alike
         d = saved(d, "rows")
     n = blocks.ranges(d)
-    bundles = blocks.bundled(d.withColumn("fold", F.lit(0)))  # made twice, which costs less than keeping a copy
+    bundles = blocks.bundled(d.withColumn("fold", F.lit(0)), BLOCK_BYTES)  # made twice, which costs less than keeping a copy
     asked = saved(blocks.requested(bundles, _requester(n, path)).select("k", "block", "data"), "requests")
     words = asked.groupBy("k").applyInArrow(_distinct, "k long, w long, word string")
     with _hashed_groups(spark):

@@ -370,3 +370,46 @@ def test_maximal_segments():
         toxicity.maximal_segments(xs)
         seconds.append(time.perf_counter() - began)
     assert seconds[1] < 12 * max(seconds[0], 0.01)
+
+
+def test_lm_scores_by_brute_force(spark):
+    """The score with weights learnt by EM over held-out counts, all in a loop."""
+    rows = [(i, prose(i, 20 + i % 30, "to be or not that is the question whether".split())) for i in range(120)] + [(None, None), (500, "unheard of"), (501, "")]
+    part = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7
+    said = [(i, (t or "").split() + ["</s>"]) for i, t in rows]
+    pairs = lambda w: list(zip(["<s>", *w[:-1]], w))
+
+    def counts(keep):
+        own = [w for i, w in said if keep(part(i))]
+        one = Counter(x for w in own for x in w)
+        return one, Counter(p for w in own for p in pairs(w)), Counter(u for w in own for u, _ in pairs(w))
+
+    bucket = lambda c: c.bit_length()
+
+    def estimates(u, w, one, two, context, n, v):
+        return (two[u, w] / context[u] if context[u] else 0.0, one[w] / n, 1 / (v + 1))
+
+    all_, kept = counts(lambda r: r != 2), counts(lambda r: r not in (2, 3))
+    v, n_kept, n = len(all_[0]), sum(kept[0].values()), sum(all_[0].values())
+    held = [(bucket(kept[2][u]), estimates(u, w, *kept, n_kept, v)) for i, ws in said if part(i) == 3 for u, w in pairs(ws)]
+    weights = {b: (0.0, 0.5, 0.5) if b == 0 else (1 / 3,) * 3 for b, _ in held}
+    before = -math.inf
+    for _ in range(lm.ROUNDS):
+        sums, fit = {b: [0.0] * 4 for b in weights}, 0.0
+        for b, p in held:
+            mix = sum(x * y for x, y in zip(weights[b], p))
+            fit += math.log(mix) / len(held)
+            for k in range(3):
+                sums[b][k] += weights[b][k] * p[k] / mix
+            sums[b][3] += 1
+        weights = {b: tuple(x / s[3] for x in s[:3]) for b, s in sums.items()}
+        if fit - before < lm.GAIN:
+            break
+        before = fit
+    weights = {b: tuple((1 - lm.FLOOR) * x + lm.FLOOR * y for x, y in zip(w, (0, 0.5, 0.5) if b == 0 else (1 / 3,) * 3)) for b, w in weights.items()}
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in lm.scores(docs(spark, rows)).collect())
+    want = Counter()
+    for i, ws in said:
+        total = sum(math.log10(sum(x * y for x, y in zip(lm.weight_of(weights, bucket(all_[2][u])), estimates(u, w, *all_, n, v)))) for u, w in pairs(ws))
+        want[i, len(ws), round(total, 6)] += 1
+    assert got == want
