@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import arrow_rows
+from orbitlake.llm.common import arrow_rows, lean
 
 #: Bytes of text of a block, unless its user says otherwise.
 BLOCK_BYTES = 4 << 20
@@ -93,7 +93,7 @@ def bundled(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         for f in sorted(held):
             yield close(f)
 
-    return docs.mapInArrow(run, "block long, fold int, data binary")
+    return docs.mapInArrow(lean(run), "block long, fold int, data binary")
 
 
 def requested(bundles: DataFrame, requests: Callable[[list[str]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
@@ -104,4 +104,4 @@ def requested(bundles: DataFrame, requests: Callable[[list[str]], Iterator[tuple
             rows = [{"kind": a, "k": k, "block": block, "fold": f, "data": d} for a, k, d in requests([t for _, t in unpack_docs(data)])]
             yield pa.RecordBatch.from_pylist(rows, schema=_REQUESTS)
 
-    return bundles.mapInArrow(run, "kind int, k long, block long, fold int, data binary")
+    return bundles.mapInArrow(lean(run), "kind int, k long, block long, fold int, data binary")

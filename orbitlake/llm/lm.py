@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitlake.llm import blocks
-from orbitlake.llm.common import WordHashes, dropped, fold, mixed, saved, small_batches, typed, words
+from orbitlake.llm.common import WordHashes, dropped, fold, lean_group, lean_pair, mixed, saved, small_batches, typed, words
 
 #: Folds of documents: those whose counts stay, those that the weights are learnt on, and those that nothing is learnt from.
 KEPT, DELETED, UNSEEN = 0, 1, 2
@@ -229,12 +229,12 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, deleted: int = 3) -
     part = F.when(fold("doc_id", modulus, held), UNSEEN).when(fold("doc_id", modulus, deleted), DELETED).otherwise(KEPT)
     bundles = saved(blocks.bundled(d.withColumn("fold", part)), "blocks")
     asked = blocks.requested(bundles, _requester(blocks.ranges(d)))
-    answers = saved(asked.select(F.col("kind").alias("order"), "k", "block", "fold", "data").groupBy("order", "k").applyInArrow(_answer, _ANSWER_SQL), "answers")
+    answers = saved(asked.select(F.col("kind").alias("order"), "k", "block", "fold", "data").groupBy("order", "k").applyInArrow(lean_group(_answer), _ANSWER_SQL), "answers")
     t = answers.where("block is null and order = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "kept"))).first().asDict()
     replies = answers.where("block is not null").select("block", "fold", "order", "r", "data")
 
     def joined(where: str, run, schema: str) -> DataFrame:
-        return bundles.where(where).groupBy("block").cogroup(replies.where(where).groupBy("block")).applyInArrow(run, schema)
+        return bundles.where(where).groupBy("block").cogroup(replies.where(where).groupBy("block")).applyInArrow(lean_pair(run), schema)
 
     seen = joined(f"fold = {DELETED}", _held_counts, "bucket long, both long, context long, one long, n long")
     seen = saved(seen.groupBy("bucket", "both", "context", "one").agg(F.sum("n").alias("n")), "held")

@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import WordHashes, arrow_rows, dropped, mixed, saved, shingles, sized, small_batches, words
+from orbitlake.llm.common import WordHashes, arrow_rows, dropped, lean, lean_group, mixed, saved, shingles, sized, small_batches, words
 
 #: Coordinates of a signature, and how many must agree: of a pair whose similarity is just 0.75, fewer than 23 of 48 agree
 #: with a chance of about 3 in 100,000; of a pair at 0.8, 2 in 10 million.
@@ -156,7 +156,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "sizes")
     sig = lambda x: nodes.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"))
     retained = _spread(pairs.join(sig("b"), "b"), sig("a").join(sizes, "a", "left_semi"), "a", "b", sizes)
-    retained = saved(retained.select("a", "b", "sa", "sb").mapInArrow(_collisions, "a long, b long"), "retained")
+    retained = saved(retained.select("a", "b", "sa", "sb").mapInArrow(lean(_collisions), "a long, b long"), "retained")
     one = full.select(F.col("rep").alias("a"), F.col("items").alias("xa"))
     two = full.select(F.col("rep").alias("b"), F.col("items").alias("xb"))
     joined = _spread(retained.join(two, "b"), one.join(sizes, "a", "left_semi"), "a", "b", sizes)
@@ -274,14 +274,14 @@ def _merged(left: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
     cut2 = cut2.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # block b meets each block, itself included, in the task of the ordered pair
     cut2 = cut2.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
-    out = saved(cut2.join(sets, "rep").groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct(), "links")
+    out = saved(cut2.join(sets, "rep").groupBy("g", "i", "j").applyInArrow(lean_group(_compared), "a long, b long").distinct(), "links")
     dropped(sizes, cut, sets, groups)
     return out
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
     """key, rep, n: the posts that are merged, see steps 2 and 3 above, and how many representatives have the pair."""
-    posts = nodes.select("rep", "sig").mapInArrow(_posted, "key long, rep long")
+    posts = nodes.select("rep", "sig").mapInArrow(lean(_posted), "key long, rep long")
     for _ in range(2):
         lists = saved(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
         shared = saved(_spread(posts.select("key", "rep"), lists, "key", "rep", lists), "shared")
@@ -318,7 +318,7 @@ def _groups(d: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame | None
     places = sets.where("rep is not null").join(sized(involved), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("file", "row")).alias("p"))
     places = saved(places.select("rep", "p.file", "p.row"), "places")
     texts = d.select("file", "row", "text").join(sized(places), ["file", "row"]).select("rep", "text")
-    full = saved(texts.mapInArrow(_full, "rep long, items array<bigint>"), "sets")
+    full = saved(texts.mapInArrow(lean(_full), "rep long, items array<bigint>"), "sets")
     some = saved(nodes.join(involved, "rep").select("rep", "sig"), "signatures")
     labels = saved(involved.select("rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("size")), "labels")
     for turn in range(PIVOTS + 1):
@@ -349,7 +349,7 @@ def _groups(d: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame | None
 def _judged(d: DataFrame) -> DataFrame:
     """file, row, doc_id, n, comp: each row's set size and group, null without a set."""
     small_batches(d.sparkSession)
-    sets = saved(d.mapInArrow(_keyed, _KEYED), "keys")
+    sets = saved(d.mapInArrow(lean(_keyed), _KEYED), "keys")
     # texts with one set are one node; copies meet in partial aggregates, so their number is no matter
     nodes = saved(sets.where("n > 0").groupBy("rep").agg(F.first("sig").alias("sig")), "nodes")
     groups = _groups(d, sets, nodes)

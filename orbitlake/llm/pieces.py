@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.llm import blocks
-from orbitlake.llm.common import mixed, saved, small_batches, typed
+from orbitlake.llm.common import lean_group, lean_pair, mixed, saved, small_batches, typed
 
 #: The vocabulary file; the environment or a parameter names another.
 MODEL = os.environ.get("ORBITLAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Characters of a word that are exploded together, and entries of an array that the fold appends to: long words take
 #: time in proportion to their length, not to its square.
 SEGMENT, CHUNK = 256, 1024
+#: Characters up to which the fold carries the ids of each way along; beyond, it keeps back pointers.
+SHORT = 64
 #: Bytes of text of a block: larger ones ask less often for the same words.
 BLOCK_BYTES = 8 << 20
 #: Characters of a text that are looked at together, about.
@@ -150,7 +152,8 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[
     table, _, _, unknown = pieces(path)
     longest = max(map(len, table))
     rows = [(p, i, s) for p, (i, s) in table.items()]
-    known = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # as many as the vocabulary has
+    known = spark.createDataFrame(rows, "known string, id int, score double").withColumn("key", F.xxhash64("known"))
+    known = F.broadcast(known)  # as many as the vocabulary has
     # a segment has the edges that begin in it
     segments = F.transform(
         F.sequence(F.lit(0), F.floor((F.char_length("word") - 1) / SEGMENT).cast("int")),
@@ -160,45 +163,74 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[
     starts = cut.select(*by, "at", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(SEGMENT), F.char_length("text")))).alias("p"))
     sub = starts.select(*by, "at", "text", "p", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("text") - F.col("p") + 1))).alias("n"))
     sub = sub.select(*by, (F.col("at") + F.col("p") + F.col("n") - 1).alias("end"), "n", F.expr("substring(text, p, n)").alias("piece"))
-    edges = sub.join(known, "piece", "left").where("id is not null or n = 1").select(
-        *by,
-        F.struct(F.col("end").cast("int").alias("end"), (-F.col("n")).cast("int").alias("n"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score")).alias("e"),
+    # a number is looked up faster than a text, which is compared after
+    met = sub.withColumn("key", F.xxhash64("piece")).join(known, "key", "left")
+    met = met.withColumn("id", F.when(F.col("piece") == F.col("known"), F.col("id"))).where("id is not null or n = 1")
+    edge = F.struct(
+        F.col("end").cast("int").alias("end"), (-F.col("n")).cast("int").alias("n"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
+        F.when(F.col("id").isNull(), F.lit(unknown)).otherwise(F.col("score")).alias("score"),
     )
-    grouped = edges.groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("es"))
+    grouped = met.select(*by, edge.alias("e")).groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("es"))
+    way = F.when(F.element_at("es", -1)["end"] <= SHORT, _short_way(F.col("es"))).otherwise(_long_way(F.col("es"), longest))
+    return grouped.select(*by, way.alias("ids"))
+
+
+def _short_way(edges: Column) -> Column:
+    """Viterbi over edges by end, longest first: the state has the best way to each end reached so far."""
 
     def fold(s: Column, e: Column) -> Column:
-        # edges come by end, longest first; `now` has an entry for each end from `at` to the last one reached
+        before = F.element_at(s, e["end"] + e["n"] + 1)
+        cand = before["best"] + e["score"]
+        entry = F.array(F.struct(cand.alias("best"), F.concat(before["ids"], F.array(e["id"])).alias("ids")))
+        better = F.concat(F.slice(s, F.lit(1), e["end"]), entry)
+        return F.when(F.size(s) <= e["end"], F.concat(s, entry)).when(cand > F.element_at(s, -1)["best"], better).otherwise(s)
+
+    zero = F.array(F.struct(F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("ids")))
+    return F.aggregate(edges, zero, fold, lambda s: F.element_at(s, -1)["ids"])
+
+
+def _long_way(edges: Column, longest: int) -> Column:
+    """The same with back pointers, appended to arrays of at most about CHUNK entries, and a walk back."""
+
+    def fold(s: Column, e: Column) -> Column:
+        # `now` has an entry for each end from `at` to the last one reached
         now, at = s["now"], s["at"]
         cand = F.element_at(now, e["end"] + e["n"] + 1 - at)["best"] + e["score"]
         entry = F.array(F.struct(cand.alias("best"), e["id"].alias("id"), (-e["n"]).alias("n")))
-        new = F.concat(F.slice(now, F.lit(1), e["end"] - at), entry)
         gone = F.size(now) - longest  # entries that no later edge begins at
         full = F.struct(F.concat(F.slice(now, gone + 1, F.lit(longest)), entry).alias("now"), F.concat(s["old"], F.array(F.slice(now, F.lit(1), gone))).alias("old"), (at + gone).alias("at"))
         begins = F.size(now) + at <= e["end"]
+        put = lambda kept: F.struct(F.concat(kept, entry).alias("now"), s["old"].alias("old"), at.alias("at"))
         return (
             F.when(begins & (F.size(now) > CHUNK), full)
-            .when(begins | (cand > F.element_at(now, -1)["best"]), F.struct(new.alias("now"), s["old"].alias("old"), at.alias("at")))
+            .when(begins, put(now))
+            .when(cand > F.element_at(now, -1)["best"], put(F.slice(now, F.lit(1), e["end"] - at)))
             .otherwise(s)
         )
 
-    entry = "struct<best: double, id: int, n: int>"
-    zero = F.struct(F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("id"), F.lit(0).alias("n"))).alias("now"), F.array().cast(f"array<array<{entry}>>").alias("old"), F.lit(0).alias("at"))
-    done = grouped.select(*by, F.aggregate("es", zero, fold, lambda s: F.when(F.size(s["old"]) == 0, s["now"]).otherwise(F.concat(F.flatten(s["old"]), s["now"]))).alias("v"))
-
-    def step(s: Column, _: Column) -> Column:
-        top = F.element_at("v", s["at"] + 1)
-        full = F.size(s["ids"]) >= CHUNK
-        return F.when(s["at"] <= 0, s).otherwise(
-            F.struct(
-                (s["at"] - top["n"]).alias("at"),
-                F.concat(F.when(full, F.array().cast("array<int>")).otherwise(s["ids"]), F.array(top["id"])).alias("ids"),
-                F.when(full, F.concat(s["old"], F.array(s["ids"]))).otherwise(s["old"]).alias("old"),
+    zero = F.struct(
+        F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("id"), F.lit(0).alias("n"))).alias("now"),
+        F.array().cast("array<array<struct<best: double, id: int, n: int>>>").alias("old"), F.lit(0).alias("at"),
+    )
+
+    def walk(v: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            top = F.element_at(v, s["at"] + 1)
+            full = F.size(s["ids"]) >= CHUNK
+            return F.when(s["at"] <= 0, s).otherwise(
+                F.struct(
+                    (s["at"] - top["n"]).alias("at"),
+                    F.concat(F.when(full, F.array().cast("array<int>")).otherwise(s["ids"]), F.array(top["id"])).alias("ids"),
+                    F.when(full, F.concat(s["old"], F.array(s["ids"]))).otherwise(s["old"]).alias("old"),
+                )
             )
-        )
 
-    begin = F.struct((F.size("v") - 1).alias("at"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("old"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.size("v") - 1), begin, step, lambda s: F.reverse(F.concat(F.flatten(s["old"]), s["ids"])))
-    return done.select(*by, walk.alias("ids"))
+        begin = F.struct((F.size(v) - 1).alias("at"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("old"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(v) - 1), begin, step, lambda s: F.reverse(F.concat(F.flatten(s["old"]), s["ids"])))
+
+    done = F.aggregate(edges, zero, fold, lambda s: F.concat(F.flatten(s["old"]), s["now"]))
+    # bound as a lambda's variable, so that the walk doesn't fold again for each step
+    return F.transform(F.array(done), walk).getItem(0)
 
 
 def _spread(ids: list[int], of_byte: dict[int, int]) -> list[int]:
@@ -358,8 +390,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     n = blocks.ranges(d)
     bundles = blocks.bundled(d.withColumn("fold", F.lit(0)), BLOCK_BYTES)  # made twice, which costs less than keeping a copy
     asked = saved(blocks.requested(bundles, _requester(n, path)).select("k", "block", "data"), "requests")
-    words = asked.groupBy("k").applyInArrow(_distinct, "k long, w long, word string")
+    words = asked.groupBy("k").applyInArrow(lean_group(_distinct), "k long, w long, word string")
     with _hashed_groups(spark):
         known = saved(lattice(words.repartition(n, "k"), spark, path, ("k", "w")), "pieces")
-    replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(_replies(path), "k long, block long, data binary")
-    return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_assembler(n, path), "doc_id long, ids array<int>, round_trip boolean")
+    replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(lean_pair(_replies(path)), "k long, block long, data binary")
+    return bundles.select("block", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean_pair(_assembler(n, path)), "doc_id long, ids array<int>, round_trip boolean")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import WordHashes, arrow_rows, fold, mixed, small_batches, typed
+from orbitlake.llm.common import WordHashes, arrow_rows, fold, lean, mixed, released, small_batches, typed
 
 #: Labelled documents of each label that the model is fitted on, at most: a documented bound, so the model is small enough to broadcast.
 SAMPLE_PER_LABEL = 2000
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
     Terms are counted in tasks; the driver gets N_TERMS numbers a document, whatever the texts' lengths.
     """
     rows = labelled(docs, labels, "quality", SAMPLE_PER_LABEL).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(_term_rows, "id long, y int, x binary").toLocalIterator())
+    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(lean(_term_rows), "id long, y int, x binary").toLocalIterator())
     x = np.frombuffer(b"".join(v for _, _, v in got), np.float32).reshape(len(got), N_TERMS).copy()
     return Neighbours(x, np.array([y for _, y, _ in got]))
 
@@ -179,11 +179,15 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        m, hashes, out = model.value, WordHashes(), [np.zeros(0)]
-        for i in range(0, len(texts), BLOCK):
-            out.append(m.scores(np.array([terms(t or "", hashes) for t in texts.slice(i, BLOCK).to_pylist()])))
-        return pa.array(np.concatenate(out), pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m, hashes = model.value, WordHashes()
+        for texts in batches:
+            out = [np.zeros(0)]
+            for i in range(0, len(texts), BLOCK):
+                out.append(m.scores(np.array([terms(t or "", hashes) for t in texts.slice(i, BLOCK).to_pylist()])))
+            yield pa.array(np.concatenate(out), pa.float64())
+        hashes.clear()
+        released()
 
     # said to be nondeterministic, lest a filter on the score evaluates it once more
     return docs.withColumn("score", score.asNondeterministic()(docs["text"].cast("string")))

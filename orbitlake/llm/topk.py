@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import dropped, saved, typed
+from orbitlake.llm.common import dropped, lean, saved, typed
 
 #: Queries of a block, so many are broadcast at once; vectors of a bucket; vectors of a range, about.
 QUERY_BLOCK, BUCKET, RANGE = 8192, 1024, 16384
@@ -249,7 +249,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         own = Queries(block)
         own.first = first
         shared = spark.sparkContext.broadcast(own)
-        part = saved(base.mapInArrow(_searcher(shared, k + 1), "query long, times long, query_id long, vec_id long, score long, size int, key binary, own boolean"), "found")
+        part = saved(base.mapInArrow(lean(_searcher(shared, k + 1)), "query long, times long, query_id long, vec_id long, score long, size int, key binary, own boolean"), "found")
         shared.unpersist()
         first += len(block)
         found, block = part if found is None else found.unionByName(part), []

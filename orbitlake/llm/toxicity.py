@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import arrow_rows, dropped, fold, saved, small_batches, typed
+from orbitlake.llm.common import arrow_rows, dropped, fold, lean, released, saved, small_batches, typed
 from orbitlake.llm.quality import labelled, training_labels
 
 #: Labelled documents of each label that are learnt from, at most; what is learnt is bounded by them.
@@ -86,7 +86,7 @@ class Model:
                 d, z = self.odds.get(f, (0.0, 0.0))
                 if abs(z) > best:
                     best, s = abs(z), d - DRIFT
-            if len(self._seen) > 200_000:
+            if len(self._seen) > 50_000:
                 self._seen.clear()
             self._seen[word] = s
         return s
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(spark)
     sample = saved(training_texts(docs, labels), "sample")
     shares = {r["y"]: r["n"] for r in training_labels(labels, "toxic").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    counts = saved(sample.mapInArrow(_counted, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "counts")
+    counts = saved(sample.mapInArrow(lean(_counted), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "counts")
     whole = counts.where("f = ''").select(F.col("t") / UNIT, F.col("c") / UNIT).first() or (0, 0)
     kinds = {r["y"] for r in sample.select("y").distinct().collect()}
     odds = log_odds(counts, *whole).collect() if whole[0] and whole[1] else []
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 out.append({"best": max((s for s, _, _ in maximal_segments(scores)), default=0.0), "n": len(scores), "y": y, "scores": list(map(float, h)), "counts": list(h.values())})
             yield pa.RecordBatch.from_pylist(out, schema=_SEEN)
 
-    seen = sample.mapInArrow(best_scores, "best double, n long, y int, scores array<double>, counts array<long>").toLocalIterator()
+    seen = sample.mapInArrow(lean(best_scores), "best double, n long, y int, scores array<double>, counts array<long>").toLocalIterator()
     rows, token_scores = [], Counter()
     for r in seen:  # at most two samples of numbers
         rows.append((r["best"], max(1, r["n"]), r["y"]))
@@ -247,12 +247,15 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<score: double, passages: array<struct<first: bigint, tokens: bigint, e_value: double>>>")
-    def judged(texts: pa.Array) -> pa.Array:
-        m, s, p = model.value, [], []
-        for text in texts.to_pylist():
-            best, total, _, found = m.summary(text)
-            s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
-        return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(p, _PASSAGES)], names=["score", "passages"])
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = model.value
+        for texts in batches:
+            s, p = [], []
+            for text in texts.to_pylist():
+                best, total, _, found = m.summary(text)
+                s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
+            yield pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(p, _PASSAGES)], names=["score", "passages"])
+        released()
 
     rest = [c for c in docs.columns if c not in ("score", "passages")]
     # said to be nondeterministic, lest a filter on the score evaluates it once more
