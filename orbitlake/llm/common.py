@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,14 +96,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: The C library's call that returns free memory, if it has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def released() -> None:
     """Give free memory back to the system: a worker stays for other tasks, and what it holds on to counts against them."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def lean(f: Callable) -> Callable:
