@@ -91,17 +91,21 @@ def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= MATCHES))
 
 
-def _spread(many: DataFrame, few: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
-    """many joined with few on key. sizes (key, n) holds how often each key is in many: rows of one that is there more
-    than HOT times are dealt to several parts by a hash of `by`, and its row of few is copied to each part."""
-    hot = saved(sizes.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
-    parts = sized(hot)
-    one = F.coalesce("parts", F.lit(1))
-    left = many.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(by), one).cast("int")).drop("parts")
-    right = few.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+def _spread(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined with few on key. Both hold n, how often a key is in many: rows of one that is there more than HOT times
+    are dealt to several parts by a hash of `by`, and its row of few is copied to each part. The result has few's n."""
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    left = many.withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("n")
+    right = few.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [key, "part"]).drop("part")
 
 
+def _sized(many: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """many with n for hot keys: lists (key, n) says how often each is in many; others have an n of 1."""
+    hot = sized(lists.where(F.col("n") > HOT).select(key, "n"))
+    return many.join(hot, key, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+
+
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rep and the key of each coordinate-value pair of its signature."""
     salt = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(77))
@@ -152,17 +156,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those with MATCHES collisions of their signatures or more, and whose full sets link."""
-    sizes = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "sizes")
+    """Of pairs (a, b) those with MATCHES collisions of their signatures or more, and whose full sets link.
+
+    A pivot may be in many pairs: its partition is large in bytes, so adaptive execution splits it.
+    """
     sig = lambda x: nodes.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"))
-    retained = _spread(pairs.join(sig("b"), "b"), sig("a").join(sizes, "a", "left_semi"), "a", "b", sizes)
-    retained = saved(retained.select("a", "b", "sa", "sb").mapInArrow(lean(_collisions), "a long, b long"), "retained")
+    met = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sa", "sb")
+    retained = saved(met.mapInArrow(lean(_collisions), "a long, b long"), "retained")
     one = full.select(F.col("rep").alias("a"), F.col("items").alias("xa"))
     two = full.select(F.col("rep").alias("b"), F.col("items").alias("xb"))
-    joined = _spread(retained.join(two, "b"), one.join(sizes, "a", "left_semi"), "a", "b", sizes)
+    joined = retained.join(two, "b").join(one, "a")
     both = joined.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("both"), (F.size("xa") + F.size("xb")).alias("sizes"))
     out = saved(both.where(100 * F.col("both") >= PERCENT * (F.col("sizes") - F.col("both"))).select("a", "b"), "links")
-    dropped(sizes, retained)
+    dropped(retained)
     return out
 
 
@@ -258,33 +264,43 @@ def _merged(left: DataFrame, full: DataFrame, nodes: DataFrame) -> DataFrame:
     one by one, they are one group.
     """
     sizes = saved(left.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")), "sizes")
-    tied = components(_spread(left.select("key", "rep"), sizes.select("key", "hub"), "key", "rep", sizes).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    left = left.select("key", "rep", "comp", "n")
+    lists = sizes.select("key", "hub", F.col("n").alias("own"))
+    listed = saved(_spread(left, lists.join(left.groupBy("key").agg(F.first("n").alias("n")), "key"), "key", "rep"), "listed")
+    tied = components(listed.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     of = sizes.join(tied, sizes["hub"] == tied["node"]).select("key", "n", F.col("comp").alias("cluster"))
     members = tied.groupBy(F.col("comp").alias("cluster")).agg(F.count("*").alias("members"))
     cost = of.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("cost")).join(members, "cluster")
     whole = cost.where(F.col("members") * F.col("members") <= F.col("cost")).select("cluster", F.lit(True).alias("whole"))
     one = of.join(whole, "cluster", "left").select("key", F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("g"))
-    cut = saved(_spread(left, one, "key", "rep", sizes).select("g", "rep", "comp").distinct(), "cut")
+    one = one.join(left.groupBy("key").agg(F.first("n").alias("n")), "key")
+    cut = saved(_spread(left, one, "key", "rep").select("g", "rep", "comp").distinct(), "cut")
     some = cut.select("rep").distinct()
     sets = saved(full.join(some, "rep").join(nodes.select("rep", "sig"), "rep"), "members")
     sized_ = cut.join(sets.select("rep", F.size("items").alias("items")), "rep").groupBy("g").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
     groups = saved(sized_.select("g", "n", blocks.alias("blocks")), "groups")
-    cut2 = _spread(cut, groups.select("g", "blocks"), "g", "rep", groups)
+    cut2 = _spread(_sized(cut, groups, "g"), groups.withColumn("n", F.when(F.col("n") > HOT, F.col("n")).otherwise(1)), "g", "rep")
     cut2 = cut2.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # block b meets each block, itself included, in the task of the ordered pair
     cut2 = cut2.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
     out = saved(cut2.join(sets, "rep").groupBy("g", "i", "j").applyInArrow(lean_group(_compared), "a long, b long").distinct(), "links")
-    dropped(sizes, cut, sets, groups)
+    dropped(sizes, listed, cut, sets, groups)
     return out
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
     """key, rep, n: the posts that are merged, see steps 2 and 3 above, and how many representatives have the pair."""
     posts = nodes.select("rep", "sig").mapInArrow(lean(_posted), "key long, rep long")
-    for _ in range(2):
+    for turn in range(2):
         lists = saved(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-        shared = saved(_spread(posts.select("key", "rep"), lists, "key", "rep", lists), "shared")
+        if turn:  # what the first turn has left knows how often each pair was there before
+            few = lists.withColumnRenamed("n", "now").join(posts.groupBy("key").agg(F.first("n").alias("n")), "key")
+            shared = _spread(posts.select("key", "rep", "n"), few, "key", "rep").select("key", "rep", F.col("now").alias("n"))
+        else:
+            few = lists.select("key", F.col("n").alias("now"), F.when(F.col("n") > HOT, F.col("n")).otherwise(1).alias("n"))
+            shared = _spread(_sized(posts, lists, "key"), few, "key", "rep").select("key", "rep", F.col("now").alias("n"))
+        shared = saved(shared, "shared")
         enough = shared.groupBy("rep").agg(F.count("*").alias("live")).where(F.col("live") >= MATCHES)
         kept = saved(shared.join(enough, "rep"), "posts")
         dropped(shared, posts, lists)
@@ -315,33 +331,31 @@ def _groups(d: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame | None
         dropped(posts, involved)
         return None
     # one text of each representative
-    places = sets.where("rep is not null").join(sized(involved), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("file", "row")).alias("p"))
+    places = sets.where("rep is not null").join(involved, "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("file", "row")).alias("p"))
     places = saved(places.select("rep", "p.file", "p.row"), "places")
     texts = d.select("file", "row", "text").join(sized(places), ["file", "row"]).select("rep", "text")
     full = saved(texts.mapInArrow(lean(_full), "rep long, items array<bigint>"), "sets")
     some = saved(nodes.join(involved, "rep").select("rep", "sig"), "signatures")
     labels = saved(involved.select("rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("size")), "labels")
     for turn in range(PIVOTS + 1):
-        mine = posts.join(labels, "rep")
+        mine = posts.select("key", "rep", "n").join(labels, "rep")
         # a hot list is reduced in parts first
         part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / HOT)).alias("part")
         mins = mine.groupBy("key", "n", part).agg(F.min(F.struct(-F.col("size"), "comp", "rep")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         lists = mins.groupBy("key").agg(F.min("p").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n")).where("lo <> hi")
         lists = saved(lists.select("key", "n", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("own")), "lists")
-        left = saved(_spread(mine, lists.drop("n"), "key", "rep", lists), "left")
+        left = saved(_spread(mine, lists, "key", "rep"), "left")
         dropped(posts, lists)
+        posts = left
         if left.isEmpty():
-            dropped(left)
             break
         if turn < PIVOTS:
             pairs = left.where("comp <> own").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("hits"))
             found = confirmed(pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b"), full, some)
         else:
-            found = _merged(left.select("key", "rep", "comp"), full, some)
+            found = _merged(left.select("key", "rep", "comp", "n"), full, some)
         before, labels = labels, _relabelled(labels, found)
         dropped(before, found)
-        posts = saved(left.select("key", "rep", "n"), "posts")
-        dropped(left)
     dropped(posts, places, full, some, involved)
     return labels.select("rep", "comp")
 

@@ -16,9 +16,9 @@ import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
@@ -36,7 +36,7 @@ SEGMENT, CHUNK = 256, 1024
 #: Characters up to which the fold carries the ids of each way along; beyond, it keeps back pointers.
 SHORT = 64
 #: Bytes of text of a block: larger ones ask less often for the same words.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Characters of a text that are looked at together, about.
 PART = 1 << 20
 SPACE = "▁"
@@ -137,7 +137,9 @@ def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.nd
             counts[t] += len(at)
     if not parts:
         return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
-    index, distinct = pd.factorize(np.concatenate(hashes))
+    from pandas import factorize  # a large package, needed in these tasks alone
+
+    index, distinct = factorize(np.concatenate(hashes))
     first = np.empty(len(distinct), np.int64)
     first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
     spans = zip(*(np.concatenate(x)[first].tolist() for x in (owner, begins, ends)), strict=True)
@@ -260,19 +262,21 @@ def decoded(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.withColumn("text", spelt(encoded["ids"]))
 
 
-def _by_range(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order of words by key range, and (range, begin, end) of each range that any is in: a block sends no more rows
-    than it has words, however many ranges there are."""
-    k = (hashes % np.uint64(ranges)).astype(np.int64)
-    order = np.lexsort((hashes, k))
-    some, first = np.unique(k[order], return_index=True)
+def _by_range(words: list[str], hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of words by key range, inside it by themselves, and (range, begin, end) of each range that any is in: a
+    block sends no more rows than it has words, however many ranges there are."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    k = (hashes % np.uint64(ranges)).astype(np.int64)[order]
+    by = np.argsort(k, kind="stable")
+    order, k = order[by], k[by]
+    some, first = np.unique(k, return_index=True)
     return order, list(zip(some.tolist(), first.tolist(), [*first.tolist(), len(k)][1:], strict=True))
 
 
 def _requester(ranges: int, path: str):
     def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         words, hashes, _, _ = indexed_words(texts, path)
-        order, spans = _by_range(hashes, ranges)
+        order, spans = _by_range(words, hashes, ranges)
         raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
         sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
         for k, a, b in spans:
@@ -282,46 +286,61 @@ def _requester(ranges: int, path: str):
     return requests
 
 
-def _words_of(data: bytes) -> list[bytes]:
-    """Sizes come as bytes where all are small."""
+def _words_of(data: bytes) -> tuple[list[bytes], bytes]:
+    """The words of a request, in order, and its digest. Sizes come as bytes where all are small."""
     sizes, raw = blocks.unpack(data)
     small = np.frombuffer(sizes, np.uint8)
     ends = np.cumsum(small, dtype=np.int64) if small.sum(dtype=np.int64) == len(raw) else np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)
     ends = ends.tolist()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], xxhash.xxh3_64_digest(raw)
+
+
+_WORDS = "k long, w long, word string, block long, data binary"
 
 
 def _distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a key range, numbered in order."""
-    found: set[bytes] = set()
+    """The words of a key range, numbered in order (w, word), and each request (block) as numbers."""
+    k, asked = key[0].as_py(), []
     for b in batches:
-        for d in b.column("data").to_pylist():
-            found.update(_words_of(d))
-    ws = sorted(found)
+        for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
+            asked.append((block, *_words_of(data)))
+    ws = sorted(set().union(*(own for _, own, _ in asked)))
+    none = lambda n, kind: pa.nulls(n, kind)
     for i in range(0, len(ws), 20_000):
         part = pa.array([w.decode("utf-8", "surrogatepass") for w in ws[i : i + 20_000]], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int64()), part], names=["k", "w", "word"])
+        n = len(part)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array(range(i, i + n), pa.int64()), part, none(n, pa.int64()), none(n, pa.binary())], names=["k", "w", "word", "block", "data"])
+    number = {w: i for i, w in enumerate(ws)}
+    for block, own, digest in asked:
+        gaps = np.diff(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)), prepend=np.uint32(0))
+        data = blocks.pack(gaps.astype(np.uint32), digest, level=9)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), none(1, pa.int64()), none(1, pa.string()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["k", "w", "word", "block", "data"])
 
 
 def _replies(path: str):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        """The ids of each request's words, in its order, with a digest of the request."""
+        """The ids of each request's words, in its order, with the request's digest."""
         _, of_byte, _, _ = pieces(path)
-        requests = [_words_of(d) for d in asked.column("data").to_pylist()]
-        number = {w: i for i, w in enumerate(sorted(set().union(*requests)))}
-        ids: list = [None] * len(number)
+        ids: list = [None] * known.num_rows
         for w, i in zip(known.column("w").to_pylist(), known.column("ids").to_pylist(), strict=True):
             ids[w] = _spread(i, of_byte)
-        kind, out = _id_type(path), []
-        for ws in requests:
-            got = [ids[number[w]] for w in ws]
-            sizes, flat = np.array(list(map(len, got)), np.uint32), np.array([x for i in got for x in i], kind)
-            out.append(blocks.pack(sizes, flat, xxhash.xxh3_64_digest(b"".join(ws)), level=9))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, start, out = np.fromiter(chain.from_iterable(ids), _id_type(path), int(size.sum())), np.cumsum(size) - size, []
+        for d in asked.column("data").to_pylist():
+            gaps, digest = blocks.unpack(d)
+            at = np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64)
+            own = size[at]
+            out.append(blocks.pack(own.astype(np.uint32), flat[_places(start[at], own)], digest, level=9))
         return pa.table({"k": asked.column("k"), "block": asked.column("block"), "data": pa.array(out, pa.binary())})
 
     return run
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for `size` places, one run after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def _id_type(path: str):
     return np.uint16 if len(pieces(path)[2]) < 65_536 else np.uint32
 
@@ -335,7 +354,7 @@ def _assembler(ranges: int, path: str):
         spell, kind = pieces(path)[2], _id_type(path)
         docs = [x for d in bundle.column("data").to_pylist() for x in blocks.unpack_docs(d)]
         words, hashes, index, counts = indexed_words([text for _, text in docs], path)
-        order, spans = _by_range(hashes, ranges)
+        order, spans = _by_range(words, hashes, ranges)
         answers = dict(zip(replies.column("k").to_pylist(), replies.column("data").to_pylist(), strict=True))
         flats, size = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
         for k, a, b in spans:
@@ -353,7 +372,7 @@ def _assembler(ranges: int, path: str):
             mine = index[at : at + n]
             at += n
             sizes = size[mine]
-            out_ids.append(flat[np.repeat(start[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])
+            out_ids.append(flat[_places(start[mine], sizes)])
             same.append(b"".join(map(spelt.__getitem__, mine.tolist())) == (b" " + text.encode("utf-8", "surrogatepass") if text else b""))
         return pa.table([pa.array([i for i, _ in docs], pa.int64()), pa.array(out_ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], schema=_ENCODED)
 
@@ -389,8 +408,9 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         d = saved(d, "rows")
     n = blocks.ranges(d)
     bundles = blocks.bundled(d.withColumn("fold", F.lit(0)), BLOCK_BYTES)  # made twice, which costs less than keeping a copy
-    asked = saved(blocks.requested(bundles, _requester(n, path)).select("k", "block", "data"), "requests")
-    words = asked.groupBy("k").applyInArrow(lean_group(_distinct), "k long, w long, word string")
+    requests = blocks.requested(bundles, _requester(n, path)).select("k", "block", "data")
+    both = saved(requests.groupBy("k").applyInArrow(lean_group(_distinct), _WORDS), "words")
+    words, asked = both.where("w is not null").select("k", "w", "word"), both.where("w is null").select("k", "block", "data")
     with _hashed_groups(spark):
         known = saved(lattice(words.repartition(n, "k"), spark, path, ("k", "w")), "pieces")
     replies = asked.groupBy("k").cogroup(known.groupBy("k")).applyInArrow(lean_pair(_replies(path)), "k long, block long, data binary")

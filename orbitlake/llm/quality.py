@@ -165,7 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
     rows = labelled(docs, labels, "quality", SAMPLE_PER_LABEL).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
     got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(lean(_term_rows), "id long, y int, x binary").toLocalIterator())
     x = np.frombuffer(b"".join(v for _, _, v in got), np.float32).reshape(len(got), N_TERMS).copy()
-    return Neighbours(x, np.array([y for _, y, _ in got]))
+    del rows
+    model = Neighbours(x, np.array([y for _, y, _ in got]))
+    del x, got
+    released()
+    return model
 
 
 def model_of(docs: DataFrame, labels: DataFrame):

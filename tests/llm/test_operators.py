@@ -413,3 +413,36 @@ def test_lm_scores_by_brute_force(spark):
         total = sum(math.log10(sum(x * y for x, y in zip(lm.weight_of(weights, bucket(all_[2][u])), estimates(u, w, *all_, n, v)))) for u, w in pairs(ws))
         want[i, len(ws), round(total, 6)] += 1
     assert got == want
+
+
+def test_lists_are_merged_in_blocks(spark, monkeypatch):
+    """Without pivots and in blocks of eight, every link comes from counting collisions in block pairs."""
+    monkeypatch.setattr(neardup, "PIVOTS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "HOT", 4)
+    r = random.Random(9)
+    rows = []
+    for g in range(6):
+        base = prose(8000 + g, 120).split()
+        for k in range(9):
+            own = list(base)
+            for at in r.sample(range(120), r.randrange(0, 5)):
+                own[at] = f"new{g}{k}{at}"
+            rows.append((100 * g + k, " ".join(own)))
+    shared = prose(9999, 60)
+    rows += [(1000 + i, shared + " " + prose(9000 + i, 60)) for i in range(30)]
+    sets = {i: {tuple(t.lower().split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: top(i) for i in sets} and len(set(got.values())) < len(got)
