@@ -67,41 +67,54 @@ def ranges(docs: DataFrame) -> int:
     return max(RANGES_MIN, -(-total // RANGE_BYTES))
 
 
-def bundled(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """block, fold, data: documents (doc_id, text, fold) in compressed blocks of one fold each.
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, list, list]]:
+    """Number, fold, ids and texts of each block of a partition: as many documents of one fold as make `size` bytes.
 
-    No shuffle. A block's number is its partition and its place in it, so a task that runs again writes the same blocks.
+    A block's number is its partition and its place in it, so a task that runs again makes the same blocks.
     """
+    base, n = TaskContext.get().partitionId() << 24, 0
+    held: dict[int, list] = {}
+    for i, text, f in arrow_rows(batches, "doc_id", "text", "fold"):
+        own = held.setdefault(f, [[], [], 0])
+        own[0].append(i), own[1].append(text or "")
+        own[2] += len(text or "")
+        if own[2] >= size:
+            n += 1
+            yield base + n, f, *held.pop(f)[:2]
+    for f in sorted(held):
+        n += 1
+        yield base + n, f, *held.pop(f)[:2]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        n = 0
-        held: dict[int, list] = {}
 
-        def close(f: int) -> pa.RecordBatch:
-            nonlocal n
-            ids, texts, _ = held.pop(f)
-            n += 1
-            return pa.RecordBatch.from_pylist([{"block": base + n, "fold": f, "data": pack_docs(ids, texts)}], schema=_BUNDLES)
+def bundled(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """block, fold, data: documents (doc_id, text, fold) in compressed blocks of one fold each. No shuffle."""
 
-        for i, text, f in arrow_rows(batches, "doc_id", "text", "fold"):
-            own = held.setdefault(f, [[], [], 0])
-            own[0].append(i), own[1].append(text)
-            own[2] += len(text or "")
-            if own[2] >= size:
-                yield close(f)
-        for f in sorted(held):
-            yield close(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, f, ids, texts in _blocks(batches, size):
+            yield pa.RecordBatch.from_pylist([{"block": block, "fold": f, "data": pack_docs(ids, texts)}], schema=_BUNDLES)
 
     return docs.mapInArrow(lean(run), "block long, fold int, data binary")
 
 
+def _asked(block: int, f: int, rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"kind": a, "k": k, "block": block, "fold": f, "data": d} for a, k, d in rows], schema=_REQUESTS)
+
+
 def requested(bundles: DataFrame, requests: Callable[[list[str]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
     """kind, k, block, fold, data: what requests(texts) yields for each bundle: kind, key range, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, f, data in arrow_rows(batches, "block", "fold", "data"):
-            rows = [{"kind": a, "k": k, "block": block, "fold": f, "data": d} for a, k, d in requests([t for _, t in unpack_docs(data)])]
-            yield pa.RecordBatch.from_pylist(rows, schema=_REQUESTS)
+            yield _asked(block, f, requests([t for _, t in unpack_docs(data)]))
 
     return bundles.mapInArrow(lean(run), "kind int, k long, block long, fold int, data binary")
+
+
+def requested_of(docs: DataFrame, requests: Callable[[list[str]], Iterator[tuple[int, int, bytes]]], size: int = BLOCK_BYTES) -> DataFrame:
+    """The same of documents (doc_id, text, fold) themselves, in the blocks that bundled() makes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, f, _, texts in _blocks(batches, size):
+            yield _asked(block, f, requests(texts))
+
+    return docs.mapInArrow(lean(run), "kind int, k long, block long, fold int, data binary")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -98,23 +101,45 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 #: The C library's call that returns free memory, if it has it.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_BUSY = {"tasks": 0, "used": False, "watched": 0}
 
 
 def released() -> None:
-    """Give free memory back to the system: a worker stays for other tasks, and what it holds on to counts against them."""
+    """Give free memory back to the system."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
 
+def _watch() -> None:
+    while True:
+        time.sleep(0.5)
+        if _BUSY["used"] and not _BUSY["tasks"]:
+            _BUSY["used"] = False
+            released()
+
+
+@contextmanager
+def working() -> Iterator[None]:
+    """Around what a worker does. A worker stays for other tasks, and what it holds on to counts against them, so a thread
+    gives its free memory back once it is idle; doing that after each group would cost more than the group."""
+    if _BUSY["watched"] != os.getpid():
+        _BUSY.update(watched=os.getpid(), tasks=0)
+        threading.Thread(target=_watch, daemon=True).start()
+    _BUSY["tasks"] += 1
+    _BUSY["used"] = True
+    try:
+        yield
+    finally:
+        _BUSY["tasks"] -= 1
+
+
 def lean(f: Callable) -> Callable:
     """A function for mapInArrow that leaves its worker small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
+        with working():
             yield from f(batches)
-        finally:
-            released()
 
     return run
 
@@ -123,10 +148,8 @@ def lean_group(f: Callable) -> Callable:
     """The same for applyInArrow over a group's batches."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
+        with working():
             yield from f(key, batches)
-        finally:
-            released()
 
     return run
 
@@ -135,10 +158,8 @@ def lean_pair(f: Callable) -> Callable:
     """The same for applyInArrow over two groups."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        try:
+        with working():
             return f(left, right)
-        finally:
-            released()
 
     return run
 

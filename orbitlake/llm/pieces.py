@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,13 +138,12 @@ def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.nd
             counts[t] += len(at)
     if not parts:
         return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
-    from pandas import factorize  # a large package, needed in these tasks alone
-
-    index, distinct = factorize(np.concatenate(hashes))
+    numbered = pa.array(np.concatenate(hashes)).dictionary_encode()
+    index, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_numpy()
     first = np.empty(len(distinct), np.int64)
     first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
     spans = zip(*(np.concatenate(x)[first].tolist() for x in (owner, begins, ends)), strict=True)
-    return [parts[p][a:b] for p, a, b in spans], mixed(distinct.astype(np.uint64)), index, counts
+    return [parts[p][a:b] for p, a, b in spans], mixed(distinct), index, counts
 
 
 def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[str, ...] = ("word",)) -> DataFrame:
@@ -262,37 +262,44 @@ def decoded(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.withColumn("text", spelt(encoded["ids"]))
 
 
-def _by_range(words: list[str], hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order of words by key range, inside it by themselves, and (range, begin, end) of each range that any is in: a
-    block sends no more rows than it has words, however many ranges there are."""
-    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-    k = (hashes % np.uint64(ranges)).astype(np.int64)[order]
-    by = np.argsort(k, kind="stable")
-    order, k = order[by], k[by]
-    some, first = np.unique(k, return_index=True)
-    return order, list(zip(some.tolist(), first.tolist(), [*first.tolist(), len(k)][1:], strict=True))
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word's bytes begin and the last one's end, and all bytes."""
+    _, ends, data = words.buffers()
+    at = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return at, np.frombuffer(data or b"", np.uint8)
+
+
+def _by_range(words: list[str], hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[tuple[int, int, int, np.ndarray, bytes]]]:
+    """The order of words by key range and inside it by their bytes, and of each range that any is in: the range, begin,
+    end, the words' sizes and their bytes. A block sends no more rows than it has words, however many ranges there are."""
+    k = (hashes % np.uint64(ranges)).astype(np.int64)
+    text = pa.array(words, pa.string())
+    order = pc.sort_indices(pa.table({"k": k, "w": text}), sort_keys=[("k", "ascending"), ("w", "ascending")])
+    at, data = _bytes_of(text.take(order))
+    order = order.to_numpy().astype(np.int64)
+    some, first = np.unique(k[order], return_index=True)
+    size = np.diff(at).astype(np.uint32)
+    return order, [
+        (r, a, b, size[a:b], data[at[a] : at[b]].tobytes()) for r, a, b in zip(some.tolist(), first.tolist(), [*first.tolist(), len(k)][1:], strict=True)
+    ]
 
 
 def _requester(ranges: int, path: str):
     def requests(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         words, hashes, _, _ = indexed_words(texts, path)
-        order, spans = _by_range(words, hashes, ranges)
-        raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
-        sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
-        for k, a, b in spans:
-            own = sizes[a:b]
-            yield 1, k, blocks.pack(own.astype(np.uint8) if own.max() < 256 else own, b"".join(raw[a:b]), level=9)
+        for k, _, _, size, raw in _by_range(words, hashes, ranges)[1]:
+            yield 1, k, blocks.pack(size.astype(np.uint8) if size.max() < 256 else size, raw, level=3)
 
     return requests
 
 
-def _words_of(data: bytes) -> tuple[list[bytes], bytes]:
+def _words_of(data: bytes) -> tuple[pa.Array, bytes]:
     """The words of a request, in order, and its digest. Sizes come as bytes where all are small."""
     sizes, raw = blocks.unpack(data)
     small = np.frombuffer(sizes, np.uint8)
-    ends = np.cumsum(small, dtype=np.int64) if small.sum(dtype=np.int64) == len(raw) else np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)
-    ends = ends.tolist()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], xxhash.xxh3_64_digest(raw)
+    size = small if small.sum(dtype=np.int64) == len(raw) else np.frombuffer(sizes, np.uint32)
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(raw)), xxhash.xxh3_64_digest(raw)
 
 
 _WORDS = "k long, w long, word string, block long, data binary"
@@ -304,33 +311,41 @@ def _distinct(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for b in batches:
         for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
             asked.append((block, *_words_of(data)))
-    ws = sorted(set().union(*(own for _, own, _ in asked)))
-    none = lambda n, kind: pa.nulls(n, kind)
+    numbered = pa.concat_arrays([own for _, own, _ in asked]).dictionary_encode()
+    order = pc.sort_indices(numbered.dictionary)
+    ws = numbered.dictionary.take(order)
+    rank = np.empty(len(ws), np.uint32)
+    rank[order.to_numpy()] = np.arange(len(ws), dtype=np.uint32)
+    number, at = rank[numbered.indices.to_numpy()], 0
     for i in range(0, len(ws), 20_000):
-        part = pa.array([w.decode("utf-8", "surrogatepass") for w in ws[i : i + 20_000]], pa.string())
+        part = ws[i : i + 20_000].cast(pa.string())
         n = len(part)
-        yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array(range(i, i + n), pa.int64()), part, none(n, pa.int64()), none(n, pa.binary())], names=["k", "w", "word", "block", "data"])
-    number = {w: i for i, w in enumerate(ws)}
+        yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array(range(i, i + n), pa.int64()), part, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["k", "w", "word", "block", "data"])
     for block, own, digest in asked:
-        gaps = np.diff(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)), prepend=np.uint32(0))
-        data = blocks.pack(gaps.astype(np.uint32), digest, level=9)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), none(1, pa.int64()), none(1, pa.string()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["k", "w", "word", "block", "data"])
+        gaps = np.diff(number[at : at + len(own)], prepend=np.uint32(0))
+        at += len(own)
+        data = blocks.pack(gaps.astype(np.uint32), digest, level=3)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["k", "w", "word", "block", "data"])
 
 
 def _replies(path: str):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         """The ids of each request's words, in its order, with the request's digest."""
         _, of_byte, _, _ = pieces(path)
-        ids: list = [None] * known.num_rows
-        for w, i in zip(known.column("w").to_pylist(), known.column("ids").to_pylist(), strict=True):
-            ids[w] = _spread(i, of_byte)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, start, out = np.fromiter(chain.from_iterable(ids), _id_type(path), int(size.sum())), np.cumsum(size) - size, []
+        lists, out = known.column("ids").combine_chunks(), []
+        size, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        start = np.cumsum(size) - size
+        if (flat < 0).any():  # unknown characters become bytes
+            ids = [_spread(flat[a : a + n].tolist(), of_byte) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, start = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum())), np.cumsum(size) - size
+        by = np.argsort(known.column("w").to_numpy(), kind="stable")
+        flat, start, size = flat.astype(_id_type(path)), start[by], size[by]
         for d in asked.column("data").to_pylist():
             gaps, digest = blocks.unpack(d)
             at = np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64)
             own = size[at]
-            out.append(blocks.pack(own.astype(np.uint32), flat[_places(start[at], own)], digest, level=9))
+            out.append(blocks.pack(own.astype(np.uint32), flat[_places(start[at], own)], digest, level=3))
         return pa.table({"k": asked.column("k"), "block": asked.column("block"), "data": pa.array(out, pa.binary())})
 
     return run
@@ -357,9 +372,9 @@ def _assembler(ranges: int, path: str):
         order, spans = _by_range(words, hashes, ranges)
         answers = dict(zip(replies.column("k").to_pylist(), replies.column("data").to_pylist(), strict=True))
         flats, size = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
-        for k, a, b in spans:
+        for k, a, b, _, raw in spans:
             sizes, flat, digest = blocks.unpack(answers[k])
-            if digest != xxhash.xxh3_64_digest("".join([words[i] for i in order[a:b].tolist()]).encode("utf-8", "surrogatepass")):
+            if digest != xxhash.xxh3_64_digest(raw):
                 raise RuntimeError("the documents changed between two readings")
             size[order[a:b]] = np.frombuffer(sizes, np.uint32)
             flats.append(np.frombuffer(flat, kind).astype(np.int32))
@@ -407,8 +422,9 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     except AnalysisException:  # blocks are made twice, so they are made of what is stored, which every reading gives alike
         d = saved(d, "rows")
     n = blocks.ranges(d)
-    bundles = blocks.bundled(d.withColumn("fold", F.lit(0)), BLOCK_BYTES)  # made twice, which costs less than keeping a copy
-    requests = blocks.requested(bundles, _requester(n, path)).select("k", "block", "data")
+    d = d.withColumn("fold", F.lit(0))
+    bundles = blocks.bundled(d, BLOCK_BYTES)  # read twice, which costs less than keeping a copy
+    requests = blocks.requested_of(d, _requester(n, path), BLOCK_BYTES).select("k", "block", "data")
     both = saved(requests.groupBy("k").applyInArrow(lean_group(_distinct), _WORDS), "words")
     words, asked = both.where("w is not null").select("k", "w", "word"), both.where("w is null").select("k", "block", "data")
     with _hashed_groups(spark):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import WordHashes, arrow_rows, fold, lean, mixed, released, small_batches, typed
+from orbitlake.llm.common import WordHashes, arrow_rows, fold, lean, mixed, released, small_batches, typed, working
 
 #: Labelled documents of each label that the model is fitted on, at most: a documented bound, so the model is small enough to broadcast.
 SAMPLE_PER_LABEL = 2000
@@ -185,13 +185,12 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, hashes = model.value, WordHashes()
-        for texts in batches:
-            out = [np.zeros(0)]
-            for i in range(0, len(texts), BLOCK):
-                out.append(m.scores(np.array([terms(t or "", hashes) for t in texts.slice(i, BLOCK).to_pylist()])))
-            yield pa.array(np.concatenate(out), pa.float64())
-        hashes.clear()
-        released()
+        with working():
+            for texts in batches:
+                out = [np.zeros(0)]
+                for i in range(0, len(texts), BLOCK):
+                    out.append(m.scores(np.array([terms(t or "", hashes) for t in texts.slice(i, BLOCK).to_pylist()])))
+                yield pa.array(np.concatenate(out), pa.float64())
 
     # said to be nondeterministic, lest a filter on the score evaluates it once more
     return docs.withColumn("score", score.asNondeterministic()(docs["text"].cast("string")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import arrow_rows, dropped, fold, lean, released, saved, small_batches, typed
+from orbitlake.llm.common import arrow_rows, dropped, fold, lean, saved, small_batches, typed, working
 from orbitlake.llm.quality import labelled, training_labels
 
 #: Labelled documents of each label that are learnt from, at most; what is learnt is bounded by them.
@@ -249,13 +249,13 @@ def with_scores(docs: DataFrame, model) -> DataFrame:
     @F.arrow_udf("struct<score: double, passages: array<struct<first: bigint, tokens: bigint, e_value: double>>>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
-        for texts in batches:
-            s, p = [], []
-            for text in texts.to_pylist():
-                best, total, _, found = m.summary(text)
-                s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
-            yield pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(p, _PASSAGES)], names=["score", "passages"])
-        released()
+        with working():
+            for texts in batches:
+                s, p = [], []
+                for text in texts.to_pylist():
+                    best, total, _, found = m.summary(text)
+                    s.append(m.score(best, total)), p.append([{"first": a, "tokens": e - a, "e_value": v} for v, a, e in found])
+                yield pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(p, _PASSAGES)], names=["score", "passages"])
 
     rest = [c for c in docs.columns if c not in ("score", "passages")]
     # said to be nondeterministic, lest a filter on the score evaluates it once more
