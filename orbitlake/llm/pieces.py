@@ -39,7 +39,7 @@ SHORT = 64
 #: Bytes of text of a block: larger ones ask less often for the same words.
 BLOCK_BYTES = 5 << 20
 #: Characters of a text that are looked at together, about.
-PART = 1 << 20
+PART, GATHER = 1 << 20, 1 << 18
 SPACE = "▁"
 #: Neighbouring characters are looked up by a hash of these bits; a collision only leaves a cut out.
 _PAIR_BITS = 20
@@ -118,32 +118,55 @@ def _parts(text: str) -> Iterator[str]:
     yield marked[at:]
 
 
+@lru_cache(maxsize=1)
+def _scrambled() -> np.ndarray:
+    """A number for each code point."""
+    return mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+def _gathered(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Parts of texts, marked, and the numbers of their texts: a few at a time, so that short ones share what a call costs."""
+    parts, of, size = [], [], 0
+    for t, text in enumerate(texts):
+        for part in _parts(text) if text else ():
+            parts.append(part), of.append(t)
+            size += len(part)
+            if size >= GATHER:
+                yield parts, of
+                parts, of, size = [], [], 0
+    if parts:
+        yield parts, of
+
+
 def indexed_words(texts: list[str], path: str = MODEL) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of texts and their hashes, the number of each word in turn, and how many words each text has.
 
     Words are told apart by 64 bits of a hash of their characters; a text whose words were confused would not decode to
     itself, and round_trip would say so.
     """
-    parts, hashes, begins, ends, owner, counts = [], [], [], [], [], np.zeros(len(texts), np.int64)
-    for t, text in enumerate(texts):
-        for part in _parts(text) if text else ():
-            points = _points(part)
-            at = np.concatenate([[0], _cuts(points, path)])
-            size = np.diff(at, append=len(points))
-            place = mixed(np.arange(1, int(size.max()) + 1, dtype=np.uint64)) | np.uint64(1)
-            within = np.arange(len(points)) - np.repeat(at, size)
-            hashes.append(np.add.reduceat(mixed(points.astype(np.uint64) + np.uint64(1)) * place.take(within), at))
-            begins.append(at.astype(np.int32)), ends.append((at + size).astype(np.int32)), owner.append(np.full(len(at), len(parts), np.int32))
-            parts.append(part)
-            counts[t] += len(at)
-    if not parts:
+    strings, hashes, begins, ends, owner, counts = [], [], [], [], [], np.zeros(len(texts), np.int64)
+    for parts, of in _gathered(texts):
+        string = "".join(parts)
+        points = _points(string)
+        first = np.cumsum([0, *map(len, parts)])[:-1]
+        begin = np.zeros(len(points), np.bool_)
+        begin[first] = begin[_cuts(points, path)] = True
+        at = np.flatnonzero(begin)
+        size = np.diff(at, append=len(points))
+        place = mixed(np.arange(1, int(size.max()) + 1, dtype=np.uint64)) | np.uint64(1)
+        within = np.arange(len(points)) - np.repeat(at, size)
+        hashes.append(np.add.reduceat(_scrambled().take(points) * place.take(within), at))
+        begins.append(at.astype(np.int32)), ends.append((at + size).astype(np.int32)), owner.append(np.full(len(at), len(strings), np.int32))
+        strings.append(string)
+        np.add.at(counts, of, np.diff(np.searchsorted(at, first), append=len(at)))
+    if not strings:
         return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
     numbered = pa.array(np.concatenate(hashes)).dictionary_encode()
     index, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_numpy()
     first = np.empty(len(distinct), np.int64)
     first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
     spans = zip(*(np.concatenate(x)[first].tolist() for x in (owner, begins, ends)), strict=True)
-    return [parts[p][a:b] for p, a, b in spans], mixed(distinct), index, counts
+    return [strings[p][a:b] for p, a, b in spans], mixed(distinct), index, counts
 
 
 def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[str, ...] = ("word",)) -> DataFrame:
@@ -164,12 +187,12 @@ def lattice(words: DataFrame, spark: SparkSession, path: str = MODEL, by: tuple[
     cut = words.where("word <> ''").select(*by, F.explode(segments).alias("s")).select(*by, "s.at", "s.text")
     starts = cut.select(*by, "at", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(SEGMENT), F.char_length("text")))).alias("p"))
     sub = starts.select(*by, "at", "text", "p", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("text") - F.col("p") + 1))).alias("n"))
-    sub = sub.select(*by, (F.col("at") + F.col("p") + F.col("n") - 1).alias("end"), "n", F.expr("substring(text, p, n)").alias("piece"))
+    sub = sub.select(*by, (F.col("at") + F.col("p") + F.col("n") - 1).cast("int").alias("end"), "n", F.expr("substring(text, p, n)").alias("piece"))
     # a number is looked up faster than a text, which is compared after
     met = sub.withColumn("key", F.xxhash64("piece")).join(known, "key", "left")
     met = met.withColumn("id", F.when(F.col("piece") == F.col("known"), F.col("id"))).where("id is not null or n = 1")
     edge = F.struct(
-        F.col("end").cast("int").alias("end"), (-F.col("n")).cast("int").alias("n"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
+        F.col("end"), (-F.col("n")).alias("n"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
         F.when(F.col("id").isNull(), F.lit(unknown)).otherwise(F.col("score")).alias("score"),
     )
     grouped = met.select(*by, edge.alias("e")).groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("es"))
@@ -356,6 +379,13 @@ def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+@lru_cache(maxsize=2)
+def _spelling(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """What all ids spell, one after another, and how many bytes each spells."""
+    spell = pieces(path)[2]
+    return np.frombuffer(b"".join(spell), np.uint8), np.fromiter(map(len, spell), np.int64, len(spell))
+
+
 def _id_type(path: str):
     return np.uint16 if len(pieces(path)[2]) < 65_536 else np.uint32
 
@@ -366,7 +396,7 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("r
 def _assembler(ranges: int, path: str):
     def run(bundle: pa.Table, replies: pa.Table) -> pa.Table:
         """Texts of one block, put together from the answers to its request."""
-        spell, kind = pieces(path)[2], _id_type(path)
+        kind = _id_type(path)
         docs = [x for d in bundle.column("data").to_pylist() for x in blocks.unpack_docs(d)]
         words, hashes, index, counts = indexed_words([text for _, text in docs], path)
         order, spans = _by_range(words, hashes, ranges)
@@ -381,7 +411,11 @@ def _assembler(ranges: int, path: str):
         flat = np.concatenate(flats)
         start = np.empty(len(words), np.int64)
         start[order] = np.cumsum(size[order]) - size[order]
-        spelt = [b"".join(map(spell.__getitem__, flat[a : a + n].tolist())) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        letters, width = _spelling(path)
+        long = width[flat]
+        data = letters[_places((np.cumsum(width) - width)[flat], long)].tobytes()
+        to = np.concatenate([[0], np.cumsum(long)])
+        spelt = [data[a:b] for a, b in zip(to[start].tolist(), to[start + size].tolist(), strict=True)]
         out_ids, same, at = [], [], 0
         for (_, text), n in zip(docs, counts.tolist(), strict=True):
             mine = index[at : at + n]
