@@ -37,6 +37,8 @@ PERCENT = 75
 BLOCK, BLOCK_ITEMS = 1024, 1 << 20
 #: Turns of pivots, and rows of one key that go to one task; a hotter key's are dealt to several.
 PIVOTS, HOT = 3, 512
+#: Links up to which their components are found in one task; more take joins.
+LOCAL_LINKS = 250_000
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -126,14 +128,46 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "items"])
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, comp of the links of all batches, by union and find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while up[root] != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for hi, lo in arrow_rows(batches, "hi", "lo"):
+        a, b = top(up.setdefault(hi, hi)), top(up.setdefault(lo, lo))
+        up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable) for every node of edges (a, b), by alternating star joins.
+    """node, comp (the smallest node reachable) for every node of edges (a, b).
+
+    Up to LOCAL_LINKS edges, a few megabytes, are united in one task; more by alternating star joins.
+    """
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    now = saved(e, "edges")
+    if now.count() <= LOCAL_LINKS:
+        out = saved(now.coalesce(1).mapInArrow(lean(_united), "node long, comp long"), "components")
+        dropped(now)
+        return out
+    return _starred(now)
+
+
+def _starred(now: DataFrame) -> DataFrame:
+    """components() of saved edges (hi, lo) by alternating star joins.
 
     A large star ties each node's larger neighbours to its least one, a small star its smaller ones; both keep what is
     connected, and repeated they leave only stars. All steps are joins and minima; nothing goes to the driver but two sums.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now, before = saved(e, "edges"), None
+    before = None
     while True:
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
@@ -315,7 +349,7 @@ def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     """labels (rep, comp, size) with the groups that links (a, b) join; what is in one group already is one node."""
     a = labels.select(F.col("rep").alias("a"), F.col("comp").alias("x"))
     b = labels.select(F.col("rep").alias("b"), F.col("comp").alias("y"))
-    new = saved(components(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "contracted")
+    new = components(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     now = labels.join(new, labels["comp"] == new["node"], "left").select("rep", F.coalesce(new["comp"], labels["comp"]).alias("comp"))
     now = saved(now, "labels")
     out = saved(now.join(now.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("rep", "comp", "size"), "labels")

@@ -444,5 +444,7 @@ def test_lists_are_merged_in_blocks(spark, monkeypatch):
             if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
-    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, rows)).collect()}
-    assert got == {i: top(i) for i in sets} and len(set(got.values())) < len(got)
+    for links in (neardup.LOCAL_LINKS, -1):
+        monkeypatch.setattr(neardup, "LOCAL_LINKS", links)
+        got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, rows)).collect()}
+        assert got == {i: top(i) for i in sets} and len(set(got.values())) < len(got)
