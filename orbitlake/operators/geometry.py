@@ -84,10 +84,17 @@ def tca_windows(sets: DataFrame, key: str = "norad", epoch: str = "epoch", tie:
 _SOLUTION = "pass_id long, lat double, lon double, scale double, rms double, residuals array<double>, converged boolean"
 
 
+_SOLVED = pa.schema(
+    [("pass_id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("scale", pa.float64()), ("rms", pa.float64()), ("residuals", pa.list_(pa.float64())), ("converged", pa.bool_())]
+)
+
+
 def _solve(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(list(batches)).to_pandas().sort_values("minutes")
-    if len(t) < 3:
-        raise ValueError("a pass needs at least 3 measurements")
+    if len(t) < 3:  # too few measurements for a place and a scale
+        nothing = {"pass_id": key[0].as_py(), "lat": None, "lon": None, "scale": None, "rms": None, "residuals": None, "converged": False}
+        yield pa.RecordBatch.from_pylist([nothing], schema=_SOLVED)
+        return
     e = [t[c].to_numpy(float) for c in _ELEMENTS]
     minutes, seen = t["minutes"].to_numpy(float), t["doppler"].to_numpy(float)
     r, v, _ = sgp4.propagate(*e, minutes)
@@ -124,7 +131,7 @@ def _solve(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for x, ok in ((first, ok1), (other, ok2)):
         scale, left = fit(x)
         rows.append({"pass_id": key[0].as_py(), "lat": float(x[0]), "lon": float(x[1]), "scale": scale, "rms": float(np.sqrt((left**2).mean())), "residuals": left.tolist(), "converged": bool(ok)})
-    yield pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["rms"]), schema=pa.schema([("pass_id", pa.int64()), *((c, pa.float64()) for c in ("lat", "lon", "scale", "rms")), ("residuals", pa.list_(pa.float64())), ("converged", pa.bool_())]))
+    yield pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["rms"]), schema=_SOLVED)
 
 
 def geolocate(curves: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ def with_field(states: DataFrame, coefficients: DataFrame | list[tuple]) -> Data
     coefficients: n, m, g, h at the wanted epoch, which is the caller's choice and one for the whole request.
     """
     rows = coefficients if isinstance(coefficients, list) else [tuple(r) for r in coefficients.select("n", "m", "g", "h").limit(DEGREE_MAX**2 + 1).collect()]
+    if len(rows) > DEGREE_MAX**2:
+        raise ValueError(f"more than {DEGREE_MAX**2} coefficients: the table must hold one epoch")
     top = max((n for n, *_ in rows), default=0)
     if not rows or top > DEGREE_MAX:
         raise ValueError(f"coefficients have degree {top}; 1 to {DEGREE_MAX} are allowed")

@@ -95,7 +95,7 @@ def trace_spec(line: Column) -> Column:
     """struct of start, stop, sat and options from `start,stop,sat[,key=value...]`; null for blanks, comments and bad lines."""
     p = F.transform(F.split(line, ","), F.trim)
     start, stop = (F.try_to_timestamp(F.get(p, F.lit(k))).cast("timestamp_ntz") for k in (0, 1))
-    opts = F.map_from_entries(F.transform(F.filter(F.slice(p, 4, 1000), lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", ""))))
+    opts = F.map_from_entries(F.transform(F.filter(F.slice(p, F.lit(4), F.size(p)), lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", ""))))
     ok = ~line.startswith("#") & (F.size(p) >= 3) & (stop > start)
     return F.when(ok, F.struct(start.alias("start"), stop.alias("stop"), F.get(p, F.lit(2)).alias("sat"), opts.alias("options")))
 
