@@ -97,6 +97,82 @@ def to_ecef(r: Vec, v: Vec, gmst: Column) -> tuple[Vec, Vec]:
     return (x, y, r[2]), (vx + EARTH_RATE * y, vy - EARTH_RATE * x, v[2])
 
 
+# Main terms of the IAU 1980 nutation. Multiples of the Moon's and the Sun's anomaly, the Moon's argument of latitude, its
+# elongation and its node; then longitude, its rate a century, obliquity and its rate, in 0.0001 arc seconds.
+NUTATION = (
+    (0, 0, 0, 0, 1, -171996, -174.2, 92025, 8.9),
+    (0, 0, 2, -2, 2, -13187, -1.6, 5736, -3.1),
+    (0, 0, 2, 0, 2, -2274, -0.2, 977, -0.5),
+    (0, 0, 0, 0, 2, 2062, 0.2, -895, 0.5),
+    (0, 1, 0, 0, 0, 1426, -3.4, 54, -0.1),
+    (1, 0, 0, 0, 0, 712, 0.1, -7, 0.0),
+    (0, 1, 2, -2, 2, -517, 1.2, 224, -0.6),
+    (0, 0, 2, 0, 1, -386, -0.4, 200, 0.0),
+    (1, 0, 2, 0, 2, -301, 0.0, 129, -0.1),
+    (0, -1, 2, -2, 2, 217, -0.5, -95, 0.3),
+    (1, 0, 0, -2, 0, -158, 0.0, -1, 0.0),
+    (0, 0, 2, -2, 1, 129, 0.1, -70, 0.0),
+    (-1, 0, 2, 0, 2, 123, 0.0, -53, 0.0),
+)
+# Those five arguments in degrees, and the angles of precession and the mean obliquity in arc seconds, by powers of centuries.
+DELAUNAY = (
+    (134.96298139, 477198.8673981, 0.0086972),
+    (357.52772333, 35999.05034, -0.0001603),
+    (93.27191028, 483202.0175381, -0.0036825),
+    (297.85036306, 445267.11148, -0.0019142),
+    (125.04452222, -1934.1362608, 0.0020708),
+)
+ZETA, THETA, Z_ANGLE = (0.0, 2306.2181, 0.30188, 0.017998), (0.0, 2004.3109, -0.42665, -0.041833), (0.0, 2306.2181, 1.09468, 0.018203)
+OBLIQUITY = (84381.448, -46.815, -0.00059, 0.001813)
+ARC_SECOND = PI / 648000.0
+
+
+def _poly(c: tuple[float, ...], t: Column) -> Column:
+    out = F.lit(c[-1])
+    for k in reversed(c[:-1]):
+        out = out * t + k
+    return out
+
+
+def _turn(r: Vec, axis: int, c: Column, s: Column) -> Vec:
+    """Coordinates in a frame turned about an axis (0, 1, 2) by the angle of that cosine and sine."""
+    i, j = (axis + 1) % 3, (axis + 2) % 3
+    out = list(r)
+    out[i], out[j] = c * r[i] + s * r[j], c * r[j] - s * r[i]
+    return tuple(out)
+
+
+def with_inertial(df: DataFrame, r: Vec, v: Vec, jd: Column, frac: Column, names: tuple[str, ...]) -> DataFrame:
+    """With the state turned from the true equator and mean equinox of date to the equator and equinox of J2000.
+
+    Equation of the equinoxes, nutation of 13 terms and IAU 1976 precession: some metres from the celestial reference frame
+    for a low orbit. Each angle and each turn is a projection of its own.
+    """
+    kept = df.columns
+    t = F.col("_tc")
+    df = df.withColumn("_tc", ((jd - 2451545.0) + frac) / 36525.0)
+    df = df.withColumns({f"_a{k}": F.radians(_poly(c, t)) for k, c in enumerate(DELAUNAY)})
+    args = [sum((n * F.col(f"_a{k}") for k, n in enumerate(row[:5]) if n), F.lit(0.0)) for row in NUTATION]
+    df = df.withColumns({f"_n{k}": a for k, a in enumerate(args)})
+    psi = sum(((row[5] + row[6] * t) * F.sin(f"_n{k}") for k, row in enumerate(NUTATION)), F.lit(0.0))
+    eps = sum(((row[7] + row[8] * t) * F.cos(f"_n{k}") for k, row in enumerate(NUTATION)), F.lit(0.0))
+    df = df.withColumns({"_dpsi": psi * (1e-4 * ARC_SECOND), "_deps": eps * (1e-4 * ARC_SECOND), "_e0": _poly(OBLIQUITY, t) * ARC_SECOND})
+    # each turn: axis and angle
+    turns = (
+        (2, -F.col("_dpsi") * F.cos("_e0")), (0, F.col("_e0") + F.col("_deps")), (2, F.col("_dpsi")), (0, -F.col("_e0")),
+        (2, _poly(Z_ANGLE, t) * ARC_SECOND), (1, -_poly(THETA, t) * ARC_SECOND), (2, _poly(ZETA, t) * ARC_SECOND),
+    )
+    df = df.withColumns({f"_c{k}": F.cos(a) for k, (_, a) in enumerate(turns)} | {f"_s{k}": F.sin(a) for k, (_, a) in enumerate(turns)})
+    own = tuple(f"_q{k}" for k in range(6))
+    df = df.withColumns(dict(zip(own, (*r, *v), strict=True)))
+    for k, (axis, _) in enumerate(turns):
+        c, s = F.col(f"_c{k}"), F.col(f"_s{k}")
+        now = tuple(F.col(q) for q in own)
+        df = df.withColumns(dict(zip(own, (*_turn(now[:3], axis, c, s), *_turn(now[3:], axis, c, s)), strict=True)))
+    same = [c for c in kept if c not in names]
+    return df.select(*same, *(F.col(q).alias(n) for q, n in zip(own, names, strict=True)))
+
+
 def with_geodetic(df: DataFrame, r: Vec, rounds: int = 5) -> DataFrame:
     """With lat and lon in degrees and alt in km, by a fixed number of iterations, each a projection of its own."""
     e2 = WGS84_F * (2 - WGS84_F)
@@ -192,6 +268,11 @@ def enu_to_ecef(east: Column, north: Column, up: Column, lat: Column, lon: Colum
     return x, y, F.cos(la) * north + F.sin(la) * up
 
 
+def node_solar_time(raan: Column, sun_ra: Column) -> Column:
+    """Local time of the ascending node, hours in [0, 24)."""
+    return wrap(raan / 15.0 - sun_ra + 12.0, 24.0)
+
+
 def geo_longitude(raan: Column, aop: Column, ma: Column, gmst: Column) -> Column:
     """Mean longitude over the Earth, in [-180, 180)."""
     return wrap(raan + aop + ma - gmst * 15.0 + 180.0, 360.0) - 180.0

@@ -64,6 +64,12 @@ def epoch(l1: Column) -> Column:
     return F.timestamp_add("MICROSECOND", part * 864, start)
 
 
+def epoch_fields(t: Column) -> tuple[Column, Column]:
+    """The two digits of the year and the day of the year with its fraction, of an instant."""
+    part = F.timestamp_diff("MICROSECOND", F.date_trunc("DAY", t).cast("timestamp_ntz"), t)
+    return F.year(t) % 100, F.dayofyear(t) + part / 86400e6
+
+
 def satnum_text(l1: Column) -> Column:
     return F.translate(field(l1, 3, 5), " ", "0")
 

@@ -141,3 +141,30 @@ def geolocate(curves: DataFrame) -> DataFrame:
     """
     cols = ["pass_id", "minutes", "jd", "doppler", *_ELEMENTS]
     return curves.select(F.col("pass_id").cast("long").alias("pass_id"), *(F.col(c).cast("double").alias(c) for c in cols[1:])).groupBy("pass_id").applyInArrow(_solve, _SOLUTION)
+
+
+# The series that can be plotted, and panels for kinds of orbits.
+SERIES = ("sma", "mm", "ecc", "inc", "raan", "aop", "bstar", "peri", "apo", "revnum", "lon", "ltan")
+DEFAULT_SERIES = ("sma", "mm", "ecc", "inc", "raan", "aop")
+PRESETS = {
+    "leo": ("sma", "mm", "peri", "apo", "inc", "bstar"),
+    "geo": ("lon", "mm", "sma", "ecc", "inc"),
+    "sunsync": ("ltan", "sma", "mm", "ecc", "inc"),
+    "heo": ("peri", "apo", "ecc", "inc", "aop", "mm"),
+}
+
+
+def plot_series(sets: DataFrame, names: str | tuple[str, ...] = DEFAULT_SERIES, keep: tuple[str, ...] = ("norad", "epoch")) -> DataFrame:
+    """The named series, or those of a preset, as doubles beside the columns to keep."""
+    if isinstance(names, str):
+        if names not in PRESETS:
+            raise ValueError(f"unknown preset {names!r}; one of {sorted(PRESETS)}")
+        names = PRESETS[names]
+    if bad := [n for n in names if n not in SERIES]:
+        raise ValueError(f"unknown series {bad}; one of {SERIES}")
+    return sets.select(*keep, *(F.col(n).cast("double").alias(n) for n in names))
+
+
+def mean_altitude(traces: DataFrame) -> DataFrame:
+    """One row: mean_alt of all points of all traces, and their number."""
+    return traces.agg(F.round(F.avg("alt"), 4).alias("mean_alt"), F.count("*").alias("n"))

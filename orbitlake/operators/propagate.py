@@ -14,7 +14,9 @@ from orbitlake.functions import frames as fr
 from orbitlake.kernels import sgp4
 
 _ELEMENTS = ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")
+_INERTIAL = ("_x", "_y", "_z", "_vx", "_vy", "_vz")
 _STATE = ("x", "y", "z", "vx", "vy", "vz")
+# The names of the groups.
 GROUPS = ("eci", "ecef", "lla", "keplerian", "equinoctial", "sunlight", "beta", "lst")
 
 
@@ -39,10 +41,11 @@ def with_states(samples: DataFrame, time: str = "t") -> DataFrame:
     return d.mapInArrow(run, out)
 
 
-def generate(samples: DataFrame, groups: tuple[str, ...] = GROUPS, sites: DataFrame | None = None, time: str = "t") -> DataFrame:
+def generate(samples: DataFrame, groups: tuple[str, ...] = GROUPS, sites: DataFrame | None = None, time: str = "t", single: bool = False) -> DataFrame:
     """The requested groups of columns for each sample, in the order asked for; with sites, a row for each site.
 
-    The frame is the equator and equinox of date, UT1 is UTC. Only what the groups need is computed.
+    eci and the elements are on the equator and equinox of J2000, the rest on those of date; UT1 is UTC. Only what the groups need is computed.
+    single gives measures as floats of 32 bits.
     """
     if bad := [g for g in groups if g not in GROUPS]:
         raise ValueError(f"unknown groups {bad}; one of {GROUPS}")
@@ -52,8 +55,10 @@ def generate(samples: DataFrame, groups: tuple[str, ...] = GROUPS, sites: DataFr
     d = d.withColumns({"_jd": jd, "_fr": frac})
     d = d.withColumn("gmst", fr.gmst_hours(F.col("_jd"), F.col("_fr")))
     cols: list[str] = []
-    if "eci" in groups:
-        cols += list(_STATE)
+    inertial = tuple(F.col(c) for c in _INERTIAL)
+    if {"eci", "keplerian", "equinoctial"} & set(groups):
+        d = fr.with_inertial(d, r, v, F.col("_jd"), F.col("_fr"), _INERTIAL)
+        cols += list(_INERTIAL) if "eci" in groups else []
     if {"ecef", "lla", "lst"} & set(groups) or sites is not None:
         re, ve = fr.to_ecef(r, v, F.col("gmst"))
         d = d.withColumns({"rx": re[0], "ry": re[1], "rz": re[2], "ux": ve[0], "uy": ve[1], "uz": ve[2]})
@@ -64,7 +69,7 @@ def generate(samples: DataFrame, groups: tuple[str, ...] = GROUPS, sites: DataFr
         d = fr.with_geodetic(d, fixed)
         cols += ["lat", "lon", "alt"] if "lla" in groups else []
     if {"keplerian", "equinoctial"} & set(groups):
-        d = fr.with_osculating(d, r, v)
+        d = fr.with_osculating(d, inertial[:3], inertial[3:])
         if "keplerian" in groups:
             cols.append("coe")
         if "equinoctial" in groups:
@@ -90,4 +95,12 @@ def generate(samples: DataFrame, groups: tuple[str, ...] = GROUPS, sites: DataFr
         rho, rate = fr.range_rate(fixed, moving, at)
         d = d.withColumns({"range": rho, "range_rate": rate, "elevation": fr.elevation(fixed, at, F.col("_la"), F.col("_lo"))})
         cols += ["site", "range", "range_rate", "elevation"]
-    return d.select(*(c for c in samples.columns if c not in _ELEMENTS), "err", *cols)
+    own = [c for c in samples.columns if c not in _ELEMENTS]
+    renamed = dict(zip(_INERTIAL, _STATE, strict=True))
+    out = d.select(*own, "err", *(F.col(c).alias(renamed.get(c, c)) for c in cols))
+    return float32(out, *own) if single else out
+
+
+def float32(df: DataFrame, *keep: str) -> DataFrame:
+    """With columns of doubles, but for those named, as floats of 32 bits; others as they are."""
+    return df.select(*(F.col(f.name).cast("float").alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in keep else F.col(f.name) for f in df.schema))

@@ -62,15 +62,19 @@ def read_catalog(spark: SparkSession, path: str, kind: str | None = None) -> tup
 def changed_files(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
     """path, size, modified, sha256, status of each file: new, changed, refreshed (same content) or skipped (same size and time).
 
-    known: path, size, modified, sha256. Content is hashed only where size or time differ.
+    known: path, size, modified, sha256. Only files whose size or time differ are read; their names come to the driver, where
+    Spark's own list of the folder is. A file must be smaller than 2 GB, the limit of the binary reader.
     """
     meta = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     k = known.select(F.col("path").alias("p"), F.col("size").alias("s"), F.col("modified").alias("m"), F.col("sha256").alias("old"))
     j = meta.join(k, F.col("path") == F.col("p"), "left").withColumn("same", F.coalesce((F.col("size") == F.col("s")) & (F.col("modified") == F.col("m")), F.lit(False)))
-    content = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("now"))
+    done = j.where("same").select("path", "size", "modified", F.col("old").alias("sha256"), F.lit("skipped").alias("status"))
+    differ = [r["path"] for r in j.where("not same").select("path").toLocalIterator()]
+    if not differ:
+        return done
+    content = spark.read.format("binaryFile").load(differ).select("path", F.sha2("content", 256).alias("now"))
     hashed = j.where("not same").join(content, "path")
     state = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("now"), "refreshed").otherwise("changed")
-    done = j.where("same").select("path", "size", "modified", F.col("old").alias("sha256"), F.lit("skipped").alias("status"))
     return done.unionByName(hashed.select("path", "size", "modified", F.col("now").alias("sha256"), state.alias("status")))
 
 
@@ -84,6 +88,19 @@ def times(spark: SparkSession, start: str, stop: str, step_seconds: float) -> Da
     return spark.range(max(0, -(-n // step))).select(F.timestamp_add("MICROSECOND", F.col("id") * step, a).alias("t"))
 
 
+def trace_times(spans: DataFrame, step_seconds: float) -> DataFrame:
+    """Each span with t from start by steps; the last is at stop or less than a step beyond it."""
+    step = int(step_seconds * 1e6)
+    n = F.ceil(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("stop")) / step).cast("long")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), n))
+    return spans.where(F.col("stop") >= F.col("start")).withColumn("_k", k).withColumn("t", F.timestamp_add("MICROSECOND", F.col("_k") * step, F.col("start"))).drop("_k")
+
+
+def wall_clock(text: Column) -> Column:
+    """The instant as it is written: an offset from UTC is dropped, not applied."""
+    return F.try_to_timestamp(F.regexp_replace(text, "(Z|[+-][0-9]{2}:?[0-9]{2})$", "")).cast("timestamp_ntz")
+
+
 def site(text: Column) -> Column:
     """struct of name, lat, lon, alt from NAME:LAT:LON[:ALT]; null if it has fewer parts."""
     p = F.split(text, ":")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitlake.sources.shared import fresh_folder
+
 
 def read_pairs(spark: SparkSession, path: str | list[str], mode: str = "strict") -> DataFrame:
     """path, place, line1, line2 of each pair. strict wants a blank after the line number, lenient doesn't.
@@ -25,12 +27,15 @@ def read_pairs(spark: SparkSession, path: str | list[str], mode: str = "strict")
 
 
 def place_in_order(rows: DataFrame, *columns: str) -> DataFrame:
-    """With place, the row's number in the order of columns. Rows are sorted by range; only counts of partitions meet."""
-    ordered = rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_p", F.spark_partition_id())
-    per = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*columns)))
+    """With place, the row's number in the order of columns. Rows are sorted by range and saved once; only counts of partitions meet."""
+    at = fresh_folder(rows.sparkSession, "ordered")
+    ordered = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    # the lower 33 bits of the id count the rows of a partition
+    ordered.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("_n")).write.parquet(at)
+    per = rows.sparkSession.read.parquet(at)
     sizes = per.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return per.join(F.broadcast(before), "_p").withColumn("place", F.col("_n") + F.col("_b")).drop("_p", "_n", "_b")
+    return per.join(F.broadcast(before), "_p").withColumn("place", F.col("_n") + F.col("_b") + 1).drop("_p", "_n", "_b")
 
 
 def write_pairs(pairs: DataFrame, path: str, key: str | None = None, dedup: bool = True) -> None:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from orbitlake.plans import catalog_queries, orbit_queries  # noqa: F401
+from orbitlake.plans import catalog_queries, orbit_queries, store_queries  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
