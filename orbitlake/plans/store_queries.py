@@ -128,12 +128,15 @@ def date_files(spark, sf_dir):
 
 
 def _generated(spark, sf_dir) -> tuple[str, DataFrame, DataFrame]:
-    """Files of the sets before an instant, then of all: the folder, what the second run did, and what the check found."""
-    start, _ = _literals(spark, sf_dir)
-    at = fresh_folder(spark, "files")
-    c = elements(spark, sf_dir).select("id", "norad", "epoch", "line1", "line2", F.col("ts").cast("timestamp_ntz").alias("created"))
-    emit.generate(c.where(F.col("epoch") < start), at)
-    return at, *emit.generate(c, at, as_of=start, window_days=5)
+    """Files of the sets before an instant, then of all, made once a session: the folder, what the second run did, what the check found."""
+    key = (spark.sparkContext.applicationId, sf_dir, "files")
+    if key not in _STORES:
+        start, _ = _literals(spark, sf_dir)
+        at = fresh_folder(spark, "files")
+        c = elements(spark, sf_dir).select("id", "norad", "epoch", "line1", "line2", F.col("ts").cast("timestamp_ntz").alias("created"))
+        emit.generate(c.where(F.col("epoch") < start), at)
+        _STORES[key] = (at, *emit.generate(c, at, as_of=start, window_days=5))
+    return _STORES[key]
 
 
 @query(CAT + "SELECT norad, 2 * count(*) AS lines, max(epoch) AS tail_epoch, true AS intact FROM cat GROUP BY norad")

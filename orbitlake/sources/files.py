@@ -23,17 +23,34 @@ def is_catalog_id(text: str) -> bool:
     return bool(_CATALOG_ID.match(text))
 
 
+def to_satnum(text: str) -> int:
+    """The number of a catalog id in digits or five characters."""
+    if not is_catalog_id(text):
+        raise ValueError(f"{text!r} is no catalog id")
+    return int(text) if text.isdigit() else (tle.ALPHA5.index(text[0].upper()) + 10) * 10000 + int(text[1:])
+
+
 def candidate_names(text: str) -> list[str]:
     """How an id may be spelt as a name: as typed, upper, as a number, in five characters."""
     out = [text, text.upper()]
     if is_catalog_id(text):
-        head, rest = text[0].upper(), text[1:]
-        n = int(text) if text.isdigit() else (tle.ALPHA5.index(head) + 10) * 10000 + int(rest)
+        n = to_satnum(text)
         five = f"{n:05d}" if n < 100000 else tle.ALPHA5[n // 10000 - 10] + f"{n % 10000:04d}" if n < 340000 else str(n)
         out += [str(n), five]
     return list(dict.fromkeys(out))
 
 
+def find_file(spark: SparkSession, text: str, folder: str) -> str | None:
+    """An existing path, or the first file in a folder that an id may name; None if there is none. Any store Spark can read."""
+
+    def exists(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    names = [text] + [f"{folder.rstrip('/')}/{n}{end}" for n in candidate_names(text) for end in ("", *(f".{x}" for x in FORMATS if FORMATS[x] == "tle"))]
+    return next((n for n in names if exists(n)), None)
+
+
 def read_omm(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Message records, all fields as text; JSON may be an object or an array."""
     kind = kind or detect_format(path)
