@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import chat, decontaminate, html, lm, neardup, pieces, quality, topk, toxicity, warc
+from orbitlake.llm import align, chat, decontaminate, html, lm, neardup, pieces, quality, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -162,3 +162,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they decode to it."""
     out = pieces.encode(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
+@query()
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text, aligned between a byte-level vocabulary and one of pieces."""
+    return align.alignment_digests(table(spark, sf_dir, "documents"))
