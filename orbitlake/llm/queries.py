@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import align, chat, decontaminate, html, lm, neardup, pieces, quality, topk, toxicity, warc
+from orbitlake.llm import align, chat, decontaminate, html, lm, neardup, packing, pieces, quality, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -168,3 +168,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text, aligned between a byte-level vocabulary and one of pieces."""
     return align.alignment_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's tokens in sequences of 4,096."""
+    return packing.pack(table(spark, sf_dir, "documents"))
