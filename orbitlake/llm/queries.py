@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm import align, chat, decontaminate, html, lm, neardup, packing, pieces, quality, topk, toxicity, warc
+from orbitlake.llm import align, centroids, chat, decontaminate, html, lm, neardup, packing, pieces, quality, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -174,3 +174,40 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text's tokens in sequences of 4,096."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """Each round as two tables: the assignment and the centroids made of it."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q FROM v
+  ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q LIMIT 8
+)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT v.row, min({{'d': list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}}) AS m
+  FROM v, c{n} c GROUP BY v.row
+)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(g.q, c.q) AS q FROM c{n} c LEFT JOIN (
+    SELECT c, list(m ORDER BY pos) AS q FROM (
+      SELECT c, pos, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS m
+      FROM (SELECT a.m.c AS c, unnest(v.q) AS x, unnest(range(64)) AS pos FROM a{n} a JOIN v USING (row)) GROUP BY c, pos
+    ) GROUP BY c
+  ) g ON c.c = g.c
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT v.vec_id, a.m.c::INTEGER AS cluster, a.m.d AS distance, sum(a.m.d) OVER (PARTITION BY a.m.c)::BIGINT AS cluster_inertia,
+       sum(a.m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c ON c.c = a.m.c"""
+
+
+@query(_op13_sql())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components, in 8 clusters after 10 rounds."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
