@@ -12,8 +12,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitlake.llm.align import flat, places, shared_files
+from orbitlake.llm.align import flat, places, shared_files, summed
 from orbitlake.llm.common import dropped, lean, saved, small_batches, typed, working
 
 #: The vocabulary file, the tokens of a sequence and the id that ends a document.
@@ -42,102 +43,140 @@ _SPECIAL, _WORD_END, _MARKS = "<|", "</w>", b",.;:!?"
 JOINED = 200
 
 
+class Pool:
+    """Lists of ids, numbered in turn, in one array."""
+
+    def __init__(self):
+        self.ids, self.size, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids, self.size, self.start = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.size, size]), np.concatenate([self.start, start])
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return self.ids[places(self.start[numbers], self.size[numbers])]
+
+
+def numbering() -> defaultdict:
+    """A dictionary that numbers its keys in turn."""
+    out = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 class WordIds:
-    """Ids of words (bytes without white space), as little-endian 32-bit numbers, kept for words seen lately."""
+    """Ids of words (bytes without white space), kept for words seen lately. The key None stands for a document's end."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.t, self.plain = Tokenizer.from_str(content.decode()), Tokenizer.from_str(content.decode())
+        self.t, self.plain, self.end = Tokenizer.from_str(content.decode()), Tokenizer.from_str(content.decode()), end
         # parts of lower-case ASCII are cut already, and each of their characters is its own byte
         self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.t.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, np.bool_)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _learn_parts(self, parts: list[bytes], t) -> None:
-        """Ids of parts of words: many are given to the library as one text, in which tokens with an end mark end them."""
-        if not parts:
-            return
-        joined = [b" ".join(parts[i : i + JOINED]).decode() for i in range(0, len(parts), JOINED)]
-        ids = flat([e.ids for e in t.encode_batch_fast(joined, add_special_tokens=False)]).astype(np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.parts, self.of_words, self.of_parts = numbering(), numbering(), Pool(), Pool()
+        self.words[None], self.parts[b""]
+        self.of_words.add(np.array([self.end]), np.ones(1, np.int64))
+        self.of_parts.add(np.zeros(0), np.zeros(1, np.int64))
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return flat(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _joined(self, parts: list[bytes], t) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of words and how many each has: the library is given many as one text, in which tokens with an end mark end them."""
+        texts = [b" ".join(parts[i : i + JOINED]).decode() for i in range(0, len(parts), JOINED)]
+        ids = flat([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
         at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) != len(parts):
-            found = [np.array(e.ids, np.uint32).tobytes() for e in self.t.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        else:
-            raw, to = ids.tobytes(), (4 * np.concatenate([[0], at])).tolist()
-            found = [raw[a:b] for a, b in zip(to, to[1:], strict=False)]
-        self.parts.update(zip(parts, found, strict=True))
-
-    def learn(self, words: list[bytes]) -> None:
-        """Ids of words: of letters and marks after them by these parts, of other simple words by theirs, of the rest as a whole."""
-        letters, simple, others = [], {}, []
-        for w in words:
+        return (ids, np.diff(at, prepend=0)) if len(at) == len(parts) else self._whole(parts)
+
+    def learn(self) -> None:
+        """Ids of new words: of letters and marks after them by these parts, of other simple words by theirs, of the rest as a whole."""
+        new = list(islice(self.words, len(self.of_words.size), None))
+        parts, known, letters, marks, simple, others = self.parts, len(self.parts), [], [], [], []
+        kind = np.zeros(len(new), np.int8)
+        for n, w in enumerate(new):
             stem = w.rstrip(_MARKS)
             if stem.isalpha():  # letters of ASCII alone
-                letters.append((w, stem.lower(), w[len(stem) :]))
+                letters.append(parts[stem.lower()])
+                marks.append(parts[w[len(stem) :]])
                 continue
             text = w.decode()
             if _SIMPLE.fullmatch(text) and _SPECIAL not in text:
-                simple[w] = [p.encode() for p in _PARTS.findall(text.lower())]
+                kind[n] = 1
+                simple.append([parts[p.encode()] for p in _PARTS.findall(text.lower())])
             else:
+                kind[n] = 2
                 others.append(w)
-        known = self.parts
-        new = {x for _, stem, marks in letters for x in (stem, marks) if x not in known}.union(*([p for p in ps if p not in known] for ps in simple.values())) - {b""}
-        self._learn_parts([p for p in new if p.isascii()], self.plain)
-        self._learn_parts([p for p in new if not p.isascii()], self.t)
-        known.setdefault(b"", b"")
-        self.words.update([(w, known[stem] + known[marks]) for w, stem, marks in letters])
-        self.words.update([(w, b"".join(map(known.__getitem__, ps))) for w, ps in simple.items()])
-        self.words.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(others, self.t.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True))
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts; white space parts words and has no ids."""
+        fresh = list(islice(parts, known, None))
+        ascii_ = np.fromiter((p.isascii() for p in fresh), np.bool_, len(fresh))
+        self.of_parts.add(*_merged(~ascii_, self._joined([p for p in fresh if p.isascii()], self.plain), self._joined([p for p in fresh if not p.isascii()], self.t)))
+        of, pool = np.array([letters, marks], np.int64).T.ravel(), self.of_parts
+        some, many = flat(simple), np.fromiter(map(len, simple), np.int64, len(simple))
+        plain = (pool.take(of), pool.size[of].reshape(-1, 2).sum(1))
+        two = _merged(kind[kind < 2], plain, (pool.take(some), summed(pool.size[some], many)))
+        self.of_words.add(*_merged(kind == 2, two, self._whole(others)))
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts with their ends, one text's after another's, and how many each has; white space has none."""
         split = [t.encode().split() if t else [] for t in texts]
+        for ws in split:
+            ws.append(None)
         if len(self.words) > WORDS:
-            self.words.clear(), self.parts.clear()
-        self.learn([w for w in set().union(*split) if w not in self.words])
-        of = self.words.__getitem__
-        return [b"".join(map(of, ws)) for ws in split]
+            self.clear()
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        self.learn()
+        return self.of_words.take(numbers), summed(self.of_words.size[numbers], size)
 
 
-_LOADED: dict[int, WordIds] = {}
+def _merged(second: np.ndarray, *lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two rows of lists (ids and sizes) as one, in the order that `second` says."""
+    second = second.astype(np.bool_)
+    size, start = np.zeros(len(second), np.int64), np.zeros(len(second), np.int64)
+    (a, of_a), (b, of_b) = lists
+    size[~second], size[second] = of_a, of_b
+    start[~second], start[second] = np.cumsum(of_a) - of_a, len(a) + np.cumsum(of_b) - of_b
+    return np.concatenate([a, b])[places(start, size)], size
 
 
-def _words_of(shared: Broadcast) -> WordIds:
+_LOADED: dict[tuple[int, int], WordIds] = {}
+
+
+def _words_of(shared: Broadcast, end: int) -> WordIds:
     (content,) = shared.value
-    key = xxhash.xxh3_64_intdigest(content)
+    key = (xxhash.xxh3_64_intdigest(content), end)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordIds(content)
+        _LOADED[key] = WordIds(content, end)
     return _LOADED[key]
 
 
 def _cut(shared: Broadcast, capacity: int, end: int, with_ids: bool):
-    last = np.array([end], np.uint32).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = TaskContext.get().partitionId() << 40
-        words = _words_of(shared)
+        words = _words_of(shared, end)
         for b in batches:
-            ids = [x + last for x in words.of(b.column("text").to_pylist())]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ids, size = words.of(b.column("text").to_pylist())
             count = -(-size // capacity)
-            doc, piece = np.repeat(np.arange(len(ids)), count), places(np.zeros(len(ids), np.int64), count)
+            doc, piece = np.repeat(np.arange(len(size)), count), places(np.zeros(len(size), np.int64), count)
             start = piece * capacity
             length = np.minimum(capacity, size[doc] - start)
-            spans = [(ids[d], 4 * s, 4 * (s + n)) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            to = np.concatenate([[0], np.cumsum(length)])
+            raw, at = memoryview(ids.astype("<u4").tobytes()), (4 * to).tolist()
             out = {
                 "slot": pa.array(slot + np.arange(len(doc))), "doc_id": b.column("doc_id").take(pa.array(doc)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start),
-                "length": pa.array(length), "ids_crc32": pa.array([zlib.crc32(memoryview(x)[s:e]) for x, s, e in spans], pa.int64()),
+                "length": pa.array(length), "ids_crc32": pa.array([zlib.crc32(raw[s:e]) for s, e in zip(at, at[1:], strict=False)], pa.int64()),
             }
             slot += len(doc)
             if with_ids:
-                flats = np.frombuffer(b"".join(ids), np.uint32).astype(np.int32)
-                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flats))
+                out["ids"] = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(out)
 
     return run
