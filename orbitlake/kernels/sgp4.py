@@ -1,12 +1,14 @@
-"""Near-Earth SGP4 (Hoots and Roehrich 1980; Vallado, Crawford, Hujsak and Kelso 2006), over arrays of element sets and times.
+"""SGP4 (Hoots and Roehrich 1980; Vallado, Crawford, Hujsak and Kelso 2006), over arrays of element sets and times.
 
-Element sets with a period of 225 minutes or more need the deep-space terms, which aren't here: they get error 7.
+Element sets with a period of 225 minutes or more get the deep-space terms too; those need the epoch.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from orbitlake.kernels.deepspace import DeepSpace
+
 # The gravity model that element sets are fitted with.
 MU, RE, J2, J3, J4 = 398600.8, 6378.135, 0.001082616, -0.00000253881, -0.00000165597
 XKE = 60.0 / np.sqrt(RE**3 / MU)
@@ -14,18 +16,26 @@ TWO_PI = 2 * np.pi
 DEEP_MINUTES = 225.0
 
 
-def propagate(mm, ecc, inc, raan, aop, ma, bstar, minutes):
+def sidereal(jd):
+    """Greenwich mean sidereal angle in radians."""
+    t = (jd - 2451545.0) / 36525.0
+    return np.radians(np.mod(67310.54841 + (876600.0 * 3600 + 8640184.812866) * t + 0.093104 * t * t - 6.2e-6 * t**3, 86400.0) / 240.0)
+
+
+def propagate(mm, ecc, inc, raan, aop, ma, bstar, minutes, jd=None):
     """TEME position (km) and velocity (km/s), shape (n, 3), and an error code for each row.
 
-    mm in rev/day, angles in degrees. Errors: 1 eccentricity out of range, 4 no semi-latus rectum, 6 decayed, 7 deep space.
+    mm in rev/day, angles in degrees, jd the Julian date of the epoch. Errors: 1 eccentricity out of range, 3 the same by the
+    pull of Sun and Moon, 4 no semi-latus rectum, 6 decayed, 7 deep space without a known epoch.
     """
     mm, e, bstar, t = (np.asarray(x, float) for x in (mm, ecc, bstar, minutes))
     i, node0, arg0, m0 = (np.radians(np.asarray(x, float)) for x in (inc, raan, aop, ma))
     with np.errstate(all="ignore"):
-        return _run(mm * TWO_PI / 1440.0, e, i, node0, arg0, m0, bstar, t)
+        jd = np.full(len(mm), np.nan) if jd is None else np.asarray(jd, float)
+        return _run(mm * TWO_PI / 1440.0, e, i, node0, arg0, m0, bstar, t, jd)
 
 
-def _run(kozai, e, i, node0, arg0, m0, bstar, t):
+def _run(kozai, e, i, node0, arg0, m0, bstar, t, jd):
     c, s = np.cos(i), np.sin(i)
     c2 = c * c
     om = 1 - e * e
@@ -69,10 +79,9 @@ def _run(kozai, e, i, node0, arg0, m0, bstar, t):
     nodedot = xh + (0.5 * t2_ * (4 - 19 * c2) + 2 * t3_ * (3 - 7 * c2)) * c
     xmcof = np.where(round_, 0.0, -(2 / 3) * coef * bstar / np.where(round_, 1.0, eeta))
     nodecf = 3.5 * om * xh * cc1
-    flat = np.abs(1 + c) > 1.5e-12
-    xlcof = -0.25 * (J3 / J2) * s * (3 + 5 * c) / np.where(flat, 1 + c, 1.5e-12)
-    aycof = -0.5 * (J3 / J2) * s
-    high = a0 * (1 - e) >= 220 / RE + 1  # lower ones drop the higher drag terms
+    *_, aycof, xlcof = _tilted(i)
+    far = TWO_PI / n0 >= DEEP_MINUTES
+    high = (a0 * (1 - e) >= 220 / RE + 1) & ~far  # lower ones drop the higher drag terms, deep-space ones have none
     h = high.astype(float)
     d2 = 4 * a0 * tsi * cc1**2
     temp = d2 * tsi * cc1 / 3
@@ -89,15 +98,27 @@ def _run(kozai, e, i, node0, arg0, m0, bstar, t):
         (d2 + 2 * cc1**2) * t**3
         + t**4 * (0.25 * (3 * d3 + cc1 * (12 * d2 + 10 * cc1**2)) + t * 0.2 * (3 * d4 + 12 * cc1 * d3 + 6 * d2 * d2 + 15 * cc1**2 * (2 * d2 + cc1**2)))
     )
-    am = a0 * ta * ta
+    nm, em, xi = n0, e, i
+    deep = np.flatnonzero(far & np.isfinite(jd))
+    if len(deep):
+        own = DeepSpace(*(x[deep] for x in (e, i, node0, arg0, m0, n0, a0, jd)), sidereal(jd[deep]), (mdot[deep], argdot[deep], nodedot[deep]))
+        em, xi, node, arg, m, nm = _put(deep, own.secular(t[deep], *(x[deep] for x in (em, xi, node, arg, m))), (em, xi, node, arg, m, nm))
+    am = (XKE / nm) ** (2 / 3) * ta * ta
     nm = XKE / am**1.5
-    em = e - te
+    em = em - te
     err = np.where((em >= 1) | (em < -0.001) | (am < 0.95), 1, 0)
     em = np.maximum(em, 1e-6)
     m = m + n0 * tl
     xlm = np.mod(m + arg + node, TWO_PI)
     node, arg = np.mod(node, TWO_PI), np.mod(arg, TWO_PI)
     m = np.mod(xlm - arg - node, TWO_PI)
+    if len(deep):
+        e_, i_, node_, arg_, m_ = own.periodic(t[deep], *(x[deep] for x in (em, xi, node, arg, m)))
+        turned = i_ < 0
+        i_, node_, arg_ = np.where(turned, -i_, i_), np.where(turned, node_ + np.pi, node_), np.where(turned, arg_ - np.pi, arg_)
+        em, xi, node, arg, m = _put(deep, (e_, i_, node_, arg_, m_), (em, xi, node, arg, m))
+        err = np.where((err == 0) & ((em < 0) | (em > 1)), 3, err)
+        (c, s, c2, con41, x1mth2, aycof, xlcof) = _put(deep, _tilted(i_), (c, s, c2, con41, x1mth2, aycof, xlcof))
     # long-period terms, then Kepler's equation
     axn = em * np.cos(arg)
     inv = 1 / (am * (1 - em * em))
@@ -120,12 +141,30 @@ def _run(kozai, e, i, node0, arg0, m0, bstar, t):
     k2 = k1 / pl
     mr = rl * (1 - 1.5 * k2 * beta * con41) + 0.5 * k1 * x1mth2 * c2u
     su = su - 0.25 * k2 * (7 * c2 - 1) * s2u
-    xnode, xinc = node + 1.5 * k2 * c * s2u, i + 1.5 * k2 * c * s * c2u
+    xnode, xinc = node + 1.5 * k2 * c * s2u, xi + 1.5 * k2 * c * s * c2u
     mv = rdot - nm * k1 * x1mth2 * s2u / XKE
     rv = rvdot + nm * k1 * (x1mth2 * c2u + 1.5 * con41) / XKE
     ss, cs, sn, cn, si, ci = np.sin(su), np.cos(su), np.sin(xnode), np.cos(xnode), np.sin(xinc), np.cos(xinc)
     uu = np.stack([-sn * ci * ss + cn * cs, cn * ci * ss + sn * cs, si * ss], -1)
     vv = np.stack([-sn * ci * cs - cn * ss, cn * ci * cs - sn * ss, si * cs], -1)
     err = np.where((err == 0) & (mr < 1), 6, err)
-    err = np.where(TWO_PI / n0 >= DEEP_MINUTES, 7, err)
+    err = np.where(far & ~np.isfinite(jd), 7, err)
     return mr[..., None] * uu * RE, (mv[..., None] * uu + rv[..., None] * vv) * (RE * XKE / 60), err.astype(np.int32)
+
+
+def _tilted(i):
+    """What the position needs of an inclination: cosine, sine, combinations of them, and the long-period coefficients."""
+    c, s = np.cos(i), np.sin(i)
+    flat = np.abs(1 + c) > 1.5e-12
+    xlcof = -0.25 * (J3 / J2) * s * (3 + 5 * c) / np.where(flat, 1 + c, 1.5e-12)
+    return c, s, c * c, 3 * c * c - 1, 1 - c * c, -0.5 * (J3 / J2) * s, xlcof
+
+
+def _put(rows, new, old):
+    """The old arrays with the new values at rows."""
+    out = []
+    for x, y in zip(new, old, strict=True):
+        z = np.array(y)
+        z[rows] = x
+        out.append(z)
+    return out

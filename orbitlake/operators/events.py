@@ -23,11 +23,6 @@ _US = 60e6
 _ZERO = "timestamp_ntz'2000-01-01 00:00:00'"
 
 
-def _gmst(jd: np.ndarray) -> np.ndarray:
-    t = (jd - 2451545.0) / 36525.0
-    return np.radians(np.mod(67310.54841 + (876600.0 * 3600 + 8640184.812866) * t + 0.093104 * t * t - 6.2e-6 * t**3, 86400.0) / 240.0)
-
-
 def _sun(jd: np.ndarray) -> np.ndarray:
     n = jd - 2451545.0
     g = np.radians(357.528 + 0.9856003 * n)
@@ -54,7 +49,7 @@ def _sunlit(r, v, jd, site):
 
 
 def _fixed(r, jd):
-    a = _gmst(jd)
+    a = sgp4.sidereal(jd)
     return np.stack([np.cos(a) * r[:, 0] + np.sin(a) * r[:, 1], np.cos(a) * r[:, 1] - np.sin(a) * r[:, 0], r[:, 2]], -1)
 
 
@@ -86,7 +81,7 @@ class _Pieces:
 
     def state(self, i: np.ndarray, t: np.ndarray):
         """Value, position and Julian date of pieces i at t; a decayed orbit (error 6) has a state, other errors have none."""
-        r, v, err = sgp4.propagate(*(e[i] for e in self.elements), t)
+        r, v, err = sgp4.propagate(*(e[i] for e in self.elements), t, self.jd[i])
         jd = self.jd[i] + t / 1440.0
         return np.where((err == 0) | (err == 6), self.sign * KINDS[self.kind](r, v, jd, self.site), np.nan), r, jd
 

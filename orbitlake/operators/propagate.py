@@ -26,13 +26,14 @@ def with_states(samples: DataFrame, time: str = "t") -> DataFrame:
     One Arrow kernel a batch and no shuffle; a row that can't be propagated has nulls and its error code.
     """
     names = samples.columns
-    d = samples.withColumn("_minutes", F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(time)) / 60e6)
+    jd, frac = fr.jday(F.col("epoch"))
+    d = samples.withColumns({"_minutes": F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(time)) / 60e6, "_epoch_jd": jd + frac})
     out = T.StructType(list(samples.schema) + [T.StructField(c, T.DoubleType()) for c in _STATE] + [T.StructField("err", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
-            r, v, err = sgp4.propagate(*(col(c) for c in (*_ELEMENTS, "_minutes")))
+            r, v, err = sgp4.propagate(*(col(c) for c in (*_ELEMENTS, "_minutes", "_epoch_jd")))
             ok = err == 0
             state = np.where(ok[:, None], np.concatenate([r, v], 1), np.nan)
             cols = [b.column(c) for c in names] + [pa.array(state[:, k], from_pandas=True) for k in range(6)] + [pa.array(err)]
