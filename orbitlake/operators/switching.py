@@ -69,14 +69,45 @@ def prefilter(sets: DataFrame, start: Column, stop: Column, key: str = "norad",
     return kept.drop("_k", "_lo", "_hi")
 
 
+def _day(c: str | Column) -> Column:
+    return F.unix_date(F.to_date(c))
+
+
+def _by_day(held: DataFrame, days: DataFrame) -> DataFrame:
+    """Windows with a row for each day that they touch, `_day`, inside the one row of days (_lo, _hi).
+
+    The windows of an object tile time, so it has as many rows as it has windows and days together.
+    """
+    first, last = F.greatest(_day("valid_from"), F.col("_lo")), F.least(_day(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("valid_to"))), F.col("_hi"))
+    inside = held.crossJoin(F.broadcast(days)).withColumn("_day", F.when(first <= last, F.sequence(first, last)))
+    return inside.where("_day is not null").withColumn("_day", F.explode("_day")).drop("_lo", "_hi")
+
+
 def assign(samples: DataFrame, held: DataFrame, on: str = "norad", time: str = "t", how: str = "inner") -> DataFrame:
-    """Each sample with the window that holds at its time. The object is an equi key, so the join is by hash with a residual range."""
-    s, h = samples.alias("s"), held.withColumnRenamed(on, "_on").alias("h")
-    return s.join(h, (F.col(f"s.{on}") == F.col("_on")) & (F.col(f"s.{time}") >= F.col("valid_from")) & (F.col(f"s.{time}") < F.col("valid_to")), how).drop("_on")
+    """Each sample with the window that holds at its time.
+
+    Windows are exploded to the days that they touch between the first sample and the last, and object and day are equi keys,
+    so a sample meets the windows of its day alone and a busy object spreads over tasks by day. A stream, whose last sample
+    isn't known, joins by the object with a residual range.
+    """
+    h = held.withColumnRenamed(on, "_on")
+    if samples.isStreaming:
+        s, h = samples.alias("s"), h.alias("h")
+        same = F.col(f"s.{on}") == F.col("_on")
+    else:
+        h = _by_day(h, samples.agg(_day(F.min(time)).alias("_lo"), _day(F.max(time)).alias("_hi"))).alias("h")
+        s = samples.withColumn("_at", _day(time)).alias("s")
+        same = (F.col(f"s.{on}") == F.col("_on")) & (F.col("_at") == F.col("_day"))
+    return s.join(h, same & (F.col(f"s.{time}") >= F.col("valid_from")) & (F.col(f"s.{time}") < F.col("valid_to")), how).drop("_on", "_at", "_day")
 
 
 def split(spans: DataFrame, held: DataFrame, on: str = "norad") -> DataFrame:
-    """Spans (on, start, stop) cut where the window changes."""
-    h = held.withColumnRenamed(on, "_on")
-    cut = spans.join(h, (spans[on] == F.col("_on")) & (F.col("valid_from") < F.col("stop")) & (F.col("valid_to") > F.col("start"))).drop("_on")
-    return cut.withColumn("sub_start", F.greatest("start", "valid_from")).withColumn("sub_stop", F.least("stop", "valid_to"))
+    """Spans (on, start, stop) cut where the window changes. Both sides are exploded to days and meet on the first day that they share."""
+    until = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("stop"))
+    days = spans.agg(_day(F.min("start")).alias("_lo"), _day(F.max("stop")).alias("_hi"))
+    s = spans.where("start < stop").withColumn("_at", F.explode(F.sequence(_day("start"), _day(until)))).withColumnRenamed(on, "_own")
+    h = _by_day(held.withColumnRenamed(on, "_on"), days)
+    first = F.greatest(_day("start"), _day("valid_from"))
+    cut = s.join(h, (F.col("_own") == F.col("_on")) & (F.col("_at") == F.col("_day")) & (F.col("_at") == first) & (F.col("valid_from") < F.col("stop")) & (F.col("valid_to") > F.col("start")))
+    cut = cut.withColumn("sub_start", F.greatest("start", "valid_from")).withColumn("sub_stop", F.least("stop", "valid_to"))
+    return cut.drop("_on", "_at", "_day").withColumnRenamed("_own", on)

@@ -218,9 +218,8 @@ _WIN_SQL = f""", w AS (
 @query(CAT + _SPAN_SQL + _WIN_SQL + """SELECT id, norad, greatest(start, valid_from) AS sub_start, least(stop, valid_to) AS sub_stop
 FROM w, sp WHERE valid_from < stop AND valid_to > start""")
 def window_split(spark, sf_dir):
-    start, stop = _literals(spark, sf_dir)
     c = elements(spark, sf_dir).select("id", "norad", "epoch")
-    spans = c.select("norad").distinct().withColumn("start", start).withColumn("stop", stop)
+    spans = c.select("norad").distinct().crossJoin(F.broadcast(_bounds(spark, sf_dir)))  # one row of bounds
     return switching.split(spans, switching.epoch_windows(c, tie=("id",))).select("id", "norad", "sub_start", "sub_stop")
 
 
