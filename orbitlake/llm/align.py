@@ -13,6 +13,7 @@ one for each link, and no pair has more rows than there are blocks.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,13 +33,15 @@ from orbitlake.llm.common import arrow_rows, lean, lean_pair, saved, small_batch
 #: The vocabulary files.
 PATH_A, PATH_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of a block, and distinct words that a worker keeps aligned.
-BLOCK_BYTES, WORDS = 16 << 20, 400_000
+BLOCK_BYTES, WORDS = 12 << 20, 400_000
 SPACE, _BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 #: A space at the very beginning or after white space: then the text is cut by a search, else at each space.
 _RUNS, _CUT = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
 #: The same for a text of ASCII alone: what may stand before such a space; and marks after a letter, which A parts from it.
 _BLANKS, _TAIL = [f"{c} " for c in " \t\n\r\v\f\x1c\x1d\x1e\x1f"], ",.;:!?"
 _PLAIN = re.compile(r"\S+")
+#: Words that the library is given at a time: it slows down with longer texts.
+JOINED = 200
 #: White space to some Unicode versions only: a text with it is one word.
 _DOUBTFUL = "᠎"
 
@@ -54,6 +57,7 @@ class Tokenizers:
     """Both tokenizers and what their ids spell, made of the contents of their files."""
 
     def __init__(self, a: bytes, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -83,8 +87,8 @@ class Tokenizers:
         return bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode()
 
     def _plain_a(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of words without white space by A, a space in front of each, and how many each has: the distinct stems are given
-        to the library as one text, in which the tokens that begin with a space begin the words."""
+        """Ids of words without white space by A, a space in front of each, and how many each has: distinct stems are given to
+        the library many at a time as one text, in which the tokens that begin with a space begin the words."""
         stems, tails, of_stem, of_tail = defaultdict(), defaultdict(), [], []
         stems.default_factory, tails.default_factory = stems.__len__, tails.__len__
         for w in words:
@@ -93,7 +97,8 @@ class Tokenizers:
                 stem = w
             of_stem.append(stems[stem])
             of_tail.append(tails[w[len(stem) :]])
-        ids = np.array(self.a.encode(" " + " ".join(stems), add_special_tokens=False).ids, np.int64)
+        own = list(stems)
+        ids = flat([e.ids for e in self.a.encode_batch_fast([" " + " ".join(own[i : i + JOINED]) for i in range(0, len(own), JOINED)], add_special_tokens=False)])
         first = np.flatnonzero(self.heads[ids])
         if len(first) != len(stems):
             return None
@@ -308,7 +313,7 @@ def _digest(texts: list[bytes], words: np.ndarray) -> str:
     return hashlib.sha256(b"".join(map(texts.__getitem__, words.tolist()))[:-1]).hexdigest() if len(words) else ""
 
 
-def _blocked(shared: Broadcast):
+def _blocked(shared: Broadcast, block_bytes: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = tokenizers_of(shared).words, TaskContext.get().partitionId() << 24
         ids, split, size = [], [], 0
@@ -317,10 +322,10 @@ def _blocked(shared: Broadcast):
             ids += batch.column("doc_id").to_pylist()
             split += words.split(texts)
             size += sum(len(t) for t in texts if t)
-            if size >= BLOCK_BYTES or len(words.index) > WORDS:
+            if size >= block_bytes or len(words.index) > most:
                 yield _block(number, ids, split, words)
                 number, ids, split, size = number + 1, [], [], 0
-                if len(words.index) > WORDS:
+                if len(words.index) > most:
                     words.clear()
         if ids:
             yield _block(number, ids, split, words)
@@ -358,7 +363,7 @@ def pair_counts(pairs: DataFrame, bits: int, vocabulary: int) -> DataFrame:
     return totals.join(F.broadcast(top.limit(vocabulary)), "b").select("code", "total", (F.col("total") == F.col("top")).alias("best"))
 
 
-def alignment_digests(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) -> DataFrame:
+def alignment_digests(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B, block_bytes: int = BLOCK_BYTES, words: int = WORDS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row of docs (doc_id, text).
 
     n_a and n_b are the tokens of space+text by A and of text by B, n_groups the groups into which places where both end cut
@@ -373,7 +378,7 @@ def alignment_digests(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_
     shared = shared_files(spark, path_a, path_b)
     vocabulary = len(tokenizers_of(shared).spell_b)
     d = typed(docs, doc_id="long", text="string")
-    held = saved(d.mapInArrow(lean(_blocked(shared)), "block long, data binary, codes array<long>, counts array<long>"), "blocks")
+    held = saved(d.mapInArrow(lean(_blocked(shared, block_bytes, words)), "block long, data binary, codes array<long>, counts array<long>"), "blocks")
     pairs = held.select(F.col("block").alias("of"), F.explode(F.arrays_zip("codes", "counts")).alias("p")).select("of", F.col("p.codes").alias("code"), F.col("p.counts").alias("n"))
     known = pairs.select(F.col("of").alias("block"), "code").join(pair_counts(pairs.select("code", "n"), tokenizers_of(shared).bits, vocabulary), "code")
     return held.select("block", "data").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean_pair(_counted), _DIGESTS_SQL)
@@ -418,9 +423,8 @@ def alignments(docs: DataFrame, path_a: str = PATH_A, path_b: str = PATH_B) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers_of(shared)
-        for rows in arrow_rows(batches, "doc_id", "text"):
-            for i, text in rows:
-                own = align_text(t, text)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.array([own[f.name]], f.type) for f in list(_ALIGNED)[1:])], schema=_ALIGNED)
+        for i, text in arrow_rows(batches, "doc_id", "text"):
+            own = align_text(t, text)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.array([own[f.name]], f.type) for f in list(_ALIGNED)[1:])], schema=_ALIGNED)
 
     return typed(docs, doc_id="long", text="string").mapInArrow(lean(run), _ALIGNED_SQL)
