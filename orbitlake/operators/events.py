@@ -3,6 +3,9 @@
 Each row of spans (elements, start and stop) is scanned by itself, so those of one object spread over tasks; what meets at a
 switch is joined after. Passes are also looked for at each elevation maximum between samples; other states that last less
 than the step can be missed.
+
+Passes over a site are scanned beyond both ends of each window, so that one which a window cuts has its true rise and set;
+where the windows of neighbouring element sets find the same pass, the window that holds its culmination has it.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitlake.functions import frames as fr
 from orbitlake.kernels import sgp4
@@ -64,8 +68,22 @@ def _elevation(r, v, jd, site):
     return np.degrees(np.arcsin(np.clip(d @ up / np.linalg.norm(d, axis=1), -1, 1))) - least
 
 
+def _golden(value, left, right):
+    """Where value(t) is greatest between left and right, by golden sections, to a few milliseconds."""
+    lo, hi, g = left.copy(), right.copy(), (5**0.5 - 1) / 2
+    one, two = hi - g * (hi - lo), lo + g * (hi - lo)
+    for _ in range(32 if len(lo) else 0):
+        u, v = value(one), value(two)
+        lo, hi = np.where(u < v, one, lo), np.where(u < v, hi, two)
+        one, two = hi - g * (hi - lo), lo + g * (hi - lo)
+    return (lo + hi) / 2
+
+
 KINDS = {"north": _north, "ascending": _ascending, "sunlit": _sunlit, "pass": _elevation}
-_OUT = "span long, start_us long, stop_us long, peak_us long, peak double, longitude double"
+_OUT = "row long, span long, start_us long, stop_us long, peak_us long, peak double, longitude double"
+#: Minutes that windows are scanned beyond their ends for passes, points of a pass among which its highest is looked for, and
+#: the part of a revolution within which crossings of neighbouring sets at a switch are the same.
+PAD, POINTS, NEAR = 100.0, 64, 1 / 32
 #: Samples of a piece of a span, and about as many of all that is scanned at once, so that memory is bounded.
 PIECE, AT_ONCE = 1440, 1 << 17
 #: A satellite so many degrees under the horizon is over 4,000 km away, too far to rise within a step.
@@ -75,8 +93,8 @@ FAR_BELOW = -20.0
 class _Pieces:
     """Pieces of spans that are scanned at once: columns of elements, epoch, start and stop in minutes from it."""
 
-    def __init__(self, kind: str, invert: bool, site: tuple, span, epoch, lo, hi, jd, elements):
-        self.kind, self.sign, self.site = kind, -1.0 if invert else 1.0, site
+    def __init__(self, kind: str, invert: bool, site: tuple, row, span, epoch, lo, hi, jd, elements):
+        self.kind, self.sign, self.site, self.row = kind, -1.0 if invert else 1.0, site, row
         self.span, self.epoch, self.lo, self.hi, self.jd, self.elements = span, epoch, lo, hi, jd, elements
 
     def state(self, i: np.ndarray, t: np.ndarray):
@@ -121,13 +139,7 @@ class _Pieces:
             top[:-1] &= ~after[:-1] | (f[:-1] >= f[1:])
         c = np.flatnonzero(top)
         at, left, right = i[c], t[c - before[c]], t[c + after[c]]
-        lo, hi, g = left.copy(), right.copy(), (5**0.5 - 1) / 2
-        one, two = hi - g * (hi - lo), lo + g * (hi - lo)
-        for _ in range(32 if len(c) else 0):  # golden sections, to less than a millisecond
-            u, v = self.state(at, one)[0], self.state(at, two)[0]
-            lo, hi = np.where(u < v, one, lo), np.where(u < v, hi, two)
-            one, two = hi - g * (hi - lo), lo + g * (hi - lo)
-        peak = (lo + hi) / 2
+        peak = _golden(lambda x: self.state(at, x)[0], left, right)
         ok = (self.state(at, peak)[0] > 0) if len(c) else np.zeros(0, bool)
         at, left, peak, right = at[ok], left[ok], peak[ok], right[ok]
         return np.tile(at, 2), np.concatenate([left, peak]), np.concatenate([peak, right]), np.repeat([True, False], len(at))
@@ -143,26 +155,44 @@ class _Pieces:
         order = np.lexsort((s, i))
         i, s = i[order], s[order]
         p = p[np.lexsort((p, j))]
-        fine = s[:, None] + (p - s)[:, None] * np.linspace(0, 1, 64)
-        g = self.state(np.repeat(i, 64), fine.ravel())[0].reshape(fine.shape)
+        fine = s[:, None] + (p - s)[:, None] * np.linspace(0, 1, POINTS)
+        g = self.state(np.repeat(i, POINTS), fine.ravel())[0].reshape(fine.shape)
         g = np.where(np.isfinite(g), g, -np.inf)
-        top = np.arange(len(s)), g.argmax(1)
+        best, every = g.argmax(1), np.arange(len(s))
+        at, top = fine[every, best], g[every, best]
+        if self.kind == "pass":  # between the neighbours of the highest point
+            near = _golden(lambda x: self.state(i, x)[0], fine[every, np.maximum(best - 1, 0)], fine[every, np.minimum(best + 1, POINTS - 1)])
+            high = self.state(i, near)[0] if len(i) else top
+            at, top = np.where(high > top, near, at), np.fmax(high, top)
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), self.micros(i, fine[top]), pa.array(g[top]), pa.array(self.longitude(i, s))],
-            names=["span", "start_us", "stop_us", "peak_us", "peak", "longitude"],
+            [pa.array(self.row[i]), pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), self.micros(i, at), pa.array(top), pa.array(self.longitude(i, s))],
+            names=["row", "span", "start_us", "stop_us", "peak_us", "peak", "longitude"],
         )
 
     def crossings(self) -> pa.RecordBatch:
-        at, t, up, known, _, _ = self.scan()
-        at, t, up = at[known], t[known], up[known]
-        return pa.RecordBatch.from_arrays([pa.array(self.span[at]), self.micros(at, t), pa.array(self.longitude(at, t)), pa.array(up)], names=["span", "time_us", "longitude", "ascending"])
+        """Crossings (edge 0), and on which side each piece begins (edge 1) and ends (edge -1), with the same longitude and time."""
+        at, t, up, known, begins, ends = self.scan()
+        every = np.arange(len(self.lo))
+        i, t = np.concatenate([at[known], every, every]), np.concatenate([t[known], self.lo, self.hi])
+        side = np.concatenate([up[known], begins, ends])
+        edge = np.repeat(np.array([0, 1, -1], np.int32), [int(known.sum()), len(every), len(every)])
+        stated = (edge == 0) | np.isfinite(self.state(i, t)[0])
+        i, t, side, edge = i[stated], t[stated], side[stated], edge[stated]
+        near = np.round(NEAR * 1440.0 / self.elements[0][i] * _US).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.span[i]), self.micros(i, t), pa.array(self.longitude(i, t)), pa.array(side), pa.array(edge), pa.array(near)], names=["span", "time_us", "longitude", "ascending", "edge", "near"])
+
 
+_CROSSINGS = "span long, time_us long, longitude double, ascending boolean, edge int, near long"
 
-def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False):
+
+def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False, keep: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = pa.Table.from_batches([b]).drop_null()
-            span, epoch, lo, hi, jd, *e = (rows.column(c).to_numpy() for c in rows.column_names)
+            rows = pa.Table.from_batches([b])
+            kept, rows = rows.select([f"_k{n}" for n in range(len(keep))]), rows.drop_columns([f"_k{n}" for n in range(len(keep))])
+            known = np.logical_and.reduce([c.is_valid().to_numpy() for c in rows.columns])
+            kept, rows = kept.filter(pa.array(known)), rows.filter(pa.array(known))
+            row, span, epoch, lo, hi, jd, *e = (rows.column(c).to_numpy() for c in rows.column_names)
             n = np.maximum(0, np.ceil((hi - lo) / PIECE)).astype(int)  # none where stop isn't after start
             i = np.repeat(np.arange(len(n)), n)
             a = lo[i] + PIECE * (np.arange(len(i)) - (np.cumsum(n) - n)[i])
@@ -170,17 +200,25 @@ def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False):
             for k in range(0, len(i), max(1, AT_ONCE // PIECE)):
                 c = slice(k, k + max(1, AT_ONCE // PIECE))
                 o = i[c]
-                piece = _Pieces(kind, invert, site, span[o], epoch[o], a[c], z[c], jd[o], [x[o] for x in e])
-                yield piece.crossings() if crossings else piece.periods()
+                # the place in this batch instead of the row's number, to find what is kept of it
+                piece = _Pieces(kind, invert, site, o if keep else row[o], span[o], epoch[o], a[c], z[c], jd[o], [x[o] for x in e])
+                found = piece.crossings() if crossings else piece.periods()
+                if keep:
+                    at = found.column("row")
+                    found = pa.RecordBatch.from_arrays([pa.array(row[at.to_numpy()]), *found.columns[1:], *(kept.column(c).take(at).combine_chunks() for c in kept.column_names)], names=[*found.schema.names, *kept.column_names])
+                yield found
 
     return run
 
 
-def _rows(spans: DataFrame) -> DataFrame:
+def _rows(spans: DataFrame, pad: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     minutes = lambda c: F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(c)) / _US
     jd, frac = fr.jday(F.col("epoch"))
     epoch = F.timestamp_diff("MICROSECOND", F.expr(_ZERO), F.col("epoch"))
-    return spans.select(F.col("span").cast("long").alias("span"), epoch.alias("epoch"), minutes("start").alias("lo"), minutes("stop").alias("hi"), (jd + frac).alias("jd"), *(F.col(c).cast("double") for c in _ELEMENTS))
+    return spans.select(
+        F.monotonically_increasing_id().alias("row"), F.col("span").cast("long").alias("span"), epoch.alias("epoch"), (minutes("start") - pad).alias("lo"), (minutes("stop") + pad).alias("hi"),
+        (jd + frac).alias("jd"), *(F.col(c).cast("double") for c in _ELEMENTS), *(F.col(c).alias(f"_k{n}") for n, c in enumerate(keep)),
+    )
 
 
 def _at(c: str):
@@ -197,7 +235,7 @@ def find_periods(spans: DataFrame, kind: str, invert: bool = False, site: tuple[
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; one of {sorted(KINDS)}")
-    found = _rows(spans).mapInArrow(_scan(kind, invert, site), _OUT)
+    found = _rows(spans).mapInArrow(_scan(kind, invert, site), _OUT).drop("row")
     w = Window.partitionBy("span").orderBy("start_us", "stop_us")
     found = found.withColumn("_f", F.coalesce(F.col("start_us") != F.lag("stop_us").over(w), F.lit(True)).cast("int"))
     found = found.withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -207,7 +245,61 @@ def find_periods(spans: DataFrame, kind: str, invert: bool = False, site: tuple[
     return found.select("span", _at("start_us").alias("start"), _at("stop_us").alias("stop"), _at("peak_us").alias("peak_time"), F.col("_top.peak").alias("peak"), "longitude")
 
 
+def find_passes(spans: DataFrame, site: tuple[float, float, float, float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """span, start, stop, peak_time, peak_elevation and the columns to keep: the passes over a site of each span.
+
+    spans and site are as find_periods takes them. A pass that overlaps a window has its true rise and set, by the window's own
+    element set, even where they are outside of the window, up to PAD minutes; beyond, it ends with the window. Passes that
+    overlap in a span, as neighbouring windows find one, are one: the one whose own window holds its culmination, or else
+    is nearest to it, then the higher; passes longer than that are joined where windows meet. The columns to keep are of that
+    window's row.
+    """
+    rows = _rows(spans.withColumns({"_w0": F.timestamp_diff("MICROSECOND", F.expr(_ZERO), F.col("start")), "_w1": F.timestamp_diff("MICROSECOND", F.expr(_ZERO), F.col("stop"))}).where("start < stop"), PAD, ("_w0", "_w1", *keep))
+    own = [f"_k{n}" for n in range(len(keep) + 2)]
+    schema = T.StructType([*T.StructType.fromDDL(_OUT), *(T.StructField(c, rows.schema[c].dataType) for c in own)])
+    found = rows.mapInArrow(_scan("pass", False, site, keep=("_w0", "_w1", *keep)), schema)
+    # pieces of a window that meet
+    w = Window.partitionBy("span", "row").orderBy("start_us", "stop_us")
+    found = found.withColumn("_f", F.coalesce(F.col("start_us") != F.lag("stop_us").over(w), F.lit(True)).cast("int"))
+    found = found.withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min_by(F.struct(*own), "start_us").alias("_own")
+    found = found.groupBy("span", "row", "_g").agg(F.min("start_us").alias("a"), F.max("stop_us").alias("b"), F.max(F.struct("peak", -F.col("peak_us"))).alias("_top"), first)
+    found = found.select("span", "a", "b", F.col("_top.peak").alias("peak"), (-F.col("_top.col2")).alias("peak_us"), F.col("_own._k0").alias("w0"), F.col("_own._k1").alias("w1"), "_own")
+    pad = round(PAD * _US)
+    found = found.where("b > w0 and a < w1").withColumns({"cut": (F.col("a") <= F.col("w0") - pad) | (F.col("b") >= F.col("w1") + pad)})
+    found = found.withColumns({"a": F.when(F.col("a") <= F.col("w0") - pad, F.col("w0")).otherwise(F.col("a")), "b": F.when(F.col("b") >= F.col("w1") + pad, F.col("w1")).otherwise(F.col("b"))})
+    # finds of one pass by several windows
+    o = Window.partitionBy("span").orderBy("a", "b")
+    apart = F.col("a") > F.max("b").over(o.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("_f", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_g", F.sum("_f").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    off = F.greatest(F.col("w0") - F.col("peak_us"), F.col("peak_us") - F.col("w1") + 1, F.lit(0))
+    found = found.withColumn("_by", F.struct("cut", off.alias("off"), (-F.col("peak")).alias("low"), F.col("w0")))
+    best = found.groupBy("span", "_g").agg(F.min_by(F.struct("a", "b", "cut", "peak", "peak_us", "_own"), "_by").alias("p"), F.min("a").alias("a"), F.max("b").alias("b"))
+    start, stop = (F.when(F.col("p.cut"), F.col(c)).otherwise(F.col(f"p.{c}")) for c in ("a", "b"))
+    best = best.select("span", start.alias("start_us"), stop.alias("stop_us"), F.col("p.peak_us").alias("peak_us"), (F.col("p.peak") + site[3]).alias("peak_elevation"), *(F.col(f"p._own._k{n + 2}").alias(c) for n, c in enumerate(keep)))
+    return best.select("span", _at("start_us").alias("start"), _at("stop_us").alias("stop"), _at("peak_us").alias("peak_time"), "peak_elevation", *keep)
+
+
 def node_crossings(spans: DataFrame) -> DataFrame:
-    """span, time, longitude, ascending of each crossing of the equator inside a row of spans, as find_periods takes them."""
-    found = _rows(spans).mapInArrow(_scan("north", False, (0.0, 0.0, 0.0, 0.0), True), "span long, time_us long, longitude double, ascending boolean")
-    return found.select("span", _at("time_us").alias("time"), "longitude", "ascending")
+    """span, time, longitude, ascending of each crossing of the equator in the rows of spans, as find_periods takes them.
+
+    Directions alternate in a span whose rows meet: where the element set changes and the two are on different sides, the object
+    crosses at the switch, or, if a crossing of either set is near, the ones that are the same crossing become one.
+    """
+    found = _rows(spans).mapInArrow(_scan("north", False, (0.0, 0.0, 0.0, 0.0), True), _CROSSINGS)
+    # the side on which a piece begins, against the side on which the one that ends there ends
+    edges = found.where("edge <> 0")
+    w = Window.partitionBy("span").orderBy("time_us", "edge")
+    before = F.lag(F.struct("time_us", "edge", "ascending")).over(w)
+    jumps = edges.withColumn("_p", before).where((F.col("edge") == 1) & (F.col("_p.edge") == -1) & (F.col("_p.time_us") == F.col("time_us")) & (F.col("_p.ascending") != F.col("ascending")))
+    flips = found.where("edge = 0").withColumn("jump", F.lit(False)).unionByName(jumps.drop("_p").withColumn("jump", F.lit(True)))
+    # at one time the switch comes last: what the earlier set crosses it crosses before
+    w = Window.partitionBy("span").orderBy("time_us", "jump", F.col("ascending"))
+    gap = F.col("time_us") - F.lag("time_us").over(w) > F.greatest("near", F.lag("near").over(w))
+    flips = flips.withColumn("_f", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = Window.partitionBy("span", "_g")
+    o = g.orderBy("time_us", "jump", F.col("ascending"))
+    flips = flips.withColumns({"_n": F.count("*").over(g), "_j": F.max("jump").over(g), "_up": F.first("ascending").over(o)})
+    place = F.row_number().over(g.orderBy((F.col("ascending") != F.col("_up")).cast("int"), F.col("jump").cast("int"), "time_us"))
+    kept = flips.withColumn("_place", place).where(~F.col("_j") | ((F.col("_n") % 2 == 1) & (F.col("_place") == 1)))
+    return kept.select("span", _at("time_us").alias("time"), "longitude", "ascending")

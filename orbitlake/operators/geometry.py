@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from orbitlake.functions import frames as fr
 from orbitlake.kernels import geodesic, neldermead, sgp4
 from orbitlake.operators import switching
 from orbitlake.operators.events import _fixed
@@ -26,44 +28,59 @@ def visibility_rings(sites: DataFrame, points: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, lat, lon, alt, high, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                with np.errstate(all="ignore"):
-                    eps = np.radians(least)
-                    arc = (np.arccos((C_A + alt) * np.cos(eps) / (C_A + high)) - eps) * C_A
-                    la, lo = geodesic.direct(lat, lon, np.arange(points) * 360.0 / points, arc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * points, pa.string()), pa.array(np.arange(points, dtype=np.int32)), *(pa.array(x.astype(np.float32), from_pandas=True) for x in (la, lo))], names=["name", "point", "lat", "lon"]
-                )
+            lat, lon, alt, high, least = (c.to_numpy(zero_copy_only=False).astype(float)[:, None] for c in b.columns[1:])
+            with np.errstate(all="ignore"):
+                eps = np.radians(least)
+                arc = (np.arccos((C_A + alt) * np.cos(eps) / (C_A + high)) - eps) * C_A
+                ring = geodesic.direct(lat, lon, np.arange(points)[None, :] * 360.0 / points, arc)
+            row = pa.array(np.repeat(np.arange(b.num_rows), points))
+            numbers = pa.array(np.tile(np.arange(points, dtype=np.int32), b.num_rows))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), numbers, *(pa.array(x.ravel().astype(np.float32), from_pandas=True) for x in ring)], names=["name", "point", "lat", "lon"])
 
     return d.mapInArrow(run, "name string, point int, lat float, lon float")
 
 
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for ident, gap, *e in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            out.append((ident, _between(gap, e[:7], e[7:])))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["_id", "_us"])
-
-
-def _between(gap_s: float, one: list, two: list) -> int:
     """Microseconds after the first epoch when both sets' positions are nearest: one-minute grid, then five seconds."""
-
-    def apart(t):
-        r1, _, e1 = sgp4.propagate(*(np.full(len(t), x) for x in one), t / 60)
-        r2, _, e2 = sgp4.propagate(*(np.full(len(t), x) for x in two), (t - gap_s) / 60)
-        return np.where((e1 == 0) & (e2 == 0), np.linalg.norm(r1 - r2, axis=1), np.inf)
-
-    middle = round(gap_s * 5e5)
-    if gap_s < 1:
-        return middle
-    t = np.linspace(0, gap_s, max(2, int(gap_s / 60) + 1))
-    d = apart(t)
-    if not np.isfinite(d).any():
-        return middle
-    best = t[int(np.argmin(d))]
-    fine = np.append(np.arange(max(0.0, best - 60), min(gap_s, best + 60), 5.0), min(gap_s, best + 60))
-    return round(float(fine[int(np.argmin(apart(fine)))]) * 1e6)
+    for b in batches:
+        gap, jd, *e = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in b.schema.names[1:])
+        best = np.round(gap * 5e5)  # the middle, where nothing better is known
+        for at in _runs(np.maximum(2, gap / 60 + 1) * (gap >= 1)):
+            k = at[gap[at] >= 1]
+            apart = lambda row, t: _apart([x[row] for x in e], gap[row], jd[row], t)  # noqa: B023, E731
+            n = np.maximum(2, (gap[k] / 60).astype(int) + 1)
+            _, t, found = _least(k, n, lambda i, place: gap[k][i] * place / (n[i] - 1), apart)  # noqa: B023
+            k, t = k[found], t[found]
+            lo, hi = np.maximum(0, t - 60), np.minimum(gap[k], t + 60)
+            n = np.ceil((hi - lo) / 5 - 1e-9).astype(int) + 1
+            rows, t, found = _least(k, n, lambda i, place: np.where(place < n[i] - 1, lo[i] + 5 * place, hi[i]), apart)  # noqa: B023
+            best[rows[found]] = np.round(t[found] * 1e6)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best.astype(np.int64))], names=["_id", "_us"])
+
+
+def _runs(weight: np.ndarray, most: float = 1 << 18) -> Iterator[np.ndarray]:
+    """Rows in runs of about so much weight, so that memory is bounded."""
+    at = (np.cumsum(weight) // most).astype(int)
+    for k in np.unique(at):
+        yield np.flatnonzero(at == k)
+
+
+def _least(rows: np.ndarray, n: np.ndarray, times, value) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows, the time among n of each at which value(rows, times) is least, and whether it is finite anywhere."""
+    i = np.repeat(np.arange(len(rows)), n)
+    first = np.cumsum(n) - n
+    t = times(i, np.arange(len(i)) - first[i])
+    v = value(rows[i], t)
+    order = np.lexsort((np.arange(len(i)), v, i))
+    top = order[first] if len(rows) else order
+    return rows, t[top], np.isfinite(v[top])
+
+
+def _apart(e: list, gap: np.ndarray, jd: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distance of the positions by two sets, the second one's epoch gap seconds later."""
+    r1, _, e1 = sgp4.propagate(*e[:7], t / 60, jd)
+    r2, _, e2 = sgp4.propagate(*e[7:], (t - gap) / 60, jd + gap / 86400)
+    return np.where((e1 == 0) & (e2 == 0), np.linalg.norm(r1 - r2, axis=1), np.inf)
 
 
 def tca_windows(sets: DataFrame, key: str = "norad", epoch: str = "epoch", tie: str = "id") -> DataFrame:
@@ -74,7 +91,8 @@ def tca_windows(sets: DataFrame, key: str = "norad", epoch: str = "epoch", tie:
     w = Window.partitionBy(key).orderBy(epoch, tie)
     nxt = sets.select(tie, F.lead(epoch).over(w).alias("_n"), epoch, *_ELEMENTS, *(F.lead(c).over(w).alias(f"_{c}") for c in _ELEMENTS)).where("_n is not null")
     gap = F.timestamp_diff("MICROSECOND", F.col(epoch), F.col("_n")) / 1e6
-    pairs = nxt.select(F.col(tie).alias("_id"), gap.alias("_gap"), *_ELEMENTS, *(f"_{c}" for c in _ELEMENTS))
+    jd, frac = fr.jday(F.col(epoch))
+    pairs = nxt.select(F.col(tie).alias("_id"), gap.alias("_gap"), (jd + frac).alias("_jd"), *_ELEMENTS, *(f"_{c}" for c in _ELEMENTS))
     at = pairs.mapInArrow(_closest, "_id long, _us long")
     j = sets.join(at, sets[tie] == at["_id"], "left").withColumn("_stop", F.timestamp_add("MICROSECOND", F.col("_us"), F.col(epoch))).drop("_id", "_us")
     j = j.withColumn("valid_from", F.coalesce(F.lag("_stop").over(w), F.to_timestamp_ntz(F.lit(switching.TIME_MIN))))
@@ -82,65 +100,175 @@ def tca_windows(sets: DataFrame, key: str = "norad", epoch: str = "epoch", tie:
 
 
 _SOLUTION = "pass_id long, lat double, lon double, scale double, rms double, residuals array<double>, converged boolean"
-
-
 _SOLVED = pa.schema(
     [("pass_id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("scale", pa.float64()), ("rms", pa.float64()), ("residuals", pa.list_(pa.float64())), ("converged", pa.bool_())]
 )
+#: Passes that are solved at once, and distances from the ground track (degrees) among which the search begins.
+TOGETHER, OFFSETS = 256, (0.5, 2.0, 4.0, 7.0, 10.0, 13.0, 16.0, 19.0, 23.0)
+_OMEGA = np.array([0.0, 0.0, fr.EARTH_RATE])
+
+
+def _moving(e: list, minutes: np.ndarray, jd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Earth-fixed positions (m) and velocities (m/s) of element sets at minutes from their epochs."""
+    r, v, err = sgp4.propagate(*e, minutes, jd)
+    now = jd + minutes / 1440
+    fixed = _fixed(r, now)
+    speed = _fixed(v, now) - np.cross(_OMEGA, fixed)
+    bad = ((err != 0) & (err != 6))[:, None]
+    return np.where(bad, np.nan, fixed * 1000), np.where(bad, np.nan, speed * 1000)
+
+
+def _ground(lat, lon, alt):
+    """Earth-fixed metres of places."""
+    la, lo = np.radians(lat), np.radians(lon)
+    e2 = geodesic.F * (2 - geodesic.F)
+    n = geodesic.A / np.sqrt(1 - e2 * np.sin(la) ** 2)
+    return np.stack([(n + alt) * np.cos(la) * np.cos(lo), (n + alt) * np.cos(la) * np.sin(lo), (n * (1 - e2) + alt) * np.sin(la)], -1)
+
+
+def _subpoint(fixed):
+    """Latitude and longitude under Earth-fixed positions, near enough to begin a search."""
+    return np.degrees(np.arctan2(fixed[..., 2], np.hypot(fixed[..., 0], fixed[..., 1]) * (1 - geodesic.F) ** 2)), np.degrees(np.arctan2(fixed[..., 1], fixed[..., 0]))
+
+
+class Curves:
+    """The Doppler curves of some passes side by side: arrays of passes by samples, short ones filled up with empty samples."""
+
+    def __init__(self, minutes: list, seen: list, jd: np.ndarray, alt: np.ndarray, e: list):
+        size = np.fromiter(map(len, minutes), int, len(minutes))
+        self.mask = np.arange(size.max(initial=1)) < size[:, None]
+        row = np.repeat(np.arange(len(size)), size)
+        fixed, speed = _moving([x[row] for x in e], np.concatenate(minutes), jd[row])
+        self.alt, self.size = alt, size
+        self.minutes, self.seen = self._filled(np.concatenate(minutes)), self._filled(np.concatenate(seen))
+        self.fixed, self.speed = self._filled(fixed), self._filled(speed)
+        self.known = np.isfinite(self.fixed).all((1, 2))
+
+    def _filled(self, flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((*self.mask.shape, *flat.shape[1:]))
+        out[self.mask] = flat
+        return out
+
+    def fit(self, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scale that fits a place best, and what is left of the curve, for one place of each row."""
+        d = self.fixed[rows] - _ground(places[:, 0], places[:, 1], self.alt[rows])[:, None, :]
+        rate = (d * self.speed[rows]).sum(2) / np.sqrt((d * d).sum(2)) * self.mask[rows]
+        scale = (self.seen[rows] * rate).sum(1) / np.maximum((rate * rate).sum(1), 1e-30)
+        return scale, self.seen[rows] - scale[:, None] * rate
+
+    def cost(self, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        value = (self.fit(rows, places)[1] ** 2).sum(1)
+        return np.where(np.isfinite(value), value, np.inf)
+
+    def turn(self) -> np.ndarray:
+        """The sample at which each curve changes sign, else where it is least."""
+        change = (np.sign(self.seen[:, 1:]) != np.sign(self.seen[:, :-1])) & self.mask[:, 1:]
+        least = np.where(self.mask, np.abs(self.seen), np.inf).argmin(1)
+        return np.where(change.any(1), change.argmax(1) if change.shape[1] else 0, least)
+
+    def track(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Latitude and longitude under the satellite at the turn, and the azimuth of the track there."""
+        every, k = np.arange(len(self.size)), self.turn()
+        lat, lon = _subpoint(self.fixed[every, k])
+        a, b = np.maximum(0, k - 1), np.minimum(self.size - 1, k + 1)
+        azimuth, _ = geodesic.inverse(*_subpoint(self.fixed[every, a]), *_subpoint(self.fixed[every, b]))
+        return lat, lon, azimuth
+
+    def solve(self, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Two places of each row and whether each search came to rest. first: places to begin at, or nulls.
+
+        The search begins at the best of places beside the track, and a second one where the first solution is turned over the track.
+        """
+        every = np.arange(len(self.size))
+        lat, lon, azimuth = self.track()
+        start = first.copy()
+        best = np.where(np.isfinite(first).all(1), self.cost(every, first), np.inf)
+        for side in (-90.0, 90.0):
+            for far in OFFSETS:
+                place = np.stack(geodesic.direct(lat, lon, azimuth + side, far * 111_000.0), 1)
+                value = np.where(np.isfinite(first).all(1), np.inf, self.cost(every, place))
+                start, best = np.where((value < best)[:, None], place, start), np.minimum(value, best)
+        start = np.where(np.isfinite(start).all(1)[:, None], start, np.stack([lat, lon], 1))
+        one, ok = self._search(start)
+        az, far = geodesic.inverse(lat, lon, one[:, 0], one[:, 1])
+        two, ok_two = self._search(np.stack(geodesic.direct(lat, lon, 2 * azimuth - az, far), 1))
+        return [(one, ok), (two, ok_two)]
+
+    def _search(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, _, ok = neldermead.minimise_all(self.cost, start, step=1.0)
+        place = np.stack([np.clip(place[:, 0], -90, 90), np.mod(place[:, 1] + 180, 360) - 180], 1)
+        return place, ok & self.known
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ident, minutes, seen, jd, alt, lat0, lon0, *e = (c.to_pylist() for c in batch.columns)
+        few = [k for k, m in enumerate(minutes) if m is None or seen[k] is None or len(m) < 3 or len(m) != len(seen[k]) or None in m or None in seen[k] or None in (jd[k], *(x[k] for x in e))]
+        if few:  # too few measurements for a place and a scale
+            yield pa.RecordBatch.from_pylist([{"pass_id": ident[k], "converged": False} for k in few], schema=_SOLVED)
+        rows = sorted(set(range(len(ident))) - set(few), key=lambda k: len(minutes[k]))
+        for at in range(0, len(rows), TOGETHER):
+            some = rows[at : at + TOGETHER]
+            number = lambda c: np.array([np.nan if c[k] is None else c[k] for k in some], float)  # noqa: B023, E731
+            order = [np.argsort(minutes[k], kind="stable") for k in some]
+            with np.errstate(all="ignore"):
+                curves = Curves([np.array(minutes[k], float)[o] for k, o in zip(some, order, strict=True)], [np.array(seen[k], float)[o] for k, o in zip(some, order, strict=True)], number(jd), np.nan_to_num(number(alt)), [number(c) for c in e])
+                found = curves.solve(np.stack([number(lat0), number(lon0)], 1))
+                every, out = np.arange(len(some)), []
+                for place, ok in found:
+                    scale, left = curves.fit(every, place)
+                    rms = np.sqrt((left**2).sum(1) / curves.size)
+                    for k in range(len(some)):
+                        out.append((k, float(rms[k]), {"pass_id": ident[some[k]], "lat": float(place[k, 0]), "lon": float(place[k, 1]), "scale": float(scale[k]), "rms": float(rms[k]), "residuals": left[k, : curves.size[k]].tolist(), "converged": bool(ok[k])}))
+            yield pa.RecordBatch.from_pylist([r for *_, r in sorted(out, key=lambda x: x[:2])], schema=_SOLVED)
+
+
+def geolocate_passes(passes: DataFrame) -> DataFrame:
+    """Two solutions for each row of passes, best first: pass_id, lat, lon, scale, rms, residuals, converged.
+
+    passes: pass_id, minutes and doppler (arrays of as many measurements, minutes from the epoch), jd of the epoch, the element
+    columns, and, if there, alt of the site (m) and lat0, lon0 where the search is to begin. scale is in units of doppler for
+    each m/s of range rate; residuals are in the order of time. A pass of fewer than three measurements, or with nulls, has
+    one row without a place. Many passes are minimised at once, and nothing is shuffled.
+    """
+    d = lambda c: (F.col(c) if c in passes.columns else F.lit(None)).cast("double").alias(c)
+    rows = passes.select(F.col("pass_id").cast("long").alias("pass_id"), *(F.col(c).cast("array<double>").alias(c) for c in ("minutes", "doppler")), *map(d, ("jd", "alt", "lat0", "lon0", *_ELEMENTS)))
+    return rows.mapInArrow(_solved, _SOLUTION)
 
 
-def _solve(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(list(batches)).to_pandas().sort_values("minutes")
-    if len(t) < 3:  # too few measurements for a place and a scale
-        nothing = {"pass_id": key[0].as_py(), "lat": None, "lon": None, "scale": None, "rms": None, "residuals": None, "converged": False}
-        yield pa.RecordBatch.from_pylist([nothing], schema=_SOLVED)
-        return
-    e = [t[c].to_numpy(float) for c in _ELEMENTS]
-    minutes, seen = t["minutes"].to_numpy(float), t["doppler"].to_numpy(float)
-    r, v, _ = sgp4.propagate(*e, minutes)
-    jd = t["jd"].to_numpy(float) + minutes / 1440
-    fixed = _fixed(r, jd)
-    step = 0.5 / 60
-    before, after = (_fixed(sgp4.propagate(*e, minutes + s)[0], jd + s / 1440) for s in (-step, step))
-    speed = (after - before) / (2 * step * 60) * 1000  # m/s, Earth-fixed
-
-    def model(x):
-        la, lo = np.radians(x[0]), np.radians(x[1])
-        e2 = geodesic.F * (2 - geodesic.F)
-        n = geodesic.A / np.sqrt(1 - e2 * np.sin(la) ** 2)
-        d = fixed * 1000 - np.array([n * np.cos(la) * np.cos(lo), n * np.cos(la) * np.sin(lo), n * (1 - e2) * np.sin(la)])
-        return (d * speed).sum(1) / np.linalg.norm(d, axis=1)
-
-    def fit(x):
-        m = model(x)
-        scale = float(seen @ m / max(m @ m, 1e-30))
-        return scale, seen - scale * m
-
-    cost = lambda x: float((fit(x)[1] ** 2).sum())
-    turn = np.flatnonzero(np.sign(seen[1:]) != np.sign(seen[:-1]))
-    k = int(turn[0]) if len(turn) else int(np.argmin(np.abs(seen)))
-    lon = np.degrees(np.arctan2(fixed[:, 1], fixed[:, 0]))
-    lat = np.degrees(np.arctan2(fixed[:, 2], np.hypot(fixed[:, 0], fixed[:, 1]) * (1 - geodesic.F) ** 2))
-    first, _, ok1 = neldermead.minimise(cost, (lat[k], lon[k]))
-    # the mirror side: the same way from the track's point, turned over the track
-    a, b = max(0, k - 1), min(len(lat) - 1, k + 1)
-    track, _ = geodesic.inverse(lat[a], lon[a], lat[b], lon[b])
-    az, far = geodesic.inverse(lat[k], lon[k], *first)
-    other, _, ok2 = neldermead.minimise(cost, [float(x) for x in geodesic.direct(lat[k], lon[k], 2 * track - az, far)])
-    rows = []
-    for x, ok in ((first, ok1), (other, ok2)):
-        scale, left = fit(x)
-        rows.append({"pass_id": key[0].as_py(), "lat": float(x[0]), "lon": float(x[1]), "scale": scale, "rms": float(np.sqrt((left**2).mean())), "residuals": left.tolist(), "converged": bool(ok)})
-    yield pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["rms"]), schema=_SOLVED)
+def geolocate(curves: DataFrame) -> DataFrame:
+    """The same of single measurements (pass_id, minutes, doppler, jd, element columns), which are collected by pass first: a few minutes' samples."""
+    one = [F.first(c).alias(c) for c in curves.columns if c in ("jd", "alt", "lat0", "lon0", *_ELEMENTS)]
+    rows = curves.groupBy("pass_id").agg(F.sort_array(F.collect_list(F.struct("minutes", "doppler"))).alias("s"), *one)
+    return geolocate_passes(rows.withColumns({"minutes": F.col("s.minutes"), "doppler": F.col("s.doppler")}))
 
 
-def geolocate(curves: DataFrame) -> DataFrame:
-    """Two solutions for each pass_id of curves (pass_id, minutes since epoch, jd of the epoch, doppler, element columns), best first.
+def pass_curves(passes: DataFrame, site: tuple[float, float, float], step_seconds: float = 20.0) -> DataFrame:
+    """passes (start, stop, epoch, element columns and any others) with jd, minutes and doppler: the range rate (m/s) that a site
+    (latitude, longitude, altitude in km) sees every step_seconds, from start on to stop. Nothing is shuffled."""
+    names = passes.columns
+    jd, frac = fr.jday(F.col("epoch"))
+    minutes = lambda c: F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(c)) / 60e6
+    rows = passes.withColumns({"jd": jd + frac, "_lo": minutes("start"), "_hi": minutes("stop")})
+    out = T.StructType([*rows.schema.fields[:-2], T.StructField("minutes", T.ArrayType(T.DoubleType())), T.StructField("doppler", T.ArrayType(T.DoubleType()))])
 
-    scale is in units of doppler for each m/s of range rate. A pass is a few minutes of samples, so a group is small.
-    """
-    cols = ["pass_id", "minutes", "jd", "doppler", *_ELEMENTS]
-    return curves.select(F.col("pass_id").cast("long").alias("pass_id"), *(F.col(c).cast("double").alias(c) for c in cols[1:])).groupBy("pass_id").applyInArrow(_solve, _SOLUTION)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _ground(site[0], site[1], site[2] * 1000.0)
+        for b in batches:
+            col = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            lo, hi = col("_lo"), col("_hi")
+            n = np.nan_to_num(np.floor((hi - lo) * 60 / step_seconds) + 1).clip(0).astype(int)
+            row = np.repeat(np.arange(len(n)), n)
+            t = lo[row] + (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * step_seconds / 60
+            with np.errstate(all="ignore"):
+                fixed, speed = _moving([col(c)[row] for c in _ELEMENTS], t, col("jd")[row])
+                d = fixed - at
+                rate = (d * speed).sum(1) / np.sqrt((d * d).sum(1))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, from_pandas=True)) for x in (t, rate)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*names, "jd"]), *lists], names=[*names, "jd", "minutes", "doppler"])
+
+    return rows.mapInArrow(run, out)
 
 
 # The series that can be plotted, and panels for kinds of orbits.

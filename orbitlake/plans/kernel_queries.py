@@ -70,6 +70,12 @@ def nodes(spark, sf_dir):
     return events.node_crossings(_by_set(spark, sf_dir))
 
 
+@query()
+def object_nodes(spark, sf_dir):
+    """By object: directions alternate where the element set changes too."""
+    return events.node_crossings(windows(spark, sf_dir))
+
+
 @query()
 def sunlit(spark, sf_dir):
     return events.find_periods(windows(spark, sf_dir), "sunlit").select("span", "start", "stop")
@@ -92,7 +98,8 @@ def descending(spark, sf_dir):
 
 @query()
 def passes(spark, sf_dir):
-    return events.find_periods(windows(spark, sf_dir), "pass", site=_SITE).withColumn("peak_elevation", F.col("peak") + 5.0).drop("peak", "longitude")
+    """With true rises and sets, whatever set holds at them."""
+    return events.find_passes(windows(spark, sf_dir), _SITE)
 
 
 @query()
@@ -113,18 +120,9 @@ def visibility_ring(spark, sf_dir):
 @query()
 def doppler_geolocate(spark, sf_dir):
     """Each pass over a site, from a Doppler curve that the site would measure; a curve is of one element set."""
-    from orbitlake.functions import frames as fr
-
-    sets = _by_set(spark, sf_dir)
-    p = events.find_periods(sets, "pass", site=_SITE).select("span", "start", "stop").join(sets.drop("start", "stop"), "span")
-    p = p.withColumn("t", F.explode(F.sequence("start", "stop", F.expr("interval 20 seconds"))))
-    g = propagate.generate(p, ("eci",), spark.createDataFrame([("site", 28.5, -80.65, 0.0)], "name string, lat double, lon double, alt double"))
-    jd, frac = fr.jday(F.col("epoch"))
-    curve = g.select(F.col("span"), "t", "start", (F.col("range_rate") * 1000.0).alias("doppler"))
-    curve = curve.join(sets.drop("start", "stop"), "span").where("doppler is not null")
-    curve = curve.select(F.xxhash64("span", "start").alias("pass_id"), (F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col("t")) / 60e6).alias("minutes"), (jd + frac).alias("jd"), "doppler", *_SETS[2:9])
-    enough = curve.groupBy("pass_id").agg(F.count("*").alias("n")).where("n >= 3")
-    return geometry.geolocate(curve.join(enough, "pass_id")).drop("residuals")
+    found = events.find_passes(_by_set(spark, sf_dir), _SITE, keep=("epoch", *_SETS[2:9]))
+    curves = geometry.pass_curves(found.withColumn("pass_id", F.xxhash64("span", "start")), _SITE[:3])
+    return geometry.geolocate_passes(curves.where(F.size("minutes") >= 3)).drop("residuals")
 
 
 @query()
