@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from orbitlake.functions import frames as fr
 from orbitlake.kernels import sgp4
+from orbitlake.operators.propagate import spread
 
 STEP_MINUTES, ROUNDS = 1.0, 17
 _ELEMENTS = ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")
@@ -215,8 +216,8 @@ def _rows(spans: DataFrame, pad: float = 0.0, keep: tuple[str, ...] = ()) -> Dat
     minutes = lambda c: F.timestamp_diff("MICROSECOND", F.col("epoch"), F.col(c)) / _US
     jd, frac = fr.jday(F.col("epoch"))
     epoch = F.timestamp_diff("MICROSECOND", F.expr(_ZERO), F.col("epoch"))
-    return spans.select(
-        F.monotonically_increasing_id().alias("row"), F.col("span").cast("long").alias("span"), epoch.alias("epoch"), (minutes("start") - pad).alias("lo"), (minutes("stop") + pad).alias("hi"),
+    return spread(spans, "span", "start").select(
+        F.xxhash64("span", "start", "stop", "epoch").alias("row"), F.col("span").cast("long").alias("span"), epoch.alias("epoch"), (minutes("start") - pad).alias("lo"), (minutes("stop") + pad).alias("hi"),
         (jd + frac).alias("jd"), *(F.col(c).cast("double") for c in _ELEMENTS), *(F.col(c).alias(f"_k{n}") for n, c in enumerate(keep)),
     )
 

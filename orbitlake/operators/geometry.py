@@ -14,6 +14,7 @@ from orbitlake.functions import frames as fr
 from orbitlake.kernels import geodesic, neldermead, sgp4
 from orbitlake.operators import switching
 from orbitlake.operators.events import _fixed
+from orbitlake.operators.propagate import spread
 
 _ELEMENTS = ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")
 C_A = geodesic.A
@@ -93,7 +94,7 @@ def tca_windows(sets: DataFrame, key: str = "norad", epoch: str = "epoch", tie:
     gap = F.timestamp_diff("MICROSECOND", F.col(epoch), F.col("_n")) / 1e6
     jd, frac = fr.jday(F.col(epoch))
     pairs = nxt.select(F.col(tie).alias("_id"), gap.alias("_gap"), (jd + frac).alias("_jd"), *_ELEMENTS, *(f"_{c}" for c in _ELEMENTS))
-    at = pairs.mapInArrow(_closest, "_id long, _us long")
+    at = spread(pairs, "_id").mapInArrow(_closest, "_id long, _us long")
     j = sets.join(at, sets[tie] == at["_id"], "left").withColumn("_stop", F.timestamp_add("MICROSECOND", F.col("_us"), F.col(epoch))).drop("_id", "_us")
     j = j.withColumn("valid_from", F.coalesce(F.lag("_stop").over(w), F.to_timestamp_ntz(F.lit(switching.TIME_MIN))))
     return j.withColumn("valid_to", F.coalesce("_stop", F.to_timestamp_ntz(F.lit(switching.TIME_MAX)))).drop("_stop")
@@ -229,11 +230,11 @@ def geolocate_passes(passes: DataFrame) -> DataFrame:
     passes: pass_id, minutes and doppler (arrays of as many measurements, minutes from the epoch), jd of the epoch, the element
     columns, and, if there, alt of the site (m) and lat0, lon0 where the search is to begin. scale is in units of doppler for
     each m/s of range rate; residuals are in the order of time. A pass of fewer than three measurements, or with nulls, has
-    one row without a place. Many passes are minimised at once, and nothing is shuffled.
+    one row without a place. Many passes are minimised at once.
     """
     d = lambda c: (F.col(c) if c in passes.columns else F.lit(None)).cast("double").alias(c)
     rows = passes.select(F.col("pass_id").cast("long").alias("pass_id"), *(F.col(c).cast("array<double>").alias(c) for c in ("minutes", "doppler")), *map(d, ("jd", "alt", "lat0", "lon0", *_ELEMENTS)))
-    return rows.mapInArrow(_solved, _SOLUTION)
+    return spread(rows, "pass_id").mapInArrow(_solved, _SOLUTION)
 
 
 def geolocate(curves: DataFrame) -> DataFrame:

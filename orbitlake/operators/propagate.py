@@ -20,6 +20,12 @@ _STATE = ("x", "y", "z", "vx", "vy", "vz")
 GROUPS = ("eci", "ecef", "lla", "keplerian", "equinoctial", "sunlight", "beta", "lst")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session's shuffles have: for few rows with much to compute, which would else stay
+    together since they are few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_states(samples: DataFrame, time: str = "t") -> DataFrame:
     """Samples that hold their element columns and epoch, with x, y, z (km), vx, vy, vz (km/s) and err.
 
