@@ -62,3 +62,42 @@ def test_dipole_field():
     g[1, 0] = -30000.0
     e, n, u = field.synthesise([0, 90 - 1e-6, -45], [0, 10, 20], [field.RADIUS] * 3, g, h)
     assert np.allclose(e, 0) and n[0] == pytest.approx(30000) and u[1] == pytest.approx(-60000) and u[2] == pytest.approx(60000 * np.sin(np.pi / 4))
+
+
+@pytest.mark.parametrize("size", [60, 150, 1000, 1 << 20])
+@pytest.mark.parametrize("mode", ["strict", "lenient"])
+def test_pairs_over_splits(spark, tmp_path, size, mode):
+    """Files cut anywhere, in splits of less than a line and more, against one pass over the lines."""
+    import random
+
+    r, want = random.Random(size), []
+    for f in range(4):
+        lines = []
+        for k in range(r.randrange(0, 120)):
+            lines += r.choice([[f"1 {k:05d} first{f}", f"2 {k:05d} second{f}  "]] * 5 + [[f"1 {k} alone"], [f"2 {k} alone"], [""], ["# note " * 9], ["1x", "2x"]])
+        (tmp_path / f"{f}.tle").write_text("\n".join(lines) + r.choice(["", "\n"]))
+        before = None
+        for line in (x.rstrip(" ") for x in lines):
+            if line.startswith("1 " if mode == "strict" else "1"):
+                before = line
+            elif line.startswith("2 " if mode == "strict" else "2"):
+                want += [(f, before, line)] if before is not None else []
+                before = None
+    confs = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    old = {c: spark.conf.get(c) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        rows = text.read_pairs(spark, str(tmp_path), mode).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    got = sorted((int(x["path"][-5]), x["place"], x["line1"], x["line2"]) for x in rows)
+    assert [(f, a, b) for f, _, a, b in got] == want and len({x[:2] for x in got}) == len(got)
+
+
+def test_a_busy_key_is_written_by_several_tasks(spark, tmp_path):
+    lines = [(L1.replace("21100.", f"21{d:03d}."), L2, "a") for d in range(1, 300)]
+    text.write_pairs(spark.createDataFrame(lines, "line1 string, line2 string, k string").repartition(8), str(tmp_path / "out"), "k")
+    files_ = sorted((tmp_path / "out" / "k=a").glob("*.txt"))
+    assert [x for f in files_ for x in f.read_text().splitlines() if x.startswith("1")] == [a for a, _, _ in lines]
