@@ -127,7 +127,5 @@ def doppler_geolocate(spark, sf_dir):
 
 @query()
 def mag_enu(spark, sf_dir):
-    """The field of a test dipole; a published model is a table of coefficients that the caller brings."""
-    from orbitlake.operators.magnetic import TEST_DIPOLE, with_field
-
-    return with_field(_group(spark, sf_dir, "ecef").where("err = 0"), TEST_DIPOLE).select("event_id", "b_east", "b_north", "b_up", "b_total")
+    """The main field, as far as degree 3, at each state's own time and place."""
+    return _group(spark, sf_dir, "mag_enu", "mag_total").where("err = 0").select("event_id", "b_east", "b_north", "b_up", "b_total")

@@ -237,3 +237,74 @@ def object_id_century(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     line = F.concat(F.lit("1 00001U "), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("001A  "))
     return o.select("o_orderkey", tle.object_id(line).alias("object_id"))
+
+
+SUN = GEO + f""", s0 AS (SELECT *, jd - 2451545e0 + fr AS sn FROM geo),
+s1 AS (SELECT *, radians(357.528::DOUBLE + 0.9856003::DOUBLE * sn) AS sg, radians(23.439::DOUBLE - 4e-7::DOUBLE * sn) AS eps FROM s0),
+s2 AS (SELECT *, radians(280.460::DOUBLE + 0.9856474::DOUBLE * sn + 1.915::DOUBLE * sin(sg) + 0.020::DOUBLE * sin(2 * sg)) AS lam,
+  (1.00014::DOUBLE - 0.01671::DOUBLE * cos(sg) - 0.00014::DOUBLE * cos(2 * sg)) * 149597870.7::DOUBLE AS au FROM s1),
+s3 AS (SELECT *, au * cos(lam) AS sx, au * cos(eps) * sin(lam) AS sy, au * sin(eps) * sin(lam) AS sz FROM s2),
+s4 AS (SELECT *, atan2(sy, sx) / {PI} * 12e0 AS ra, y * vz - z * vy AS hx, z * vx - x * vz AS hy, x * vy - y * vx AS hz,
+  sx - x AS tx, sy - y AS ty, sz - z AS tz, sqrt(x * x + y * y + z * z) AS rn FROM s3),
+s5 AS (SELECT *, sqrt(tx * tx + ty * ty + tz * tz) AS tn, gmst + lon / 15e0 - ra + 12e0 AS lt FROM s4),
+sun AS (SELECT *, acos(greatest(-1, least(1, -(x * tx + y * ty + z * tz) / (rn * tn)))) AS apart, asin(least(1, 6371e0 / rn)) AS shade, asin(least(1, 696340e0 / tn)) AS disc FROM s5)
+"""
+
+
+def _sunny(spark, sf_dir):
+    d = _geodetic(spark, sf_dir)
+    s, ra = fr.sun(F.col("jd"), F.col("fr"))
+    return d.withColumns({"sx": s[0], "sy": s[1], "sz": s[2], "ra": ra})
+
+
+@query(SUN + "SELECT id, CASE WHEN apart >= shade + disc THEN 2 WHEN apart <= shade - disc THEN 0 ELSE 1 END::TINYINT AS sun FROM sun")
+def epoch_sunlight(spark, sf_dir):
+    """Umbra, penumbra or sunlight at the epoch, on two-body states."""
+    return _sunny(spark, sf_dir).select("id", fr.sunlight(_vec("x", "y", "z"), _vec("sx", "sy", "sz")).alias("sun"))
+
+
+@query(SUN + f"""SELECT id, round(90e0 - acos(greatest(-1, least(1, (hx * sx + hy * sy + hz * sz) / (sqrt(hx * hx + hy * hy + hz * hz) * au)))) * {DEG}, 6) AS beta FROM sun""")
+def epoch_beta(spark, sf_dir):
+    """The Sun's angle over the orbit's plane at the epoch."""
+    beta = fr.beta_angle(_vec("x", "y", "z"), _vec("vx", "vy", "vz"), _vec("sx", "sy", "sz"))
+    return _sunny(spark, sf_dir).select("id", F.round(beta, 6).alias("beta"))
+
+
+@query(SUN + "SELECT id, round(lt - 24e0 * floor(lt / 24e0), 6) AS lst FROM sun")
+def epoch_solar_time(spark, sf_dir):
+    """Local solar time under the satellite at the epoch."""
+    return _sunny(spark, sf_dir).select("id", F.round(fr.local_solar_time(F.col("lon"), F.col("gmst"), F.col("ra")), 6).alias("lst"))
+
+
+def _field_sql() -> str:
+    """The main field of degree 3 by its Legendre functions written out, with coefficients linear in time."""
+    from orbitlake.operators.magnetic import MAIN_FIELD
+
+    p = {
+        (1, 0): ("c", "-s"), (1, 1): ("s", "c"), (2, 0): ("(3 * c * c - 1) / 2", "-3 * c * s"), (2, 1): ("sqrt(3e0) * c * s", "sqrt(3e0) * (c * c - s * s)"),
+        (2, 2): ("sqrt(3e0) / 2 * s * s", "sqrt(3e0) * s * c"), (3, 0): ("(5 * c * c * c - 3 * c) / 2", "-s * (15 * c * c - 3) / 2"),
+        (3, 1): ("sqrt(6e0) / 4 * s * (5 * c * c - 1)", "sqrt(6e0) / 4 * (c * (5 * c * c - 1) - 10 * c * s * s)"),
+        (3, 2): ("sqrt(15e0) / 2 * s * s * c", "sqrt(15e0) / 2 * (2 * s * c * c - s * s * s)"), (3, 3): ("sqrt(10e0) / 4 * s * s * s", "sqrt(10e0) / 4 * 3 * s * s * c"),
+    }
+    up, north, east = [], [], []
+    for n, m, g0, h0, g1, h1, dg, dh in MAIN_FIELD:
+        at = lambda a, b, d: f"(CASE WHEN yr < 2020 THEN {a!r}::DOUBLE + (yr - 2015) / 5e0 * ({b!r}::DOUBLE - {a!r}::DOUBLE) ELSE {b!r}::DOUBLE + (yr - 2020) * {d!r}::DOUBLE END)"
+        g, h, ph = at(g0, g1, dg), at(h0, h1, dh), f"{m} * ph"
+        gc, hs = f"({g} * cos({ph}) + {h} * sin({ph}))", f"({g} * sin({ph}) - {h} * cos({ph}))"
+        a = f"power(6371.2::DOUBLE / rr, {n + 2})"
+        up.append(f"{a} * {n + 1} * {gc} * ({p[n, m][0]})")
+        north.append(f"{a} * {gc} * ({p[n, m][1]})")
+        east.append(f"{a} * {m} * {hs} * ({p[n, m][0]}) / s")
+    return GEO + f""", f0 AS (SELECT id, radians(lat) - atan2(z, p) AS turn, sqrt(p * p + z * z) AS rr, z / sqrt(p * p + z * z) AS c, p / sqrt(p * p + z * z) AS s, atan2(ry, rx) AS ph,
+  year(epoch) + date_diff('microsecond', make_date(year(epoch), 1, 1)::TIMESTAMP, epoch) / date_diff('microsecond', make_date(year(epoch), 1, 1)::TIMESTAMP, make_date(year(epoch) + 1, 1, 1)::TIMESTAMP)::DOUBLE AS yr FROM geo),
+f1 AS (SELECT id, turn, {' + '.join(east)} AS e, {' + '.join(north)} AS n, {' + '.join(up)} AS u FROM f0)
+SELECT id, round(e, 4) AS b_east, round(cos(turn) * n - sin(turn) * u, 4) AS b_north, round(cos(turn) * u + sin(turn) * n, 4) AS b_up, round(sqrt(e * e + n * n + u * u), 4) AS b_total FROM f1"""
+
+
+@query(_field_sql())
+def epoch_field(spark, sf_dir):
+    """The main field, as far as degree 3, at the places and times of all epochs."""
+    from orbitlake.operators.magnetic import with_field
+
+    d = _geodetic(spark, sf_dir).select("id", "epoch", "rx", "ry", F.col("z").alias("rz"), "lat")
+    return _rounded(with_field(d, time="epoch"), 4, "b_east", "b_north", "b_up", "b_total")
