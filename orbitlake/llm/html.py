@@ -1,13 +1,20 @@
 """Main text of web pages by block rules in two passes.
 
 First, each block is judged by itself from its length, link density and stop-word density; then blocks too short to
-tell take the label of the nearest decided neighbours. Markup that says what it is (navigation, forms, notices,
+tell take the label of the nearest decided neighbour. Markup that says what it is (navigation, forms, notices,
 comments, adverts) is left out before that, and blocks inside an article start from a better guess.
+
+Words of class, id and role are evidence, no proof: beside a word that names text, those that name a place on the page don't
+count, and where they would leave nothing of a page that marks no
+article, only those that name comments count. Function words are those of four
+languages and the page's own most frequent short words; a long block with few links in a language without either
+may be text, and is where nothing on the page is more surely so.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,6 +59,11 @@ NOT_ARTICLE = frozenset(
     "login share sharing social related recommended recommendations toolbar pagination pager skip widget contentinfo "
     "complementary search dialog toc byline copyright legal disclaimer".split()
 )
+# Those of them that name reader comments, those that name a place or a look rather than what is in it, and words
+# that name text, beside which the latter don't count.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+PLACES = frozenset("sidebar aside widget share sharing social header masthead notice notices alert skip search toolbar dialog modal overlay popup related".split())
+TEXT_NAMES = frozenset("article articles body content contents copy entry main post story text".split())
 # Common function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i "
@@ -71,11 +83,19 @@ HIDDEN, NAMED = 1, 2
 LINKS_MAX, SHORT, LONG = 0.5, 70, 200
 #: Stop-word density from which a block is text, and from which it may be.
 STOPS_HIGH, STOPS_LOW = 0.3, 0.15
+#: Words of so many characters at most, among the page's so many most frequent ones that come so often, are its function words.
+OWN_SIZE, OWN_WORDS, OWN_TIMES = 4, 15, 4
+#: A page's articles are teasers if the text outside of them is so many times as long.
+TEASER = 2
+#: Characters from this on (ideographs, kana, hangul) say as much as three letters.
+DENSE = 0x2E80
+_PUNCTUATION = ".,;:!?()\"'«»"
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _END = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|>""")
 _ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _MARKS = re.compile("class|id|role|hidden", re.I)
+_ARTICLE = re.compile(r"<(?:article|main)[\s/>]", re.I)
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -89,24 +109,33 @@ def _tag_end(html: str, at: int) -> int:
     return first  # a stray quote
 
 
-def _marked(attributes: str) -> int:
-    """HIDDEN, NAMED if a whole word of class, id or role names something that isn't the article, or 0."""
-    found = 0
+def _marked(attributes: str, names: frozenset) -> int:
+    """HIDDEN, NAMED if whole words of class, id or role name something that isn't the article, or 0."""
+    found: set[str] = set()
     if _MARKS.search(attributes):
         for m in _ATTR.finditer(attributes):
             name = m[1].lower()
             if name == "hidden" or (name == "aria-hidden" and (m[2] or m[3] or m[4] or "").strip().lower() == "true"):
                 return HIDDEN
-            if name in ("class", "id", "role") and not NOT_ARTICLE.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()):
-                found = NAMED
-    return found
+            if name in ("class", "id", "role"):
+                found.update((m[2] or m[3] or m[4] or "").lower().split())
+    no = found & names
+    return NAMED if no and not (no <= PLACES and found & TEXT_NAMES) else 0
+
+
+def _collapsed(parts: list[str]) -> str:
+    return " ".join(unescape("".join(parts)).split()) if parts else ""
 
 
-def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """Blocks in page order: text, characters inside links, whether in an article, whether a heading."""
+def blocks(html: str, names: frozenset = NOT_ARTICLE) -> Iterator[tuple[str, int, bool, bool]]:
+    """Blocks in page order: text, characters of it inside links, whether in an article, whether a heading.
+
+    What words of class, id or role among `names` name is left out.
+    """
     at, n = 0, len(html)
     parts: list[str] = []
-    link_chars = links = 0
+    linked: list[str] = []
+    links = 0
     open_tags: list[tuple[str, int]] = []  # name, why it is left out
     left_out = article = heading = 0
     named: list[int] = []  # places of open elements that are left out by their words
@@ -145,10 +174,10 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
         return link
 
     def flush():
-        nonlocal parts, link_chars
-        text = " ".join(unescape("".join(parts)).split()) if parts else ""
-        out = (text, link_chars, article > 0, heading > 0) if text else None
-        parts, link_chars = [], 0
+        nonlocal parts, linked
+        text = _collapsed(parts)
+        out = (text, len(_collapsed(linked)), article > 0, heading > 0) if text else None
+        parts, linked = [], []
         return out
 
     while at < n:
@@ -159,7 +188,7 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
             run = html[at:lt]
             parts.append(run)
             if links:
-                link_chars += len(run)
+                linked.append(run)
         if lt == n:
             break
         if html.startswith("<!--", lt):
@@ -205,7 +234,7 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
             link = close(k)
         if name in ENDS and (k := last(*ENDS[name][0])) > last(*ENDS[name][1]):
             link = close(k) or link
-        mark = _marked(attributes)
+        mark = _marked(attributes, names)
         if name in ("article", "main") and not article and (name == "main" or mark != NAMED):
             # words don't leave out what holds an article; comments and the like are articles in an article, or named so
             for k in named:
@@ -223,56 +252,83 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, bool]]:
         yield out
 
 
-def _first_pass(text: str, link_chars: int, inside: bool, heading: bool) -> str:
+def _size(text: str) -> int:
+    """Characters, those of dense scripts counted three times."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(ord(c) >= DENSE for c in text)
+
+
+def _own_words(found: list[tuple[str, int, bool, bool]]) -> frozenset:
+    """The page's most frequent short words, of blocks with few links."""
+    count = Counter(w.strip(_PUNCTUATION) for text, links, *_ in found if links <= LINKS_MAX * len(text) for w in text.lower().split())
+    short = sorted((-n, w) for w, n in count.items() if n >= OWN_TIMES and w.isalpha() and len(w) <= OWN_SIZE)
+    return frozenset(w for _, w in short[:OWN_WORDS])
+
+
+def _first_pass(text: str, link_chars: int, inside: bool, heading: bool, own: frozenset) -> str:
     """good, bad, near (may be text) or short (can't tell)."""
-    n = len(text)
-    if link_chars > LINKS_MAX * n:
+    n = _size(text)
+    if link_chars > LINKS_MAX * len(text) and not (inside and heading):
         return "bad"
     if n < SHORT or heading:
-        return "bad" if link_chars else "short"
-    ws = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'«»") in STOP_WORDS for w in ws) / len(ws)
+        return "short"
+    ws = [w.strip(_PUNCTUATION) for w in text.lower().split()]
+    stops = max(sum(w in words for w in ws) for words in (STOP_WORDS, own)) / len(ws)
+    if inside:
+        return "good"
     if stops >= STOPS_HIGH:
-        return "good" if n >= LONG or inside else "near"
-    if stops >= STOPS_LOW or inside:  # function words of other languages aren't known
-        return "good" if inside else "near"
-    return "bad"
+        return "good" if n >= LONG else "near"
+    return "near" if stops >= STOPS_LOW or n >= LONG else "bad"
+
+
+def _decided(first: list[str], order: range) -> list[tuple[int, str] | None]:
+    """For each block the nearest decided one before it in the order, with its label."""
+    out: list[tuple[int, str] | None] = [None] * len(first)
+    last = None
+    for i in order:
+        out[i] = last
+        if first[i] in ("good", "bad"):
+            last = (i, first[i])
+    return out
+
+
+def _kept(found: list[tuple[str, int, bool, bool]]) -> Iterator[str]:
+    """The blocks that are text: those that are good themselves, those of an article that may be, and others like the nearest
+    decided block. Of two as near, text that may be one stays, a heading goes with what follows it, the rest goes."""
+    own = frozenset() if all(b[2] for b in found) else _own_words(found)
+    first = [_first_pass(*b, own) for b in found]
+    if any(b[2] for b in found):
+        # where a page marks its article, the rest of it is none, unless the marked ones are teasers of it
+        outside = sum(len(b[0]) for b, k in zip(found, first, strict=True) if not b[2] and k == "good")
+        if outside <= TEASER * sum(len(b[0]) for b in found if b[2]):
+            found, first = [b for b in found if b[2]], [k for b, k in zip(found, first, strict=True) if b[2]]
+        else:
+            found = [(text, links, False, heading) for text, links, _, heading in found]
+            first = [_first_pass(*b, own) for b in found]
+    if "good" not in first:  # a language without known words, or a short page: what may be text is the text
+        first = ["good" if k == "near" else k for k in first]
+    before, after = _decided(first, range(len(first))), _decided(first, range(len(first) - 1, -1, -1))
+    for i, ((text, _, inside, heading), k, x, y) in enumerate(zip(found, first, before, after, strict=True)):
+        if k in ("near", "short") and not inside:
+            near = min(abs(i - d[0]) for d in (x, y) if d) if x or y else 0
+            around = {d[1] for d in (x, y) if d and abs(i - d[0]) == near}
+            if len(around) == 2:
+                good = k == "near" or (heading and y[1] == "good")
+            else:
+                good = around == {"good"} or (not around and k == "near")
+        else:
+            good = k != "bad"
+        if good:
+            yield text
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks joined by one space; empty if there is none."""
     if not html:
         return ""
-    found = list(blocks(html))
-    # where a page marks its article, the rest of it is none
-    if any(b[2] for b in found):
-        found = [b for b in found if b[2]]
-    first = [_first_pass(*b) for b in found]
-    before: list[str | None] = []
-    last = None
-    for k in first:
-        before.append(last)
-        last = k if k in ("good", "bad") else last
-    after: list[str | None] = [None] * len(first)
-    last = None
-    for i in range(len(first) - 1, -1, -1):
-        after[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    keep = []
-    for b, k, x, y in zip(found, first, before, after, strict=True):
-        if k in ("near", "short"):
-            around = {x, y} - {None}
-            if not around:
-                good = b[2] or k == "near"
-            elif len(around) == 1:
-                good = around == {"good"}
-            else:  # between text and the rest
-                good = k == "near" or b[2] or (b[3] and y == "good")
-        else:
-            good = k == "good"
-        if good:
-            keep.append(b[0])
-    return " ".join(keep)
+    text = " ".join(_kept(list(blocks(html))))
+    if not text and not _ARTICLE.search(html):  # words alone don't empty a page
+        text = " ".join(_kept(list(blocks(html, COMMENTS))))
+    return text
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +343,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
-    A null or empty html gives an empty text; rows are neither joined nor dropped, so repeated rows stay repeated; ids
+    What stands in article or main elements is the article, but for teasers of a longer text beside them: all of it that isn't left
+    out or mostly links. A null or empty html gives an empty text; rows are neither joined nor dropped, so repeated rows stay repeated; ids
     and urls may be null; an empty table gives no rows; other columns are ignored. No shuffle.
     """
     small_batches(pages.sparkSession)
