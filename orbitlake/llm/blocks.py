@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitlake.llm.common import arrow_rows, lean
@@ -61,6 +61,14 @@ def unpack_docs(data: bytes) -> Iterator[tuple[int | None, str]]:
         at += s
 
 
+def steady_splits(spark: SparkSession) -> None:
+    """From now on files are split alike at every reading in this session: as many tasks are aimed at as there are cores now,
+    whatever executors are lost or added. It stays set, since plans run later; a setting of the user's own is kept."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+
+
 def ranges(docs: DataFrame) -> int:
     """Key ranges for the requests of docs, so that a range's share is bounded whatever the input."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -446,10 +446,12 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     ids are the best-scoring pieces of the whole text, of whatever length; of equal ways through a word the one whose last
     piece is longest counts. round_trip says that the ids spell the text again exactly, which all texts do but those with
     U+2581. Null and empty texts have no ids; rows are neither joined nor dropped, so repeated rows stay repeated; null ids
-    stay null; an empty table gives no rows; other columns, whatever their names, are ignored.
+    stay null; an empty table gives no rows; other columns, whatever their names, are ignored. Files are read twice, in the same
+    splits even if executors come or go between; files that are overwritten meanwhile end in an error.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    blocks.steady_splits(spark)
     d = typed(docs, doc_id="long", text="string")
     try:
         docs.select("_metadata.file_path")

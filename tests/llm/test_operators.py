@@ -448,3 +448,23 @@ def test_lists_are_merged_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(neardup, "LOCAL_LINKS", links)
         got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, rows)).collect()}
         assert got == {i: top(i) for i in sets} and len(set(got.values())) < len(got)
+
+
+def test_pieces_survive_other_cores_between_the_readings(spark, tmp_path):
+    """Executors that come or go change how files would be split; the second reading makes the same blocks."""
+    rows = [(i, prose(i, 300)) for i in range(240)]
+    docs(spark, rows).repartition(12, "doc_id").write.parquet(str(tmp_path / "d"))
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.unset(names[2])
+        spark.conf.set(names[0], "0")
+        spark.conf.set(names[1], "4")
+        out = pieces.encode(spark.read.parquet(str(tmp_path / "d")))
+        spark.conf.set(names[1], "12")
+        got = {r["doc_id"]: r for r in out.collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+    assert len(got) == 240 and all(r["round_trip"] for r in got.values())
+    assert all(pieces.decode(got[i]["ids"]) == t for i, t in rows)
