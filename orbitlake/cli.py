@@ -66,6 +66,11 @@ def _show(rows: DataFrame, a: argparse.Namespace) -> int:
     return 0 if n > bool(getattr(a, "header", False)) else NO_RESULT
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _sets(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Sets of a file or folder, of an id in the folder of sets, or else of the store."""
     held = settings()
@@ -145,7 +150,10 @@ def propagate_(spark: SparkSession, a: argparse.Namespace) -> int:
     hit = _held(s, files.times(spark, a.start, a.stop, a.step), a.method).select("norad", "t", "epoch", *(c for c in ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")))
     out = propagate.generate(hit, names, single=True)
     if a.out:
-        out.write.mode("errorifexists").parquet(a.out)
+        if _exists(spark, a.out):
+            print(f"{a.out} exists", file=sys.stderr)
+            return NO_RESULT
+        out.write.parquet(a.out)
         return 0
     return _show(out.select(*(c for c in out.columns if not isinstance(out.schema[c].dataType, T.StructType))).orderBy("norad", "t"), a)
 

@@ -1,14 +1,15 @@
 """The catalog store: typed Parquet tables in a shared folder, with ingest that may be repeated.
 
-One writer at a time. `sets` is partitioned by epoch_date, so a range of epochs reads its days alone, and every range on a
-typed column reaches the scan. A batch is compared with the days it touches, by (epoch, line_hash).
+One writer at a time. `sets` and `messages` are partitioned by epoch_date, so a range of epochs reads its days alone, and every
+range on a typed column reaches the scan. A batch is compared with the days it touches, by (epoch, line_hash), and what is
+new is counted as it is written.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +26,10 @@ _ELEMENTS = (
 )
 SCHEMAS = {
     "sets": f"line1 string, line2 string, line_hash string, {_ELEMENTS}, object_id string, created timestamp_ntz, epoch_date date",
-    "messages": "line_hash string, epoch timestamp_ntz, gp_id int, object_name string, fields map<string,string>",
+    "messages": "line_hash string, epoch timestamp_ntz, gp_id int, object_name string, fields map<string,string>, epoch_date date",
     "files": "path string, size bigint, modified timestamp, sha256 string",
 }
-_BY = {"sets": ["epoch_date"], "messages": [], "files": []}
+_BY = {"sets": ["epoch_date"], "messages": ["epoch_date"], "files": []}
 
 
 def typed_sets(pairs: DataFrame, created: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -82,25 +83,28 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self._at(name))
 
-    def _append(self, name: str, rows: DataFrame) -> None:
+    def _append(self, name: str, rows: DataFrame) -> int:
+        """Writes rows to a table; how many, as the write itself counts them."""
         # a day may hold a large share of all rows: tasks follow epoch and object, not the day alone
         if _BY[name]:
-            rows = rows.repartitionByRange(*_BY[name], "norad", "epoch")
+            rows = rows.repartitionByRange(*_BY[name], *(c for c in ("norad", "epoch", "line_hash") if c in rows.columns))
         columns = [f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields]
-        rows.select(*columns).write.mode("append").partitionBy(*_BY[name]).parquet(self._at(name))
+        written = Observation()
+        rows.select(*columns).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*_BY[name]).parquet(self._at(name))
+        return written.get.get("n") or 0
+
+    def _of_days(self, name: str, rows: DataFrame) -> DataFrame:
+        """What a table has of the days that rows touch."""
+        return self.table(name).join(rows.select("epoch_date").distinct(), "epoch_date", "left_semi")
 
     def _new(self, rows: DataFrame) -> DataFrame:
         """Rows of a batch that the days it touches lack; the first of each key by its text."""
-        days = rows.select("epoch_date").distinct()
-        stored = self.table("sets").join(days, "epoch_date", "left_semi")
-        return catalog.new_rows(rows, stored, tuple(_KEY), ("line1", "line2", "created"))
+        return catalog.new_rows(rows, self._of_days("sets", rows), tuple(_KEY), ("line1", "line2", "created"))
 
     def ingest_pairs(self, pairs: DataFrame, created: Column | None = None) -> int:
         """Adds pairs that aren't stored; returns how many were new. Pairs that can't be read are left out."""
         self._writable()
-        before = self.table("sets").count()
-        self._append("sets", self._new(typed_sets(pairs, created)[0]))
-        return self.table("sets").count() - before
+        return self._append("sets", self._new(typed_sets(pairs, created)[0]))
 
     def ingest_messages(self, records: DataFrame) -> int:
         """Adds the sets of message records, and a message for each set that has none; returns how many sets were new.
@@ -117,12 +121,12 @@ class Store:
         fields = F.map_filter(F.map_from_arrays(F.array(*keys), F.array(*(F.col(c).cast("string") for c in sorted(records.columns) if not c.startswith("TLE_")))), lambda k, v: v.isNotNull())
         m = whole.select(
             tle.line_hash(*lines).alias("line_hash"), tle.epoch(lines[0]).alias("epoch"), F.col("GP_ID").try_cast("int").alias("gp_id"),
-            F.col("OBJECT_NAME").alias("object_name"), fields.alias("fields"),
+            F.col("OBJECT_NAME").alias("object_name"), fields.alias("fields"), F.to_date(tle.epoch(lines[0])).alias("epoch_date"),
         ).where("epoch is not null")
         added = self.ingest_pairs(whole.select(lines[0].alias("line1"), lines[1].alias("line2")))
         last = catalog.last_wins(m, "line_hash", F.struct("gp_id", F.to_json("fields")))
-        have = self.table("sets").select(*_KEY)
-        self._append("messages", last.join(have, _KEY, "left_semi").join(self.table("messages").select(*_KEY), _KEY, "left_anti"))
+        have, known = (self._of_days(n, m).select(*_KEY) for n in ("sets", "messages"))
+        self._append("messages", last.join(have, _KEY, "left_semi").join(known, _KEY, "left_anti"))
         return added
 
     def ingest_file(self, path: str) -> int:
@@ -154,8 +158,7 @@ class Store:
 
                 added += self.ingest_pairs(read_pairs(self.spark, chosen).select("line1", "line2"))
             else:
-                for p in chosen:
-                    added += self.ingest_messages(files.read_omm(self.spark, p, kind))
+                added += self.ingest_messages(files.read_omm(self.spark, chosen, kind))
         keep = known.join(seen, "path", "left_anti").unionByName(seen.drop("status"))
         self._replace_files(keep)
         return seen.select("path", "status"), added

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitlake.functions import tle
 from orbitlake.sources.text import read_pairs
@@ -51,18 +52,70 @@ def find_file(spark: SparkSession, text: str, folder: str) -> str | None:
     return next((n for n in names if exists(n)), None)
 
 
-def read_omm(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Message records, all fields as text; JSON may be an object or an array."""
-    kind = kind or detect_format(path)
+def _flat(columns: list[tuple[str, T.DataType, str]]) -> tuple[list[tuple[str, str]], list[str]]:
+    """Leaves (field, path) of nested columns, and the paths of lists of named parameters."""
+    leaves, named = [], []
+    for name, kind, path in columns:
+        if isinstance(kind, T.StructType):
+            own, more = _flat([(f.name, f.dataType, f"{path}.`{f.name}`") for f in kind.fields])
+            leaves, named = leaves + own, named + more
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and {"_VALUE", "_parameter"} <= set(kind.elementType.names):
+            named.append(path)
+        elif not name.startswith("_") and not isinstance(kind, T.ArrayType):
+            leaves.append((name, path))
+    return leaves, named
+
+
+def _parameter(values: Column, name: str) -> Column:
+    return F.get(F.filter(values, lambda x: x["_parameter"] == name), F.lit(0))["_VALUE"].cast("string")
+
+
+#: Names that parameters of the user's own may have in a nested message: they become columns, so their number is bounded.
+PARAMETERS_MAX = 1000
+
+
+def flattened(messages: DataFrame) -> DataFrame:
+    """A row for each message with its fields as text columns, whatever segments they stand in.
+
+    Of fields with one name, the first that has a value holds. Parameters of the user's own (`USER_DEFINED parameter="X"`)
+    become columns of their names.
+    """
+    leaves, named = _flat([(f.name, f.dataType, f"`{f.name}`") for f in messages.schema.fields])
+    fields: dict[str, list[Column]] = {}
+    for name, path in leaves:
+        fields.setdefault(name, []).append(F.col(path).cast("string"))
+    for path in named:
+        keys = messages.select(F.explode(F.col(path)["_parameter"]).alias("k")).where("k is not null").distinct().limit(PARAMETERS_MAX + 1).collect()
+        if len(keys) > PARAMETERS_MAX:
+            raise ValueError(f"more than {PARAMETERS_MAX} names of parameters")
+        for (k,) in sorted(keys):
+            fields.setdefault(k, []).append(_parameter(F.col(path), k))
+    return messages.select(*(F.coalesce(*cs).alias(n) for n, cs in fields.items()))
+
+
+def read_omm(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
+    """Message records of files of one kind, all fields as text; JSON may be an object or an array, XML nested in segments."""
+    kind = kind or detect_format(path if isinstance(path, str) else path[0])
     if kind == "json":
         return spark.read.json(path, multiLine=True, primitivesAsString=True)
     if kind == "csv":
-        return spark.read.csv(path, header=True)
+        return spark.read.csv(path, header=True, enforceSchema=False) if isinstance(path, str) else _csv_together(spark, path)
     if kind == "xml":
-        return spark.read.format("xml").option("rowTag", "omm").load(path)
+        return flattened(spark.read.format("xml").option("rowTag", "omm").option("inferSchema", False).load(path))
     raise ValueError(f"{path} holds no messages")
 
 
+def _csv_together(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV files with headers of their own, those with one header read together."""
+    head = spark.read.text(paths).select(F.input_file_name().alias("p"), "value", F.monotonically_increasing_id().alias("n"))
+    heads = head.groupBy("p").agg(F.min_by("value", "n").alias("h")).groupBy("h").agg(F.collect_list("p").alias("ps")).collect()  # names of files, as in changed_files
+    out = None
+    for h in sorted(heads):
+        part = spark.read.csv(h["ps"], header=True)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def read_catalog(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (line1, line2, line_hash and element columns) and rejects (line1, line2) of a file or folder."""
     kind = kind or detect_format(path)

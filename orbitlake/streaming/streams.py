@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orbitlake.operators import catalog, switching
+from orbitlake.operators import catalog, emit, propagate, switching
+from orbitlake.operators.store import Store, typed_sets
+from orbitlake.sources.text import read_pairs
 
 
 def assigned(times: DataFrame, held: DataFrame, on: str = "norad", time: str = "t") -> DataFrame:
@@ -16,6 +18,41 @@ def assigned(times: DataFrame, held: DataFrame, on: str = "norad", time: str = "
     return switching.assign(times, held, on, time)
 
 
+def propagated(times: DataFrame, held: DataFrame, groups: tuple[str, ...] = ("ecef", "lla"), on: str = "norad", time: str = "t") -> DataFrame:
+    """A stream of (on, time) with the groups of propagate.generate by the set that holds: stateless, in append mode.
+
+    Each row depends on itself and the static sets alone, so a batch that runs again gives the same rows.
+    """
+    return propagate.generate(assigned(times, held, on, time), groups, time=time)
+
+
+def ingest_files(spark: SparkSession, folder: str, store: Store, checkpoint: str, out: str | None = None, max_files: int = 1000) -> StreamingQuery:
+    """Element text files that arrive in a folder go to the store, and, if `out` is given, the days and objects that they touch
+    are written there again.
+
+    Each trigger takes at most max_files new files, whose names come to the driver; their lines are read by read_pairs, so a
+    file is best moved into the folder whole. A batch that runs again adds nothing, and late sets rewrite their object's files.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        paths = [r["path"] for r in batch.select("path").distinct().collect()]
+        if not paths:
+            return
+        began = session.sql("select current_timestamp()").first()[0]
+        pairs = read_pairs(session, paths, "lenient").select("line1", "line2")
+        target = Store(session, store.path)
+        target.ingest_pairs(pairs, F.lit(began).cast("timestamp_ntz"))
+        if out is not None:
+            touched = typed_sets(pairs)[0].select("norad", "epoch_date")
+            sets = target.table("sets")
+            emit.write_dates(sets.join(touched.select("epoch_date").distinct(), "epoch_date", "left_semi").withColumn("id", F.col("line_hash")), out)
+            emit.write_objects(sets.join(touched.select("norad").distinct(), "norad", "left_semi"), out)
+
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select(F.col("_metadata.file_path").alias("path"))
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest(arriving: DataFrame, table: str, checkpoint: str, keys: tuple[str, ...] = ("epoch", "line_hash"), after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Append what a stream of element rows brings that the Parquet table at `table` lacks.
 
