@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbitlake.operators import catalog, emit, filters, propagate, revs, series, switching
-from orbitlake.operators.store import Store, typed_sets
+from orbitlake.operators.store import Store, load_sets
 from orbitlake.settings import settings
-from orbitlake.sources import files, text
+from orbitlake.sources import files
 
 NO_RESULT, USAGE, NO_STORE = 1, 2, 3
 _RANGES = ("inc", "ecc", "period", "sma", "perigee", "apogee", "revnum")
@@ -74,11 +74,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _sets(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Sets of a file or folder, of an id in the folder of sets, or else of the store."""
     held = settings()
-    if at := files.find_file(spark, a.sets, held["sets"][0]):
-        return typed_sets(text.read_pairs(spark, at, "lenient"))[0]
-    if held["store"][0] and files.is_catalog_id(a.sets):
-        return Store.open(spark, held["store"][0]).sets_of(files.to_satnum(a.sets))
-    raise LookupError(f"no sets by the name of {a.sets}: looked for {', '.join([a.sets, *files.candidate_names(a.sets)])} in {held['sets'][0]}")
+    return load_sets(spark, a.sets, held["sets"][0], held["store"][0])
 
 
 def _instants(spark: SparkSession, values: list[str]) -> DataFrame:
@@ -93,7 +89,7 @@ def _instants(spark: SparkSession, values: list[str]) -> DataFrame:
 
 
 def _held(sets: DataFrame, times: DataFrame, method: str) -> DataFrame:
-    samples = sets.select("norad").distinct().crossJoin(F.broadcast(times))  # as many instants as were asked for
+    samples = times.crossJoin(F.broadcast(sets.select("norad").distinct()))  # object numbers have five characters, so they are few
     return switching.assign(samples, switching.windows(sets, method, tie=("line_hash",)))
 
 

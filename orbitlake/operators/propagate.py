@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 
 from orbitlake.functions import frames as fr
 from orbitlake.kernels import sgp4
-from orbitlake.operators import magnetic
+from orbitlake.operators import magnetic, timescale
 
 _ELEMENTS = ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")
 _INERTIAL = ("_x", "_y", "_z", "_vx", "_vy", "_vz")
 _STATE = ("x", "y", "z", "vx", "vy", "vz")
+#: Sites of a request: they are broadcast, and multiply its rows.
+SITES_MAX = 10_000
 # The names of the groups.
 GROUPS = ("eci", "ecef", "lla", "keplerian", "equinoctial", "sunlight", "beta", "lst", "mag_enu", "mag_total", "mag_ecef")
 
@@ -121,7 +123,8 @@ def _add_day(d: DataFrame, q: Request) -> DataFrame:
 
 @register("_sidereal", ("_day",), ("gmst",))
 def _add_sidereal(d: DataFrame, q: Request) -> DataFrame:
-    return d.withColumn("gmst", fr.gmst_hours(F.col("_jd"), F.col("_fr")))
+    part = F.col("_fr") + F.col("_ut1_utc") / 86400.0 if "_ut1_utc" in d.columns else F.col("_fr")
+    return d.withColumn("gmst", fr.gmst_hours(F.col("_jd"), part))
 
 
 @register("_sun", ("_day",), (*_SUN, "_ra"))
@@ -195,21 +198,25 @@ def _add_mag_ecef(d: DataFrame, q: Request) -> DataFrame:
 
 def generate(
     samples: DataFrame, groups: tuple[str, ...] = GROUPS, sites: DataFrame | None = None, time: str = "t", single: bool = False,
-    coefficients: DataFrame | list[tuple] | None = None, field_epoch: Column | None = None,
+    coefficients: DataFrame | list[tuple] | None = None, field_epoch: Column | None = None, ut1: DataFrame | None = None,
 ) -> DataFrame:
     """The requested groups of columns for each sample, in the order asked for; with sites, a row for each site.
 
-    eci and the elements are on the equator and equinox of J2000, the rest on those of date; UT1 is UTC. Only what the groups need is computed.
-    single gives measures as floats of 32 bits. coefficients and field_epoch are those of magnetic.with_field. Groups are those of
+    eci and the elements are on the equator and equinox of J2000, the rest on those of date. Only what the groups need is computed.
+    UT1 is UTC, unless a table of UT1-UTC is given (ut1, as timescale.with_ut1 takes it): then the Earth's rotation goes by
+    UT1, and what depends on it is null before the table's first entry. single gives measures as floats of 32 bits. coefficients and field_epoch are those of magnetic.with_field. Groups are those of
     GROUPS and whatever register() has added.
     """
     request, needs = Request(time, coefficients, field_epoch), resolved((*groups, *(("ecef",) if sites is not None else ())))
-    d = with_states(samples, time)
+    d = with_states(samples if ut1 is None else timescale.with_ut1(samples, ut1, time, "_ut1_utc"), time)
     for name in needs:
         d = REGISTRY[name].build(d, request)
     cols = [c for g in dict.fromkeys(groups) for c in REGISTRY[g].columns]
-    if sites is not None:  # as many rows as the caller names sites
-        d = d.crossJoin(F.broadcast(sites.select(F.col("name").alias("site"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), (F.col("alt") / 1000.0).alias("_al"))))
+    if sites is not None:
+        at = sites.select(F.col("name").alias("site"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), (F.col("alt") / 1000.0).alias("_al"))
+        if at.limit(SITES_MAX + 1).count() > SITES_MAX:
+            raise ValueError(f"more than {SITES_MAX} sites: each makes a row of every sample")
+        d = d.crossJoin(F.broadcast(at))
         at = fr.site_ecef(F.col("_la"), F.col("_lo"), F.col("_al"))
         rho, rate = fr.range_rate(_columns(*_FIXED), _columns(*_MOVING), at)
         d = d.withColumns({"range": rho, "range_rate": rate, "elevation": fr.elevation(_columns(*_FIXED), at, F.col("_la"), F.col("_lo"))})

@@ -194,6 +194,20 @@ class Store:
         return sets.count(), n
 
 
+def load_sets(spark: SparkSession, name: str, folder: str = ".", store: str | None = None) -> DataFrame:
+    """Sets by a path, by the name or id of a file in a folder, or by an object's id in the store, in this order; else LookupError.
+
+    Rows are those of the table `sets`; what can't be read of a file is left out.
+    """
+    from orbitlake.sources.text import read_pairs
+
+    if at := files.find_file(spark, name, folder):
+        return typed_sets(read_pairs(spark, at, "lenient"))[0]
+    if store and files.is_catalog_id(name):
+        return Store.open(spark, store).sets_of(files.to_satnum(name))
+    raise LookupError(f"no sets by the name of {name}: looked for {', '.join([name, *files.candidate_names(name)])} in {folder}")
+
+
 def write_omm_csv(messages: DataFrame, path: str) -> None:
     """The fields of a message file, in order, under a header; other columns are left out. Nothing is written without rows."""
     if not messages.isEmpty():

@@ -106,3 +106,40 @@ def test_a_group_of_the_users_own(spark):
         for name in ("perigee_height", "hours", "a_", "b_"):
             propagate.REGISTRY.pop(name, None)
     assert propagate.resolved(("lst",)) == ["_day", "_sidereal", "ecef", "lla", "_sun", "lst"]
+
+
+UT1 = [("2016-12-30", -0.40), ("2016-12-31", -0.41), ("2017-01-01", 0.589), ("2017-01-02", 0.588), ("2017-01-05", 0.585)]
+
+
+def ut1(spark):
+    return spark.createDataFrame(UT1, "day string, ut1_utc double").select(F.col("day").cast("timestamp_ntz").alias("utc"), "ut1_utc")
+
+
+def test_ut1_between_the_entries_and_over_a_leap_second(spark):
+    from orbitlake.operators import timescale
+
+    asked = {"2016-12-29 00:00:00": None, "2016-12-30 00:00:00": -0.40, "2016-12-30 12:00:00": -0.405, "2016-12-31 18:00:00": -0.41075, "2017-01-01 00:00:00": 0.589, "2017-01-03 12:00:00": 0.5865, "2019-06-01 00:00:00": 0.585}
+    times = spark.createDataFrame([(t, 7.0) for t in [*asked, None]], "s string, _key double").select(F.col("s").cast("timestamp_ntz").alias("t"), "s", "_key")
+    got = timescale.with_ut1(times.drop("_key"), ut1(spark)).collect()
+    assert len(got) == len(asked) + 1
+    for r in got:
+        want = asked.get(r["s"])
+        assert r["ut1_utc"] is None if want is None else r["ut1_utc"] == pytest.approx(want, abs=1e-9)
+    shifted = times.limit(1).select(timescale.utc_to_ut1(F.col("t"), F.lit(-0.4)).alias("a")).select("a", timescale.ut1_to_utc(F.col("a"), F.lit(-0.4)).alias("b")).first()
+    assert shifted["a"] == dt.datetime(2016, 12, 28, 23, 59, 59, 600000) and shifted["b"] == dt.datetime(2016, 12, 29)
+
+
+def test_strict_time_turns_the_earth_as_the_table_says(spark):
+    """Earth-fixed places move by the angle of UT1-UTC, inertial ones don't."""
+    epoch = dt.datetime(2017, 1, 2)
+    e = dict(zip(("mm", "ecc", "inc", "raan", "aop", "ma", "bstar"), (15.49560532, 0.0006703, 51.64, 208.9163, 30.5502, 329.5947, 1.027e-4), strict=True))
+    s = spark.createDataFrame([(k, epoch, epoch + dt.timedelta(minutes=13 * k), *e.values()) for k in range(10)], "k int, epoch timestamp_ntz, t timestamp_ntz, " + ", ".join(f"{c} double" for c in e))
+    plain = {r["k"]: r for r in propagate.generate(s, ("eci", "lla", "beta")).collect()}
+    strict = propagate.generate(s, ("eci", "lla", "beta"), ut1=ut1(spark))
+    assert "_ut1_utc" not in strict.columns
+    for r in strict.collect():
+        p = plain[r["k"]]
+        turn = (p["lon"] - r["lon"] + 180) % 360 - 180
+        assert turn == pytest.approx(0.588 * 360 / 86164.1, abs=2e-5) and (r["x"], r["lat"], r["beta"]) == pytest.approx((p["x"], p["lat"], p["beta"]))
+    early = propagate.generate(s.withColumn("t", F.lit("2016-01-01").cast("timestamp_ntz")), ("eci", "lla"), ut1=ut1(spark)).first()
+    assert early["lon"] is None and early["x"] is not None

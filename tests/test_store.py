@@ -113,3 +113,14 @@ def test_a_range_of_epochs_reads_its_days(empty, spark):
     assert d.count() == 3 and len(d.inputFiles()) > 0
     assert filters.orbit_filter(empty.table("sets"), epoch=("2024-02-21", None)).count() == 18
     assert filters.orbit_filter(spark.createDataFrame([pair(1, 60.0)], "line1 string, line2 string").withColumn("epoch", tle.epoch(F.col("line1"))), epoch=(lo, None)).count() == 1
+
+
+def test_sets_by_path_name_or_number(empty, spark, tmp_path):
+    one = pair(25544, 50.5)
+    (tmp_path / "25544.tle").write_text("\n".join(one))
+    assert store.load_sets(spark, str(tmp_path / "25544.tle")).count() == 1
+    assert store.load_sets(spark, "25544", str(tmp_path)).first()["line1"] == one[0]
+    empty.ingest_pairs(spark.createDataFrame([pair(7, 50.5), pair(7, 51.5)], "line1 string, line2 string"))
+    assert store.load_sets(spark, "7", str(tmp_path), empty.path).count() == 2
+    with pytest.raises(LookupError):
+        store.load_sets(spark, "8x", str(tmp_path), empty.path)
