@@ -58,29 +58,111 @@ def _fixed(r, jd):
     return np.stack([np.cos(a) * r[:, 0] + np.sin(a) * r[:, 1], np.cos(a) * r[:, 1] - np.sin(a) * r[:, 0], r[:, 2]], -1)
 
 
-def _elevation(r, v, jd, site):
-    """Degrees above the site's horizon, less the least elevation."""
+def _place(site):
+    """Earth-fixed position of a site, the direction up there, and the sine of its least elevation."""
     lat, lon, alt, least = site
     la, lo, e2 = np.radians(lat), np.radians(lon), fr.WGS84_F * (2 - fr.WGS84_F)
     n = fr.WGS84_A / np.sqrt(1 - e2 * np.sin(la) ** 2)
     at = np.array([(n + alt) * np.cos(la) * np.cos(lo), (n + alt) * np.cos(la) * np.sin(lo), (n * (1 - e2) + alt) * np.sin(la)])
+    return at, np.array([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)]), np.sin(np.radians(least))
+
+
+def _elevation(r, v, jd, site):
+    """Degrees above the site's horizon, less the least elevation."""
+    at, up, _ = _place(site)
     d = _fixed(r, jd) - at
-    up = np.array([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
-    return np.degrees(np.arcsin(np.clip(d @ up / np.linalg.norm(d, axis=1), -1, 1))) - least
+    return np.degrees(np.arcsin(np.clip(d @ up / np.linalg.norm(d, axis=1), -1, 1))) - site[3]
 
 
 def _golden(value, left, right):
     """Where value(t) is greatest between left and right, by golden sections, to a few milliseconds."""
     lo, hi, g = left.copy(), right.copy(), (5**0.5 - 1) / 2
     one, two = hi - g * (hi - lo), lo + g * (hi - lo)
-    for _ in range(32 if len(lo) else 0):
-        u, v = value(one), value(two)
-        lo, hi = np.where(u < v, one, lo), np.where(u < v, hi, two)
-        one, two = hi - g * (hi - lo), lo + g * (hi - lo)
+    if not len(lo):
+        return lo
+    u, v = value(one), value(two)
+    for k in range(32):
+        right = u < v
+        lo, hi = np.where(right, one, lo), np.where(right, hi, two)
+        if k == 31:
+            break
+        # one of the two points is the other one of the next round
+        fresh = np.where(right, lo + g * (hi - lo), hi - g * (hi - lo))
+        w = value(fresh)
+        one, two = np.where(right, two, fresh), np.where(right, fresh, one)
+        u, v = np.where(right, v, w), np.where(right, w, u)
     return (lo + hi) / 2
 
 
+#: Samples from one that is propagated to the next, and kilometres (by minutes, for speeds; radians, for the Sun) from zero
+#: beyond which a rough value's sign is certain.
+COARSE, SLACK_KM, SLACK_RATE, SLACK_SUN = 8, 30.0, 6.0, 0.01
+
+
+def _cubic(p0, p1, v0, v1, u, h):
+    """Values between two points with speeds, at the part u of the way, h apart in time."""
+    w, d = 1 - u, p1 - p0
+    return w * p0 + u * p1 + u * w * (w * (v0 * h - d) - u * (v1 * h - d))
+
+
+def _slope(p0, p1, v0, v1, u, h):
+    """The derivative of that cubic."""
+    d = p1 - p0
+    a, b = v0 * h - d, v1 * h - d
+    return (d + (1 - 2 * u) * ((1 - u) * a - u * b) - u * (1 - u) * (a + b)) / h
+
+
+_HOP = COARSE * STEP_MINUTES
+
+
+def _rough_north(p, own, coarse, r, v, node, u):
+    z, s = r[:, 2], v[:, 2]
+    f = _cubic(z[node], z[node + 1], s[node], s[node + 1], u, _HOP)
+    return f, np.abs(f) < SLACK_KM
+
+
+def _rough_ascending(p, own, coarse, r, v, node, u):
+    z, s = r[:, 2], v[:, 2]
+    f = _slope(z[node], z[node + 1], s[node], s[node + 1], u, _HOP)
+    return f, np.abs(f) < SLACK_RATE
+
+
+def _rough_sunlit(p, own, coarse, r, v, node, u):
+    """The cosine of the widest angle of shadow less that of the angle apart."""
+    sun = _sun(p.jd[own] + coarse / 1440.0)
+    rr = ss = rs = 0.0
+    for c in range(3):
+        x = _cubic(r[node, c], r[node + 1, c], v[node, c], v[node + 1, c], u, _HOP)
+        y = sun[node, c] + u * (sun[node + 1, c] - sun[node, c]) - x
+        rr, ss, rs = rr + x * x, ss + y * y, rs + x * y
+    with np.errstate(all="ignore"):
+        a, b = np.minimum(1.0, fr.R_EARTH / np.sqrt(rr)), fr.R_SUN / np.sqrt(ss)
+        f = np.sqrt(1 - a * a) * np.sqrt(1 - b * b) - a * b + rs / np.sqrt(rr * ss)
+    return f, np.abs(f) < SLACK_SUN
+
+
+def _rough_elevation(p, own, coarse, r, v, node, u):
+    """Kilometres above the cone of the least elevation. A pass between samples is higher by as much as the way bends in a minute."""
+    jd = p.jd[own] + coarse / 1440.0
+    q, w = _fixed(r, jd), _fixed(v, jd)
+    spin = fr.EARTH_RATE * 60.0
+    w = np.stack([w[:, 0] + spin * q[:, 1], w[:, 1] - spin * q[:, 0], w[:, 2]], -1)
+    at, up, least = _place(p.site)
+    high = far = 0.0
+    for c in range(3):
+        d = _cubic(q[node, c], q[node + 1, c], w[node, c], w[node + 1, c], u, _HOP) - at[c]
+        high, far = high + d * up[c], far + d * d
+    far = np.sqrt(far)
+    f = high - far * least
+    reach = SLACK_KM + 1.2 * (20.0 + 120_000.0 * abs(least) / np.maximum(far - 500.0, 100.0))
+    return f, (f < SLACK_KM) & (f > -np.maximum(SLACK_KM, reach))
+
+
+#: How far from zero both ends of a hop must be: more than a way can bend in between.
+BENDS = {"north": lambda site: 500.0, "ascending": lambda site: 40.0, "sunlit": lambda site: 0.25, "pass": lambda site: 800.0 + 3500.0 * abs(np.sin(np.radians(site[3])))}
+ROUGH = {"north": _rough_north, "ascending": _rough_ascending, "sunlit": _rough_sunlit, "pass": _rough_elevation}
 KINDS = {"north": _north, "ascending": _ascending, "sunlit": _sunlit, "pass": _elevation}
+_NAMES = ["row", "span", "start_us", "stop_us", "peak_us", "peak", "longitude"]
 _OUT = "row long, span long, start_us long, stop_us long, peak_us long, peak double, longitude double"
 #: Minutes that windows are scanned beyond their ends for passes, points of a pass among which its highest is looked for, and
 #: the part of a revolution within which crossings of neighbouring sets at a switch are the same.
@@ -97,10 +179,11 @@ class _Pieces:
     def __init__(self, kind: str, invert: bool, site: tuple, row, span, epoch, lo, hi, jd, elements):
         self.kind, self.sign, self.site, self.row = kind, -1.0 if invert else 1.0, site, row
         self.span, self.epoch, self.lo, self.hi, self.jd, self.elements = span, epoch, lo, hi, jd, elements
+        self.sets = sgp4.Sets(*elements, jd)
 
     def state(self, i: np.ndarray, t: np.ndarray):
         """Value, position and Julian date of pieces i at t; a decayed orbit (error 6) has a state, other errors have none."""
-        r, v, err = sgp4.propagate(*(e[i] for e in self.elements), t, self.jd[i])
+        r, v, err = self.sets.at(i, t)
         jd = self.jd[i] + t / 1440.0
         return np.where((err == 0) | (err == 6), self.sign * KINDS[self.kind](r, v, jd, self.site), np.nan), r, jd
 
@@ -115,7 +198,7 @@ class _Pieces:
         i = np.repeat(np.arange(len(n)), n)
         first = np.cumsum(n) - n
         t = np.minimum(self.lo[i] + (np.arange(len(i)) - first[i]) * STEP_MINUTES, self.hi[i])
-        f, _, _ = self.state(i, t)
+        f = self.sampled(i, first, n, t)
         above, same = f > 0, i[:-1] == i[1:]
         a = np.flatnonzero((above[:-1] != above[1:]) & same)
         at, x, y, up = i[a], t[a], t[a + 1], above[a + 1]
@@ -124,13 +207,99 @@ class _Pieces:
             more = self.between(i, t, f, same)
             at, x, y, up = (np.concatenate([p, q]) for p, q in zip((at, x, y, up), more, strict=True))
             known = np.concatenate([known, np.full(len(more[0]), True)])
-        for _ in range(ROUNDS if len(at) else 0):
-            m = (x + y) / 2
-            right = (self.state(at, m)[0] > 0) == up
-            x, y = np.where(right, x, m), np.where(right, m, y)
+        y = self.bisected(at, x, y, up)
         order = np.lexsort((y, at))
         return at[order], y[order], up[order], known[order], above[first], above[first + n - 1]
 
+    def sampled(self, i: np.ndarray, first: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The values at the samples, of which those far from zero may be rough: their sign is certain, and for passes so is
+        that no maximum beside them rises above zero.
+
+        Orbits near the Earth and near a circle are propagated at every COARSE-th sample; between these a cubic through
+        positions and velocities is within SLACK (a few kilometres, where SLACK is some tens). Samples at which it can't tell
+        the side, and all of other orbits, are propagated themselves.
+        """
+        smooth = (self.elements[1] < 0.05) & (self.elements[0] > 7.0) & (self.elements[0] < 17.5) & (self.elements[6] == 0) & (self.kind != "pass" or self.sign > 0)
+        f, doubtful = np.full(len(t), np.nan), ~smooth[i]
+        some = np.flatnonzero(smooth)
+        if len(some):
+            m = -(-(n[some] - 1) // COARSE) + 1
+            own, begin = np.repeat(some, m), np.cumsum(m) - m
+            coarse = self.lo[own] + (np.arange(len(own)) - np.repeat(begin, m)) * (COARSE * STEP_MINUTES)
+            r, v, err = self.sets.at(own, coarse)
+            r[(err != 0) & (err != 6)] = np.nan
+            v = v * 60.0  # km a minute
+            k = np.flatnonzero(~doubtful)
+            begins = np.zeros(len(n), int)
+            begins[some] = begin
+            away = t[k] - self.lo[i[k]]
+            part = np.minimum(away // (COARSE * STEP_MINUTES), m[np.searchsorted(some, i[k])] - 2).astype(int)
+            node, u = begins[i[k]] + part, away / (COARSE * STEP_MINUTES) - part
+            # hops whose ends are so far from zero on one side that no way between them bends to it
+            every, margin = np.flatnonzero(np.diff(own) == 0), BENDS[self.kind](self.site)
+            ends = [ROUGH[self.kind](self, own, coarse, r, v, every, np.full(len(every), u))[0] for u in (0.0, 1.0)]
+            side = np.where(np.minimum(*ends) > margin, np.inf, np.where(np.maximum(*ends) < -margin, -np.inf, 0.0))
+            hop = np.zeros(len(own))
+            hop[every] = side if self.kind != "pass" else np.minimum(side, 0.0)
+            f[k] = hop[node]
+            doubtful[k] = np.isnan(f[k])
+            open_ = f[k] == 0
+            k, node, u = k[open_], node[open_], u[open_]
+            f[~doubtful] *= self.sign
+            f[k], doubt = ROUGH[self.kind](self, own, coarse, r, v, node, u)
+            doubtful[k] = doubt | ~np.isfinite(f[k])
+            # what is rough and low is no maximum
+            f[k] = self.sign * f[k] if self.kind != "pass" else np.where(f[k] < 0, f[k] - 1000.0, f[k])
+        if self.kind == "pass":
+            # the neighbours of what may be a maximum are compared with it
+            low = doubtful & ~(f > 0)
+            doubtful[:-1] |= low[1:] & (i[:-1] == i[1:])
+            doubtful[1:] |= low[:-1] & (i[:-1] == i[1:])
+        k = np.flatnonzero(doubtful)
+        f[k] = self.state(i[k], t[k])[0]
+        return f
+
+    def bisected(self, at: np.ndarray, x: np.ndarray, y: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """What ROUNDS halvings of [x, y] by the side would give as the upper end.
+
+        The root is first put to one of their 2^ROUNDS steps by inverse interpolation, which is kept where the sides of that
+        step's ends confirm it; the halvings are then made without states. Where they don't, all are made.
+        """
+        if not len(at):
+            return y
+        every, parts = np.arange(len(at)), 1 << ROUNDS
+        side = lambda j, t: (self.state(at[j], t)[0] > 0) == up[j]
+        with np.errstate(all="ignore"):
+            a, b = self.state(at, x)[0], self.state(at, y)[0]
+            m = x + (y - x) * a / (a - b)
+            m = np.where((m > x) & (m < y), m, (x + y) / 2)
+            c = self.state(at, m)[0]
+            root = x * b * c / ((a - b) * (a - c)) + m * a * b / ((c - a) * (c - b)) + y * a * c / ((b - a) * (b - c))
+            root = np.where((root >= x) & (root <= y), root, m)
+            cell = np.floor((root - x) / (y - x) * parts)
+        cell = np.clip(np.where(np.isfinite(cell), cell, 0), 0, parts - 1).astype(np.int64)
+        time = lambda j, n: x[j] + (y[j] - x[j]) * (n / parts)
+        lower, upper = side(every, time(every, cell)), side(every, time(every, cell + 1))
+        # the ends of [x, y] have their sides already
+        lower, upper = lower & (cell > 0), upper | (cell == parts - 1)
+        good = ~lower & upper
+        j = np.flatnonzero(lower)  # it lies in a step before: the next one is tried
+        cell[j] -= 1
+        good[j] = ~side(j, time(j, cell[j])) | (cell[j] == 0)
+        j = np.flatnonzero(~lower & ~upper)
+        cell[j] += 1
+        good[j] = side(j, time(j, cell[j] + 1)) | (cell[j] == parts - 1)
+        x, y, bad = x.copy(), y.copy(), np.flatnonzero(~good)
+        place = np.full(len(at), 0, np.int64)
+        for k in range(ROUNDS):
+            m = (x + y) / 2
+            middle = place + (parts >> (k + 1))
+            right = middle > cell
+            if len(bad):
+                right[bad] = side(bad, m[bad])
+            x, y, place = np.where(right, x, m), np.where(right, m, y), np.where(right, place, middle)
+        return y
+
     def between(self, i, t, f, same):
         """Crossings of passes that rise and set between two samples: piece, before, after, direction."""
         before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
@@ -148,7 +317,7 @@ class _Pieces:
     def micros(self, i: np.ndarray, t: np.ndarray) -> pa.Array:
         return pa.array(self.epoch[i] + np.round(t * _US).astype(np.int64))
 
-    def periods(self) -> pa.RecordBatch:
+    def periods(self, peaks: bool = True) -> pa.RecordBatch:
         at, t, up, _, begins, ends = self.scan()
         one, two = np.flatnonzero(begins), np.flatnonzero(ends)
         i, s = np.concatenate([one, at[up]]), np.concatenate([self.lo[one], t[up]])
@@ -156,6 +325,9 @@ class _Pieces:
         order = np.lexsort((s, i))
         i, s = i[order], s[order]
         p = p[np.lexsort((p, j))]
+        if not peaks:
+            none = pa.nulls(len(i), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(self.row[i]), pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), pa.nulls(len(i), pa.int64()), none, none], names=_NAMES)
         fine = s[:, None] + (p - s)[:, None] * np.linspace(0, 1, POINTS)
         g = self.state(np.repeat(i, POINTS), fine.ravel())[0].reshape(fine.shape)
         g = np.where(np.isfinite(g), g, -np.inf)
@@ -167,7 +339,7 @@ class _Pieces:
             at, top = np.where(high > top, near, at), np.fmax(high, top)
         return pa.RecordBatch.from_arrays(
             [pa.array(self.row[i]), pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), self.micros(i, at), pa.array(top), pa.array(self.longitude(i, s))],
-            names=["row", "span", "start_us", "stop_us", "peak_us", "peak", "longitude"],
+            names=_NAMES,
         )
 
     def crossings(self) -> pa.RecordBatch:
@@ -186,7 +358,7 @@ class _Pieces:
 _CROSSINGS = "span long, time_us long, longitude double, ascending boolean, edge int, near long"
 
 
-def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False, keep: tuple[str, ...] = ()):
+def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False, keep: tuple[str, ...] = (), peaks: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = pa.Table.from_batches([b])
@@ -203,7 +375,7 @@ def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False, keep: t
                 o = i[c]
                 # the place in this batch instead of the row's number, to find what is kept of it
                 piece = _Pieces(kind, invert, site, o if keep else row[o], span[o], epoch[o], a[c], z[c], jd[o], [x[o] for x in e])
-                found = piece.crossings() if crossings else piece.periods()
+                found = piece.crossings() if crossings else piece.periods(peaks)
                 if keep:
                     at = found.column("row")
                     found = pa.RecordBatch.from_arrays([pa.array(row[at.to_numpy()]), *found.columns[1:], *(kept.column(c).take(at).combine_chunks() for c in kept.column_names)], names=[*found.schema.names, *kept.column_names])
@@ -226,20 +398,22 @@ def _at(c: str):
     return F.timestamp_add("MICROSECOND", F.col(c), F.expr(_ZERO))
 
 
-def find_periods(spans: DataFrame, kind: str, invert: bool = False, site: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)) -> DataFrame:
+def find_periods(spans: DataFrame, kind: str, invert: bool = False, site: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0), peaks: bool = True) -> DataFrame:
     """span, start, stop, peak_time, peak, longitude of the start: when the state holds in each span.
 
     spans: span (an id), start, stop, epoch and the element columns; a span may have several rows, one for each window of an
     element set, and periods that meet where one row stops and the next starts are one. kind: north, ascending, sunlit or
     pass (elevation over site = latitude, longitude, altitude in km, least elevation); invert gives the complement. A state
-    that holds at a span's end is cut there.
+    that holds at a span's end is cut there. Without peaks, only span, start and stop are computed and given.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; one of {sorted(KINDS)}")
-    found = _rows(spans).mapInArrow(_scan(kind, invert, site), _OUT).drop("row")
+    found = _rows(spans).mapInArrow(_scan(kind, invert, site, peaks=peaks), _OUT).drop("row")
     w = Window.partitionBy("span").orderBy("start_us", "stop_us")
     found = found.withColumn("_f", F.coalesce(F.col("start_us") != F.lag("stop_us").over(w), F.lit(True)).cast("int"))
     found = found.withColumn("_g", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not peaks:
+        return found.groupBy("span", "_g").agg(F.min("start_us").alias("a"), F.max("stop_us").alias("b")).select("span", _at("a").alias("start"), _at("b").alias("stop"))
     top = F.max(F.struct("peak", -F.col("peak_us"))).alias("_top")
     found = found.groupBy("span", "_g").agg(F.min("start_us").alias("start_us"), F.max("stop_us").alias("stop_us"), top, F.min_by("longitude", "start_us").alias("longitude"))
     found = found.withColumn("peak_us", -F.col("_top.col2"))

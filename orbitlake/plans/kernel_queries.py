@@ -78,22 +78,22 @@ def object_nodes(spark, sf_dir):
 
 @query()
 def sunlit(spark, sf_dir):
-    return events.find_periods(windows(spark, sf_dir), "sunlit").select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "sunlit", peaks=False)
 
 
 @query()
 def eclipse(spark, sf_dir):
-    return events.find_periods(windows(spark, sf_dir), "sunlit", invert=True).select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "sunlit", invert=True, peaks=False)
 
 
 @query()
 def ascending(spark, sf_dir):
-    return events.find_periods(windows(spark, sf_dir), "ascending").select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "ascending", peaks=False)
 
 
 @query()
 def descending(spark, sf_dir):
-    return events.find_periods(windows(spark, sf_dir), "ascending", invert=True).select("span", "start", "stop")
+    return events.find_periods(windows(spark, sf_dir), "ascending", invert=True, peaks=False)
 
 
 @query()
