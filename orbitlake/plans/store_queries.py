@@ -50,7 +50,7 @@ def ingest_counts(spark, sf_dir):
 @query(CAT + """SELECT 1::INTEGER AS run, 'new' AS status, count(DISTINCT epoch::DATE) AS n, count(DISTINCT line1 || line2) AS n_new FROM cat
 UNION ALL SELECT 2, 'skipped', count(DISTINCT epoch::DATE), 0 FROM cat""")
 def ingest_folder_status(spark, sf_dir):
-    """A folder with a file for each day, ingested twice."""
+    """A folder for each day, whose rows may be in several files, ingested twice: days by the status of their files."""
     at = fresh_folder(spark, "days")
     text.write_pairs(elements(spark, sf_dir).select("line1", "line2", F.to_date("epoch").alias("epoch_date")), at, key="epoch_date")
     s = store.Store(spark, fresh_folder(spark, "store"))
@@ -58,7 +58,8 @@ def ingest_folder_status(spark, sf_dir):
     out = None
     for run in (1, 2):
         states, added = s.ingest_folder(at)
-        counts = store.status_counts(states).select(F.lit(run).alias("run"), "status", "n", F.lit(added).cast("long").alias("n_new"))
+        day = F.regexp_extract("path", "epoch_date=([0-9-]+)", 1)
+        counts = store.status_counts(states.select(day, "status").distinct()).select(F.lit(run).alias("run"), "status", "n", F.lit(added).cast("long").alias("n_new"))
         out = counts if out is None else out.unionByName(counts)
     return out
 
