@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from orbitlake.functions import frames as fr
 from orbitlake.kernels import geodesic, neldermead, sgp4
 from orbitlake.operators import switching
-from orbitlake.operators.events import _fixed
+from orbitlake.operators.events import COARSE, SLACK_KM, _cubic, _fixed
 from orbitlake.operators.propagate import spread
 
 _ELEMENTS = ("mm", "ecc", "inc", "raan", "aop", "ma", "bstar")
@@ -46,11 +46,12 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         gap, jd, *e = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in b.schema.names[1:])
         best = np.round(gap * 5e5)  # the middle, where nothing better is known
+        both = sgp4.Sets(*e[:7], jd), sgp4.Sets(*e[7:], jd + gap / 86400)
+        apart = lambda row, t: _apart(both, gap[row], row, t)  # noqa: B023, E731
         for at in _runs(np.maximum(2, gap / 60 + 1) * (gap >= 1)):
             k = at[gap[at] >= 1]
-            apart = lambda row, t: _apart([x[row] for x in e], gap[row], jd[row], t)  # noqa: B023, E731
             n = np.maximum(2, (gap[k] / 60).astype(int) + 1)
-            _, t, found = _least(k, n, lambda i, place: gap[k][i] * place / (n[i] - 1), apart)  # noqa: B023
+            t, found = _nearest(k, n, gap[k] / (n - 1), _smooth(e[:7], k) & _smooth(e[7:], k), both, gap[k], apart)
             k, t = k[found], t[found]
             lo, hi = np.maximum(0, t - 60), np.minimum(gap[k], t + 60)
             n = np.ceil((hi - lo) / 5 - 1e-9).astype(int) + 1
@@ -77,13 +78,54 @@ def _least(rows: np.ndarray, n: np.ndarray, times, value) -> tuple[np.ndarray, n
     return rows, t[top], np.isfinite(v[top])
 
 
-def _apart(e: list, gap: np.ndarray, jd: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Distance of the positions by two sets, the second one's epoch gap seconds later."""
-    r1, _, e1 = sgp4.propagate(*e[:7], t / 60, jd)
-    r2, _, e2 = sgp4.propagate(*e[7:], (t - gap) / 60, jd + gap / 86400)
+def _apart(both: tuple, gap: np.ndarray, row: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distance of the positions by two sets of each row, the second one's epoch gap seconds later."""
+    r1, _, e1 = both[0].at(row, t / 60)
+    r2, _, e2 = both[1].at(row, (t - gap) / 60)
     return np.where((e1 == 0) & (e2 == 0), np.linalg.norm(r1 - r2, axis=1), np.inf)
 
 
+def _smooth(e: list, k: np.ndarray) -> np.ndarray:
+    """Rows near the Earth and near a circle, whose way between samples a few minutes apart a cubic follows within SLACK_KM."""
+    return (e[1][k] < 0.05) & (e[0][k] > 7.0) & (e[0][k] < 17.5) & (e[6][k] == 0)
+
+
+def _nearest(rows, n, step, smooth, both, gap, apart) -> tuple[np.ndarray, np.ndarray]:
+    """The time among n, step seconds apart, at which two sets of each row are nearest, and whether they have states at any.
+
+    Where the ways are smooth, the difference of the positions is propagated at every COARSE-th time; only times at which a
+    cubic through these may be the nearest are propagated themselves.
+    """
+    if not len(rows):
+        return np.zeros(0), np.zeros(0, bool)
+    i = np.repeat(np.arange(len(rows)), n)
+    first = np.cumsum(n) - n
+    place = np.arange(len(i)) - first[i]
+    ask, m = np.full(len(i), True), -(-(n - 1) // COARSE) + 1
+    own, begin = np.repeat(np.arange(len(rows)), m), np.cumsum(m) - m
+    t = (np.arange(len(own)) - begin[own]) * COARSE * step[own]
+    r1, v1, e1 = both[0].at(rows[own], t / 60)
+    r2, v2, e2 = both[1].at(rows[own], (t - gap[own]) / 60)
+    r, v = r1 - r2, v1 - v2
+    r[(e1 != 0) | (e2 != 0)] = np.nan
+    part = np.minimum(place // COARSE, m[i] - 2)
+    node, u, hop = begin[i] + part, place / COARSE - part, COARSE * step[i]
+    far = np.sqrt(sum(_cubic(r[node, c], r[node + 1, c], v[node, c], v[node + 1, c], u, hop) ** 2 for c in range(3)))
+    least = np.fmin.reduceat(far, first)
+    with np.errstate(invalid="ignore"):
+        ask = ~smooth[i] | ~(far > least[i] + 4 * SLACK_KM)
+    value = np.full(len(i), np.inf)
+    value[ask] = apart(rows[i[ask]], gap[i[ask]] * place[ask] / (n[i[ask]] - 1))
+    lost = np.zeros(len(rows), bool)
+    lost[i[ask & ~np.isfinite(value)]] = True  # a state is missing where one was foreseen: all times are asked
+    more = lost[i] & ~ask
+    value[more] = apart(rows[i[more]], gap[i[more]] * place[more] / (n[i[more]] - 1))
+    low = np.minimum.reduceat(value, first)
+    hit = np.flatnonzero(value == low[i])
+    top = hit[np.searchsorted(i[hit], np.arange(len(rows)))]
+    return gap * place[top] / (n - 1), np.isfinite(low)
+
+
 def tca_windows(sets: DataFrame, key: str = "norad", epoch: str = "epoch", tie: str = "id") -> DataFrame:
     """Each set until it comes nearest to the next one; sets that can't be propagated switch at the midpoint.
 
