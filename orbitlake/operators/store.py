@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,15 @@ def typed_sets(pairs: DataFrame, created: Column | None = None) -> tuple[DataFra
     return rows.where(good), rows.where(~good).select("line1", "line2")
 
 
+#: Parts of a day that are written by tasks of their own: a day may hold a large share of all rows.
+PARTS = 16
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one day and part of it in one task, by the hash of their lines, without a reading to find ranges."""
+    return rows.withColumn("_part", F.pmod(F.xxhash64("line_hash"), F.lit(PARTS))).repartition("epoch_date", "_part")
+
+
 class Store:
     """A catalog in one folder. `Store.open(..., readonly=True)` has no way to write."""
 
@@ -83,11 +92,10 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self._at(name))
 
-    def _append(self, name: str, rows: DataFrame) -> int:
+    def _append(self, name: str, rows: DataFrame, dealt: bool = False) -> int:
         """Writes rows to a table; how many, as the write itself counts them."""
-        # a day may hold a large share of all rows: tasks follow epoch and object, not the day alone
-        if _BY[name]:
-            rows = rows.repartitionByRange(*_BY[name], *(c for c in ("norad", "epoch", "line_hash") if c in rows.columns))
+        if _BY[name] and not dealt:
+            rows = _dealt(rows)
         columns = [f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields]
         written = Observation()
         rows.select(*columns).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*_BY[name]).parquet(self._at(name))
@@ -97,14 +105,23 @@ class Store:
         """What a table has of the days that rows touch."""
         return self.table(name).join(rows.select("epoch_date").distinct(), "epoch_date", "left_semi")
 
-    def _new(self, rows: DataFrame) -> DataFrame:
-        """Rows of a batch that the days it touches lack; the first of each key by its text."""
-        return catalog.new_rows(rows, self._of_days("sets", rows), tuple(_KEY), ("line1", "line2", "created"))
+    def _new(self, pairs: DataFrame, created: Column | None) -> DataFrame:
+        """Rows of a batch of pairs that the days it touches lack; of equal pairs the first by its time.
+
+        Pairs meet what is stored in the one shuffle that deals them for writing; their elements are read after it."""
+        l1, l2 = F.col("line1"), F.col("line2")
+        made = F.current_timestamp().cast("timestamp_ntz") if created is None else created
+        batch = pairs.where(tle.epoch(l1).isNotNull()).select("line1", "line2", made.alias("created"), tle.epoch(l1).alias("epoch"), tle.line_hash(l1, l2).alias("line_hash"), F.to_date(tle.epoch(l1)).alias("epoch_date"), F.lit(1).alias("_new"))
+        none = (F.lit(None).cast(t).alias(c) for c, t in (("line1", "string"), ("line2", "string"), ("created", "timestamp_ntz")))
+        held = self._of_days("sets", batch).select(*none, *_KEY, "epoch_date", F.lit(0).alias("_new"))
+        first = F.row_number().over(Window.partitionBy("epoch_date", "_part", *_KEY).orderBy("_new", "line1", "line2", "created"))
+        rows = _dealt(batch.unionByName(held)).withColumn("_n", first).where("_n = 1 and _new = 1")
+        return typed_sets(rows.select("line1", "line2", "created"), F.col("created"))[0]
 
     def ingest_pairs(self, pairs: DataFrame, created: Column | None = None) -> int:
         """Adds pairs that aren't stored; returns how many were new. Pairs that can't be read are left out."""
         self._writable()
-        return self._append("sets", self._new(typed_sets(pairs, created)[0]))
+        return self._append("sets", self._new(pairs, created), dealt=True)
 
     def ingest_messages(self, records: DataFrame) -> int:
         """Adds the sets of message records, and a message for each set that has none; returns how many sets were new.

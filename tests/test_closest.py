@@ -34,3 +34,25 @@ def test_status_counts_days(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got == {(1, "new"): days, (2, "skipped"): days}
+
+
+def test_ingest_shuffles_once(spark, tmp_path):
+    from orbitlake.operators import store
+    from orbitlake.plans.catalog_queries import element_text
+
+    s = store.Store(spark, str(tmp_path))
+    s.init()
+    t = element_text(spark, "/root/testdata/sf0.001").select("line1", "line2")
+    plan = s._new(t, None)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    # one for the rows, one for the days that they touch
+    assert plan.count("Exchange hashpartitioning") <= 2 and "rangepartitioning" not in plan
+    n = t.distinct().count()
+    half = t.where(F_hash() % 2 == 0)
+    first = s.ingest_pairs(half.unionByName(half))
+    assert (first, s.ingest_pairs(t), s.ingest_pairs(t), s.table("sets").count()) == (half.distinct().count(), n - first, 0, n)
+
+
+def F_hash():
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("line1", "line2")
