@@ -9,6 +9,9 @@ text isn't read again. Sets with message fields get CSV files of them beside the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+@contextmanager
+def _few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Frames that are loaded inside list their folders by a few tasks for each core; Spark alone takes one for each folder."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _write_messages(rows: DataFrame, path: str, by: str, mode: str) -> None:
     """CSV of the message fields of sets that have any; rows may lack the column."""
     if "fields" in rows.columns:
@@ -56,7 +71,9 @@ def object_files(spark: SparkSession, path: str, norads: list[int] | None = None
     if not _exists(spark, f"{path}/objects"):
         return spark.createDataFrame([], "norad int, lines bigint, tail_epoch timestamp_ntz, written_at timestamp_ntz, intact boolean")
     line = F.col("value")
-    text = spark.read.text(f"{path}/objects").select("norad", "value", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("at"))
+    with _few_tasks(spark):
+        text = spark.read.text(f"{path}/objects")
+    text = text.select("norad", "value", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("at"))
     if norads is not None:
         text = text.where(F.col("norad").isin(norads))
     one, two = line.startswith("1 ") & (F.length(line) == 69), line.startswith("2 ") & (F.length(line) == 69)
@@ -68,11 +85,15 @@ def object_files(spark: SparkSession, path: str, norads: list[int] | None = None
 
 
 def _listing(spark: SparkSession, path: str) -> DataFrame:
-    """norad, n_files, bytes, written_at of each object's files as the folder lists them; nothing is read."""
+    """norad, n_files, bytes, written_at of each object's files as the folder lists them; nothing is read. The list is kept, one
+    row an object, so that what uses it doesn't look at the files again."""
     if not _exists(spark, f"{path}/objects"):
         return spark.createDataFrame([], "norad int, n_files bigint, bytes bigint, written_at timestamp_ntz")
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/objects")
-    return listed.groupBy(F.col("norad").cast("int").alias("norad")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max("modificationTime").cast("timestamp_ntz").alias("written_at"))
+    with _few_tasks(spark):
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/objects")
+    at = fresh_folder(spark, "listing")
+    listed.groupBy(F.col("norad").cast("int").alias("norad")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max("modificationTime").cast("timestamp_ntz").alias("written_at")).write.parquet(at)
+    return spark.read.parquet(at)
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -81,11 +102,11 @@ def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
 
 
-def object_states(spark: SparkSession, path: str) -> DataFrame:
+def object_states(spark: SparkSession, path: str, listing: DataFrame | None = None) -> DataFrame:
     """What object_files says, from the manifest where an object's files look as they did when it was kept; only the text of
-    others is read."""
+    others is read. listing: how the files look, if that has been listed already."""
     look = ["norad", "n_files", "bytes", "written_at"]
-    listing, manifest = _listing(spark, path), _manifest(spark, path)
+    listing, manifest = _listing(spark, path) if listing is None else listing, _manifest(spark, path)
     known = listing.join(manifest, look).select("norad", "lines", "tail_epoch", "written_at", F.lit(True).alias("intact"))
     others = listing.join(manifest.select(*look), look, "left_anti").select("norad")
     some = [r["norad"] for r in others.limit(NAMED_MAX + 1).collect()]
@@ -95,10 +116,10 @@ def object_states(spark: SparkSession, path: str) -> DataFrame:
     return known.unionByName(read)
 
 
-def _keep_manifest(spark: SparkSession, path: str, held: DataFrame) -> None:
+def _keep_manifest(spark: SparkSession, path: str, held: DataFrame, listing: DataFrame) -> None:
     """Replace the manifest by what the objects' files hold now (norad, lines, tail_epoch), one row for each."""
     at = fresh_folder(spark, "manifest")
-    held.join(_listing(spark, path), "norad").select("norad", "lines", "tail_epoch", "n_files", "bytes", "written_at").write.parquet(at)
+    held.join(listing, "norad").select("norad", "lines", "tail_epoch", "n_files", "bytes", "written_at").write.parquet(at)
     spark.read.parquet(at).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
@@ -109,6 +130,11 @@ def write_objects(sets: DataFrame, path: str) -> DataFrame:
     ranges of (object, epoch), so an object with very many sets is written by many. The text of objects that nobody touched
     isn't read: the manifest knows it.
     """
+    return _written(sets, path)[0]
+
+
+def _written(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_objects does and returns, and how the files look afterwards."""
     spark = sets.sparkSession
     rows = sets.where(F.col("norad").isNotNull())
     state = object_states(spark, path).where("intact").select("norad", "lines", "tail_epoch", "written_at")
@@ -119,15 +145,18 @@ def write_objects(sets: DataFrame, path: str) -> DataFrame:
     catalog.output_actions(rows.select("norad", "epoch", "created"), state).write.parquet(done)
     actions = spark.read.parquet(done)
     j = rows.join(actions, "norad").join(state.select("norad", "tail_epoch", F.col("lines").alias("old_lines")), "norad", "left")
-    ordered = lambda d: d.repartitionByRange("norad", "epoch", "line1", "line2").sortWithinPartitions("norad", "epoch", "line1", "line2")
+    # files are dear, rows are not: by size, adaptive execution would leave all objects to a few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lambda d: d.repartitionByRange(tasks, "norad", "epoch", "line1", "line2").sortWithinPartitions("norad", "epoch", "line1", "line2")
     for mode, part in (("overwrite", j.where("action in ('create', 'rewrite')")), ("append", j.where("action = 'append' and epoch > tail_epoch"))):
         _write(ordered(part), f"{path}/objects", "norad", mode)
         _write_messages(ordered(part), f"{path}/objects_messages", "norad", mode)
     whole = F.col("action").isin("create", "rewrite")
     added = F.count(F.when(whole | ((F.col("action") == "append") & (F.col("epoch") > F.col("tail_epoch"))), 1)) * 2
     new = j.where("action <> 'keep'").groupBy("norad").agg((added + F.coalesce(F.first(F.when(~whole, F.col("old_lines"))), F.lit(0))).alias("lines"), F.max("epoch").alias("tail_epoch"))
-    _keep_manifest(spark, path, new.unionByName(state.select("norad", "lines", "tail_epoch").join(new.select("norad"), "norad", "left_anti")))
-    return actions
+    listing = _listing(spark, path)
+    _keep_manifest(spark, path, new.unionByName(state.select("norad", "lines", "tail_epoch").join(new.select("norad"), "norad", "left_anti")), listing)
+    return actions, listing
 
 
 def generate(sets: DataFrame, path: str, as_of: Column | None = None, window_days: int = 60, lookback_days: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -136,5 +165,5 @@ def generate(sets: DataFrame, path: str, as_of: Column | None = None, window_day
     The check goes by the manifest; catalog.verify_counts of object_files reads all text."""
     dates = None if as_of is None else catalog.dates_to_write(sets, as_of, window_days, lookback_days)
     write_dates(sets, path, dates)
-    actions = write_objects(sets, path)
-    return actions, catalog.verify_counts(object_states(sets.sparkSession, path).select("norad", "lines"), sets)
+    actions, listing = _written(sets, path)
+    return actions, catalog.verify_counts(object_states(sets.sparkSession, path, listing).select("norad", "lines"), sets)

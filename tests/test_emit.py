@@ -67,6 +67,30 @@ def test_touched_damaged_missing_and_late(spark, tmp_path):
     assert {a for a, _ in actions(done).values()} == {"keep"}
 
 
+def test_folders_are_listed_twice_a_run_by_few_tasks(spark, tmp_path):
+    at, rows = str(tmp_path), [pair(n, 50.5) for n in range(1, 101)]
+    emit.generate(sets(spark, rows), at)
+    group, before = "emit-listing", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup(group, group)
+    done, problems = emit.generate(sets(spark, [*rows, pair(7, 60.5)]), at)
+    kept = {n: a for n, (a, _) in actions(done).items()}
+    assert kept.pop(7) == "append" and set(kept.values()) == {"keep"} and len(kept) == 99 and problems.count() == 0
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert 100 > most >= max(s.numTasks for s in stages if s)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_small_files_are_written_by_all_tasks(spark, tmp_path):
+    rows = [pair(n, 50.5) for n in range(1, 101)]
+    emit.write_objects(sets(spark, rows), str(tmp_path))
+    tasks = {f.name.split("-")[1] for n in range(1, 101) for f in Path(tmp_path, "objects", f"norad={n}").glob("*.txt")}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(len(text_of(tmp_path, n)) == 2 for n in range(1, 101))
+
+
 def test_messages_beside_the_text(spark, tmp_path):
     at, rows = str(tmp_path), [pair(n, 50.5 + d) for n in (1, 2, 3) for d in range(2)]
     emit.generate(sets(spark, rows, fields=True), at)
