@@ -186,6 +186,7 @@ class Curves:
         self.minutes, self.seen = self._filled(np.concatenate(minutes)), self._filled(np.concatenate(seen))
         self.fixed, self.speed = self._filled(fixed), self._filled(speed)
         self.known = np.isfinite(self.fixed).all((1, 2))
+        self._axes = [np.ascontiguousarray(x[..., k]) for x in (self.fixed, self.speed) for k in range(3)]
 
     def _filled(self, flat: np.ndarray) -> np.ndarray:
         out = np.zeros((*self.mask.shape, *flat.shape[1:]))
@@ -194,13 +195,26 @@ class Curves:
 
     def fit(self, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The scale that fits a place best, and what is left of the curve, for one place of each row."""
-        d = self.fixed[rows] - _ground(places[:, 0], places[:, 1], self.alt[rows])[:, None, :]
-        rate = (d * self.speed[rows]).sum(2) / np.sqrt((d * d).sum(2)) * self.mask[rows]
-        scale = (self.seen[rows] * rate).sum(1) / np.maximum((rate * rate).sum(1), 1e-30)
-        return scale, self.seen[rows] - scale[:, None] * rate
+        site = _ground(places[:, 0], places[:, 1], self.alt[rows])
+        # axis by axis and in place: searches spend their time here; empty samples don't move, so their rate is 0
+        rate = far = None
+        for k in range(3):
+            d = self._axes[k].take(rows, 0)
+            d -= site[:, k, None]
+            along = self._axes[3 + k].take(rows, 0)
+            along *= d
+            d *= d
+            rate, far = (along, d) if k == 0 else (np.add(rate, along, out=rate), np.add(far, d, out=far))
+        rate /= np.sqrt(far, out=far)
+        seen = self.seen.take(rows, 0)
+        scale = np.multiply(seen, rate, out=far).sum(1) / np.maximum(np.multiply(rate, rate, out=d).sum(1), 1e-30)
+        rate *= scale[:, None]
+        seen -= rate
+        return scale, seen
 
     def cost(self, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
-        value = (self.fit(rows, places)[1] ** 2).sum(1)
+        left = self.fit(rows, places)[1]
+        value = np.multiply(left, left, out=left).sum(1)
         return np.where(np.isfinite(value), value, np.inf)
 
     def turn(self) -> np.ndarray:

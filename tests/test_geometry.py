@@ -1,9 +1,12 @@
 """Geodesics, rings, closest-approach windows and geolocation."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from orbitlake.kernels import geodesic
+from orbitlake.operators import geometry
 from orbitlake.plans import kernel_queries as k
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +48,22 @@ def test_geolocation_finds_the_site(spark):
         best.setdefault(r["pass_id"], []).append(r)
     hits = sum(min(abs(r["lat"] - 28.5) + abs(r["lon"] + 80.65) for r in rs) < 0.5 for rs in best.values())
     assert best and hits / len(best) > 0.6
+
+
+def test_a_fit_is_made_axis_by_axis_with_the_same_result():
+    rng = np.random.default_rng(3)
+    size = rng.integers(3, 60, 200)
+    flat = lambda lo, hi: rng.uniform(lo, hi, 200)
+    e = [flat(11, 15.5), flat(0, 0.02), flat(20, 160), flat(0, 360), flat(0, 360), flat(0, 360), np.zeros(200)]
+    c = geometry.Curves([np.arange(k) / 3 for k in size], [rng.normal(0, 3000, k) for k in size], np.full(200, 2460310.5), np.zeros(200), e)
+    rows, places = np.sort(rng.permutation(200)[:150]), np.column_stack([rng.uniform(-80, 80, 150), rng.uniform(-180, 180, 150)])
+    d = c.fixed[rows] - geometry._ground(places[:, 0], places[:, 1], c.alt[rows])[:, None, :]
+    rate = (d * c.speed[rows]).sum(2) / np.sqrt((d * d).sum(2)) * c.mask[rows]
+    scale = (c.seen[rows] * rate).sum(1) / (rate * rate).sum(1)
+    tracemalloc.start()
+    got = c.fit(rows, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got[0], scale) and np.array_equal(got[1], c.seen[rows] - scale[:, None] * rate)
+    assert np.array_equal(c.cost(rows, places), (got[1] ** 2).sum(1))
+    assert peak < 7 * rate.nbytes  # not all axes of all samples at once
