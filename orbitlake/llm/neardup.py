@@ -35,6 +35,8 @@ COORDINATES, MATCHES = 48, 23
 PERCENT = 75
 #: Members of a block in step 5, and shingles of its sets, at most (a longer set is a block of its own).
 BLOCK, BLOCK_ITEMS = 1024, 1 << 20
+#: Pairs of occurrences of common shingles that a comparison of two blocks looks at together: they are what it needs memory for.
+PAIRS = 1 << 20
 #: Turns of pivots, and rows of one key that go to one task; a hotter key's are dealt to several.
 PIVOTS, HOT = 3, 512
 #: Links up to which their components are found in one task; more take joins.
@@ -235,14 +237,17 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     first = [np.concatenate([[0], np.cumsum(np.where(often, 0, k))]) for k in n]
     width = np.where(often, 0, n[0] * n[1])
     ends = np.cumsum(width)
-    for lo in range(0, len(common), 1 << 15):
-        hi = min(len(common), lo + (1 << 15))
-        total = int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
+    lo = 0
+    while lo < len(common):
+        done = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        total = int(ends[hi - 1]) - done
         if total:
             item = np.repeat(np.arange(lo, hi), width[lo:hi])
-            at = np.arange(total) - np.repeat(ends[lo:hi] - width[lo:hi] - (ends[lo - 1] if lo else 0), width[lo:hi])
+            at = np.arange(total) - np.repeat(ends[lo:hi] - width[lo:hi] - done, width[lo:hi])
             x, y = row[0][first[0][item] + at // n[1][item]], row[1][first[1][item] + at % n[1][item]]
             out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
+        lo = hi
     return out
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from orbitlake.llm import chat, decontaminate, html, lm, neardup, pieces, quality, topk, toxicity, warc
@@ -415,6 +417,29 @@ def test_lm_scores_by_brute_force(spark):
     assert got == want
 
 
+def test_memory_of_two_blocks(monkeypatch):
+    """Near copies of one long text have nearly all shingles in common: what their comparison holds at once is bounded."""
+    r = np.random.default_rng(5)
+    base = r.integers(-(1 << 62), 1 << 62, 8000)
+    sets = []
+    for _ in range(40):
+        own = base.copy()
+        own[r.integers(0, 8000, 400)] = r.integers(-(1 << 62), 1 << 62, 400)
+        sets.append(np.unique(own))
+    tracemalloc.start()
+    both = neardup._overlaps(sets, sets[:39])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for i, j in ((0, 0), (3, 38), (39, 7), (20, 21)):
+        assert both[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    few = [s[:60] for s in sets]
+    whole = neardup._overlaps(few, few)
+    monkeypatch.setattr(neardup, "PAIRS", 7)
+    assert (neardup._overlaps(few, few) == whole).all() and whole[0, 0] == 60
+    assert not neardup._overlaps([sets[0][:5]], [sets[0][5:9]]).any()
+
+
 def test_lists_are_merged_in_blocks(spark, monkeypatch):
     """Without pivots and in blocks of eight, every link comes from counting collisions in block pairs."""
     monkeypatch.setattr(neardup, "PIVOTS", 0)
