@@ -147,14 +147,18 @@ _SOLVED = pa.schema(
     [("pass_id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("scale", pa.float64()), ("rms", pa.float64()), ("residuals", pa.list_(pa.float64())), ("converged", pa.bool_())]
 )
 #: Passes that are solved at once, and distances from the ground track (degrees) among which the search begins.
-TOGETHER, OFFSETS = 256, (0.5, 2.0, 4.0, 7.0, 10.0, 13.0, 16.0, 19.0, 23.0)
+TOGETHER, OFFSETS = 512, (0.5, 2.0, 4.0, 7.0, 10.0, 13.0, 16.0, 19.0, 23.0)
 _OMEGA = np.array([0.0, 0.0, fr.EARTH_RATE])
 
 
-def _moving(e: list, minutes: np.ndarray, jd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Earth-fixed positions (m) and velocities (m/s) of element sets at minutes from their epochs."""
-    r, v, err = sgp4.propagate(*e, minutes, jd)
-    now = jd + minutes / 1440
+#: Rounds of a search by slopes, degrees within which it is at rest, and degrees that it goes at once.
+SLOPE_ROUNDS, REST, FAR_STEP = 60, 1e-6, 3.0
+
+
+def _moving(e: list, row: np.ndarray, minutes: np.ndarray, jd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Earth-fixed positions (m) and velocities (m/s) of the element sets `row` at minutes from their epochs."""
+    r, v, err = sgp4.Sets(*e, jd).at(row, minutes)
+    now = jd[row] + minutes / 1440
     fixed = _fixed(r, now)
     speed = _fixed(v, now) - np.cross(_OMEGA, fixed)
     bad = ((err != 0) & (err != 6))[:, None]
@@ -169,6 +173,17 @@ def _ground(lat, lon, alt):
     return np.stack([(n + alt) * np.cos(la) * np.cos(lo), (n + alt) * np.cos(la) * np.sin(lo), (n * (1 - e2) + alt) * np.sin(la)], -1)
 
 
+def _along(lat, lon, alt):
+    """How places move, in metres, with a degree of latitude and one of longitude."""
+    la, lo = np.radians(lat), np.radians(lon)
+    e2 = geodesic.F * (2 - geodesic.F)
+    w = 1 - e2 * np.sin(la) ** 2
+    m, n = geodesic.A * (1 - e2) / w**1.5, geodesic.A / np.sqrt(w)
+    north = np.stack([-np.sin(la) * np.cos(lo), -np.sin(la) * np.sin(lo), np.cos(la)], -1) * (m + alt)[:, None]
+    east = np.stack([-np.sin(lo), np.cos(lo), np.zeros_like(lo)], -1) * ((n + alt) * np.cos(la))[:, None]
+    return np.radians(north), np.radians(east)
+
+
 def _subpoint(fixed):
     """Latitude and longitude under Earth-fixed positions, near enough to begin a search."""
     return np.degrees(np.arctan2(fixed[..., 2], np.hypot(fixed[..., 0], fixed[..., 1]) * (1 - geodesic.F) ** 2)), np.degrees(np.arctan2(fixed[..., 1], fixed[..., 0]))
@@ -181,7 +196,7 @@ class Curves:
         size = np.fromiter(map(len, minutes), int, len(minutes))
         self.mask = np.arange(size.max(initial=1)) < size[:, None]
         row = np.repeat(np.arange(len(size)), size)
-        fixed, speed = _moving([x[row] for x in e], np.concatenate(minutes), jd[row])
+        fixed, speed = _moving(e, row, np.concatenate(minutes), jd)
         self.alt, self.size = alt, size
         self.minutes, self.seen = self._filled(np.concatenate(minutes)), self._filled(np.concatenate(seen))
         self.fixed, self.speed = self._filled(fixed), self._filled(speed)
@@ -238,46 +253,122 @@ class Curves:
         """
         every = np.arange(len(self.size))
         lat, lon, azimuth = self.track()
-        start = first.copy()
-        best = np.where(np.isfinite(first).all(1), self.cost(every, first), np.inf)
-        for side in (-90.0, 90.0):
-            for far in OFFSETS:
-                place = np.stack(geodesic.direct(lat, lon, azimuth + side, far * 111_000.0), 1)
-                value = np.where(np.isfinite(first).all(1), np.inf, self.cost(every, place))
-                start, best = np.where((value < best)[:, None], place, start), np.minimum(value, best)
+        start, given = first.copy(), np.isfinite(first).all(1)
+        best = np.full(len(every), np.inf)
+        k = np.flatnonzero(~given)
+        beside = np.array([(side, far * 111_000.0) for side in (-90.0, 90.0) for far in OFFSETS])[:, :, None]
+        for place in np.stack(geodesic.direct(lat[k], lon[k], azimuth[k] + beside[:, 0], beside[:, 1]), -1):
+            value = self.cost(k, place)
+            good = value < best[k]
+            start[k[good]], best[k[good]] = place[good], value[good]
         start = np.where(np.isfinite(start).all(1)[:, None], start, np.stack([lat, lon], 1))
         one, ok = self._search(start)
         az, far = geodesic.inverse(lat, lon, one[:, 0], one[:, 1])
         two, ok_two = self._search(np.stack(geodesic.direct(lat, lon, 2 * azimuth - az, far), 1))
         return [(one, ok), (two, ok_two)]
 
+    def slopes(self, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cost at one place of each row; by a degree of latitude and of longitude, half its slope and the products of the
+        curve's derivatives, where the scale follows the place."""
+        site, ways = _ground(places[:, 0], places[:, 1], self.alt[rows]), _along(places[:, 0], places[:, 1], self.alt[rows])
+        rate, far, near, turn = 0.0, 0.0, [0.0, 0.0], [0.0, 0.0]
+        for k in range(3):
+            d, v = self._axes[k].take(rows, 0), self._axes[3 + k].take(rows, 0)
+            d -= site[:, k, None]
+            rate, far = rate + d * v, far + d * d
+            for j in (0, 1):
+                near[j], turn[j] = near[j] + d * ways[j][:, k, None], turn[j] + v * ways[j][:, k, None]
+        far = np.sqrt(far)
+        rate /= far
+        seen, size = self.seen.take(rows, 0), np.maximum((rate * rate).sum(1), 1e-30)
+        scale = (seen * rate).sum(1) / size
+        left = seen - scale[:, None] * rate
+        by = []
+        for j in (0, 1):
+            x = (rate * near[j] / far - turn[j]) / far
+            by.append(scale[:, None] * (x - rate * ((x * rate).sum(1) / size)[:, None]))
+        value = (left * left).sum(1)
+        half = np.stack([(x * left).sum(1) for x in by], 1)
+        products = np.stack([(by[a] * by[b]).sum(1) for a, b in ((0, 0), (0, 1), (1, 1))], 1)
+        return np.where(np.isfinite(value), value, np.inf), half, products
+
+    def _descended(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place where a damped search by slopes (Levenberg and Marquardt) comes to rest, and whether it does."""
+        place, ok, damp = start.copy(), np.zeros(len(start), bool), np.full(len(start), 1e-3)
+        value, half, products = np.full(len(start), np.inf), np.zeros((len(start), 2)), np.zeros((len(start), 3))
+        go = np.flatnonzero(self.known & np.isfinite(start).all(1))
+        value[go], half[go], products[go] = self.slopes(go, place[go])
+        go = go[np.isfinite(value[go])]
+        for _ in range(SLOPE_ROUNDS):
+            if not len(go):
+                break
+            (a, b, c), (x, y) = products[go].T, half[go].T
+            a, c = a * (1 + damp[go]), c * (1 + damp[go])
+            step = np.stack([c * x - b * y, a * y - b * x], 1) / (a * c - b * b)[:, None]
+            step *= np.minimum(1, FAR_STEP / np.abs(step).max(1))[:, None]
+            trial = place[go] + step
+            new = self.slopes(go, trial)
+            better = new[0] < value[go]
+            k = go[better]
+            place[k], value[k], half[k], products[k] = trial[better], new[0][better], new[1][better], new[2][better]
+            # a short step is no rest if damping alone made it short
+            ok[go] = (np.abs(step).max(1) <= REST) & (~better | (damp[go] <= 0.01))
+            damp[go] = np.clip(np.where(better, damp[go] * 0.1, damp[go] * 10), 1e-9, 1e12)
+            go = go[~ok[go]]
+        return place, ok
+
     def _search(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place, _, ok = neldermead.minimise_all(self.cost, start, step=1.0)
+        """Where searches by slopes come to rest; those that don't are made by simplexes."""
+        place, ok = self._descended(start)
+        again = np.flatnonzero(~ok & self.known)
+        if len(again):
+            place[again], _, ok[again] = neldermead.minimise_all(lambda k, x: self.cost(again[k], x), start[again], step=1.0)
+        place = np.where((self.known & np.isfinite(start).all(1))[:, None], place, start)
         place = np.stack([np.clip(place[:, 0], -90, 90), np.mod(place[:, 1] + 180, 360) - 180], 1)
         return place, ok & self.known
 
 
+def _measured(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, length (-1: none) and values of lists; a list with a null counts as none."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    first, values = lists.offsets.to_numpy().astype(np.int64), lists.values
+    size, known = np.diff(first), lists.is_valid().to_numpy(zero_copy_only=False)
+    if values.null_count:
+        nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+        known &= nulls[first[1:]] == nulls[first[:-1]]
+    return first[:-1], np.where(known, size, -1), values.to_numpy(zero_copy_only=False)
+
+
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ident, minutes, seen, jd, alt, lat0, lon0, *e = (c.to_pylist() for c in batch.columns)
-        few = [k for k, m in enumerate(minutes) if m is None or seen[k] is None or len(m) < 3 or len(m) != len(seen[k]) or None in m or None in seen[k] or None in (jd[k], *(x[k] for x in e))]
-        if few:  # too few measurements for a place and a scale
-            yield pa.RecordBatch.from_pylist([{"pass_id": ident[k], "converged": False} for k in few], schema=_SOLVED)
-        rows = sorted(set(range(len(ident))) - set(few), key=lambda k: len(minutes[k]))
+        ident, (first, size, minutes), (first_seen, size_seen, seen) = batch.column(0), _measured(batch.column(1)), _measured(batch.column(2))
+        jd, alt, lat0, lon0, *e = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[3:])
+        whole = (size >= 3) & (size == size_seen) & np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (batch.column(3), *batch.columns[7:])])
+        if not whole.all():  # too few measurements for a place and a scale
+            yield pa.RecordBatch.from_pylist([{"pass_id": k, "converged": False} for k in ident.filter(pa.array(~whole)).to_pylist()], schema=_SOLVED)
+        rows = np.flatnonzero(whole)
+        rows = rows[np.argsort(size[rows], kind="stable")]
         for at in range(0, len(rows), TOGETHER):
             some = rows[at : at + TOGETHER]
-            number = lambda c: np.array([np.nan if c[k] is None else c[k] for k in some], float)  # noqa: B023, E731
-            order = [np.argsort(minutes[k], kind="stable") for k in some]
+            n = size[some]
+            row, ends = np.repeat(np.arange(len(some)), n), np.cumsum(n)
+            place = np.arange(len(row)) - np.repeat(ends - n, n)
+            m, s = minutes[first[some][row] + place], seen[first_seen[some][row] + place]
+            order = np.lexsort((m, row))
+            m, s = np.split(m[order], ends[:-1]), np.split(s[order], ends[:-1])
             with np.errstate(all="ignore"):
-                curves = Curves([np.array(minutes[k], float)[o] for k, o in zip(some, order, strict=True)], [np.array(seen[k], float)[o] for k, o in zip(some, order, strict=True)], number(jd), np.nan_to_num(number(alt)), [number(c) for c in e])
-                found = curves.solve(np.stack([number(lat0), number(lon0)], 1))
+                curves = Curves(m, s, jd[some], np.nan_to_num(alt[some]), [x[some] for x in e])
                 every, out = np.arange(len(some)), []
-                for place, ok in found:
+                for place, ok in curves.solve(np.stack([lat0[some], lon0[some]], 1)):
                     scale, left = curves.fit(every, place)
-                    rms = np.sqrt((left**2).sum(1) / curves.size)
-                    for k in range(len(some)):
-                        out.append((k, float(rms[k]), {"pass_id": ident[some[k]], "lat": float(place[k, 0]), "lon": float(place[k, 1]), "scale": float(scale[k]), "rms": float(rms[k]), "residuals": left[k, : curves.size[k]].tolist(), "converged": bool(ok[k])}))
-            yield pa.RecordBatch.from_pylist([r for *_, r in sorted(out, key=lambda x: x[:2])], schema=_SOLVED)
+                    out.append((place, scale, np.sqrt((left**2).sum(1) / curves.size), left, ok))
+                # both solutions of a pass, the better one first
+                turned = out[1][2] < out[0][2]
+                both = lambda k: np.stack([np.where(turned.reshape(-1, *[1] * (out[0][k].ndim - 1)), out[1 - j][k], out[j][k]) for j in (0, 1)], 1)  # noqa: B023, E731
+                place, scale, rms, left, ok = (both(k).reshape(2 * len(some), *out[0][k].shape[1:]) for k in range(5))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.repeat(n, 2))]).astype(np.int32)), pa.array(left[np.repeat(curves.mask, 2, 0)]))
+            columns = (ident.take(pa.array(np.repeat(some, 2))), *map(pa.array, (np.ascontiguousarray(place[:, 0]), np.ascontiguousarray(place[:, 1]), scale, rms)), lists, pa.array(ok))
+            yield pa.RecordBatch.from_arrays(list(columns), schema=_SOLVED)
 
 
 def geolocate_passes(passes: DataFrame) -> DataFrame:
@@ -318,7 +409,7 @@ def pass_curves(passes: DataFrame, site: tuple[float, float, float], step_second
             row = np.repeat(np.arange(len(n)), n)
             t = lo[row] + (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * step_seconds / 60
             with np.errstate(all="ignore"):
-                fixed, speed = _moving([col(c)[row] for c in _ELEMENTS], t, col("jd")[row])
+                fixed, speed = _moving([col(c) for c in _ELEMENTS], row, t, col("jd"))
                 d = fixed - at
                 rate = (d * speed).sum(1) / np.sqrt((d * d).sum(1))
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
