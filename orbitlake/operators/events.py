@@ -58,6 +58,12 @@ def _fixed(r, jd):
     return np.stack([np.cos(a) * r[:, 0] + np.sin(a) * r[:, 1], np.cos(a) * r[:, 1] - np.sin(a) * r[:, 0], r[:, 2]], -1)
 
 
+def _turning(r, v, jd):
+    """Earth-fixed positions and speeds a minute."""
+    q, w, spin = _fixed(r, jd), _fixed(v, jd), fr.EARTH_RATE * 60.0
+    return q, np.stack([w[:, 0] + spin * q[:, 1], w[:, 1] - spin * q[:, 0], w[:, 2]], -1)
+
+
 def _place(site):
     """Earth-fixed position of a site, the direction up there, and the sine of its least elevation."""
     lat, lon, alt, least = site
@@ -142,15 +148,11 @@ def _rough_sunlit(p, own, coarse, r, v, node, u):
 
 
 def _rough_elevation(p, own, coarse, r, v, node, u):
-    """Kilometres above the cone of the least elevation. A pass between samples is higher by as much as the way bends in a minute."""
-    jd = p.jd[own] + coarse / 1440.0
-    q, w = _fixed(r, jd), _fixed(v, jd)
-    spin = fr.EARTH_RATE * 60.0
-    w = np.stack([w[:, 0] + spin * q[:, 1], w[:, 1] - spin * q[:, 0], w[:, 2]], -1)
+    """Kilometres above the cone of the least elevation, of Earth-fixed ways. A pass between samples is higher by as much as the way bends in a minute."""
     at, up, least = _place(p.site)
     high = far = 0.0
     for c in range(3):
-        d = _cubic(q[node, c], q[node + 1, c], w[node, c], w[node + 1, c], u, _HOP) - at[c]
+        d = _cubic(r[node, c], r[node + 1, c], v[node, c], v[node + 1, c], u, _HOP) - at[c]
         high, far = high + d * up[c], far + d * d
     far = np.sqrt(far)
     f = high - far * least
@@ -168,7 +170,11 @@ _OUT = "row long, span long, start_us long, stop_us long, peak_us long, peak dou
 #: the part of a revolution within which crossings of neighbouring sets at a switch are the same.
 PAD, POINTS, NEAR = 100.0, 64, 1 / 32
 #: Samples of a piece of a span, and about as many of all that is scanned at once, so that memory is bounded.
-PIECE, AT_ONCE = 1440, 1 << 17
+PIECE, AT_ONCE = 1440, 1 << 19
+#: The part of a revolution within which a pass has one culmination, secants to it, minutes within which they find it.
+ONE_TOP, SECANTS, STILL = 0.35, 20, 1e-6
+#: Degrees, and parts of what the lower neighbour lacks, that a maximum may be above the parabola through its samples.
+LOW = 0.5
 #: A satellite so many degrees under the horizon is over 4,000 km away, too far to rise within a step.
 FAR_BELOW = -20.0
 
@@ -229,23 +235,23 @@ class _Pieces:
             r, v, err = self.sets.at(own, coarse)
             r[(err != 0) & (err != 6)] = np.nan
             v = v * 60.0  # km a minute
-            k = np.flatnonzero(~doubtful)
-            begins = np.zeros(len(n), int)
-            begins[some] = begin
-            away = t[k] - self.lo[i[k]]
-            part = np.minimum(away // (COARSE * STEP_MINUTES), m[np.searchsorted(some, i[k])] - 2).astype(int)
-            node, u = begins[i[k]] + part, away / (COARSE * STEP_MINUTES) - part
+            if self.kind == "pass":
+                r, v = _turning(r, v, self.jd[own] + coarse / 1440.0)
             # hops whose ends are so far from zero on one side that no way between them bends to it
             every, margin = np.flatnonzero(np.diff(own) == 0), BENDS[self.kind](self.site)
             ends = [ROUGH[self.kind](self, own, coarse, r, v, every, np.full(len(every), u))[0] for u in (0.0, 1.0)]
             side = np.where(np.minimum(*ends) > margin, np.inf, np.where(np.maximum(*ends) < -margin, -np.inf, 0.0))
             hop = np.zeros(len(own))
             hop[every] = side if self.kind != "pass" else np.minimum(side, 0.0)
-            f[k] = hop[node]
-            doubtful[k] = np.isnan(f[k])
-            open_ = f[k] == 0
-            k, node, u = k[open_], node[open_], u[open_]
-            f[~doubtful] *= self.sign
+            begins, last = np.zeros(len(n), int), np.zeros(len(n), int)
+            begins[some], last[some] = begin, m - 2
+            # samples of such hops are settled, the others are looked at
+            place = np.arange(len(t)) - np.repeat(first, n)
+            node = np.repeat(begins, n) + np.minimum(place // COARSE, np.repeat(last, n))
+            f = np.where(doubtful, np.nan, self.sign * hop[node])
+            k = np.flatnonzero(f == 0)
+            node = node[k]
+            u = (t[k] - self.lo[i[k]]) / (COARSE * STEP_MINUTES) - (node - begins[i[k]])
             f[k], doubt = ROUGH[self.kind](self, own, coarse, r, v, node, u)
             doubtful[k] = doubt | ~np.isfinite(f[k])
             # what is rough and low is no maximum
@@ -308,16 +314,77 @@ class _Pieces:
             top[1:] &= ~before[1:] | (f[1:] >= f[:-1])
             top[:-1] &= ~after[:-1] | (f[:-1] >= f[1:])
         c = np.flatnonzero(top)
+        if self.sign > 0:
+            # what the parabola through three samples leaves far below zero doesn't rise
+            inner = before[c] & after[c]
+            a, z = np.where(inner, c - 1, c), np.where(inner, c + 1, c)
+            with np.errstate(all="ignore"):
+                one, two = (f[c] - f[a]) / (t[c] - t[a]), (f[z] - f[c]) / (t[z] - t[c])
+                slope, bend = (one * (t[z] - t[c]) + two * (t[c] - t[a])) / (t[z] - t[a]), (two - one) / (t[z] - t[a])
+                high = f[c] - slope * slope / (4 * bend) + LOW + LOW * (f[c] - np.minimum(f[a], f[z]))
+                c = c[~inner | ~(bend < 0) | ~(high < 0)]
         at, left, right = i[c], t[c - before[c]], t[c + after[c]]
         peak = _golden(lambda x: self.state(at, x)[0], left, right)
         ok = (self.state(at, peak)[0] > 0) if len(c) else np.zeros(0, bool)
         at, left, peak, right = at[ok], left[ok], peak[ok], right[ok]
         return np.tile(at, 2), np.concatenate([left, peak]), np.concatenate([peak, right]), np.repeat([True, False], len(at))
 
+    def climb(self, i: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Zero where the elevation of pieces i at t is greatest or least, positive where it grows: its slope without divisors, which
+        bends least."""
+        r, v, err = self.sets.at(i, t)
+        q, w = _turning(r, v * 60.0, self.jd[i] + t / 1440.0)
+        at, up, _ = _place(self.site)
+        d = q - at
+        return np.where((err == 0) | (err == 6), (w @ up) * (d * d).sum(1) - (d @ up) * (d * w).sum(1), np.nan)
+
+    def culminations(self, i: np.ndarray, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """When each pass from s to p is highest, to some milliseconds, and how high it is then; nan where that isn't settled here.
+
+        In a small part of a revolution a way near a circle climbs once and sinks once: secants find where it does neither.
+        """
+        at, top = np.full(len(i), np.nan), np.full(len(i), np.nan)
+        e, mm = self.elements[1], self.elements[0]
+        k = np.flatnonzero((e[i] < 0.05) & (mm[i] > 7.0) & (mm[i] < 17.5) & (p - s < ONE_TOP * 1440.0 / mm[i]) & (p > s) & (self.sign > 0))
+        if not len(k):
+            return at, top
+        x, y = s[k], p[k]
+        a, b = self.climb(i[k], x), self.climb(i[k], y)
+        # one that is cut may sink or climb all the time
+        out = np.where((a <= 0) & (b < 0), x, np.where((a > 0) & (b >= 0), y, np.nan))
+        left = np.flatnonzero((a > 0) & (b < 0))
+        x, y, a, b = x[left], y[left], a[left], b[left]
+        for _ in range(SECANTS):
+            if not len(left):
+                break
+            with np.errstate(all="ignore"):
+                n = y - b * (y - x) / (b - a)
+            n = np.where((n >= s[k[left]]) & (n <= p[k[left]]), n, (x + y) / 2)
+            out[left] = np.where(np.abs(n - y) < STILL, n, np.nan)
+            more = np.isnan(out[left])
+            left, x, a, n = left[more], y[more], b[more], n[more]
+            y, b = n, self.climb(i[k[left]], n)
+        k, n = k[np.isfinite(out)], out[np.isfinite(out)]
+        at[k], top[k] = n, self.state(i[k], n)[0]
+        return at, top
+
     def micros(self, i: np.ndarray, t: np.ndarray) -> pa.Array:
         return pa.array(self.epoch[i] + np.round(t * _US).astype(np.int64))
 
-    def periods(self, peaks: bool = True) -> pa.RecordBatch:
+    def highest(self, i: np.ndarray, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest of POINTS points of each period, for passes with what is between its neighbours, and its value."""
+        fine = s[:, None] + (p - s)[:, None] * np.linspace(0, 1, POINTS)
+        g = self.state(np.repeat(i, POINTS), fine.ravel())[0].reshape(fine.shape)
+        g = np.where(np.isfinite(g), g, -np.inf)
+        best, every = g.argmax(1), np.arange(len(s))
+        at, top = fine[every, best], g[every, best]
+        if self.kind == "pass":  # between the neighbours of the highest point
+            near = _golden(lambda x: self.state(i, x)[0], fine[every, np.maximum(best - 1, 0)], fine[every, np.minimum(best + 1, POINTS - 1)])
+            high = self.state(i, near)[0] if len(i) else top
+            at, top = np.where(high > top, near, at), np.fmax(high, top)
+        return at, top
+
+    def periods(self, peaks: bool = True, longitudes: bool = True) -> pa.RecordBatch:
         at, t, up, _, begins, ends = self.scan()
         one, two = np.flatnonzero(begins), np.flatnonzero(ends)
         i, s = np.concatenate([one, at[up]]), np.concatenate([self.lo[one], t[up]])
@@ -328,17 +395,12 @@ class _Pieces:
         if not peaks:
             none = pa.nulls(len(i), pa.float64())
             return pa.RecordBatch.from_arrays([pa.array(self.row[i]), pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), pa.nulls(len(i), pa.int64()), none, none], names=_NAMES)
-        fine = s[:, None] + (p - s)[:, None] * np.linspace(0, 1, POINTS)
-        g = self.state(np.repeat(i, POINTS), fine.ravel())[0].reshape(fine.shape)
-        g = np.where(np.isfinite(g), g, -np.inf)
-        best, every = g.argmax(1), np.arange(len(s))
-        at, top = fine[every, best], g[every, best]
-        if self.kind == "pass":  # between the neighbours of the highest point
-            near = _golden(lambda x: self.state(i, x)[0], fine[every, np.maximum(best - 1, 0)], fine[every, np.minimum(best + 1, POINTS - 1)])
-            high = self.state(i, near)[0] if len(i) else top
-            at, top = np.where(high > top, near, at), np.fmax(high, top)
+        at, top = self.culminations(i, s, p) if self.kind == "pass" else (np.full(len(i), np.nan), np.full(len(i), np.nan))
+        k = np.flatnonzero(~np.isfinite(top))
+        at[k], top[k] = self.highest(i[k], s[k], p[k])
+        place = pa.array(self.longitude(i, s)) if longitudes else pa.nulls(len(i), pa.float64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.row[i]), pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), self.micros(i, at), pa.array(top), pa.array(self.longitude(i, s))],
+            [pa.array(self.row[i]), pa.array(self.span[i]), self.micros(i, s), self.micros(i, p), self.micros(i, at), pa.array(top), place],
             names=_NAMES,
         )
 
@@ -370,12 +432,12 @@ def _scan(kind: str, invert: bool, site: tuple, crossings: bool = False, keep: t
             i = np.repeat(np.arange(len(n)), n)
             a = lo[i] + PIECE * (np.arange(len(i)) - (np.cumsum(n) - n)[i])
             z = np.minimum(a + PIECE, hi[i])
-            for k in range(0, len(i), max(1, AT_ONCE // PIECE)):
-                c = slice(k, k + max(1, AT_ONCE // PIECE))
+            full = (np.cumsum(z - a) // AT_ONCE).astype(int)
+            for c in (np.flatnonzero(full == k) for k in np.unique(full)):
                 o = i[c]
                 # the place in this batch instead of the row's number, to find what is kept of it
                 piece = _Pieces(kind, invert, site, o if keep else row[o], span[o], epoch[o], a[c], z[c], jd[o], [x[o] for x in e])
-                found = piece.crossings() if crossings else piece.periods(peaks)
+                found = piece.crossings() if crossings else piece.periods(peaks, not keep)
                 if keep:
                     at = found.column("row")
                     found = pa.RecordBatch.from_arrays([pa.array(row[at.to_numpy()]), *found.columns[1:], *(kept.column(c).take(at).combine_chunks() for c in kept.column_names)], names=[*found.schema.names, *kept.column_names])

@@ -47,3 +47,36 @@ def test_few_states_are_propagated(monkeypatch):
     p = pieces("sunlit", n=400)
     p.periods(False)
     assert sum(seen) < 0.5 * np.ceil(p.hi - p.lo).sum()
+
+
+def test_peaks_of_passes_take_few_states(monkeypatch):
+    """Without 64 points and golden sections for each pass and each low maximum."""
+    p, seen, kernel = pieces("pass", n=400), [], sgp4._at
+    monkeypatch.setattr(sgp4, "_at", lambda k, t: seen.append(len(t)) or kernel(k, t))
+    assert len(p.periods()) > 300
+    assert sum(seen) < 0.5 * np.ceil(p.hi - p.lo).sum()
+
+
+def test_peaks_of_passes_are_where_the_way_turns():
+    p = pieces("pass", n=400)
+    at, t, up, *_ = p.scan()
+    k = np.flatnonzero(up[:-1] & ~up[1:] & (at[:-1] == at[1:]))
+    i, s, e = at[k], t[k], t[k + 1]
+    when, top = p.culminations(i, s, e)
+    slow, high = p.highest(i, s, e)
+    settled = np.isfinite(when)
+    assert settled.mean() > 0.9 and settled[p.elements[1][i] < 0.05].mean() > 0.95
+    assert np.abs(when - slow)[settled].max() < 0.2 / 60 and np.abs(top - high)[settled].max() < 1e-5
+    # a pass that is cut before or after it culminates is highest at the cut
+    half = (s + e) / 2
+    first, last = p.culminations(i, s, np.minimum(half, when - 0.1)), p.culminations(i, np.maximum(half, when + 0.1), e)
+    early, late = settled & (half > s) & (when - 0.1 > s), settled & (when + 0.1 < e)
+    assert np.array_equal(first[0][early], np.minimum(half, when - 0.1)[early]) and np.array_equal(last[0][late], np.maximum(half, when + 0.1)[late])
+
+
+@pytest.mark.parametrize("site", [SITE, (69.0, 20.0, 0.0, 40.0), (-5.0, 100.0, 0.0, 0.0)])
+def test_maxima_that_are_left_out_do_not_rise(monkeypatch, site):
+    monkeypatch.setitem(globals(), "SITE", site)
+    out = pieces("pass", n=300).scan()
+    monkeypatch.setattr(events, "LOW", 1e9)  # none is left out
+    assert all(np.array_equal(a, b) for a, b in zip(out, pieces("pass", n=300).scan()))
