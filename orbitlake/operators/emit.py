@@ -43,6 +43,14 @@ def _few_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def kept(sets: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder once: what writes files reads its sets several times."""
+    spark = sets.sparkSession
+    at = fresh_folder(spark, "sets")
+    sets.write.parquet(at)
+    return spark.read.schema(sets.schema).parquet(at)
+
+
 def _write_messages(rows: DataFrame, path: str, by: str, mode: str) -> None:
     """CSV of the message fields of sets that have any; rows may lack the column."""
     if "fields" in rows.columns:
@@ -162,7 +170,8 @@ def _written(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 def generate(sets: DataFrame, path: str, as_of: Column | None = None, window_days: int = 60, lookback_days: int = 7) -> tuple[DataFrame, DataFrame]:
     """Days in the window or with late rows (all, without as_of), then objects, then the check: actions and problems.
 
-    The check goes by the manifest; catalog.verify_counts of object_files reads all text."""
+    The check goes by the manifest; catalog.verify_counts of object_files reads all text. The sets are read about ten times:
+    kept() first, if they are dear to make."""
     dates = None if as_of is None else catalog.dates_to_write(sets, as_of, window_days, lookback_days)
     write_dates(sets, path, dates)
     actions, listing = _written(sets, path)

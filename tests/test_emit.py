@@ -145,3 +145,17 @@ def test_files_that_arrive_go_to_the_store_and_the_output(spark, tmp_path):
     assert s.table("sets").count() == 5 and [len(text_of(out, n)) for n in (1, 2)] == [8, 2]
     assert sorted(os.listdir(Path(out, "dates")))[-1].startswith("epoch_date=2024-02-22")
     assert records(1)
+
+
+def test_the_text_of_sets_is_made_once(spark, monkeypatch):
+    """Both runs of generate read kept sets, not the events."""
+    from orbitlake.plans import store_queries as q
+
+    seen = []
+    monkeypatch.setattr(q, "_STORES", {})
+    monkeypatch.setattr(q.emit, "generate", lambda sets, path, **k: seen.append(sets) or (None, None))
+    sf = "/root/testdata/sf0.001"
+    q._generated(spark, sf)
+    assert len(seen) == 2 and not any("events.parquet" in f for s in seen for f in s.inputFiles())
+    made = q.elements(spark, sf).select("id", "norad", "epoch", "line1", "line2", q.F.col("ts").cast("timestamp_ntz").alias("created"))
+    assert seen[1].schema == made.schema and seen[1].exceptAll(made).isEmpty() and made.exceptAll(seen[1]).isEmpty()
